@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from chronoloom.llm.fingerprints import op10_fingerprint
+from chronoloom.llm.langid import op4_langid
 from chronoloom.llm.mixing import op1_mix
+from chronoloom.llm.secrets import op8_secrets
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op4_langid": op4_langid,
+    "op8_secrets": op8_secrets,
     "op10_fingerprint": op10_fingerprint,
 }
 
