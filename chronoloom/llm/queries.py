@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from chronoloom.llm.decontamination import op3_decontaminate
 from chronoloom.llm.fingerprints import op10_fingerprint
 from chronoloom.llm.langid import op4_langid
 from chronoloom.llm.mixing import op1_mix
+from chronoloom.llm.pii import op2_pii
 from chronoloom.llm.secrets import op8_secrets
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_pii": op2_pii,
+    "op3_decontaminate": op3_decontaminate,
     "op4_langid": op4_langid,
     "op8_secrets": op8_secrets,
     "op10_fingerprint": op10_fingerprint,
