@@ -8,6 +8,7 @@ from chronoloom.llm.langid import op4_langid
 from chronoloom.llm.mixing import op1_mix
 from chronoloom.llm.pii import op2_pii
 from chronoloom.llm.secrets import op8_secrets
+from chronoloom.llm.webpages import op9_extract
 
 QUERIES = {
     "op1_mix": op1_mix,
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_langid": op4_langid,
     "op8_secrets": op8_secrets,
+    "op9_extract": op9_extract,
     "op10_fingerprint": op10_fingerprint,
 }
 
