@@ -8,6 +8,7 @@ from chronoloom.llm.langid import op4_langid
 from chronoloom.llm.mixing import op1_mix
 from chronoloom.llm.pii import op2_pii
 from chronoloom.llm.secrets import op8_secrets
+from chronoloom.llm.warc import op5_warc
 from chronoloom.llm.webpages import op9_extract
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_langid": op4_langid,
+    "op5_warc": op5_warc,
     "op8_secrets": op8_secrets,
     "op9_extract": op9_extract,
     "op10_fingerprint": op10_fingerprint,
