@@ -6,6 +6,7 @@ from chronoloom.llm.decontamination import op3_decontaminate
 from chronoloom.llm.fingerprints import op10_fingerprint
 from chronoloom.llm.langid import op4_langid
 from chronoloom.llm.mixing import op1_mix
+from chronoloom.llm.neardup import op7_neardup
 from chronoloom.llm.pii import op2_pii
 from chronoloom.llm.secrets import op8_secrets
 from chronoloom.llm.warc import op5_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_langid": op4_langid,
     "op5_warc": op5_warc,
+    "op7_neardup": op7_neardup,
     "op8_secrets": op8_secrets,
     "op9_extract": op9_extract,
     "op10_fingerprint": op10_fingerprint,
