@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import written
+from chronoloom.llm.common import let, written
 
 #: Places that count, of masks 7 and 9 words long.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
@@ -52,21 +52,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         one = placed.select("item_id", "b", F.posexplode(_seeds(F.col("h"), n)).alias("at", "seed")).where(F.col("at") < F.size("b") - max(mask))
         both = one if both is None else both.unionByName(one)
     seeds = written(both.select("seed", "item_id", "at", F.xxhash64("b").alias("b_hash")).distinct(), "seeds")
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    found = hashed.select("doc_id", "text_hash", F.size("h").alias("n"), F.concat(*[_seeds(F.col("h"), n) for n in range(len(MASKS))]).alias("s"))
-    found = found.select("doc_id", "text_hash", "n", F.posexplode("s").alias("place", "seed")).join(_small(seeds), "seed")
+    hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), let(hashes, lambda h: F.concat(*[_seeds(h, n) for n in range(len(MASKS))])).alias("s"))
+    found = found.select("doc_id", "text_hash", (F.size("s") / F.lit(len(MASKS))).cast("int").alias("n"), F.posexplode("s").alias("place", "seed")).join(_small(seeds), "seed")
     hits = written(found.select("doc_id", "text_hash", "item_id", "b_hash", (F.pmod("place", "n") - F.col("at")).cast("int").alias("shift")).distinct(), "hits")
     wide = hits.join(items.withColumn("b_hash", F.xxhash64("b")), ["item_id", "b_hash"])
     # only documents with hits are read again
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     keys = texts["doc_id"].eqNullSafe(wide["doc_id"]) & (texts["text_hash"] == wide["text_hash"])
     few = hits.count() <= BROADCAST_ROWS // 10
-    pairs = texts.join(F.broadcast(wide) if few else wide, keys).select(texts["doc_id"], texts["text_hash"], "item_id", "shift", "b", words_of(F.col("text")).alias("w"))
-    pairs = pairs.withColumn("same", F.transform("b", lambda x, j: F.coalesce((F.get("w", j + F.col("shift")) == x).cast("int"), F.lit(0))))
-    size = F.least(F.lit(WINDOW), F.size("b"))
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("b") - size + 1), lambda i: F.aggregate(F.slice("same", i, size), F.lit(0), lambda a, x: a + x)))
-    kept = pairs.where(best >= size - F.floor(size * F.lit(WRONG) / F.lit(WINDOW)))
-    kept = kept.select("doc_id", "text_hash", "item_id", F.size("b").alias("item_words"), F.aggregate("same", F.lit(0), lambda a, x: a + x).alias("matched_words"), F.col("shift").alias("at_word"))
+    pairs = texts.join(F.broadcast(wide) if few else wide, keys).select(texts["doc_id"], texts["text_hash"], "item_id", "shift", "b", "text")
+
+    def compared(w: Column) -> Column:
+        return F.transform("b", lambda x, j: F.coalesce((F.get(w, j + F.col("shift")) == x).cast("int"), F.lit(0)))
+
+    def judged(same: Column) -> Column:
+        size = F.least(F.lit(WINDOW), F.size(same))
+        best = F.array_max(F.transform(F.sequence(F.lit(1), F.size(same) - size + 1), lambda i: F.aggregate(F.slice(same, i, size), F.lit(0), lambda a, x: a + x)))
+        return F.struct((best >= size - F.floor(size * F.lit(WRONG) / F.lit(WINDOW))).alias("overlap"), F.aggregate(same, F.lit(0), lambda a, x: a + x).alias("matched_words"))
+
+    kept = pairs.withColumn("v", let(let(words_of(F.col("text")), compared), judged)).where("v.overlap")
+    kept = kept.select("doc_id", "text_hash", "item_id", F.size("b").alias("item_words"), "v.matched_words", F.col("shift").alias("at_word"))
     top = kept.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("matched_words", "item_words", (-F.col("at_word")).alias("before"))).alias("m"))
     return top.select("doc_id", "text_hash", "item_id", "m.item_words", "m.matched_words", (-F.col("m.before")).alias("at_word"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import word_count
+from chronoloom.llm.common import let, word_count
 
 #: Multipliers for the permutation of blocks; the first that does not divide the number of blocks is used.
 _PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171)
@@ -44,11 +44,6 @@ def _ln_choose(n: Column, k: Column) -> Column:
     return _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
     """A hypergeometric draw for the uniform number ``u``: inverse distribution, walked from the mode outwards."""
 
@@ -57,12 +52,12 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
         high = F.least(v["d"], v["k"])
         mode = F.floor((v["d"] + 1) * (v["k"] + 1) / (v["n"] + 2)).cast("double")
         spread = F.sqrt(v["d"] * (v["k"] / v["n"]) * (1 - v["k"] / v["n"]) * (v["n"] - v["d"]) / F.greatest(v["n"] - 1, F.lit(1.0)))
-        return _let(F.struct(v["n"], v["k"], v["d"], v["u"], low.alias("low"), high.alias("high"), mode.alias("mode"), spread.alias("spread")), at_mode)
+        return let(F.struct(v["n"], v["k"], v["d"], v["u"], low.alias("low"), high.alias("high"), mode.alias("mode"), spread.alias("spread")), at_mode)
 
     def at_mode(v: Column) -> Column:
         p = F.exp(_ln_choose(v["k"], v["mode"]) + _ln_choose(v["n"] - v["k"], v["d"] - v["mode"]) - _ln_choose(v["n"], v["d"]))
         steps = F.least(v["high"] - v["low"], F.ceil(v["spread"] * 12).cast("double") + 12).cast("long")
-        drawn = _let(F.struct(v["n"], v["k"], v["d"], v["u"], v["low"], v["high"], v["mode"], p.alias("p"), steps.alias("steps")), walked)
+        drawn = let(F.struct(v["n"], v["k"], v["d"], v["u"], v["low"], v["high"], v["mode"], p.alias("p"), steps.alias("steps")), walked)
         return F.when(v["low"] >= v["high"], v["low"]).otherwise(drawn)
 
     def walked(v: Column) -> Column:
@@ -77,7 +72,7 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
         return F.aggregate(F.sequence(F.lit(1).cast("long"), v["steps"]), start, walk, lambda acc: F.coalesce(acc["x"], v["mode"]))
 
     n, k, d = (c.cast("double") for c in (total, good, draws))
-    return _let(F.struct(n.alias("n"), k.alias("k"), d.alias("d"), u.alias("u")), bounds).cast("long")
+    return let(F.struct(n.alias("n"), k.alias("k"), d.alias("d"), u.alias("u")), bounds).cast("long")
 
 
 def _uniform(*cols: Column) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import written
+from chronoloom.llm.common import let, written
 
 _SPACE = r"\x20\x09-\x0D"
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -30,11 +30,6 @@ _INSTANCE = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,found:string>>"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _located(text: Column, pattern: str) -> Column:
     """Matches with start (code points), the text before them up to the last match, and the text after up to the next."""
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -51,7 +46,7 @@ def _located(text: Column, pattern: str) -> Column:
 
         return F.aggregate(v["m"], start, add, lambda acc: acc["out"])
 
-    return _let(F.struct(between.alias("b"), matches.alias("m")), place)
+    return let(F.struct(between.alias("b"), matches.alias("m")), place)
 
 
 def _digits(s: Column) -> Column:
