@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,15 +127,15 @@ def fit(bags: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, *, epoc
     return langs, w[:DIM] * idf[:, None] * scale, w[DIM], temperature
 
 
-def predict(docs: DataFrame, learn: DataFrame, *, sample_rows: int = 500) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` (after calibration, 0 to 1).
+def predict(docs: DataFrame, learn: DataFrame, *, sample_rows: int = 500, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its score (calibrated, 0 to 1), in columns of these names.
 
     ``learn``: text and lang of the learning documents; those with a null text or lang or without letters teach
-    nothing. Per language about ``sample_rows`` documents (never a larger share than that of all of its rows) fit the weights; the document frequencies cover them all.
-    A text that is null or has no letter is ``und`` with score 0, as are all texts if there is nothing to learn from.
-    Repeated rows count each time. Nothing but the text decides a prediction; columns of other names stay as they are.
+    nothing. Per language about ``sample_rows`` documents (never a larger share than that of all of its rows) fit the
+    weights; the document frequencies cover them all. A text that is null or has no letter is ``und`` with score 0, as
+    are all texts if there is nothing to learn from. Repeated rows count each time. Nothing but the text decides a
+    prediction. Columns of ``docs`` of the two names are replaced, all others stay as they are.
     """
-    spark = docs.sparkSession
     learn = learn.select("text", "lang").where("text is not null and lang is not null")
     counts = learn.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # a number per feature
     df = np.zeros(DIM + 1)
@@ -146,11 +146,9 @@ def predict(docs: DataFrame, learn: DataFrame, *, sample_rows: int = 500) -> Dat
     bags = [(r["lang"], np.frombuffer(r["features"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in written(pick.mapInArrow(_bags, "lang string, features binary, counts binary"), "langid").collect()]
     bags.sort(key=lambda b: (b[0], b[1].tobytes(), b[2].tobytes()))
     model = fit(bags, idf) if bags else None
-    return docs.mapInArrow(_predictor(model), _schema(docs))
-
-
-def _schema(docs: DataFrame):
-    return T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name not in ("lang_pred", "score")], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = docs.drop(*names)
+    fields = [*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    return kept.mapInArrow(_predictor(model, names), T.StructType(fields))
 
 
 def _sample(learn: DataFrame, rows: int) -> DataFrame:
@@ -163,7 +161,7 @@ def _sample(learn: DataFrame, rows: int) -> DataFrame:
     return learn.where(u < share).select("lang", "text").distinct()
 
 
-def _predictor(model):
+def _predictor(model, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs_out, scores = [], []
@@ -180,25 +178,24 @@ def _predictor(model):
                 k = int(p.argmax())
                 langs_out.append(langs[k])
                 scores.append(float(p[k]))
-            keep = [i for i, n in enumerate(batch.schema.names) if n not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(langs_out, pa.string()), pa.array(scores, pa.float64())], names=[*[batch.schema.names[i] for i in keep], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs_out, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
 
     return run
 
 
-def held_out(docs: DataFrame) -> DataFrame:
-    """Adds ``held_out``: crc32 of the doc_id as text is 1 modulo 3. A null doc_id counts as the empty text."""
-    return docs.withColumn("held_out", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1)
+def held_out(doc_id: Column) -> Column:
+    """crc32 of the doc_id as text is 1 modulo 3. A null doc_id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """``predict`` for documents with a column lang, learning from those that are not held out."""
-    marked = held_out(docs.drop("held_out"))
-    return predict(marked, marked.where(~F.col("held_out")))
+def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The documents whose language is told with a score of ``least`` or more, with all their columns."""
+    found = predict(docs, docs.where(~held_out(F.col("doc_id"))), names=("__lang", "__score"))
+    return found.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    marked = held_out(docs)
+    marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
     return predict(marked.select("doc_id", "text", "held_out"), marked.where(~F.col("held_out"))).select("doc_id", "held_out", "lang_pred", "score")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import let, word_count
+from chronoloom.llm.common import WORD, let, word_count
 
 #: Multipliers for the permutation of blocks; the first that does not divide the number of blocks is used.
 _PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171)
@@ -170,12 +170,17 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: f
 
 
 def materialize(plan: DataFrame, shards: int = 64) -> DataFrame:
-    """The mixed corpus itself: a row per copy, grouped by shard and shuffled within it; a cut copy keeps its first words."""
-    c = plan.select("row.*", F.explode("copies").alias("copy"), "size")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col("copy.words").cast("int")), " ")
-    c = c.withColumn("text", F.when(F.col("copy.words") < F.col("size"), cut).otherwise(F.col("text")))
-    c = c.select(*[k for k in plan.schema["row"].dataType.names], F.col("copy.shard").alias("shard"), F.col("copy.place").alias("place"), F.col("copy.words").alias("words"))
-    return c.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    """The mixed corpus itself: a row per copy, grouped by shard and shuffled within it; a cut copy keeps its first words.
+
+    All columns of the input, and mix_shard, mix_place and mix_words (columns of these names are replaced).
+    """
+    names = [c for c in plan.schema["row"].dataType.names if c not in ("mix_shard", "mix_place", "mix_words")]
+    c = plan.select("row", F.explode("copies").alias("copy"), "size")
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("copy.words").cast("int")), " ")
+    text = F.when(F.col("copy.words") < F.col("size"), cut).otherwise(F.col("row.text"))
+    own = [text.alias(k) if k == "text" else F.length(text).cast(plan.schema["row"].dataType[k].dataType).alias(k) if k == "n_chars" else F.col(f"row.`{k}`") for k in names]
+    c = c.select(*own, F.col("copy.shard").alias("mix_shard"), F.col("copy.place").alias("mix_place"), F.col("copy.words").alias("mix_words"))
+    return c.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_place")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from chronoloom.llm.mixing import op1_mix
 from chronoloom.llm.neardup import op7_neardup
 from chronoloom.llm.pii import op2_pii
 from chronoloom.llm.secrets import op8_secrets
+from chronoloom.llm.substrings import op6_substrings
 from chronoloom.llm.warc import op5_warc
 from chronoloom.llm.webpages import op9_extract
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_langid": op4_langid,
     "op5_warc": op5_warc,
+    "op6_substrings": op6_substrings,
     "op7_neardup": op7_neardup,
     "op8_secrets": op8_secrets,
     "op9_extract": op9_extract,
