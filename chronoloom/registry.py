@@ -2,5 +2,23 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query under ``name``; ``sql`` is the same over the views of ``plans.views.WITH``."""
+
+    def add(f):
+        assert name not in QUERIES, name
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+from chronoloom.plans import queries_aggregates, queries_joins, queries_policy, queries_scalars, queries_stats, queries_streams, queries_ticks, queries_windows  # noqa: E402, F401
