@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import let, written
 
-#: Places that count, of masks 7 and 9 words long.
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
+#: Places of the two-word pairs that count: masks 7 and 9 words long.
+MASKS = ((0, 2, 5), (0, 5, 7))
+SPANS = tuple(m[-1] + 2 for m in MASKS)
 WINDOW, WRONG = 13, 2
 #: Seeds and hits are broadcast up to so many rows (32 bytes each) and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
@@ -28,9 +29,13 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1), F.array().cast("array<string>"))
 
 
-def _seeds(h: Column, n: int) -> Column:
-    mask = MASKS[n]
-    return F.transform(h, lambda x, i: F.xxhash64(F.lit(n), x, *[F.get(h, i + k) for k in mask[1:]]))
+def _seeds(words: Column) -> Column:
+    """For each mask the hashes at all places, one mask after the other. Both masks are made of pairs, hashed once."""
+
+    def masked(pairs: Column) -> Column:
+        return F.concat(*[F.transform(pairs, lambda x, i: F.xxhash64(x, F.get(pairs, i + m[1]), F.get(pairs, i + m[2]))) for m in MASKS])
+
+    return let(words, lambda w: let(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1))), masked))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -45,23 +50,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are ignored. Null and empty texts, and items of fewer than 7 words, overlap nothing. Rows of one doc_id and text
     (also a null doc_id) are reported once; so are items repeated under one item_id. Empty tables give no rows.
     """
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("b")).where(F.size("b") > max(MASKS[0])).distinct()
-    placed = items.withColumn("h", F.transform("b", lambda w: F.xxhash64(w)))
-    both = None
-    for n, mask in enumerate(MASKS):
-        one = placed.select("item_id", "b", F.posexplode(_seeds(F.col("h"), n)).alias("at", "seed")).where(F.col("at") < F.size("b") - max(mask))
-        both = one if both is None else both.unionByName(one)
-    seeds = written(both.select("seed", "item_id", "at", F.xxhash64("b").alias("b_hash")).distinct(), "seeds")
-    hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), let(hashes, lambda h: F.concat(*[_seeds(h, n) for n in range(len(MASKS))])).alias("s"))
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("b")).where(F.size("b") >= min(SPANS)).distinct()
+    placed = items.select("item_id", F.xxhash64("b").alias("b_hash"), F.size("b").alias("n"), F.posexplode(_seeds(F.col("b"))).alias("place", "seed"))
+    span = F.when(F.col("place") < F.col("n"), SPANS[0]).otherwise(SPANS[1])
+    placed = placed.withColumn("at", F.pmod("place", "n")).where(F.col("at") <= F.col("n") - span)
+    seeds = written(placed.select("seed", "item_id", "at", "b_hash").distinct(), "seeds")
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _seeds(words_of(F.col("text"))).alias("s"))
     found = found.select("doc_id", "text_hash", (F.size("s") / F.lit(len(MASKS))).cast("int").alias("n"), F.posexplode("s").alias("place", "seed")).join(_small(seeds), "seed")
     hits = written(found.select("doc_id", "text_hash", "item_id", "b_hash", (F.pmod("place", "n") - F.col("at")).cast("int").alias("shift")).distinct(), "hits")
-    wide = hits.join(items.withColumn("b_hash", F.xxhash64("b")), ["item_id", "b_hash"])
     # only documents with hits are read again
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    keys = texts["doc_id"].eqNullSafe(wide["doc_id"]) & (texts["text_hash"] == wide["text_hash"])
-    few = hits.count() <= BROADCAST_ROWS // 10
-    pairs = texts.join(F.broadcast(wide) if few else wide, keys).select(texts["doc_id"], texts["text_hash"], "item_id", "shift", "b", "text")
+    keys = texts["doc_id"].eqNullSafe(hits["doc_id"]) & (texts["text_hash"] == hits["text_hash"])
+    pairs = texts.join(_small(hits), keys).select(texts["doc_id"], texts["text_hash"], "item_id", "b_hash", "shift", "text")
+    pairs = pairs.join(items.withColumn("b_hash", F.xxhash64("b")), ["item_id", "b_hash"])
 
     def compared(w: Column) -> Column:
         return F.transform("b", lambda x, j: F.coalesce((F.get(w, j + F.col("shift")) == x).cast("int"), F.lit(0)))
