@@ -1 +1,164 @@
-"""stub"""
+"""Rules, replay and searches (SURVEY P, parts of M)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from chronoloom.operators import asof as A
+from chronoloom.operators import matching as M
+from chronoloom.operators import policy as P
+from chronoloom.plans import views as V
+from chronoloom.plans.views import WITH, r6
+from chronoloom.registry import query
+
+
+def _features(spark, sf):
+    w = W.partitionBy("symbol").orderBy("ts")
+    b = V.bars_1h(spark, sf)
+    f = b.select("symbol", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), (F.col("close") / F.lag("close").over(w) - 1).alias("ret"), (F.col("high") - F.col("low")).alias("rng"), "volume", F.lag("volume").over(w).alias("prev_volume"))
+    return f.withColumn("status", F.when(F.col("ret").isNotNull(), "observed").otherwise("unknown"))
+
+
+_F = WITH + ", f AS (SELECT symbol, ts + INTERVAL '1 hour' AS ts, close / lag(close) OVER w - 1 AS ret, high - low AS rng, volume, lag(volume) OVER w AS prev_volume FROM bars_1h WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
+_RULES = {
+    "up": P.Threshold("ret", ">", 0.02),
+    "not_up": P.Not(P.Threshold("ret", ">", 0.02)),
+    "busy": P.And((P.Threshold("volume", ">=", 3), P.Or((P.Threshold("rng", "<", 20), P.Threshold("ret", "<=", -0.1))))),
+    "cross": P.Crosses("volume", 2.5),
+    "window": P.And((P.Hours(8, 16, (0, 1, 2, 3, 4)), P.Threshold("ret", "<", 0))),
+}
+
+
+@query(
+    "p01_conditions",
+    _F + """ SELECT symbol, ts, coalesce(ret > 0.02, false) AS up, NOT coalesce(ret > 0.02, false) AS not_up, coalesce(volume >= 3, false) AND (coalesce(rng < 20, false) OR coalesce(ret <= -0.1, false)) AS busy, coalesce(prev_volume <= 2.5 AND volume > 2.5, false) AS cross, hour(ts) BETWEEN 8 AND 16 AND isodow(ts) <= 5 AND coalesce(ret < 0, false) AS window_ FROM f""",
+)
+def p01_conditions(spark, sf):
+    """Rules compiled to columns; a missing value makes a leaf false and its negation true."""
+    rules = {k: P.from_json(P.to_json(r)) for k, r in _RULES.items()}
+    return _features(spark, sf).select("symbol", "ts", *[r.column().alias("window_" if k == "window" else k) for k, r in rules.items()])
+
+
+@query("p05_noise", WITH + ", x AS (SELECT event_id, sin(event_id * 12.9898 + 78.233) * 43758.5453 AS x FROM ticks) SELECT event_id % 100 AS grp, count(*) AS n, abs(count(*) FILTER (x - floor(x) < 0.3) / count(*)::DOUBLE - 0.3) < 0.2 AS plausible FROM x GROUP BY 1")
+def p05_noise(spark, sf):
+    """Deterministic draws by index."""
+    t = V.ticks(spark, sf).withColumn("hit", P.Noise("event_id", 0.3).column())
+    return t.groupBy((F.col("event_id") % 100).alias("grp")).agg(F.count("*").alias("n"), (F.abs(F.count_if("hit") / F.count("*") - 0.3) < 0.2).alias("plausible"))
+
+
+_EXIT = """, s AS (SELECT * FROM ledger WHERE close_time <= open_time + INTERVAL '24 hours'), p AS (SELECT s.ticket, t.ts, s.open_time, CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END AS move FROM s JOIN ticks t ON t.symbol = s.symbol AND t.ts > s.open_time AND t.ts <= s.open_time + INTERVAL '24 hours'),
+m AS (SELECT *, max(move) OVER (PARTITION BY ticket ORDER BY ts ROWS UNBOUNDED PRECEDING) AS best FROM p)"""
+
+
+@query(
+    "p09_first_exit",
+    WITH + _EXIT + """, e AS (SELECT ticket, min(CASE WHEN move <= -20 THEN ts END) AS sl, min(CASE WHEN move >= 30 THEN ts END) AS tp, min(CASE WHEN best >= 10 AND best - move >= 15 THEN ts END) AS tr, min(CASE WHEN ts >= open_time + INTERVAL '6 hours' THEN ts END) AS tm FROM m GROUP BY 1)
+SELECT ticket, least(sl, tp, tr, tm) AS exit_ts, CASE WHEN least(sl, tp, tr, tm) IS NULL THEN 'none' WHEN sl = least(sl, tp, tr, tm) THEN 'stop_loss' WHEN tp = least(sl, tp, tr, tm) THEN 'take_profit' WHEN tr = least(sl, tp, tr, tm) THEN 'trailing' ELSE 'time' END AS reason FROM e""",
+)
+def p09_first_exit(spark, sf):
+    """First exit of each entry over its ticks: stop before profit before trailing before time."""
+    s = V.ledger(spark, sf).where("close_time <= open_time + interval 24 hours").select("ticket", "symbol", "side", "price", "open_time", (F.col("open_time") + F.expr("interval 24 hours")).alias("until"))
+    j = A.within(V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), s, on="symbol", ts="ts", start="open_time", end="until", closed_end=True, width=6 * 3600).where("ts > open_time")
+    j = j.withColumn("move", F.when(F.col("side") == "Buy", F.col("bid") - F.col("price")).otherwise(F.col("price") - F.col("ask")))
+    j = j.withColumn("best", F.max("move").over(W.partitionBy("ticket").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)))
+    first = lambda c: F.min(F.when(F.expr(c), F.col("ts")))
+    e = j.groupBy("ticket").agg(first("move <= -20").alias("sl"), first("move >= 30").alias("tp"), first("best >= 10 and best - move >= 15").alias("tr"), first("ts >= open_time + interval 6 hours").alias("tm"))
+    t = F.least("sl", "tp", "tr", "tm")
+    return e.select("ticket", t.alias("exit_ts"), F.when(t.isNull(), "none").when(F.col("sl") == t, "stop_loss").when(F.col("tp") == t, "take_profit").when(F.col("tr") == t, "trailing").otherwise("time").alias("reason"))
+
+
+_POLICIES = [
+    P.Policy("up_tp", P.Threshold("ret", ">", 0.05), take_profit=10.0, stop_loss=15.0, max_seconds=6 * 3600, cooldown=3600),
+    P.Policy("down_trail", P.Threshold("ret", "<", -0.05), side="Sell", trail=8.0, trail_from=4.0, stop_loss=25.0, max_seconds=12 * 3600, delay=60),
+    P.Policy("busy_limit", P.And((P.Threshold("volume", ">", 3), P.Hours(6, 20))), limit=120.0, max_seconds=4 * 3600),
+]
+
+
+@query("p13_replay")
+def p13_replay(spark, sf):
+    """Stateful replay of policies against quotes."""
+    return P.replay(V.ticks(spark, sf), _features(spark, sf), _POLICIES, on="symbol")
+
+
+@query("p24_policy_scores")
+def p24_policy_scores(spark, sf):
+    """Each policy's trades matched to the ledger and ranked by F1, then description length."""
+    t = P.replay(V.ticks(spark, sf), _features(spark, sf), _POLICIES, on="symbol")
+    pred = t.select("policy", F.col("key").alias("symbol"), "side", F.concat_ws("-", "policy", "key", "trade_id").alias("p_id"), F.timestamp_micros("open_us").cast("timestamp_ntz").alias("p_ts"))
+    names = spark.createDataFrame([(p.name, P.description_bits(p.entry)) for p in _POLICIES], "policy string, bits int")
+    obs = V.ledger(spark, sf).select("symbol", "side", F.col("ticket").alias("o_id"), F.col("open_time").alias("o_ts")).crossJoin(F.broadcast(names.select("policy")))  # three policies
+    m = M.match_one_to_one(obs, pred, on=["policy", "symbol", "side"], tolerance=1800)
+    c = m.groupBy("policy").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("tp", "fp", "fn")])
+    f1 = F.expr("2d * tp / nullif(2 * tp + fp + fn, 0)")
+    s = c.join(names, "policy").join(P.signature(t), "policy", "left").withColumn("f1", r6(f1))
+    return s.withColumn("rank", F.row_number().over(W.orderBy(F.desc("f1"), "bits", "policy")))
+
+
+@query(
+    "p21_threshold_grid",
+    WITH + ", v AS (SELECT DISTINCT round(spread, 4) AS v FROM ticks), m AS (SELECT (v + lead(v) OVER (ORDER BY v)) / 2 AS th FROM v), g AS (SELECT round(th, 6) AS th FROM m WHERE th IS NOT NULL) SELECT th, op, round(g.th, 6) AS value, (SELECT count(*) FROM ticks t WHERE CASE WHEN op = '>' THEN round(t.spread, 4) > g.th ELSE round(t.spread, 4) <= g.th END) AS hits FROM g CROSS JOIN (VALUES ('>'), ('<=')) o(op)",
+)
+def p21_threshold_grid(spark, sf):
+    """Every realisable threshold in both directions with its number of hits, from one histogram."""
+    v = V.ticks(spark, sf).groupBy(F.round("spread", 4).alias("v")).agg(F.count("*").alias("n"))
+    w = W.orderBy("v")  # distinct rounded values
+    up = v.select("v", ((F.col("v") + F.lead("v").over(w)) / 2).alias("th"), F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("le"), F.sum("n").over(W.partitionBy()).alias("all")).where("th is not null")
+    g = up.select(r6("th").alias("th"), F.explode(F.array(F.struct(F.lit(">").alias("op"), (F.col("all") - F.col("le")).alias("hits")), F.struct(F.lit("<=").alias("op"), F.col("le").alias("hits")))).alias("x"))
+    return g.select("th", "x.op", F.col("th").alias("value"), "x.hits")
+
+
+@query(
+    "p27_region_search",
+    WITH + ", c AS (SELECT t.*, l.event_id IS NOT NULL AS y FROM ticks t LEFT JOIN ledger l ON t.event_id = l.event_id), q AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS p, unnest(quantile_cont(mid, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS th FROM c), r AS (SELECT p, th, count(*) FILTER (mid > th) AS n1, count(*) FILTER (mid > th AND y) AS y1, count(*) FILTER (mid <= th) AS n0, count(*) FILTER (mid <= th AND y) AS y0 FROM c CROSS JOIN q GROUP BY 1, 2), l AS (SELECT *, (y1 + 0.5) / (n1 + 1) AS r1, (y0 + 0.5) / (n0 + 1) AS r0, (y1 + y0 + 0.5) / (n1 + n0 + 1) AS r FROM r) SELECT round(p, 1) AS p, n1, y1, round(y1 * ln(r1) + (n1 - y1) * ln(1 - r1) + y0 * ln(r0) + (n0 - y0) * ln(1 - r0), 4) AS ll, round((y1 * ln(r1) + (n1 - y1) * ln(1 - r1) + y0 * ln(r0) + (n0 - y0) * ln(1 - r0) - ((y1 + y0) * ln(r) + (n1 + n0 - y1 - y0) * ln(1 - r))) / ln(2), 4) AS bits FROM l",
+)
+def p27_region_search(spark, sf):
+    """Two-region likelihood of threshold rules, all rules in one pass."""
+    led = V.ledger(spark, sf).select("event_id", F.lit(1).alias("y"))
+    c = V.ticks(spark, sf).join(led, "event_id", "left").select("mid", F.coalesce("y", F.lit(0)).alias("y"))
+    ps = [i / 10 for i in range(1, 10)]
+    q = c.agg(F.percentile("mid", F.array(*map(F.lit, ps))).alias("q")).select(F.posexplode("q").alias("i", "th")).withColumn("p", F.element_at(F.array(*map(F.lit, ps)), F.col("i") + 1))  # nine rows
+    hit = F.col("mid") > F.col("th")
+    g = c.join(F.broadcast(q)).groupBy("p", "th").agg(F.count_if(hit).alias("n1"), F.sum(F.when(hit, F.col("y")).otherwise(0)).alias("y1"), F.count_if(~hit).alias("n0"), F.sum(F.when(~hit, F.col("y")).otherwise(0)).alias("y0"))
+    g = g.withColumns({"r1": F.expr("(y1 + 0.5d) / (n1 + 1)"), "r0": F.expr("(y0 + 0.5d) / (n0 + 1)"), "r": F.expr("(y1 + y0 + 0.5d) / (n1 + n0 + 1)")})
+    ll = F.expr("y1 * ln(r1) + (n1 - y1) * ln(1 - r1) + y0 * ln(r0) + (n0 - y0) * ln(1 - r0)")
+    null = F.expr("(y1 + y0) * ln(r) + (n1 + n0 - y1 - y0) * ln(1 - r)")
+    return g.select(F.round("p", 1).alias("p"), "n1", "y1", F.round(ll, 4).alias("ll"), F.round((ll - null) / F.log(F.lit(2.0)), 4).alias("bits"))
+
+
+@query(
+    "p31_best_threshold",
+    WITH + ", c AS (SELECT t.symbol, round(t.mid, 0) AS s, l.event_id IS NOT NULL AS y FROM ticks t LEFT JOIN ledger l ON t.event_id = l.event_id), g AS (SELECT symbol, s, count(*) AS n, count(*) FILTER (y) AS y FROM c GROUP BY 1, 2), k AS (SELECT symbol, s, sum(n) OVER w AS signals, sum(y) OVER w AS tp, sum(y) OVER (PARTITION BY symbol) AS cases FROM g WINDOW w AS (PARTITION BY symbol ORDER BY s DESC)), f AS (SELECT *, 2.0 * tp / (signals + cases) AS f1 FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(f1, 12) DESC, s DESC) AS r FROM f) SELECT symbol, s AS threshold, CAST(signals AS BIGINT) AS signals, round(tp / nullif(cases, 0)::DOUBLE, 6) AS recall, round(f1, 6) AS f1 FROM r WHERE r = 1",
+)
+def p31_best_threshold(spark, sf):
+    """Threshold with the best F1; equal scores fall on one side together."""
+    led = V.ledger(spark, sf).select("event_id", F.lit(1).alias("y"))
+    g = V.ticks(spark, sf).join(led, "event_id", "left").groupBy("symbol", F.round("mid", 0).alias("s")).agg(F.count("*").alias("n"), F.count("y").alias("y"))
+    w = W.partitionBy("symbol").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    k = g.select("symbol", "s", F.sum("n").over(w).alias("signals"), F.sum("y").over(w).alias("tp"), F.sum("y").over(W.partitionBy("symbol")).alias("cases"))
+    k = k.withColumn("f1", F.expr("2d * tp / (signals + cases)"))
+    best = k.groupBy("symbol").agg(F.max(F.struct(F.round("f1", 12).alias("o"), "s", "signals", "tp", "cases", "f1")).alias("b"))
+    return best.select("symbol", F.col("b.s").alias("threshold"), "b.signals", r6(F.col("b.tp") / F.when(F.col("b.cases") != 0, F.col("b.cases"))).alias("recall"), r6("b.f1").alias("f1"))
+
+
+@query(
+    "p36_observation_grid",
+    WITH + ", p AS (SELECT unnest([0, 60, 300]) AS delay) SELECT CAST(delay AS INTEGER) AS delay, count(*) AS n, round(avg(t.ask - l.price), 6) AS mean_cost FROM p CROSS JOIN (SELECT *, epoch_us(open_time) AS us FROM ledger) l ASOF JOIN (SELECT symbol, epoch_us(ts) AS us, ask FROM ticks) t ON t.symbol = l.symbol AND l.us + delay * 1000000 <= t.us GROUP BY 1",
+)
+def p36_observation_grid(spark, sf):
+    """Cost of entering with a delay: the first quote at or after it."""
+    led = V.ledger(spark, sf).select("symbol", "price", "open_time", F.explode(F.array(F.lit(0), F.lit(60), F.lit(300))).alias("delay")).withColumn("at", F.col("open_time") + F.make_dt_interval(secs=F.col("delay")))
+    j = A.asof(led, V.ticks(spark, sf).select("symbol", "ts", "ask"), on="symbol", left_ts="at", right_ts="ts", take=["ask"], forward=True).where("ts is not null")
+    return j.groupBy("delay").agg(F.count("*").alias("n"), r6(F.avg(F.col("ask") - F.col("price"))).alias("mean_cost"))
+
+
+@query("p34_shift_placebo")
+def p34_shift_placebo(spark, sf):
+    """Matches within 30 minutes after shifting predictions around the sample, against the unshifted count."""
+    led = V.ledger(spark, sf).select("ticket", "symbol", "open_time")
+    pred = V.ticks(spark, sf).where("k % 10 = 7").select("event_id", "symbol", "ts")
+    start, span = 1704067200000000, 30 * 86400 * 1_000_000
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    moved = pred.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("p_ts", F.timestamp_micros(F.lit(start) + F.pmod(us - start + F.col("shift") * F.lit(span // 20), F.lit(span))).cast("timestamp_ntz"))
+    j = A.band(led, moved.drop("ts"), on=["symbol"], left_ts="open_time", right_ts="p_ts", seconds_=1800)
+    return j.groupBy("shift").agg(F.countDistinct("ticket").alias("matched"))
