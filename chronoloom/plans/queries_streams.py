@@ -1 +1,66 @@
-"""stub"""
+"""Streaming twins and stateful folds (SURVEY ST)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from chronoloom.plans import views as V
+from chronoloom.plans.views import WITH, r6
+from chronoloom.registry import query
+from chronoloom.streaming import jobs as J
+
+
+@query("st3_tumbling_bars", WITH + "SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars_1h")
+def st3_tumbling_bars(spark, sf):
+    """Hourly bars from the stream, with watermark (ST3)."""
+    b = J.drained(J.tumbling_bars(J.ticks(spark, sf), "1 hour"), "bars", ["symbol", "ts"])
+    return b.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *[r6(c).alias(c) for c in ("open", "high", "low", "close")], "volume")
+
+
+@query(
+    "st4_sliding_counts",
+    WITH + ", s AS (SELECT symbol, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') - to_hours(i) AS ts, mid FROM ticks CROSS JOIN (SELECT unnest([0, 1, 2]) AS i)) SELECT symbol, ts, count(*) AS n, round(avg(mid), 6) AS mean FROM s GROUP BY 1, 2",
+)
+def st4_sliding_counts(spark, sf):
+    """Three-hour windows every hour, from the stream (ST4)."""
+    b = J.drained(J.sliding_counts(J.ticks(spark, sf), "3 hours", "1 hour"), "sliding", ["symbol", "ts"])
+    return b.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "n", r6("mean").alias("mean"))
+
+
+@query("st1_carry_over", WITH + "SELECT event_id, count(*) OVER (PARTITION BY symbol ORDER BY epoch_us(ts) RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW) AS n FROM ticks")
+def st1_carry_over(spark, sf):
+    """Windows across batch borders from carried state (ST1, ST2)."""
+    return J.drained(J.carried_counts(J.ticks(spark, sf), 7200), "carry")
+
+
+@query("st5_armed_stream")
+def st5_armed_stream(spark, sf):
+    """Armed trigger on the stream (ST5, ST7)."""
+    return J.drained(J.armed_trigger(J.ticks(spark, sf), "mid > 150", 3600, 6 * 3600), "armed")
+
+
+@query("st5_armed_batch")
+def st5_armed_batch(spark, sf):
+    """The same fold in batch, for bounded data and tests."""
+    return J.armed_batch(V.ticks(spark, sf), "mid > 150", 3600, 6 * 3600)
+
+
+@query(
+    "st6_debounce",
+    WITH + ", x AS (SELECT event_id, symbol, ts, sign(mid - 130) AS s FROM ticks WHERE mid <> 130), p AS (SELECT *, lag(s) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS ps FROM x) SELECT event_id, symbol FROM p WHERE s > 0 AND coalesce(ps, -1) < 0",
+)
+def st6_debounce(spark, sf):
+    """A signal counts once until the sign flips: a lag over the non-zero signs (ST6)."""
+    w = W.partitionBy("symbol").orderBy("ts", "event_id")
+    x = V.ticks(spark, sf).where("mid <> 130").withColumn("s", F.signum(F.col("mid") - 130))
+    return x.withColumn("ps", F.lag("s").over(w)).where((F.col("s") > 0) & (F.coalesce("ps", F.lit(-1.0)) < 0)).select("event_id", "symbol")
+
+
+@query(
+    "st8_lockout",
+    WITH.replace("WITH ", "WITH RECURSIVE ", 1) + ", s AS (SELECT event_id, symbol, ts FROM ticks WHERE mid > 150), r AS (SELECT symbol, min(ts) AS ts FROM s GROUP BY 1 UNION ALL SELECT r.symbol, (SELECT min(s.ts) FROM s WHERE s.symbol = r.symbol AND s.ts >= r.ts + INTERVAL '12 hours') FROM r WHERE r.ts IS NOT NULL) SELECT s.event_id, s.symbol FROM s JOIN r ON s.symbol = r.symbol AND s.ts = r.ts",
+)
+def st8_lockout(spark, sf):
+    """Each signal taken locks out the next twelve hours (ST8)."""
+    return J.locked_out(V.ticks(spark, sf), "symbol", "mid > 150", 12 * 3600)
