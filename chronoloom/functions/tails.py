@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def gamma_upper(a: float, x: float) -> float:
@@ -41,16 +42,16 @@ def binomial_upper(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(log(i)) for i in range(k, n + 1)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)) if v == v else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([gamma_upper(d / 2, v / 2) if v == v else None for v, d in zip(x, df, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_sf(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_upper(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)])

@@ -40,7 +40,8 @@ def normalise_bar_columns(df: DataFrame) -> DataFrame:
 def read_bars(spark: SparkSession, path: str, *, sep: str = ",", shift_hours: int = 0) -> DataFrame:
     """Bars of a vendor's text file: rows with an unreadable time or price go, the last of equal times stays."""
     raw = normalise_bar_columns(spark.read.csv(path, header=True, sep=sep)).withColumn("_n", F.monotonically_increasing_id())
-    t = F.coalesce(*[F.expr(f"try_to_timestamp(regexp_replace(timestamp, '[./]', '-'), '{f}')") for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss")])
+    text = F.regexp_replace("timestamp", "[./]", "-")
+    t = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss")])
     num = lambda c: F.expr(f"try_cast({c} as double)").alias(c)
     b = raw.select((t.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(shift_hours))).alias("timestamp"), *[num(c) for c in ("open", "high", "low", "close", "volume")], "_n")
     b = b.na.drop(subset=["timestamp", "open", "high", "low", "close"])
