@@ -79,3 +79,60 @@ def mixture(ledger: DataFrame, k: int) -> DataFrame:
     x = VectorAssembler(inputCols=["d", "pnl"], outputCol="features").transform(d)
     m = GaussianMixture(k=k, seed=3, maxIter=20).fit(x)
     return m.transform(x).groupBy("prediction").agg(F.count("*").alias("n"), F.avg("d").alias("mean_log_duration"), F.avg("pnl").alias("mean_pnl"))
+
+
+def self_exciting(events: DataFrame, key: str, decay_per_second: float) -> DataFrame:
+    """Adds ``excitation``: the sum of exp(-decay * age) over the key's earlier events, an affine recurrence solved in blocks."""
+    from pyspark.sql import Window as W
+
+    from chronoloom.operators import series
+
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = W.partitionBy(key).orderBy("ts")
+    gap = (us - F.lag(us).over(w)) / 1e6
+    d = events.withColumn("_a", F.coalesce(F.exp(-decay_per_second * gap), F.lit(0.0)))
+    # y = a * (y + 1) with y before the first event 0: an event counts one at its own time and decays from there
+    return series.affine(d, key=key, order="ts", a=F.col("_a"), b=F.col("_a"), out="excitation").drop("_a")
+
+
+def robust_outliers(df: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
+    """The ``k`` rows per key furthest from the medians, by the largest robust z-score (stands in for an isolation forest)."""
+    from pyspark.sql import Window as W
+
+    med = df.groupBy(key).agg(*[F.percentile(x, F.lit(0.5)).alias(f"m_{x}") for x in features])
+    d = df.join(F.broadcast(med), key)  # a row per key
+    mad = d.groupBy(key).agg(*[F.percentile(F.abs(F.col(x) - F.col(f"m_{x}")), F.lit(0.5)).alias(f"d_{x}") for x in features])
+    z = [F.abs(F.col(x) - F.col(f"m_{x}")) / F.when(F.col(f"d_{x}") != 0, 1.4826 * F.col(f"d_{x}")) for x in features]
+    s = d.join(F.broadcast(mad), key).withColumn("score", F.greatest(*z, F.lit(0.0)))
+    return s.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), *df.columns[:1]))).where(F.col("r") <= k).select(*df.columns, "score", F.col("r").alias("rank"))
+
+
+def segments(daily: DataFrame, depth: int, least: int = 3) -> DataFrame:
+    """Recursive splits of a daily series where they explain most; each level is one windowed pass over all segments."""
+    from pyspark.sql import Window as W
+
+    d = daily.select("day", "x", F.lit(0).alias("seg"))
+    for level in range(depth):
+        p = W.partitionBy("seg")
+        w = p.orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+        s = d.withColumns({"i": F.count("*").over(w), "c": F.sum("x").over(w), "n": F.count("*").over(p), "t": F.sum("x").over(p)})
+        gain = F.when((F.col("i") >= least) & (F.col("n") - F.col("i") >= least), F.expr("c * c / i + (t - c) * (t - c) / (n - i) - t * t / n"))
+        s = s.withColumn("gain", gain).withColumn("cut", F.max(F.struct("gain", "i")).over(p)["i"]).withColumn("top", F.max("gain").over(p))
+        d = s.select("day", "x", F.when(F.col("top").isNotNull() & (F.col("i") > F.col("cut")), F.col("seg") + F.lit(1 << (depth - 1 - level))).otherwise(F.col("seg")).alias("seg"))
+    return d
+
+
+def ridge_folds(rows: DataFrame, folds: int = 3) -> DataFrame:
+    """Mean absolute error of ridge regression of the log holding time against the training median, per fold."""
+    from pyspark.ml.regression import LinearRegression
+
+    x = VectorAssembler(inputCols=["lot", "hs", "hc"], outputCol="features").transform(rows)
+    out = None
+    for i in range(folds):
+        cut = 12 + 6 * i
+        train, test = x.where(F.col("day") <= cut), x.where((F.col("day") > cut) & (F.col("day") <= cut + 6))
+        m = LinearRegression(labelCol="y", regParam=1.0, elasticNetParam=0.0).fit(train)
+        med = train.agg(F.percentile("y", F.lit(0.5)).alias("m")).first()["m"]
+        a = m.transform(test).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("mae"), F.avg(F.abs(F.col("y") - F.lit(med))).alias("mae_median")).select(F.lit(i).alias("fold"), "*")
+        out = a if out is None else out.unionByName(a)
+    return out

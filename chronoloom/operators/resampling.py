@@ -42,3 +42,35 @@ def permutation_difference(df: DataFrame, key: str, label: Column, x: str, row:
     obs = m.where("r = 0").select(key, F.col("d").alias("observed"))
     j = m.where("r > 0").join(obs, key)
     return j.groupBy(key).agg(F.max("observed").alias("difference"), ((1 + F.count_if(F.abs("d") >= F.abs("observed"))) / (1 + F.count("d"))).alias("p_value"))
+
+
+def power_curve(spark, sizes: list[int], effect: float, replicates: int) -> DataFrame:
+    """Share of replicates whose mean of n noisy gains exceeds 1.96 standard errors, per n; noise by hashed normal draws."""
+    grid = spark.createDataFrame([(n,) for n in sizes], "n int").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    z = F.sqrt(-2 * F.log(uniform(F.lit(1), "n", "r", "i"))) * F.cos(6.283185307179586 * uniform(F.lit(2), "n", "r", "i"))
+    g = grid.withColumn("x", z + effect).groupBy("n", "r").agg((F.avg("x") / (F.stddev_samp("x") / F.sqrt(F.count("x")))).alias("t"))
+    return g.groupBy("n").agg(F.avg((F.col("t") > 1.96).cast("int")).alias("power"))
+
+
+def weighted_sample(df: DataFrame, key: str, weight: str, row: str, n: int) -> DataFrame:
+    """``n`` rows per key without replacement with chances proportional to weight."""
+    from pyspark.sql import Window as W
+
+    draw = -F.log(uniform(F.lit(9), F.col(row))) / F.col(weight)
+    return df.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(draw, row))).where(F.col("r") <= n).drop("r")
+
+
+def burst_null(ticks: DataFrame, gap_seconds: int, replicates: int) -> DataFrame:
+    """Per symbol the mean number of bursts a day, and the share of random clocks with as few."""
+    from pyspark.sql import Window as W
+
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    day = 86_400_000_000
+    t = ticks.select("symbol", "event_id", F.floor(us / day).alias("day"), F.pmod(us, F.lit(day)).alias("at"))
+    r = t.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    r = r.withColumn("at", F.when(F.col("r") == 0, F.col("at")).otherwise((uniform("r", "event_id") * day).cast("long")))
+    w = W.partitionBy("symbol", "day", "r").orderBy("at", "event_id")
+    new = F.coalesce(F.col("at") - F.lag("at").over(w) > gap_seconds * 1_000_000, F.lit(True))
+    b = r.withColumn("new", new).groupBy("symbol", "r").agg((F.count_if("new") / F.countDistinct("day")).alias("b"))
+    obs = b.where("r = 0").select("symbol", F.col("b").alias("bursts_per_day"))
+    return b.where("r > 0").join(obs, "symbol").groupBy("symbol").agg(F.max("bursts_per_day").alias("bursts_per_day"), F.avg("b").alias("expected"), ((1 + F.count_if(F.col("b") <= F.col("bursts_per_day"))) / (1 + F.count("*"))).alias("p_value"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators import asof as A
 from chronoloom.operators import matching as M
 from chronoloom.operators import policy as P
+from chronoloom.operators import search as S
 from chronoloom.plans import views as V
 from chronoloom.plans.views import WITH, r6
 from chronoloom.registry import query
@@ -162,3 +163,56 @@ def p34_shift_placebo(spark, sf):
     moved = pred.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("p_ts", F.timestamp_micros(F.lit(start) + F.pmod(us - start + F.col("shift") * F.lit(span // 20), F.lit(span))).cast("timestamp_ntz"))
     j = A.band(led, moved.drop("ts"), on=["symbol"], left_ts="open_time", right_ts="p_ts", seconds_=1800)
     return j.groupBy("shift").agg(F.countDistinct("ticket").alias("matched"))
+
+
+@query("p23_beam_search")
+def p23_beam_search(spark, sf):
+    """Rules found by beam search over thresholds."""
+    led = V.ledger(spark, sf).select("event_id", F.lit(1).alias("y"))
+    rows = V.ticks(spark, sf).join(led, "event_id", "left").select("ts", "mid", "spread", F.col("k").cast("double").alias("k"), F.coalesce("y", F.lit(0)).alias("y"))
+    q = rows.agg(*[F.percentile(c, F.array(*map(F.lit, (0.1, 0.3, 0.5, 0.7, 0.9)))).alias(c) for c in ("mid", "spread", "k")]).first()  # five numbers a feature
+    leaves = S.enumerate_rules({c: list(q[c]) for c in ("mid", "spread", "k")}, 3)
+    found = S.beam(rows, leaves)
+    return spark.createDataFrame([(i, P.to_json(r), s, P.description_bits(r)) for i, (r, s) in enumerate(found)], "rank int, rule string, score double, bits int")
+
+
+@query("p26_planted_families")
+def p26_planted_families(spark, sf):
+    """Planted policies replayed; equal behaviour makes a class."""
+    trades = P.replay(V.ticks(spark, sf), _features(spark, sf), S.planted("threshold_twin"), on="symbol")
+    return S.equivalence_classes(P.signature(trades))
+
+
+@query("p33_casebook")
+def p33_casebook(spark, sf):
+    """First misses of the matching, three per symbol."""
+    obs = V.ledger(spark, sf).select("symbol", "side", F.col("ticket").alias("o_id"), F.col("open_time").alias("o_ts"))
+    pred = V.ticks(spark, sf).where("k % 10 = 7").select("symbol", F.when(F.col("user_id") % 2 == 0, "Buy").otherwise("Sell").alias("side"), F.col("event_id").cast("string").alias("p_id"), F.col("ts").alias("p_ts"))
+    return S.divergences(M.match_one_to_one(obs, pred, on=["symbol", "side"], tolerance=1800), "fn", 3, ["symbol"], F.col("o_id"))
+
+
+@query(
+    "p27_rule_scores",
+    WITH + ", c AS (SELECT t.*, CASE WHEN l.event_id IS NOT NULL THEN 1 ELSE 0 END AS y FROM ticks t LEFT JOIN ledger l ON t.event_id = l.event_id) SELECT CAST(r AS INTEGER) AS rule, count(*) FILTER (CASE r WHEN 0 THEN mid > 150 WHEN 1 THEN spread <= 0.05 ELSE mid > 150 AND spread <= 0.05 END) AS n1, coalesce(sum(y) FILTER (CASE r WHEN 0 THEN mid > 150 WHEN 1 THEN spread <= 0.05 ELSE mid > 150 AND spread <= 0.05 END), 0)::BIGINT AS y1, sum(y)::BIGINT AS cases, count(*) AS n FROM c CROSS JOIN (SELECT unnest([0, 1, 2]) AS r) GROUP BY r",
+)
+def p27_rule_scores(spark, sf):
+    """Counts of a rule list in one pass."""
+    led = V.ledger(spark, sf).select("event_id", F.lit(1).alias("y"))
+    rows = V.ticks(spark, sf).join(led, "event_id", "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    a, b = P.Threshold("mid", ">", 150), P.Threshold("spread", "<=", 0.05)
+    return S.score_rules(rows, [a, b, P.And((a, b))]).select("rule", "n1", "y1", "cases", "n")
+
+
+@query(
+    "p18_exit_grid",
+    WITH + _EXIT + ", g AS (SELECT unnest([5.0, 10.0, 20.0, 40.0]) AS sl), e AS (SELECT g.sl, m.ticket, min(CASE WHEN move <= -sl THEN ts END) AS t_sl, min(CASE WHEN move >= 2 * sl THEN ts END) AS t_tp FROM m CROSS JOIN g GROUP BY 1, 2) SELECT sl, count(*) AS trades, count(*) FILTER (t_sl IS NOT NULL AND (t_tp IS NULL OR t_sl <= t_tp)) AS stopped, count(*) FILTER (t_tp IS NOT NULL AND (t_sl IS NULL OR t_tp < t_sl)) AS profits FROM e GROUP BY 1",
+)
+def p18_exit_grid(spark, sf):
+    """Barrier pairs over all paths: first hits per parameter as conditional minima, the adverse side first at ties."""
+    s = V.ledger(spark, sf).where("close_time <= open_time + interval 24 hours").select("ticket", "symbol", "side", "price", "open_time", (F.col("open_time") + F.expr("interval 24 hours")).alias("until"))
+    j = A.within(V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), s, on="symbol", ts="ts", start="open_time", end="until", closed_end=True, width=6 * 3600).where("ts > open_time")
+    j = j.withColumn("move", F.when(F.col("side") == "Buy", F.col("bid") - F.col("price")).otherwise(F.col("price") - F.col("ask")))
+    sls = (5.0, 10.0, 20.0, 40.0)
+    e = j.groupBy("ticket").agg(*[x for i, sl in enumerate(sls) for x in (F.min(F.when(F.col("move") <= -sl, F.col("ts"))).alias(f"s{i}"), F.min(F.when(F.col("move") >= 2 * sl, F.col("ts"))).alias(f"p{i}"))])
+    x = e.select(F.explode(F.array(*[F.struct(F.lit(sl).alias("sl"), F.col(f"s{i}").alias("s"), F.col(f"p{i}").alias("p")) for i, sl in enumerate(sls)])).alias("x")).select("x.*")
+    return x.groupBy("sl").agg(F.count("*").alias("trades"), F.count_if(F.expr("s is not null and (p is null or s <= p)")).alias("stopped"), F.count_if(F.expr("p is not null and (s is null or p < s)")).alias("profits"))

@@ -268,3 +268,66 @@ def m07_poisson_clock(spark, sf):
 def m11_mixture(spark, sf):
     """Gaussian mixture of log durations and results."""
     return M.mixture(V.ledger(spark, sf), 2)
+
+
+@query(
+    "m03_self_exciting",
+    WITH.replace("WITH ", "WITH RECURSIVE ", 1) + ", n AS (SELECT symbol, event_id, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM ticks WHERE ts < TIMESTAMP '2024-01-04'), e AS (SELECT symbol, event_id, ts, i, 0.0::DOUBLE AS y FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.event_id, n.ts, n.i, (e.y + 1) * exp(-0.0005 * (epoch_us(n.ts) - epoch_us(e.ts)) / 1e6) FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1) SELECT event_id, round(y, 6) AS excitation FROM e",
+)
+def m03_self_exciting(spark, sf):
+    """Decaying excitation by earlier events, the state of self-exciting models (M03). The window of days is the SQL's, which recurses row by row."""
+    t = V.ticks(spark, sf).where("ts < timestamp_ntz'2024-01-04 00:00:00'")
+    return M.self_exciting(t.select("event_id", "symbol", "ts"), "symbol", 0.0005).select("event_id", r6("excitation").alias("excitation"))
+
+
+@query("m12_outliers")
+def m12_outliers(spark, sf):
+    """Fifteen most unusual trades per symbol by robust z-scores."""
+    led = V.ledger(spark, sf).select("ticket", "symbol", "pnl", F.log((F.unix_micros(F.col("close_time").cast("timestamp")) - F.unix_micros(F.col("open_time").cast("timestamp"))) / 1e6).alias("d"))
+    return M.robust_outliers(led, "symbol", ["pnl", "d"], 15)
+
+
+@query("m13_segments")
+def m13_segments(spark, sf):
+    """Change points of the daily result by recursive splits."""
+    daily = V.ledger(spark, sf).groupBy(F.to_date("open_time").alias("day")).agg(F.avg("pnl").alias("x"))
+    return M.segments(daily, 3)
+
+
+@query("m18_holding_ridge")
+def m18_holding_ridge(spark, sf):
+    """Ridge regression of the log holding time on expanding folds."""
+    h = F.hour("open_time") * 0.2617993877991494
+    y = F.log((F.unix_micros(F.col("close_time").cast("timestamp")) - F.unix_micros(F.col("open_time").cast("timestamp"))) / 1e6)
+    return M.ridge_folds(V.ledger(spark, sf).select(y.alias("y"), "lot", F.sin(h).alias("hs"), F.cos(h).alias("hc"), F.dayofmonth("open_time").alias("day")))
+
+
+@query("m21_power_curve")
+def m21_power_curve(spark, sf):
+    """Share of replicates in which a planted effect passes, by sample size."""
+    return R.power_curve(spark, [50, 100, 200, 400, 800], 0.15, 200)
+
+
+@query("sm2_weighted_sample")
+def sm2_weighted_sample(spark, sf):
+    """Fifty trades per symbol without replacement, chances by size: exponential keys by hash (SM2)."""
+    return R.weighted_sample(V.ledger(spark, sf).select("ticket", "symbol", "lot"), "symbol", "lot", "ticket", 50)
+
+
+@query(
+    "sm1_downsample",
+    WITH + ", c AS (SELECT symbol, count(*) AS n FROM ledger GROUP BY 1), r AS (SELECT t.symbol, t.event_id, row_number() OVER (PARTITION BY t.symbol ORDER BY md5(concat('5:', t.event_id))) AS r FROM ticks t WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.event_id = t.event_id)) SELECT r.symbol, r.event_id FROM r JOIN c ON c.symbol = r.symbol WHERE r.r <= greatest(2 * c.n, 20)",
+)
+def sm1_downsample(spark, sf):
+    """Controls thinned to twice the cases, at least twenty, by hash order: the operator is a sample (SM1)."""
+    led = V.ledger(spark, sf)
+    n = led.groupBy("symbol").agg(F.greatest(2 * F.count("*"), F.lit(20)).alias("most"))
+    t = V.ticks(spark, sf).join(led.select("event_id"), "event_id", "left_anti").select("symbol", "event_id")
+    r = F.row_number().over(W.partitionBy("symbol").orderBy(F.md5(F.concat(F.lit("5:"), F.col("event_id").cast("string")))))
+    return t.withColumn("r", r).join(F.broadcast(n), "symbol").where("r <= most").select("symbol", "event_id")
+
+
+@query("h16_burst_null")
+def h16_burst_null(spark, sf):
+    """Bursts per day against random clocks of the same counts."""
+    return R.burst_null(V.ticks(spark, sf), 1800, 50)
