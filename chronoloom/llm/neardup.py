@@ -7,10 +7,12 @@ shares ``MATCHES`` pairs at least, and (prefix) one of the rarest 64 - MATCHES +
 posted: what many texts have in common is skipped, and a class with fewer than ``MATCHES`` shared pairs is posted
 nowhere.
 
-A short posting list gives all of its pairs. A long one, a group of many near copies, gives only links to a few pivots;
-after these are confirmed, lists whose classes all fell in one component are done. In the other long lists every class
-outside the main component is compared with all members, in blocks, by signatures and then by sets. So no pair of
-different texts is lost, and no list is ever expanded into all pairs.
+A short posting list gives all of its pairs, kept if they agree in ``MATCHES`` coordinates; a long one, a group of many
+near copies, only ties its classes together. What hangs together is a group of candidates. Only now are the shingle
+sets made again, for these classes alone, and brought together by group. A group that fits a block is settled there: by
+signatures, then by sets, skipping what is linked already. A larger group is cut in blocks, tied by a few pivots that
+visit all of them; then every class outside the main component visits every block. So no pair of different texts is
+lost, and no list or group is ever expanded into all pairs.
 
 Pairs are confirmed on the full sets. Components of the links come from label propagation with pointer jumping.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import written
+from chronoloom.llm.common import slices, written
 from chronoloom.llm.fingerprints import _mixed, _powers
 
 SHINGLE = 5
@@ -35,6 +37,8 @@ MATCHES = 26
 LONG_LIST = 16
 PIVOTS = 4
 BLOCK = 1024
+#: Row numbers of candidates are broadcast up to so many (8 bytes each) and joined by shuffle beyond.
+BROADCAST_ROWS = 2_000_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -85,16 +89,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols: list[list] = [[], [], [], []]
-        for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        cols: list[list] = [[], [], []]
+        for text in batch.column(2).to_pylist():
             s = shingles(text)
-            row = (len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).astype("<i4").tobytes() if len(s) else b"", pack(s))
+            row = (len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).astype("<i4").tobytes() if len(s) else b"")
             for c, x in zip(cols, row, strict=True):
                 c.append(x)
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("row_no")), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "row_no", "n_shingles", "set_hash", "sig", "set"])
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "row_no", "n_shingles", "set_hash", "sig"])
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        made = [shingles(t) for t in batch.column(2).to_pylist()]
+        sigs = [signature(s).astype("<i4").tobytes() for s in made]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in made], pa.int64()), pa.array(sigs, pa.binary()), pa.array([pack(s) for s in made], pa.binary())], names=["grp", "cls", "n", "sig", "set"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -111,48 +122,84 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of candidate pairs (a < b) those that agree in MATCHES coordinates and whose sets are similar."""
+def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of candidate pairs those of fitting sizes that agree in MATCHES coordinates. One byte of each coordinate is compared: that can only let more through."""
+
+    @F.pandas_udf("binary")
+    def low_bytes(sig: pd.Series) -> pd.Series:
+        return pd.Series([x[::4] for x in sig])
 
     @F.pandas_udf("int")
     def agreements(x: pd.Series, y: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(v), dtype="<i4").reshape(-1, COORDINATES) for v in (x, y))
+        a, b = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(-1, COORDINATES) for v in (x, y))
         return pd.Series((a == b).sum(axis=1).astype(np.int32))
 
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similar(unpack(a), unpack(b)) for a, b in zip(x, y, strict=True)], dtype=bool)
-
-    sig = lambda side: classes.select(F.col("cls").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("n").alias(f"n_{side}"))
-    some = pairs.join(sig("a"), "a").join(sig("b"), "b")
-    # sets of such different sizes cannot be similar
-    some = some.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75) & (agreements("sig_a", "sig_b") >= MATCHES))
-    some = written(some.select("a", "b"), "agreeing")
-    part = lambda side: classes.select(F.col("cls").alias(side), F.col("set").alias(f"set_{side}"))
-    return some.join(part("a"), "a").join(part("b"), "b").where(alike("set_a", "set_b")).select("a", "b")
+    small = classes.select("cls", "n", low_bytes("sig").alias("sig"))
+    side = lambda x: small.select(F.col("cls").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
+    some = pairs.join(side("a"), "a").join(side("b"), "b")
+    # sets of too different sizes cannot be similar
+    return some.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75) & (agreements("sig_a", "sig_b") >= MATCHES)).select("a", "b")
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Links between the visitors of a block and its residents: one per visitor and component of the residents."""
-    home = group[~group.visitor]
-    sigs, comps, sets = np.frombuffer(b"".join(home.sig), dtype="<i4").reshape(-1, COORDINATES), home.comp.to_numpy(), list(home.set)
-    ids, n = home.cls.to_numpy(), home.n.to_numpy()
+def _settle(group: pd.DataFrame) -> pd.DataFrame:
+    """Links (a < b) in a block: among its residents, and of visitors to them; enough to tie all that are similar."""
+    home = group[~group.visitor].sort_values("cls")
+    sigs = np.frombuffer(b"".join(home.sig), dtype="<i4").reshape(-1, COORDINATES)
+    ids, n, sets = home.cls.to_numpy(), home.n.to_numpy(), list(home.set)
     known: dict[int, np.ndarray] = {}
+    top = dict(zip(home.cls.tolist(), home.comp.tolist(), strict=True))  # component so far
     out = []
-    for v in group[group.visitor].itertuples():
-        agree = (sigs == np.frombuffer(v.sig, dtype="<i4")).sum(axis=1) >= MATCHES
-        agree &= (comps != v.comp) & (np.minimum(n, v.n) * 100 >= np.maximum(n, v.n) * 75)
-        own, done = unpack(v.set), set()
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]] if top[x] in top else top[x]
+            x = top[x]
+        return x
+
+    def visit(cls: int, size: int, sig: np.ndarray, own: np.ndarray, among: slice) -> None:
+        agree = ((sigs[among] == sig).sum(axis=1) >= MATCHES) & (np.minimum(n[among], size) * 100 >= np.maximum(n[among], size) * 75)
         for i in np.flatnonzero(agree).tolist():
-            if comps[i] not in done:
+            if find(cls) != find(int(ids[i])):
                 if i not in known:
                     known[i] = unpack(sets[i])
                 if similar(own, known[i]):
-                    done.add(comps[i])
-                    out.append((min(v.cls, ids[i]), max(v.cls, ids[i])))
+                    top[find(cls)] = find(int(ids[i]))
+                    out.append((min(cls, int(ids[i])), max(cls, int(ids[i]))))
+
+    if home.fresh.all():
+        for k in range(1, len(home)):
+            known[k] = unpack(sets[k])
+            visit(int(ids[k]), int(n[k]), sigs[k], known[k], slice(0, k))
+    for v in group[group.visitor].itertuples():
+        top.setdefault(v.cls, v.comp)
+        visit(int(v.cls), int(v.n), np.frombuffer(v.sig, dtype="<i4"), unpack(v.set), slice(None))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _links(members: DataFrame) -> DataFrame:
+    """Confirmed links among ``members`` (grp, cls, n, sig, set): every pair of a group that is similar ends in one component."""
+    size = members.groupBy("grp").agg(F.count("*").alias("size"), *[F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
+    sized = members.join(size.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "grp")
+    cols = ["grp", "block", "visitor", "fresh", "comp", "cls", "n", "sig", "set"]
+    own_block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    new = sized.withColumns({"fresh": F.lit(True), "comp": F.col("cls")})
+    home = new.withColumns({"block": own_block, "visitor": F.lit(False)})
+    pivots = new.where((F.col("blocks") > 1) & F.col("cls").isin(*[F.col(f"p{i}") for i in range(PIVOTS)])).withColumns({"block": every_block, "visitor": F.lit(True)})
+    first = written(home.select(cols).union(pivots.select(cols)).groupBy("grp", "block").applyInPandas(_settle, "a long, b long"), "links")
+    large = sized.where(F.col("blocks") > 1)
+    if first.isEmpty() or large.isEmpty():
+        return first
+    labels = components(first)
+    placed = large.join(labels, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "cls")).drop("label", "node")
+    part = placed.groupBy("grp", "comp").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = placed.join(part, "grp").withColumn("fresh", F.lit(False))
+    home = open_.withColumns({"block": own_block, "visitor": F.lit(False)})
+    guests = open_.where("comp <> main").withColumns({"block": every_block, "visitor": F.lit(True)})
+    more = home.select(cols).union(guests.select(cols)).groupBy("grp", "block").applyInPandas(_settle, "a long, b long")
+    return first.union(written(more.distinct(), "more"))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, row_no, n_shingles, component_id, kept.
 
@@ -162,38 +209,30 @@ def link(docs: DataFrame) -> DataFrame:
     says that doc_id equals it (null to null). ``row_no`` numbers the rows of the input. An empty table gives no rows.
     """
     numbered = docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id())
-    rows = written(numbered.mapInArrow(_sets, "doc_id long, row_no long, n_shingles long, set_hash binary, sig binary, set binary"), "sets")
+    rows = written(numbered.select("doc_id", "row_no", "text").mapInArrow(_signed, "doc_id long, row_no long, n_shingles long, set_hash binary, sig binary"), "signatures")
     merged = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("row_no").alias("cls"), F.min("doc_id").alias("low"))
     merged = written(merged, "classes")
-    classes = rows.select(F.col("row_no").alias("cls"), F.col("n_shingles").alias("n"), "sig", "set").join(merged.select("cls"), "cls")
+    classes = rows.select(F.col("row_no").alias("cls"), F.col("n_shingles").alias("n"), "sig").join(merged.select("cls"), "cls")
 
     @F.pandas_udf("array<long>")
     def tokens(sig: pd.Series) -> pd.Series:
         a = np.frombuffer(b"".join(sig), dtype="<u4").reshape(-1, COORDINATES).astype(np.int64)
         return pd.Series(list(a | (np.arange(COORDINATES, dtype=np.int64) << 32)))
 
-    posts = rows.select(F.col("row_no").alias("cls"), "sig").join(merged.select("cls"), "cls").select("cls", F.explode(tokens("sig")).alias("token"))
+    posts = classes.select("cls", F.explode(tokens("sig")).alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("f")).where(F.col("f") > 1)
     own = posts.join(shared, "token").groupBy("cls").agg(F.collect_list(F.struct("f", "token")).alias("t")).where(F.size("t") >= MATCHES)
     prefix = own.select("cls", F.explode(F.slice(F.sort_array("t"), F.lit(1), F.size("t") - (MATCHES - 1))).alias("t")).select("cls", "t.token")
     prefix = written(prefix, "postings")
-    lists = prefix.groupBy("token").agg(F.count("*").alias("size"), *[F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]).where(F.col("size") > 1)
-    lists = written(lists, "lists")
+    lists = written(prefix.groupBy("token").agg(F.count("*").alias("size"), F.min("cls").alias("first")).where(F.col("size") > 1), "lists")
     short = prefix.join(lists.where(F.col("size") <= LONG_LIST).select("token"), "token").groupBy("token").agg(F.sort_array(F.collect_list("cls")).alias("c"))
-    short = short.select(F.posexplode("c").alias("i", "a"), "c").select("a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b"))
-    long = lists.where(F.col("size") > LONG_LIST)
-    star = prefix.join(long, "token").select("cls", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).where("cls <> p")
-    star = star.select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
-    links = written(_confirm(short.union(star).distinct(), classes), "links")
+    short = short.select(F.posexplode("c").alias("i", "a"), "c").select("a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b")).distinct()
+    tied = prefix.join(lists.where(F.col("size") > LONG_LIST), "token").where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
+    groups = components(_agreeing(short, classes).union(tied)).select(F.col("node").alias("row_no"), F.col("label").alias("grp"))
+    few = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    texts = numbered.select("row_no", "text").join(few, "row_no").select("grp", F.col("row_no").alias("cls"), "text")
+    links = _links(written(texts.mapInArrow(_with_sets, "grp long, cls long, n long, sig binary, set binary"), "members"))
     labels = components(links)
-    # long lists that lie in several components
-    placed = prefix.join(long.select("token"), "token").join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("label", "cls").alias("comp"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    mixed = written(mixed, "mixed")
-    if not mixed.isEmpty():
-        more = written(_exhaust(placed, mixed, classes), "more")
-        if not more.isEmpty():
-            labels = components(links.union(more))
     named = merged.join(labels, F.col("cls") == F.col("node"), "left").select("set_hash", "low", F.coalesce("label", "cls").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = written(named.join(lowest, "comp").select("set_hash", "component_id"), "components")
@@ -202,23 +241,6 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "row_no", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _exhaust(placed: DataFrame, mixed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links that cross components within long lists: every class outside its list group's main component against all members."""
-    members = placed.join(mixed.select("token", F.col("low").alias("first")), "token")
-    # lists that share components are searched as one group, so that a pair is compared once
-    joined = written(members.where("comp <> first").select(F.col("comp").alias("a"), F.col("first").alias("b")).distinct(), "touching")
-    group = components(joined)
-    part = members.select("cls", "comp").distinct().join(group, F.col("comp") == F.col("node")).select("cls", "comp", F.col("label").alias("grp"))
-    part = written(part, "members")
-    sizes = part.groupBy("grp", "comp").agg(F.count("*").alias("k"))
-    total = sizes.groupBy("grp").agg(F.sum("k").alias("size"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    full = part.join(total, "grp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).join(classes, "cls")
-    home = full.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("visitor", F.lit(False))
-    guests = full.where("comp <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visitor", F.lit(True))
-    cols = ["grp", "block", "visitor", "cls", "comp", "n", "sig", "set"]
-    return home.select(cols).union(guests.select(cols)).groupBy("grp", "block").applyInPandas(_across, "a long, b long").distinct()
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one row left of every component, all columns as they are.
 
