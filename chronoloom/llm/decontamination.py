@@ -26,7 +26,8 @@ BROADCAST_ROWS = 1_000_000
 
 def words_of(text: Column) -> Column:
     """Lower-case words without ASCII punctuation and blanks; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1), F.array().cast("array<string>"))
+    parts = F.split(F.lower(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
 
 
 def _seeds(words: Column) -> Column:

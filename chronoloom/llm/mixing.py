@@ -123,8 +123,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float, total: flo
     return t.select("src", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("level") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, total: float = 1.0, block_words: int = 2048, shards: int = 64, buckets: int = 1024, seed: int = 17) -> DataFrame:
-    """The mix's plan: each input row as struct ``row`` with ``size``, ``source_size``, ``target``, ``taken`` and ``copies``.
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, total: float = 1.0, block_words: int = 2048, shards: int = 64, buckets: int = 1024, seed: int = 17, carry: list[str] | None = None) -> DataFrame:
+    """The mix's plan: each input row (or its columns ``carry``, doc_id among them) as struct ``row`` with ``size``, ``source_size``, ``target``, ``taken`` and ``copies``.
 
     ``copies`` lists, for every time the document is taken, the shard, the place in it (``place``, to sort by) and the
     words taken: all of them but for the one document of a source in which its target ends. The input needs columns
@@ -136,7 +136,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: f
     size; rows equal in all of these are alike in all that is decided here.
     """
     src = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    base = docs.select(F.struct("*").alias("row"), src.alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    base = docs.select(F.struct(*(carry or ["*"])).alias("row"), src.alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     base = base.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     sums = base.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     source = targets(sums.groupBy("src").agg(F.sum("words").alias("source_size")), weights, cap, total)
@@ -186,4 +186,4 @@ def materialize(plan: DataFrame, shards: int = 64) -> DataFrame:
 def op1_mix(spark, sf_dir: str) -> DataFrame:
     """Mix of all documents: doc_id, size, source_size, target, taken and the shards of the copies."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("row.doc_id", "size", "source_size", "target", "taken", F.col("copies.shard").alias("shards"))
+    return mix(docs, carry=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken", F.col("copies.shard").alias("shards"))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chronoloom.llm.automaton import Automaton, compile_rules
+from chronoloom.llm.common import slices
 
 #: Rule, pattern (letters of the keywords in either case), and least length of a match.
 KEYWORDS = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -180,7 +181,7 @@ def find(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _ready()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             found = dict(scanner.scan(_texts(batch)))
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in found.get(i, [])] for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(spans, kind)], names=["doc_id", "spans"])
@@ -197,7 +198,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _ready()
-        for batch in batches:
+        for batch in slices(batches):
             found = dict(scanner.scan(_texts(batch)))
             if found:
                 at = batch.schema.get_field_index("text")
@@ -226,7 +227,7 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [[(x["kind"], x["start"], x["end"]) for x in r] for r in batch.column(1).to_pylist()]
             base = [[x for x in r if x[0] in BASE] for r in rows]
             counts = [pa.array([sum(x[0] == k for x in r) for r in base], pa.int64()) for k in BASE]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import partitions, written
+from chronoloom.llm.common import partitions, slices, written
 from chronoloom.llm.fingerprints import _P, _Q, _mixed
 
 LENGTH = 400
@@ -76,7 +76,7 @@ def _around(raw: bytes, p: int) -> tuple[int, int]:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["gram", "around", "row_no", "place"]
-    for batch in batches:
+    for batch in slices(batches):
         out: list[list[np.ndarray]] = [[], [], [], []]
         for row_no, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
@@ -283,7 +283,7 @@ def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             by.setdefault(int.from_bytes(s[0][:8], "big") * buckets >> 64, []).append(s)
         return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([encode(r) for r in by.values()], pa.binary())], names=["bucket", "run"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for row_no, text, places, grams in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for p, g in zip(places, grams, strict=True):
@@ -313,7 +313,7 @@ def _merged(table: pa.Table) -> pa.Table:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         cols: list[list] = [[] for _ in range(6)]
         for doc_id, text, begins, ends in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")

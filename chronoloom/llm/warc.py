@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import shared_dir, written
+from chronoloom.llm.common import shared_dir, slices, written
 
 #: Fixed value: payloads below this many bytes are never revisits.
 LEAST_BYTES = 100
@@ -103,7 +103,7 @@ def write(pages: DataFrame, name: str = "warc") -> DataFrame:
         files.create_dir(root, recursive=True)
         task = TaskContext.get()
         out, path, place, n = None, "", 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             index: list[tuple] = []
             for i in range(batch.num_rows):
                 row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
@@ -196,7 +196,7 @@ def read(index: DataFrame, payload: bool = True) -> DataFrame:
     stretch = index.groupBy("archive", F.floor(F.col("place") / STRETCH).alias("part")).agg(F.sort_array(F.collect_list("place")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for path, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
                 held = 0
