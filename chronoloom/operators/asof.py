@@ -28,13 +28,11 @@ def asof(left: DataFrame, right: DataFrame, *, on: str, left_ts: str, right_ts:
     # at equal times the right row must stand where the direction and ``exact`` want it
     right_first = exact != forward
     tag = F.when(F.col("_row").isNull(), 0 if right_first else 1).otherwise(1 if right_first else 0)
-    w = W.partitionBy("_on").orderBy("_ts", "_tag")
+    # forwards means backwards along the descending order: a growing frame is read once, a shrinking one again and again
+    order = [F.desc("_ts"), F.desc("_tag")] if forward else [F.asc("_ts"), F.asc("_tag")]
+    w = W.partitionBy("_on").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     u = l.unionByName(r).withColumn("_tag", tag)
-    if forward:
-        hit = F.first("_hit", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    else:
-        hit = F.last("_hit", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    u = u.withColumn("_hit", hit).where(F.col("_row").isNotNull())
+    u = u.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
     if tolerance is not None:
         u = u.withColumn("_hit", F.when(F.abs(seconds(F.col("_ts"), F.col(f"_hit.{right_ts}"))) <= tolerance, F.col("_hit")))
     return u.select("_row.*", *[F.col(f"_hit.{c}").alias(n) for c, n in zip([right_ts, *take], names, strict=True)])

@@ -65,31 +65,44 @@ def match_one_to_one(observed: DataFrame, predicted: DataFrame, *, on: list[str]
     cut = o.unionByName(p).withColumn("us", micros).withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(w))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf.o_id.notna()].sort_values(["us", "o_id"])
-        b = pdf[pdf.p_id.notna()].sort_values(["us", "p_id"])
-        d = np.abs(a.us.to_numpy()[:, None] - b.us.to_numpy()[None, :]) / 1e6
-        pairs: list[tuple[int, int]] = []
-        if d.size and greedy:
-            left = np.ones(d.shape[1], dtype=bool)
-            for i in range(d.shape[0]):
-                row = np.where(left, d[i], np.inf)
-                j = int(row.argmin())
-                if row[j] <= tolerance:
-                    pairs.append((i, j))
-                    left[j] = False
-        elif d.size:
-            far = (tolerance + 1) * (min(d.shape) + 1)
-            c = np.where(d <= tolerance, d, far)
-            got = assignment(c) if d.shape[0] <= d.shape[1] else [(i, j) for j, i in assignment(c.T)]
-            pairs = [(i, j) for i, j in got if d[i, j] <= tolerance]
-        key = {k: pdf[k].iloc[0] for k in on}
-        rows = [{**key, "status": "tp", "o_id": a.o_id.iloc[i], "p_id": b.p_id.iloc[j], "seconds": float(d[i, j])} for i, j in pairs]
-        rows += [{**key, "status": "fn", "o_id": a.o_id.iloc[i], "p_id": None, "seconds": None} for i in sorted(set(range(len(a))) - {i for i, _ in pairs})]
-        rows += [{**key, "status": "fp", "o_id": None, "p_id": b.p_id.iloc[j], "seconds": None} for j in sorted(set(range(len(b))) - {j for _, j in pairs})]
-        return pd.DataFrame(rows, columns=[*on, "status", "o_id", "p_id", "seconds"])
+        pdf = pdf.sort_values(["stretch", "us"], kind="stable")
+        o_ids, p_ids, us = pdf.o_id.to_numpy(dtype=object), pdf.p_id.to_numpy(dtype=object), pdf.us.to_numpy()
+        edges = np.flatnonzero(np.diff(pdf.stretch.to_numpy(), prepend=-1, append=-1))
+        seen = np.array([x is not None for x in o_ids], dtype=bool)
+        rows: list[tuple] = []
+        for s, e in zip(edges, edges[1:]):
+            a, b = s + np.flatnonzero(seen[s:e]), s + np.flatnonzero(~seen[s:e])
+            pairs = _pairs(np.abs(us[a][:, None] - us[b][None, :]) / 1e6, tolerance, greedy)
+            rows += [("tp", o_ids[a[i]], p_ids[b[j]], abs(int(us[a[i]] - us[b[j]])) / 1e6) for i, j in pairs]
+            rows += [("fn", o_ids[a[i]], None, None) for i in sorted(set(range(len(a))) - {i for i, _ in pairs})]
+            rows += [("fp", None, p_ids[b[j]], None) for j in sorted(set(range(len(b))) - {j for _, j in pairs})]
+        out = pd.DataFrame(rows, columns=["status", "o_id", "p_id", "seconds"])
+        for i, k in enumerate(on):
+            out.insert(i, k, pdf[k].iloc[0])
+        return out
 
     keys = ", ".join(f"{k} {observed.schema[k].dataType.simpleString()}" for k in on)
-    return cut.groupBy(*on, "stretch").applyInPandas(solve, f"{keys}, status string, o_id string, p_id string, seconds double")
+    return cut.groupBy(*on, F.floor(F.col("stretch") / 256)).applyInPandas(solve, f"{keys}, status string, o_id string, p_id string, seconds double")
+
+
+def _pairs(d: np.ndarray, tolerance: float, greedy: bool) -> list[tuple[int, int]]:
+    if not d.size:
+        return []
+    if greedy:
+        left, pairs = np.ones(d.shape[1], dtype=bool), []
+        for i in range(d.shape[0]):
+            row = np.where(left, d[i], np.inf)
+            j = int(row.argmin())
+            if row[j] <= tolerance:
+                pairs.append((i, j))
+                left[j] = False
+        return pairs
+    if d.shape[0] == 1 or d.shape[1] == 1:
+        j = int(d.argmin())
+        return [(0, j) if d.shape[0] == 1 else (j, 0)] if d.flat[j] <= tolerance else []
+    c = np.where(d <= tolerance, d, (tolerance + 1) * (min(d.shape) + 1))
+    got = assignment(c) if d.shape[0] <= d.shape[1] else [(i, j) for j, i in assignment(c.T)]
+    return [(i, j) for i, j in got if d[i, j] <= tolerance]
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
