@@ -176,3 +176,134 @@ def stars_market_share(spark, sf):
     rev = V.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
     j = rev.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
     return j.groupBy("n_name", "year").agg(F.count("*").alias("orders"), F.round(F.sum("r"), 2).alias("revenue"))
+
+
+@query("j04_containing_bar", WITH + "SELECT l.ticket, b.ts AS bar_ts, coalesce(l.price BETWEEN b.low AND b.high, false) AS inside FROM ledger l LEFT JOIN bars_1h b ON l.symbol = b.symbol AND b.ts = date_trunc('hour', l.open_time)")
+def j04_containing_bar(spark, sf):
+    """The bar that holds the entry, an equi join on its label."""
+    b = V.bars_1h(spark, sf).select("symbol", F.col("ts").alias("bar_ts"), "low", "high")
+    led = V.ledger(spark, sf).withColumn("bar_ts", F.date_trunc("hour", "open_time").cast("timestamp_ntz"))
+    j = led.join(b.withColumn("found", F.col("bar_ts")), ["symbol", "bar_ts"], "left")
+    return j.select("ticket", F.col("found").alias("bar_ts"), F.coalesce(F.col("price").between(F.col("low"), F.col("high")), F.lit(False)).alias("inside"))
+
+
+@query(
+    "j08_nearest_errors",
+    WITH + """, p AS (SELECT symbol, ts FROM ticks WHERE k % 10 = 7), b AS (SELECT l.ticket, (epoch_us(l.open_time) - epoch_us(p.ts)) / 1e6 AS d FROM ledger l ASOF LEFT JOIN p ON l.symbol = p.symbol AND l.open_time >= p.ts), f AS (SELECT l.ticket, (epoch_us(p.ts) - epoch_us(l.open_time)) / 1e6 AS d FROM ledger l ASOF LEFT JOIN p ON l.symbol = p.symbol AND l.open_time <= p.ts)
+SELECT ticket, round(least(b.d, f.d), 6) AS error_seconds FROM b JOIN f USING (ticket)""",
+)
+def j08_nearest_errors(spark, sf):
+    """Seconds to the nearest prediction."""
+    p = V.ticks(spark, sf).where("k % 10 = 7").select("symbol", F.col("ts").alias("p_ts"))
+    j = A.nearest(V.ledger(spark, sf).select("ticket", "symbol", "open_time"), p, on="symbol", left_ts="open_time", right_ts="p_ts", take=[])
+    return j.select("ticket", r6(F.abs(A.seconds(F.col("open_time"), F.col("p_ts")))).alias("error_seconds"))
+
+
+@query(
+    "a21_excursions_by_side",
+    WITH + """, s AS (SELECT l.ticket, any_value(side) AS side, any_value(pnl) AS pnl, max(CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END) AS mfe, min(CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END) AS mae FROM ledger l JOIN ticks t ON l.symbol = t.symbol AND t.ts >= l.open_time AND t.ts < l.close_time AND l.close_time <= l.open_time + INTERVAL '2 days' GROUP BY 1)
+SELECT side, count(*) AS n, round(avg(mfe), 6) AS mean_mfe, round(avg(mae), 6) AS mean_mae, round(quantile_cont(mae, 0.05) FILTER (pnl < 0), 6) AS loss_mae_p05, round(quantile_cont(mfe, 0.95) FILTER (pnl > 0), 6) AS win_mfe_p95 FROM s GROUP BY 1""",
+)
+def a21_excursions_by_side(spark, sf):
+    led = V.ledger(spark, sf).where("close_time <= open_time + interval 2 days").select("ticket", "symbol", "side", "price", "pnl", "open_time", "close_time")
+    j = A.within(V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), led, on="symbol", ts="ts", start="open_time", end="close_time", width=6 * 3600)
+    move = F.when(F.col("side") == "Buy", F.col("bid") - F.col("price")).otherwise(F.col("price") - F.col("ask"))
+    s = j.groupBy("ticket", "side", "pnl").agg(F.max(move).alias("mfe"), F.min(move).alias("mae"))
+    q = lambda x, p, c: r6(F.percentile(F.when(c, F.col(x)), F.lit(p)))
+    return s.groupBy("side").agg(F.count("*").alias("n"), r6(F.avg("mfe")).alias("mean_mfe"), r6(F.avg("mae")).alias("mean_mae"), q("mae", 0.05, F.col("pnl") < 0).alias("loss_mae_p05"), q("mfe", 0.95, F.col("pnl") > 0).alias("win_mfe_p95"))
+
+
+@query(
+    "a22_split_stability",
+    WITH + ", r AS (SELECT pnl, side, (row_number() OVER (PARTITION BY symbol ORDER BY open_time, event_id) - 1) / count(*) OVER (PARTITION BY symbol)::DOUBLE AS f FROM ledger), s AS (SELECT *, CASE WHEN f < 0.6 THEN 'train' WHEN f < 0.8 THEN 'validation' ELSE 'test' END AS part FROM r) SELECT part, count(*) AS n, round(avg(pnl), 6) AS mean, round(count(*) FILTER (pnl > 0) / count(*)::DOUBLE, 6) AS win_rate FROM s GROUP BY 1",
+)
+def a22_split_stability(spark, sf):
+    """The same figures on the first 60, next 20 and last 20 % of each symbol's rows."""
+    w = W.partitionBy("symbol")
+    f = (F.row_number().over(w.orderBy("open_time", "event_id")) - 1) / F.count("*").over(w)
+    s = V.ledger(spark, sf).withColumn("f", f).withColumn("part", F.when(F.col("f") < 0.6, "train").when(F.col("f") < 0.8, "validation").otherwise("test"))
+    return s.groupBy("part").agg(F.count("*").alias("n"), r6(F.avg("pnl")).alias("mean"), r6(F.count_if(F.col("pnl") > 0) / F.count("*")).alias("win_rate"))
+
+
+@query(
+    "a31_capture_grid",
+    WITH + ", c AS (SELECT t.*, l.event_id IS NOT NULL AS y FROM ticks t LEFT JOIN ledger l ON t.event_id = l.event_id), g AS (SELECT a.a, b.b FROM (SELECT unnest([110, 130, 150]) AS a) a CROSS JOIN (SELECT unnest([20, 50, 80]) AS b) b) SELECT CAST(a AS INTEGER) AS mid_min, CAST(b AS INTEGER) AS k_min, count(*) FILTER (mid >= a AND k >= b) AS n, count(*) FILTER (mid >= a AND k >= b AND y) AS captured, round(count(*) FILTER (mid >= a AND k >= b AND y) / nullif(count(*) FILTER (y), 0)::DOUBLE, 6) AS capture FROM c CROSS JOIN g GROUP BY 1, 2",
+)
+def a31_capture_grid(spark, sf):
+    """Capture of entries over a grid of conditions, counted from one pre-aggregated table."""
+    led = V.ledger(spark, sf).select("event_id", F.lit(1).alias("y"))
+    ge = lambda c, xs: F.size(F.filter(F.array(*map(F.lit, xs)), lambda x: F.col(c) >= x))
+    g = V.ticks(spark, sf).join(led, "event_id", "left").groupBy(ge("mid", (110, 130, 150)).alias("i"), ge("k", (20, 50, 80)).alias("j")).agg(F.count("*").alias("n"), F.count("y").alias("y"))  # 16 rows
+    grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i + 1).alias("i0"), F.lit(j + 1).alias("j0")) for i, a in enumerate((110, 130, 150)) for j, b in enumerate((20, 50, 80))])
+    x = g.select("*", F.explode(grid).alias("q"))
+    hit = (F.col("i") >= F.col("q.i0")) & (F.col("j") >= F.col("q.j0"))
+    s = lambda c: F.coalesce(F.sum(F.when(hit, F.col(c))), F.lit(0))
+    return x.groupBy(F.col("q.a").alias("mid_min"), F.col("q.b").alias("k_min")).agg(s("n").alias("n"), s("y").alias("captured"), r6(s("y") / F.when(F.sum("y") != 0, F.sum("y"))).alias("capture"))
+
+
+@query(
+    "a34_pooled_summary",
+    WITH + ", f AS (SELECT day(open_time) // 6 AS fold, count(*) FILTER (side = 'Buy' AND pnl > 0) AS tp, count(*) FILTER (side = 'Buy') AS s FROM ledger GROUP BY 1) SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(s) AS BIGINT) AS signals, round(avg(tp / nullif(s, 0)::DOUBLE), 6) AS mean_precision, round(sum(tp) / nullif(sum(s), 0)::DOUBLE, 6) AS pooled_precision FROM f",
+)
+def a34_pooled_summary(spark, sf):
+    """Summed counts, mean of fold metrics and pooled precision; no signals give null."""
+    f = V.ledger(spark, sf).groupBy(F.expr("day(open_time) div 6").alias("fold")).agg(F.count_if((F.col("side") == "Buy") & (F.col("pnl") > 0)).alias("tp"), F.count_if(F.col("side") == "Buy").alias("s"))
+    return f.agg(F.sum("tp").alias("tp"), F.sum("s").alias("signals"), r6(F.avg(F.expr("tp / nullif(s, 0)"))).alias("mean_precision"), r6(F.expr("sum(tp) / nullif(sum(s), 0)")).alias("pooled_precision"))
+
+
+@query(
+    "a35_after_outcome",
+    WITH + ", s AS (SELECT pnl > 0 AS win, lag(pnl > 0) OVER w AS prev, lot, lag(lot) OVER w AS plot FROM ledger WINDOW w AS (PARTITION BY user_id ORDER BY open_time, event_id)) SELECT prev, count(*) AS n, round(avg(CAST(win AS INTEGER)), 6) AS win_rate, round(avg(CASE WHEN lot > plot THEN 1 ELSE 0 END), 6) AS larger FROM s WHERE prev IS NOT NULL GROUP BY 1",
+)
+def a35_after_outcome(spark, sf):
+    """Win rate and size step after a win and after a loss."""
+    w = W.partitionBy("user_id").orderBy("open_time", "event_id")
+    win = F.col("pnl") > 0
+    s = V.ledger(spark, sf).select(win.alias("win"), F.lag(win).over(w).alias("prev"), "lot", F.lag("lot").over(w).alias("plot")).where("prev is not null")
+    return s.groupBy("prev").agg(F.count("*").alias("n"), r6(F.avg(F.col("win").cast("int"))).alias("win_rate"), r6(F.avg(F.when(F.col("lot") > F.col("plot"), 1).otherwise(0))).alias("larger"))
+
+
+@query("s10_projection", WITH + "SELECT symbol, count(*) AS n, round(avg(spread), 6) AS spread FROM ticks WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1")
+def s10_projection(spark, sf):
+    """Interval scan with pushed range and pruned columns: both reach the Parquet reader."""
+    return V.ticks(spark, sf).where("ts >= timestamp_ntz'2024-01-10 00:00:00' and ts < timestamp_ntz'2024-01-12 00:00:00'").groupBy("symbol").agg(F.count("*").alias("n"), r6(F.avg("spread")).alias("spread"))
+
+
+@query("s12_key_lookup", WITH + "SELECT t.event_id, round(t.mid, 6) AS mid FROM ticks t WHERE t.event_id % 97 = 0")
+def s12_key_lookup(spark, sf):
+    """Features written once and looked up by key through a join."""
+    path = shared(spark, "features")
+    V.ticks(spark, sf).select("event_id", r6("mid").alias("mid")).write.parquet(path, compression="snappy")
+    keys = V.table(spark, sf, "events").where("event_id % 97 = 0").select("event_id")
+    return keys.join(spark.read.parquet(path), "event_id").select("event_id", "mid")
+
+
+@query("st9_missing_is_unknown", WITH + ", g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-05 00:00:00', INTERVAL '1 hour')) AS ts) SELECT g.ts, b.close IS NULL AS unknown, round(b.close, 6) AS close FROM g LEFT JOIN bars_1h b ON b.ts = g.ts AND b.symbol = 'click'")
+def st9_missing_is_unknown(spark, sf):
+    """Hours without data stay explicit and are never filled (ST9)."""
+    grid = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-05 00:00:00', interval 1 hour)")).alias("ts"))
+    j = grid.join(V.bars_1h(spark, sf).where("symbol = 'click'").select("ts", "close"), "ts", "left")
+    return j.select("ts", F.col("close").isNull().alias("unknown"), r6("close").alias("close"))
+
+
+@query("p35_verdicts")
+def p35_verdicts(spark, sf):
+    """Verdicts per symbol from matching, placebo and coverage."""
+    from chronoloom.operators.search import verdict
+
+    c = C.inventory(V.ticks(spark, sf), "2024-01-01 00:00:00", "2024-01-30 23:00:00").groupBy("symbol").agg(F.avg((F.col("status") == "observed").cast("int")).alias("coverage"))
+    n = V.ledger(spark, sf).groupBy("symbol").agg(F.avg((F.col("pnl") > 0).cast("int")).alias("f1"))
+    rows = c.join(n, "symbol", "left").collect()  # a row per symbol
+    return spark.createDataFrame([(r["symbol"], verdict(r["f1"], 0.5, None, r["coverage"])) for r in rows], "symbol string, verdict string")
+
+
+@query(
+    "r07_reference_position",
+    WITH + "SELECT l.ticket, round((l.price - b.low) / nullif(b.high - b.low, 0), 6) AS position, CASE WHEN abs(l.price - b.open) <= abs(l.price - b.close) THEN 'open' ELSE 'close' END AS nearer FROM ledger l JOIN bars_1h b ON b.symbol = l.symbol AND b.ts = date_trunc('hour', l.open_time)",
+)
+def r07_reference_position(spark, sf):
+    """Where in its bar an entry's price lies."""
+    b = V.bars_1h(spark, sf).select("symbol", F.col("ts").alias("bar_ts"), "open", "high", "low", "close")
+    j = V.ledger(spark, sf).withColumn("bar_ts", F.date_trunc("hour", "open_time").cast("timestamp_ntz")).join(b, ["symbol", "bar_ts"])
+    near = F.when(F.abs(F.col("price") - F.col("open")) <= F.abs(F.col("price") - F.col("close")), "open").otherwise("close")
+    return j.select("ticket", r6((F.col("price") - F.col("low")) / F.expr("nullif(high - low, 0)")).alias("position"), near.alias("nearer"))
