@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import WORD, let, word_count
+from chronoloom.llm.common import WORD, let, word_count, written
 
 #: Multipliers for the permutation of blocks; the first that does not divide the number of blocks is used.
 _PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171)
@@ -118,7 +118,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float, total: flo
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
     t = sizes.withColumn("weight", w).withColumn("most", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("most") / F.col("weight"))
     before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("level", (F.sum("source_size").over(W.partitionBy()) * F.lit(float(total)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing)))
+    t = t.withColumn("level", (F.sum("source_size").over(W.partitionBy()) * F.lit(float(total)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(W.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "src", "level"))).over(W.partitionBy())["level"])
     return t.select("src", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("level") * F.col("weight"))).alias("target"))
 
@@ -138,14 +138,15 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: f
     src = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     base = docs.select(F.struct(*(carry or ["*"])).alias("row"), src.alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     base = base.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    sums = base.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
+    sums = written(base.groupBy("src", "bucket").agg(F.sum("size").alias("words")), "mix-sums")  # a row per source and bucket
     source = targets(sums.groupBy("src").agg(F.sum("words").alias("source_size")), weights, cap, total)
     want = F.round("target").cast("long")
     source = source.withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0).cast("long"))
     source = source.withColumn("rest", F.when(F.col("source_size") > 0, want - F.col("rounds") * F.col("source_size")).otherwise(0).cast("long"))
     per_round = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
     source = source.withColumns({"per_round": per_round, "blocks": F.col("rounds") * per_round + F.ceil(F.col("rest") / F.lit(block_words)).cast("long")})
-    source = source.join(_shard_counts(source.select("src", "blocks"), shards, seed), "src")
+    source = written(source, "mix-sources")
+    source = written(source.join(_shard_counts(source.select("src", "blocks"), shards, seed), "src"), "mix-shards")
     start = F.coalesce(F.sum("words").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     plan = sums.withColumn("bucket_start", start).drop("words").join(source, "src")
     within = W.partitionBy("src", "bucket").orderBy("h", "row.doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
