@@ -178,8 +178,12 @@ def _settle(group: pd.DataFrame) -> pd.DataFrame:
 
 def _links(members: DataFrame) -> DataFrame:
     """Confirmed links among ``members`` (grp, cls, n, sig, set): every pair of a group that is similar ends in one component."""
-    size = members.groupBy("grp").agg(F.count("*").alias("size"), *[F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
-    sized = members.join(size.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "grp")
+    # only groups beyond a block: at most a row for every BLOCK members
+    large = members.groupBy("grp").agg(F.count("*").alias("size"), *[F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]).where(F.col("size") > BLOCK)
+    large = written(large.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "large")
+    any_large = large.count()
+    few = F.broadcast(large) if any_large <= BROADCAST_ROWS // 10 else large
+    sized = members.join(few, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cols = ["grp", "block", "visitor", "fresh", "comp", "cls", "n", "sig", "set"]
     own_block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -187,13 +191,12 @@ def _links(members: DataFrame) -> DataFrame:
     home = new.withColumns({"block": own_block, "visitor": F.lit(False)})
     pivots = new.where((F.col("blocks") > 1) & F.col("cls").isin(*[F.col(f"p{i}") for i in range(PIVOTS)])).withColumns({"block": every_block, "visitor": F.lit(True)})
     first = written(home.select(cols).union(pivots.select(cols)).groupBy("grp", "block").applyInPandas(_settle, "a long, b long"), "links")
-    large = sized.where(F.col("blocks") > 1)
-    if first.isEmpty() or large.isEmpty():
+    if not any_large:
         return first
     labels = components(first)
-    placed = large.join(labels, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "cls")).drop("label", "node")
+    placed = sized.where(F.col("blocks") > 1).join(labels, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "cls")).drop("label", "node")
     part = placed.groupBy("grp", "comp").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(part, "grp").withColumn("fresh", F.lit(False))
+    open_ = placed.join(F.broadcast(part) if any_large <= BROADCAST_ROWS // 10 else part, "grp").withColumn("fresh", F.lit(False))
     home = open_.withColumns({"block": own_block, "visitor": F.lit(False)})
     guests = open_.where("comp <> main").withColumns({"block": every_block, "visitor": F.lit(True)})
     more = home.select(cols).union(guests.select(cols)).groupBy("grp", "block").applyInPandas(_settle, "a long, b long")
