@@ -127,7 +127,7 @@ def fit(bags: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, *, epoc
     return langs, w[:DIM] * idf[:, None] * scale, w[DIM], temperature
 
 
-def predict(docs: DataFrame, learn: DataFrame, *, sample_rows: int = 500, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, learn: DataFrame, *, sample_rows: int = 300, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """All columns of ``docs`` with the predicted language and its score (calibrated, 0 to 1), in columns of these names.
 
     ``learn``: text and lang of the learning documents; those with a null text or lang or without letters teach
@@ -188,8 +188,8 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is told with a score of ``least`` or more, with all their columns."""
+def in_known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """The documents whose language is told with a score of ``least`` or more (a text in two languages has about a half), with all their columns."""
     found = predict(docs, docs.where(~held_out(F.col("doc_id"))), names=("__lang", "__score"))
     return found.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
