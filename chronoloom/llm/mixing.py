@@ -148,7 +148,8 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: f
     source = written(source, "mix-sources")
     source = written(source.join(_shard_counts(source.select("src", "blocks"), shards, seed), "src"), "mix-shards")
     start = F.coalesce(F.sum("words").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    plan = sums.withColumn("bucket_start", start).drop("words").join(source, "src")
+    # a table again, as its order by source alone must not become that of the rows it is joined to
+    plan = written(sums.withColumn("bucket_start", start).drop("words").join(source, "src"), "mix-plan")
     within = W.partitionBy("src", "bucket").orderBy("h", "row.doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = base.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(plan, ["src", "bucket"])
     first = F.col("bucket_start") + F.col("within")
