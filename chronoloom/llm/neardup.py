@@ -249,11 +249,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     It is the row with the least doc_id; of repeated rows the one with the least number.
     """
-    found = link(docs)
-    best = found.where("kept").groupBy("doc_id", "component_id", "n_shingles").agg(F.min("row_no").alias("row_no"))
+    found = written(link(docs), "linked")
+    best = found.where("kept and n_shingles > 0").groupBy("doc_id", "component_id", "n_shingles").agg(F.min("row_no").alias("row_no")).select("row_no")
     wordless = found.where("n_shingles = 0").select("row_no")
-    keep = written(best.where("n_shingles > 0").select("row_no").union(wordless), "kept").withColumnRenamed("row_no", "_row_no")
-    return docs.withColumn("_row_no", F.monotonically_increasing_id()).join(keep, "_row_no", "left_semi").drop("_row_no")
+    gone = written(found.select("row_no").join(best.union(wordless), "row_no", "left_anti").withColumnRenamed("row_no", "_row_no"), "gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.withColumn("_row_no", F.monotonically_increasing_id()).join(few, "_row_no", "left_anti").drop("_row_no")
 
 
 def op7_neardup(spark, sf_dir: str) -> DataFrame:
