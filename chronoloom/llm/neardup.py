@@ -211,7 +211,11 @@ def link(docs: DataFrame) -> DataFrame:
     is the least doc_id of the component; rows with a null doc_id count last, and where all are null it is null. ``kept``
     says that doc_id equals it (null to null). ``row_no`` numbers the rows of the input. An empty table gives no rows.
     """
-    numbered = docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id())
+    return _link(written(docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id()), "rows"))
+
+
+def _link(numbered: DataFrame) -> DataFrame:
+    """``link`` of rows that have their ``row_no`` as a written column: a number made anew by each scan changes with the file splits."""
     rows = written(numbered.select("doc_id", "row_no", "text").mapInArrow(_signed, "doc_id long, row_no long, n_shingles long, set_hash binary, sig binary"), "signatures")
     merged = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("row_no").alias("cls"), F.min("doc_id").alias("low"))
     merged = written(merged, "classes")
@@ -249,12 +253,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     It is the row with the least doc_id; of repeated rows the one with the least number.
     """
-    found = written(link(docs), "linked")
+    rows = written(docs.withColumn("_row_no", F.monotonically_increasing_id()), "rows")
+    found = written(_link(rows.select("doc_id", "text", F.col("_row_no").alias("row_no"))), "linked")
     best = found.where("kept and n_shingles > 0").groupBy("doc_id", "component_id", "n_shingles").agg(F.min("row_no").alias("row_no")).select("row_no")
     wordless = found.where("n_shingles = 0").select("row_no")
     gone = written(found.select("row_no").join(best.union(wordless), "row_no", "left_anti").withColumnRenamed("row_no", "_row_no"), "gone")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.withColumn("_row_no", F.monotonically_increasing_id()).join(few, "_row_no", "left_anti").drop("_row_no")
+    return rows.join(few, "_row_no", "left_anti").drop("_row_no")
 
 
 def op7_neardup(spark, sf_dir: str) -> DataFrame:

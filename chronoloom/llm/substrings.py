@@ -340,11 +340,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Input: doc_id, text and any other columns, which are not carried. A null text counts as empty; texts of fewer than
     400 bytes lose nothing. Repeated rows repeat each other and lose all windows, like any copies; rows with a null
-    doc_id take part. Removal may cut characters in two, so ``kept`` is binary. An empty table gives no rows. The input
-    must read the same rows in the same order when it is read again, as files do: rows are known by their number.
+    doc_id take part. Removal may cut characters in two, so ``kept`` is binary. An empty table gives no rows. Rows are
+    known by a number that is written with them once: made anew by each scan, it changes with the file splits.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id())
+    rows = written(docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id()), "rows")
     seen = written(rows.select("row_no", "text").mapInArrow(_anchor_rows, "gram long, around long, row_no long, place long"), "anchors")
     kinds = written(seen.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("row_no", "place")).alias("one")), "surroundings")
     several = kinds.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("gram")

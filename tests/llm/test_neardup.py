@@ -55,3 +55,23 @@ def test_links_equal_brute_force(spark, tmp_path):
     groups = len({(w, n) if w is None else w for w, n in zip(want, sizes, strict=True) if n}) + sum(n == 0 for n in sizes)
     assert kept.count() == groups
     assert N.link(docs.limit(0)).count() == 0
+
+
+def test_rows_keep_their_numbers_when_files_are_split_anew(spark, tmp_path, monkeypatch):
+    texts = [f"only {i} here in this text number {i}" for i in range(40)] + ["one two three four five six"] * 9
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, extra string")
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = iter(["100", "1000000"] * 500)
+    write = N.written
+
+    def other_splits(df, name):
+        out = write(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return out
+
+    monkeypatch.setattr(N, "written", other_splits)
+    try:
+        kept = N.keep_one(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.doc_id for r in kept) == list(range(41))

@@ -50,6 +50,25 @@ def test_removal_equals_brute_force(spark, tmp_path):
     assert S.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_rows_keep_their_numbers_when_files_are_split_anew(spark, tmp_path, monkeypatch):
+    texts = sample(random.Random(5))[:60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = iter(["1000", "1000000"] * 50)
+    write = S.written
+
+    def other_splits(df, name):
+        out = write(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return out
+
+    monkeypatch.setattr(S, "written", other_splits)
+    try:
+        got = sorted(tuple(r) for r in S.op6_substrings(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i, *x) for i, x in enumerate(brute(texts))]
+
+
 def test_merge_keeps_order_and_prefixes():
     rng = random.Random(2)
     items = [(bytes(rng.choices(b"ab", k=rng.randrange(1, 30))), b"", i, i) for i in range(500)]
