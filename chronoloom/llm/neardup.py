@@ -11,8 +11,10 @@ A short posting list gives all of its pairs, kept if they agree in ``MATCHES`` c
 near copies, only ties its classes together. What hangs together is a group of candidates. Only now are the shingle
 sets made again, for these classes alone, and brought together by group. A group that fits a block is settled there: by
 signatures, then by sets, skipping what is linked already. A larger group is cut in blocks, tied by a few pivots that
-visit all of them; then every class outside the main component visits every block. So no pair of different texts is
-lost, and no list or group is ever expanded into all pairs.
+visit all of them. What then lies outside the main component meets by its sets: two similar sets share one of the
+rarest quarter (and one) of the shingles of either, whatever order tells what is rare. Short lists of such a shingle
+give pairs; classes on long ones, which have much in common with many without being similar, visit the blocks of the
+other such classes. So no pair of different texts is lost, and a group is expanded into all pairs only among the latter.
 
 Pairs are confirmed on the full sets. Components of the links come from label propagation with pointer jumping.
 """
@@ -37,6 +39,12 @@ MATCHES = 26
 LONG_LIST = 16
 PIVOTS = 4
 BLOCK = 1024
+#: A list of up to so many classes with a rare shingle in common is expanded into pairs.
+COLD_LIST = 64
+#: Visitors of a block come in parts of about so many blocks' size.
+VISITOR_BLOCKS = 8
+#: Shingles are counted in so many bins: the order by these counts need only be the same for all sets.
+BINS = 1 << 18
 #: Row numbers of candidates are broadcast up to so many (8 bytes each) and joined by shuffle beyond.
 BROADCAST_ROWS = 2_000_000
 _RNG = np.random.default_rng(20240229)
@@ -176,6 +184,48 @@ def _settle(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per bin and task: how many shingles of its sets fall in it."""
+    n = np.zeros(BINS, dtype=np.int64)
+    for batch in slices(batches):
+        for raw in batch.column(0).to_pylist():
+            np.add.at(n, (unpack(raw) % np.uint64(BINS)).astype(np.int64), 1)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bin", "n"])
+
+
+def rarest(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of which any set of similarity 0.75 shares one: all but ceil(3/4) of them and one more, rarest first."""
+    order = np.lexsort((s, counts[(s % np.uint64(BINS)).astype(np.int64)]))
+    return s[order[: len(s) - -(-3 * len(s) // 4) + 1]]
+
+
+def _meeting(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b of classes that share a rare shingle of a short list, classes on long lists) of the open groups; only what may tie a guest."""
+    spark = open_.sparkSession
+    counts = np.zeros(BINS, dtype=np.int64)
+    for r in open_.select("set").mapInArrow(_binned, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toLocalIterator():  # a number per bin
+        counts[r["bin"]] = r["n"]
+    known = spark.sparkContext.broadcast(counts)
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [rarest(unpack(x), known.value) for x in batch.column(4).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            tokens = np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(4)], pa.array(tokens)], names=["grp", "cls", "comp", "guest", "token"])
+
+    rows = open_.select("grp", "cls", "comp", (F.col("comp") != F.col("main")).alias("guest"), "set")
+    posts = written(rows.mapInArrow(posted, "grp long, cls long, comp long, guest boolean, token long"), "rare")
+    lists = posts.groupBy("grp", "token").agg(F.count("*").alias("size"), F.max("guest").alias("any"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    lists = written(lists.where("any and c0 <> c1").select("grp", "token", "size"), "rare-lists")
+    cold = posts.join(lists.where(F.col("size") <= COLD_LIST), ["grp", "token"]).groupBy("grp", "token").agg(F.sort_array(F.collect_list(F.struct("cls", "comp", "guest"))).alias("c"))
+    pairs = cold.select(F.posexplode("c").alias("i", "x"), "c").select("x", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("y"))
+    pairs = pairs.where("x.comp <> y.comp and (x.guest or y.guest)").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    hot = posts.join(lists.where(F.col("size") > COLD_LIST), ["grp", "token"]).select("grp", "cls").distinct()
+    return pairs, written(hot, "hot")
+
+
 def _links(members: DataFrame) -> DataFrame:
     """Confirmed links among ``members`` (grp, cls, n, sig, set): every pair of a group that is similar ends in one component."""
     # only groups beyond a block: at most a row for every BLOCK members
@@ -196,10 +246,25 @@ def _links(members: DataFrame) -> DataFrame:
     labels = components(first)
     placed = sized.where(F.col("blocks") > 1).join(labels, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "cls")).drop("label", "node")
     part = placed.groupBy("grp", "comp").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(F.broadcast(part) if any_large <= BROADCAST_ROWS // 10 else part, "grp").withColumn("fresh", F.lit(False))
-    home = open_.withColumns({"block": own_block, "visitor": F.lit(False)})
-    guests = open_.where("comp <> main").withColumns({"block": every_block, "visitor": F.lit(True)})
-    more = home.select(cols).union(guests.select(cols)).groupBy("grp", "block").applyInPandas(_settle, "a long, b long")
+    open_ = placed.join(F.broadcast(part) if any_large <= BROADCAST_ROWS // 10 else part, "grp").select("grp", "main", "comp", "cls", "n", "sig", "set")
+    open_ = written(open_.withColumn("fresh", F.lit(False)), "open")
+    pairs, hot = _meeting(open_)
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similar(unpack(a), unpack(b)) for a, b in zip(x, y, strict=True)], dtype=bool)
+
+    side = lambda x: open_.select(F.col("cls").alias(x), F.col("set").alias(f"set_{x}"))
+    met = _agreeing(pairs, open_).join(side("a"), "a").join(side("b"), "b").where(alike("set_a", "set_b")).select("a", "b")
+    warm = open_.join(hot.select("cls"), "cls")
+    cut = warm.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count(F.when(F.col("comp") != F.col("main"), 1)) / (VISITOR_BLOCKS * BLOCK)).cast("int").alias("chunks"))
+    cut = written(cut.where("chunks > 0"), "cut")
+    warm = warm.join(F.broadcast(cut) if any_large <= BROADCAST_ROWS // 10 else cut, "grp")
+    some_chunk = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")).cast("int")
+    home = warm.withColumns({"block": own_block, "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "visitor": F.lit(False)})
+    guests = warm.where("comp <> main").withColumns({"block": every_block, "chunk": some_chunk, "visitor": F.lit(True)})
+    cols.append("chunk")
+    more = home.select(cols).union(guests.select(cols)).groupBy("grp", "block", "chunk").applyInPandas(_settle, "a long, b long").union(met)
     return first.union(written(more.distinct(), "more"))
 
 

@@ -75,3 +75,24 @@ def test_rows_keep_their_numbers_when_files_are_split_anew(spark, tmp_path, monk
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(r.doc_id for r in kept) == list(range(41))
+
+
+def test_templated_documents_do_not_all_visit_each_other(spark, monkeypatch):
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(60)]
+    texts = [" ".join(template + [f"w{rng.randrange(10**9)}" for _ in range(60)]) for _ in range(500)]  # about a third alike
+    close = [f"c{i}" for i in range(24)]
+    texts += [" ".join(template + close + [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(8, 16))]) for _ in range(90)]  # around the bound
+    texts += [t + " one more" for t in texts[:60]]
+    rows = list(enumerate(texts))
+    want, sizes = brute(rows)
+    settle = N._settle
+
+    def bounded(group):
+        assert group.visitor.sum() <= 300, "a block is visited by the whole group"
+        return settle(group)
+
+    monkeypatch.setattr(N, "BLOCK", 32)
+    monkeypatch.setattr(N, "_settle", bounded)
+    got = N.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(d, n, c) for (d, _), n, c in zip(rows, sizes, want, strict=True)]
