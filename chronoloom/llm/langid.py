@@ -131,7 +131,7 @@ def predict(docs: DataFrame, learn: DataFrame, *, sample_rows: int = 300, names:
     """All columns of ``docs`` with the predicted language and its score (calibrated, 0 to 1), in columns of these names.
 
     ``learn``: text and lang of the learning documents; those with a null text or lang or without letters teach
-    nothing. Per language about ``sample_rows`` documents (never a larger share than that of all of its rows) fit the
+    nothing. Per language about ``sample_rows`` documents (different texts; all, if it has fewer) fit the
     weights; the document frequencies cover them all. A text that is null or has no letter is ``und`` with score 0, as
     are all texts if there is nothing to learn from. Repeated rows count each time. Nothing but the text decides a
     prediction. Columns of ``docs`` of the two names are replaced, all others stay as they are.
@@ -152,8 +152,9 @@ def predict(docs: DataFrame, learn: DataFrame, *, sample_rows: int = 300, names:
 
 
 def _sample(learn: DataFrame, rows: int) -> DataFrame:
-    """Of each language about ``rows`` documents (all, if it has fewer): those whose text's hash lies under a bound that the language's count sets. Copies count once."""
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a number per language
+    """Of each language about ``rows`` documents (all, if it has fewer): those whose text's hash lies under a bound that the language's count of distinct texts sets. Copies count once, there and in the sample."""
+    distinct = learn.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.lit(1).alias("one"))
+    counts = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a number per language
     if not counts:
         return learn.limit(0)
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, rows / n))])[F.col("lang")]

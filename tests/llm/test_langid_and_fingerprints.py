@@ -38,6 +38,13 @@ def test_language_by_held_out_accuracy(spark, tmp_path):
     assert {r.lang_pred for r in L.predict(docs, docs.limit(0)).collect()} == {"und"}
 
 
+def test_copies_leave_the_sample_as_it_is(spark):
+    rows = [(f"own text {i}", "en") for i in range(400)] + [("a copied text", "en")] * 20_000 + [("ein Text", "de")] * 3
+    got = L._sample(spark.createDataFrame(rows, "text string, lang string"), 100).collect()
+    assert 60 <= sum(r.lang == "en" for r in got) <= 140
+    assert [r.text for r in got if r.lang == "de"] == ["ein Text"]
+
+
 def test_sparse_weights_and_calibration():
     rng = random.Random(1)
     bags = [(lang, *np.unique(L.grams(prose(rng, lang, 30)), return_counts=True)) for _ in range(60) for lang in LETTERS]
