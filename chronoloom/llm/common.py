@@ -44,6 +44,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def same_row(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with what ``other`` knows of them: they agree in doc_id (null to null) and text_hash."""
+    named = other.withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("text_hash", "_text_hash")
+    joined = rows.join(named, rows["doc_id"].eqNullSafe(named["_doc_id"]) & (rows["text_hash"] == named["_text_hash"]), how)
+    return joined.drop("_doc_id", "_text_hash")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches in pieces, so that a Python worker holds the objects of a few rows only; at the end its free memory goes back."""
     for batch in batches:

@@ -17,6 +17,8 @@ give pairs; classes on long ones, which have much in common with many without be
 other such classes. So no pair of different texts is lost, and a group is expanded into all pairs only among the latter.
 
 Pairs are confirmed on the full sets. Components of the links come from label propagation with pointer jumping.
+
+Rows are known by doc_id and a hash of the text, which no scan can change; classes by a number written with them once.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import slices, written
+from chronoloom.llm.common import same_row, slices, written
 from chronoloom.llm.fingerprints import _mixed, _powers
 
 SHINGLE = 5
@@ -38,15 +40,15 @@ COORDINATES = 64
 MATCHES = 26
 LONG_LIST = 16
 PIVOTS = 4
-BLOCK = 1024
+BLOCK = 256
 #: A list of up to so many classes with a rare shingle in common is expanded into pairs.
 COLD_LIST = 64
 #: Visitors of a block come in parts of about so many blocks' size.
 VISITOR_BLOCKS = 8
 #: Shingles are counted in so many bins: the order by these counts need only be the same for all sets.
 BINS = 1 << 18
-#: Row numbers of candidates are broadcast up to so many (8 bytes each) and joined by shuffle beyond.
-BROADCAST_ROWS = 2_000_000
+#: Keys of candidate rows are broadcast up to so many (32 bytes each) and joined by shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
@@ -106,11 +108,18 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c, x in zip(cols, row, strict=True):
                 c.append(x)
         kinds = (pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "row_no", "n_shingles", "set_hash", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "text_hash", "n_shingles", "set_hash", "sig"])
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done: set[int] = set()  # repeated rows give their class once
     for batch in slices(batches):
+        fresh = []
+        for i, cls in enumerate(batch.column(1).to_pylist()):
+            if cls not in done:
+                done.add(cls)
+                fresh.append(i)
+        batch = batch.take(pa.array(fresh, pa.int64()))
         made = [shingles(t) for t in batch.column(2).to_pylist()]
         sigs = [signature(s).astype("<i4").tobytes() for s in made]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in made], pa.int64()), pa.array(sigs, pa.binary()), pa.array([pack(s) for s in made], pa.binary())], names=["grp", "cls", "n", "sig", "set"])
@@ -269,22 +278,18 @@ def _links(members: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, row_no, n_shingles, component_id, kept.
+    """A row per document: doc_id, text_hash, n_shingles, component_id, kept and ``part``, a number for each component.
 
     Input: doc_id, text and any other columns, which are not carried. Texts without words (also null ones) have an
-    empty set and are components of their own. Repeated rows and copies are linked like any equal sets. ``component_id``
-    is the least doc_id of the component; rows with a null doc_id count last, and where all are null it is null. ``kept``
-    says that doc_id equals it (null to null). ``row_no`` numbers the rows of the input. An empty table gives no rows.
+    empty set and are components of their own, with a null ``part``. Repeated rows and copies are linked like any equal
+    sets. ``component_id`` is the least doc_id of the component; rows with a null doc_id count last, and where all are
+    null it is null. ``kept`` says that doc_id equals it (null to null). An empty table gives no rows.
     """
-    return _link(written(docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id()), "rows"))
-
-
-def _link(numbered: DataFrame) -> DataFrame:
-    """``link`` of rows that have their ``row_no`` as a written column: a number made anew by each scan changes with the file splits."""
-    rows = written(numbered.select("doc_id", "row_no", "text").mapInArrow(_signed, "doc_id long, row_no long, n_shingles long, set_hash binary, sig binary"), "signatures")
-    merged = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("row_no").alias("cls"), F.min("doc_id").alias("low"))
-    merged = written(merged, "classes")
-    classes = rows.select(F.col("row_no").alias("cls"), F.col("n_shingles").alias("n"), "sig").join(merged.select("cls"), "cls")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = written(texts.mapInArrow(_signed, "doc_id long, text_hash long, n_shingles long, set_hash binary, sig binary"), "signatures")
+    merged = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("low"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig"))
+    merged = written(merged.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    classes = merged.select("cls", "n", "sig")
 
     @F.pandas_udf("array<long>")
     def tokens(sig: pd.Series) -> pd.Series:
@@ -300,33 +305,42 @@ def _link(numbered: DataFrame) -> DataFrame:
     short = prefix.join(lists.where(F.col("size") <= LONG_LIST).select("token"), "token").groupBy("token").agg(F.sort_array(F.collect_list("cls")).alias("c"))
     short = short.select(F.posexplode("c").alias("i", "a"), "c").select("a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b")).distinct()
     tied = prefix.join(lists.where(F.col("size") > LONG_LIST), "token").where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
-    groups = components(_agreeing(short, classes).union(tied)).select(F.col("node").alias("row_no"), F.col("label").alias("grp"))
-    few = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
-    texts = numbered.select("row_no", "text").join(few, "row_no").select("grp", F.col("row_no").alias("cls"), "text")
-    links = _links(written(texts.mapInArrow(_with_sets, "grp long, cls long, n long, sig binary, set binary"), "members"))
+    groups = components(_agreeing(short, classes).union(tied)).select(F.col("node").alias("cls"), F.col("label").alias("grp"))
+    chosen = written(merged.select("cls", "one.doc_id", "one.text_hash").join(groups, "cls"), "chosen")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    members = same_row(texts, few).select("grp", "cls", "text")
+    links = _links(written(members.mapInArrow(_with_sets, "grp long, cls long, n long, sig binary, set binary"), "members"))
     labels = components(links)
     named = merged.join(labels, F.col("cls") == F.col("node"), "left").select("set_hash", "low", F.coalesce("label", "cls").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = written(named.join(lowest, "comp").select("set_hash", "component_id"), "components")
-    out = rows.select("doc_id", "row_no", "n_shingles", "set_hash").join(named.withColumn("found", F.lit(True)), "set_hash", "left")
-    out = out.withColumn("component_id", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "row_no", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = written(named.join(lowest, "comp").select("set_hash", "component_id", F.col("comp").alias("part")), "components")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "set_hash").join(named, "set_hash", "left")
+    out = out.withColumn("component_id", F.when(F.col("part").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "part")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one row left of every component, all columns as they are.
 
-    It is the row with the least doc_id; of repeated rows the one with the least number.
+    It is the row with the least doc_id, of those the one with the least hash of its text; of rows repeated with the same
+    doc_id and text any one stays. Texts without words all stay.
     """
-    rows = written(docs.withColumn("_row_no", F.monotonically_increasing_id()), "rows")
-    found = written(_link(rows.select("doc_id", "text", F.col("_row_no").alias("row_no"))), "linked")
-    best = found.where("kept and n_shingles > 0").groupBy("doc_id", "component_id", "n_shingles").agg(F.min("row_no").alias("row_no")).select("row_no")
-    wordless = found.where("n_shingles = 0").select("row_no")
-    gone = written(found.select("row_no").join(best.union(wordless), "row_no", "left_anti").withColumnRenamed("row_no", "_row_no"), "gone")
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return rows.join(few, "_row_no", "left_anti").drop("_row_no")
+    key = ["doc_id", "text_hash"]
+    found = written(link(docs).where(F.col("part").isNotNull()), "linked")
+    texts = found.groupBy("part", *key).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    texts = written(texts, "texts")
+    best = texts.where("kept").groupBy("part").agg(F.min(F.struct(*key)).alias("one")).select("part", "one.*")
+    gone = written(same_row(texts.select(*key, F.col("part").alias("p")), best, "left").where(F.col("part").isNull()).select(*key), "gone")
+    again = written(same_row(texts.where("rows > 1").select(*key), best).select(*key), "again")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    some = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    kept = same_row(rows, some(gone), "left_anti")
+    if not again.isEmpty():
+        keys = some(again)
+        kept = same_row(kept, keys, "left_anti").union(same_row(kept, keys).dropDuplicates(key))
+    return kept.select("row.*")
 
 
 def op7_neardup(spark, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
-    return link(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_no")
+    return link(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "part")

@@ -6,13 +6,20 @@ so a repeated window always shows as two anchors whose surroundings agree for at
 
 1. Anchors are counted by their 128-gram and by all the bytes that windows around them can reach (272 to the left, 400
    to the right). Where only one text has a 128-gram there is no repeat; where two have all those bytes in common, all
-   windows there are repeats. What is left, one anchor for each surrounding, goes on.
+   windows there are repeats. What is left, one anchor for each surrounding, goes on. 128-grams with more than ``HOT``
+   surroundings (a passage that a share of all texts have) go another way, below.
 2. Each task sorts the suffixes at its anchors into runs, front-coded: a suffix is written as the length of its common
    prefix with the one before and the rest. The runs are exchanged by ranges of the 128-gram's hash and combined by a
    loser tree that keeps, for every loser, the prefix it shares with the winner: known prefixes are not compared again.
 3. The merge yields the suffixes in order with their common prefixes. A window that begins ``a`` bytes before the anchor
    is a repeat if another suffix agrees for 400 - a bytes and the text before it for ``a``; the least and the largest
    such ``a`` bound what is removed. They come from joining neighbours from the longest common prefix down.
+
+Under a hot 128-gram, windows that begin in one of eight stretches before the anchor share what all windows of the stretch
+have in common. Only surroundings that have that in common with another list the hashes of the stretch's windows, and
+those are counted. All of it is grouping by hashes of contents, so no task holds the surroundings of a 128-gram.
+
+Rows are known by doc_id and a hash of the text, which no scan can change.
 """
 
 from __future__ import annotations
@@ -28,12 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import partitions, slices, written
+from chronoloom.llm.common import partitions, same_row, slices, written
 from chronoloom.llm.fingerprints import _P, _Q, _mixed
 
 LENGTH = 400
 GRAM = 128
 REACH = LENGTH - GRAM
+#: More surroundings of one 128-gram than this are not merged in one task but counted window by window.
+HOT = 2000
+#: Hot 128-grams are broadcast up to so many (8 bytes each) and joined by shuffle beyond.
+BROADCAST_ROWS = 1_000_000
+#: Bytes of suffixes for each bucket of the merge.
+BUCKET_BYTES = 24 << 20
+STRETCHES = 8
 _PLACE_BITS = 20
 _PIECE = 1 << 19
 _BYTE = _mixed(np.arange(1, 257, dtype=np.uint64))
@@ -75,18 +89,18 @@ def _around(raw: bytes, p: int) -> tuple[int, int]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "around", "row_no", "place"]
     for batch in slices(batches):
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for row_no, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        rows, places, grams, around = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], []
+        for i, text in enumerate(batch.column(2).to_pylist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
             p, h = anchors(np.frombuffer(raw, dtype=np.uint8))
-            if len(p):
-                around = b"".join(hashlib.blake2b(raw[s:e], digest_size=8, salt=struct.pack("<H", x - s)).digest() for x, (s, e) in ((x, _around(raw, x)) for x in p.tolist()))
-                for o, x in zip(out, (h.view(np.int64), np.frombuffer(around, dtype="<i8"), np.full(len(p), row_no), p), strict=True):
-                    o.append(x)
-        cols = [np.concatenate(o).astype(np.int64) if o else np.zeros(0, dtype=np.int64) for o in out]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+            rows.append(np.full(len(p), i))
+            places.append(p)
+            grams.append(h)
+            around += [hashlib.blake2b(raw[s:e], digest_size=8, salt=struct.pack("<H", x - s)).digest() for x, (s, e) in ((x, _around(raw, x)) for x in p.tolist())]
+        at = pa.array(np.concatenate(rows))
+        cols = [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.frombuffer(b"".join(around), dtype="<i8")), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(places).astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(cols, names=["gram", "around", "doc_id", "text_hash", "place"])
 
 
 def _common(a: bytes, b: bytes, k: int) -> int:
@@ -105,17 +119,18 @@ def _common(a: bytes, b: bytes, k: int) -> int:
     return k
 
 
-#: A suffix in a run: key (gram's hash and the bytes from the anchor), bytes before the anchor backwards, row and place.
-Suffix = tuple[bytes, bytes, int, int]
-_HEAD = struct.Struct("<HHHqi")
+#: A suffix in a run: key (gram's hash and the bytes from the anchor), bytes before the anchor backwards, row (doc_id, or
+#: None, and hash of the text) and place.
+Suffix = tuple[bytes, bytes, tuple[int | None, int], int]
+_HEAD = struct.Struct("<HHH?qqq")
 
 
 def encode(run: list[Suffix]) -> bytes:
     """A sorted run, front-coded."""
     out, last = [], b""
-    for key, left, row_no, place in run:
+    for key, left, (doc_id, text_hash), place in run:
         k = _common(last, key, 0)
-        out += [_HEAD.pack(k, len(key) - k, len(left), row_no, place), key[k:], left]
+        out += [_HEAD.pack(k, len(key) - k, len(left), doc_id is None, doc_id or 0, text_hash, place), key[k:], left]
         last = key
     return b"".join(out)
 
@@ -124,11 +139,11 @@ def decode(blob: bytes) -> Iterator[tuple[int, Suffix]]:
     """(common prefix with the suffix before, suffix) in order."""
     at, last = 0, b""
     while at < len(blob):
-        k, rest, before, row_no, place = _HEAD.unpack_from(blob, at)
+        k, rest, before, none, doc_id, text_hash, place = _HEAD.unpack_from(blob, at)
         at += _HEAD.size
         last = last[:k] + blob[at : at + rest]
         at += rest
-        yield k, (last, blob[at : at + before], row_no, place)
+        yield k, (last, blob[at : at + before], (None if none else doc_id, text_hash), place)
         at += before
 
 
@@ -252,8 +267,8 @@ def _joined(big: list[int], small: list[int]) -> list[int]:
     return sorted(big + small)
 
 
-def reaches(group: list[tuple[int, Suffix]]) -> Iterator[tuple[int, int, int, int]]:
-    """(row_no, place, least a, largest a) of the suffixes of one 128-gram with a repeated window; input in order."""
+def reaches(group: list[tuple[int, Suffix]]) -> Iterator[tuple[int | None, int, int, int, int]]:
+    """(doc_id, text_hash, place, least a, largest a) of the suffixes of one 128-gram with a repeated window; input in order."""
     m = len(group)
     right = [0] + [group[i][0] - 8 for i in range(1, m)]
     lefts = [g[1][1] for g in group]
@@ -267,29 +282,53 @@ def reaches(group: list[tuple[int, Suffix]]) -> Iterator[tuple[int, int, int, in
         return
     high = _first_partner(by_left, left, list(range(m)), np.array(right))  # by place in the right order
     for i, a in high.items():
-        _, _, row_no, place = group[i][1]
-        yield row_no, place, LENGTH - far[left_rank[i]], a
+        _, _, row, place = group[i][1]
+        yield *row, place, LENGTH - far[left_rank[i]], a
+
+
+def _stretch(j: int) -> tuple[int, int]:
+    """First and last ``a`` of a stretch: windows that begin so many bytes before the anchor."""
+    return j * (REACH + 1) // STRETCHES, (j + 1) * (REACH + 1) // STRETCHES - 1
+
+
+def _digest(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
+_SENT = "bucket int, run binary, gram long, doc_id long, text_hash long, place long, before int, around binary"
+_SENT_TYPES = pa.schema([("bucket", pa.int32()), ("run", pa.binary()), ("gram", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int64()), ("before", pa.int32()), ("around", pa.binary())])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Sorted, front-coded runs of some MB by bucket of the 128-gram's hash."""
+    """Sorted, front-coded runs of some MB by bucket of the 128-gram's hash; for hot 128-grams the surroundings themselves."""
     held: list[Suffix] = []
     size = 0
+    done: set[tuple] = set()  # of repeated rows, one tells what there is to tell
 
     def out() -> pa.RecordBatch:
-        held.sort()
+        held.sort(key=lambda s: s[0])
         by: dict[int, list[Suffix]] = {}
         for s in held:
             by.setdefault(int.from_bytes(s[0][:8], "big") * buckets >> 64, []).append(s)
-        return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([encode(r) for r in by.values()], pa.binary())], names=["bucket", "run"])
+        return pa.RecordBatch.from_pylist([{"bucket": b, "run": encode(r)} for b, r in by.items()], schema=_SENT_TYPES)
 
     for batch in slices(batches):
-        for row_no, text, places, grams in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        hot_rows = []
+        for doc_id, text_hash, text, spots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (doc_id, text_hash) in done:
+                continue
+            done.add((doc_id, text_hash))
             raw = text.encode("utf-8", "surrogatepass")
-            for p, g in zip(places, grams, strict=True):
+            for spot in spots:
+                p, g = spot["place"], spot["gram"]
                 s, e = _around(raw, p)
-                held.append((struct.pack(">Q", g & 0xFFFFFFFFFFFFFFFF) + raw[p:e], raw[s:p][::-1], row_no, p))
+                if spot["hot"]:
+                    hot_rows.append({"gram": g, "doc_id": doc_id, "text_hash": text_hash, "place": p, "before": p - s, "around": raw[s:e]})
+                    continue
+                held.append((struct.pack(">Q", g & 0xFFFFFFFFFFFFFFFF) + raw[p:e], raw[s:p][::-1], (doc_id, text_hash), p))
                 size += e - s + 200
+        if hot_rows:
+            yield pa.RecordBatch.from_pylist(hot_rows, schema=_SENT_TYPES)
         if size > 96 << 20:
             yield out()
             held, size = [], 0
@@ -297,8 +336,53 @@ def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         yield out()
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each surrounding and stretch, if its windows lie in the text, the hash of what they have in common."""
+    for batch in slices(batches):
+        at, stretch, digest = [], [], []
+        for i, (before, around) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+            for j in range(STRETCHES):
+                first, last = _stretch(j)
+                if first <= before and before + LENGTH - last <= len(around):
+                    at.append(i)
+                    stretch.append(j)
+                    digest.append(_digest(around[before - first : before + LENGTH - last]))
+        cols = [c.take(pa.array(at, pa.int64())) for c in batch.columns]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(stretch, pa.int32()), pa.array(digest, pa.int64())], names=[*batch.schema.names, "stretch", "context"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of all windows of a stretch that lie in the text."""
+    for batch in slices(batches):
+        at, begins, digest = [], [], []
+        for i, (before, around, j) in enumerate(zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True)):
+            first, last = _stretch(j)
+            for a in range(max(first, before + LENGTH - len(around)), min(last, before) + 1):
+                at.append(i)
+                begins.append(a)
+                digest.append(_digest(around[before - a : before - a + LENGTH]))
+        cols = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(begins, pa.int64()), pa.array(digest, pa.int64())], names=["gram", "doc_id", "text_hash", "place", "a", "window"])
+
+
+def _repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows of a written table that share ``keys`` with another row. Both sides of the join are tables, so a skewed key is split."""
+    often = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), name)
+    return rows.join(often, keys)
+
+
+def _hot_reaches(hot: DataFrame) -> DataFrame:
+    """As ``reaches``, for all surroundings of the hot 128-grams, by counting."""
+    cols = "gram long, doc_id long, text_hash long, place long"
+    context = written(hot.mapInArrow(_contexts, f"{cols}, before int, around binary, stretch int, context long"), "contexts")
+    some = _repeated(context, ["gram", "stretch", "context"], "contexts-often").select("gram", "doc_id", "text_hash", "place", "before", "around", "stretch")
+    window = written(some.mapInArrow(_windows, f"{cols}, a long, window long"), "windows")
+    same = _repeated(window, ["gram", "a", "window"], "windows-often")
+    return same.groupBy("doc_id", "text_hash", "place").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+
+
 def _merged(table: pa.Table) -> pa.Table:
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple] = []
     group: list[tuple[int, Suffix]] = []
     for k, s in merge([decode(r) for r in table.column("run").to_pylist()]):
         if group and k < 8 + GRAM:
@@ -308,8 +392,8 @@ def _merged(table: pa.Table) -> pa.Table:
         group.append((k, s))
     if len(group) > 1:
         out += reaches(group)
-    cols = list(zip(*out, strict=True)) if out else [[]] * 4
-    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["row_no", "place", "low", "high"])
+    cols = list(zip(*out, strict=True)) if out else [[]] * 5
+    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "text_hash", "place", "low", "high"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,25 +424,33 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Input: doc_id, text and any other columns, which are not carried. A null text counts as empty; texts of fewer than
     400 bytes lose nothing. Repeated rows repeat each other and lose all windows, like any copies; rows with a null
-    doc_id take part. Removal may cut characters in two, so ``kept`` is binary. An empty table gives no rows. Rows are
-    known by a number that is written with them once: made anew by each scan, it changes with the file splits.
+    doc_id take part. Removal may cut characters in two, so ``kept`` is binary. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = written(docs.select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id()), "rows")
-    seen = written(rows.select("row_no", "text").mapInArrow(_anchor_rows, "gram long, around long, row_no long, place long"), "anchors")
-    kinds = written(seen.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("row_no", "place")).alias("one")), "surroundings")
-    several = kinds.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("gram")
-    whole = seen.join(kinds.where(F.col("n") > 1).select("gram", "around"), ["gram", "around"]).select("row_no", "place", F.lit(0).cast("long").alias("low"), F.lit(REACH).cast("long").alias("high"))
-    ones = kinds.join(several, "gram").select("one.row_no", "one.place", "gram").groupBy("row_no").agg(F.collect_list("place").alias("places"), F.collect_list("gram").alias("grams"))
-    buckets = 4 * partitions(spark)
-    sent = rows.select("row_no", "text").join(ones, "row_no").select("row_no", "text", "places", "grams")
-    runs = sent.mapInArrow(lambda it: _runs(it, buckets), "bucket int, run binary")
-    part = runs.groupBy("bucket").applyInArrow(_merged, "row_no long, place long, low long, high long")
-    found = written(part, "reaches").union(whole)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    key = ["doc_id", "text_hash"]
+    seen = written(rows.mapInArrow(_anchor_rows, "gram long, around long, doc_id long, text_hash long, place long"), "anchors")
+    kinds = written(seen.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct(*key, "place")).alias("one")), "surroundings")
+    several = written(kinds.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > 1), "grams")
+    whole = seen.join(kinds.where(F.col("n") > 1).select("gram", "around"), ["gram", "around"]).select(*key, "place", F.lit(0).cast("long").alias("low"), F.lit(REACH).cast("long").alias("high"))
+    counted = several.agg(F.count_if(F.col("k") > HOT), F.coalesce(F.sum(F.when(F.col("k") <= HOT, F.col("k"))), F.lit(0))).first()
+    hot = several.where(F.col("k") > HOT).select("gram")
+    hot = F.broadcast(hot) if counted[0] <= BROADCAST_ROWS else hot
+    warm = kinds.join(hot, "gram", "left_anti") if counted[0] else kinds
+    spots = warm.join(several.where(F.col("k") <= HOT).select("gram"), "gram").select("one", "gram", F.lit(False).alias("hot"))
+    if counted[0]:
+        spots = spots.union(kinds.join(hot, "gram").select("one", "gram", F.lit(True)))
+    spots = spots.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash")).agg(F.collect_list(F.struct("one.place", "gram", "hot")).alias("spots"))
+    buckets = max(partitions(spark), -(-counted[1] * (LENGTH + REACH) // BUCKET_BYTES))
+    sent = same_row(rows, spots).select(*key, "text", "spots").mapInArrow(lambda it: _runs(it, buckets), _SENT)
+    sent = written(sent, "runs")
+    found = sent.where("run is not null").groupBy("bucket").applyInArrow(_merged, "doc_id long, text_hash long, place long, low long, high long").union(whole)
+    if counted[0]:
+        found = found.union(_hot_reaches(sent.where("around is not null").select("gram", *key, "place", "before", "around")))
     # windows begin ``low`` to ``high`` bytes before the anchor; those of whole surroundings, as far as the text goes
-    spans = found.select("row_no", F.greatest(F.lit(0), F.col("place") - F.col("high")).alias("begin"), (F.col("place") - F.col("low") + LENGTH).alias("end"))
-    ends = written(spans.groupBy("row_no").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "spans")
-    joined = rows.join(ends, "row_no", "left").select("doc_id", "text", "begins", "ends")
+    spans = written(found, "reaches").select(*key, F.greatest(F.lit(0), F.col("place") - F.col("high")).alias("begin"), (F.col("place") - F.col("low") + LENGTH).alias("end")).distinct()
+    ends = written(spans.groupBy(*key).agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "spans")
+    joined = same_row(rows, ends, "left").select("doc_id", "text", "begins", "ends")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -50,6 +50,11 @@ def test_removal_equals_brute_force(spark, tmp_path):
     assert S.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_hot_grams_are_counted_window_by_window(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 2)
+    test_removal_equals_brute_force(spark, tmp_path)
+
+
 def test_rows_keep_their_numbers_when_files_are_split_anew(spark, tmp_path, monkeypatch):
     texts = sample(random.Random(5))[:60]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
@@ -71,7 +76,7 @@ def test_rows_keep_their_numbers_when_files_are_split_anew(spark, tmp_path, monk
 
 def test_merge_keeps_order_and_prefixes():
     rng = random.Random(2)
-    items = [(bytes(rng.choices(b"ab", k=rng.randrange(1, 30))), b"", i, i) for i in range(500)]
+    items = [(bytes(rng.choices(b"ab", k=rng.randrange(1, 30))), b"", (i, -i), i) for i in range(500)]
     runs = [sorted(items[i::7]) for i in range(7)]
     merged = list(S.merge([S.decode(S.encode(r)) for r in runs]))
     keys = [s[0] for _, s in merged]
