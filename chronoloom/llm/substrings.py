@@ -41,8 +41,8 @@ from chronoloom.llm.fingerprints import _P, _Q, _mixed
 LENGTH = 400
 GRAM = 128
 REACH = LENGTH - GRAM
-#: More surroundings of one 128-gram than this are not merged in one task but counted window by window.
-HOT = 2000
+#: More surroundings of one 128-gram than a task holds well (700 bytes each) are not merged but counted window by window.
+HOT = 50_000
 #: Hot 128-grams are broadcast up to so many (8 bytes each) and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of suffixes for each bucket of the merge.
@@ -444,7 +444,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(partitions(spark), -(-counted[1] * (LENGTH + REACH) // BUCKET_BYTES))
     sent = same_row(rows, spots).select(*key, "text", "spots").mapInArrow(lambda it: _runs(it, buckets), _SENT)
     sent = written(sent, "runs")
-    found = sent.where("run is not null").groupBy("bucket").applyInArrow(_merged, "doc_id long, text_hash long, place long, low long, high long").union(whole)
+    found = sent.where("run is not null").select("bucket", "run").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merged, "doc_id long, text_hash long, place long, low long, high long").union(whole)
     if counted[0]:
         found = found.union(_hot_reaches(sent.where("around is not null").select("gram", *key, "place", "before", "around")))
     # windows begin ``low`` to ``high`` bytes before the anchor; those of whole surroundings, as far as the text goes
