@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ Span = tuple[str, int, int]
 
 
 class Scanner:
-    """Holds the three automata; made once for each Python worker."""
+    """Holds the three automata; made once on the driver and sent to the tasks as arrays."""
 
     def __init__(self) -> None:
         patterns = [p for p, _ in RULES.values()]
@@ -153,13 +154,14 @@ class Scanner:
             i = j
 
 
-_scanner: Scanner | None = None
+@cache
+def _compiled() -> Scanner:
+    return Scanner()
 
 
-def _ready() -> Scanner:
-    global _scanner
-    _scanner = _scanner or Scanner()
-    return _scanner
+def _sent(docs: DataFrame):
+    """The compiled automata as a broadcast of some hundred kB."""
+    return docs.sparkSession.sparkContext.broadcast(_compiled())
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -177,9 +179,10 @@ def find(docs: DataFrame) -> DataFrame:
     Input: doc_id, text and any other columns, which are not carried. A null or empty text has no spans; rows with a
     null or repeated doc_id each give a row; an empty table gives none. Texts are scanned whole.
     """
+    sent = _sent(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _ready()
+        scanner = sent.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in slices(batches):
             found = dict(scanner.scan(_texts(batch)))
@@ -192,12 +195,13 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span found replaced by ``mark``; all other columns stay, n_chars follows the text if present.
 
-    Spans that touch or overlap are replaced as one. Null texts stay null.
+    Spans that touch or overlap are replaced as one. Null texts stay null; repeated rows stay as often as they are.
     """
     size = "n_chars" in docs.columns
+    sent = _sent(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _ready()
+        scanner = sent.value
         for batch in slices(batches):
             found = dict(scanner.scan(_texts(batch)))
             if found:
