@@ -1,9 +1,12 @@
 """Main text of web pages by removing what a site repeats on its pages.
 
-A page is read into a tree of elements. Every element outside the article is hashed with all that is in it, and Spark
-counts, for each host, on how many of its distinct pages a hash occurs. Subtrees that recur on many pages of their
-host are its template and are deleted, as are the elements whose very name or class says that they are not text of the
-article. What is left of the article (of the whole body, on pages without one) is joined block by block.
+A page is read into a tree of elements. Every block is hashed with all that is in it, and Spark counts, for each host, on
+how many of its distinct pages a hash occurs. Subtrees that recur on many pages of their host are its template and are
+deleted, as are the elements whose very name or class says that they are not text of the article. What is left of the
+articles (of the main element or the whole body, on pages without one) is joined block by block.
+
+Blocks inside an article are counted apart and must be on a larger share of the pages; its paragraphs are never template.
+Nothing recurses and no open element is searched for twice, so deep nesting costs what its length costs.
 """
 
 from __future__ import annotations
@@ -11,11 +14,12 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-import sys
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import slices, written
@@ -38,7 +42,13 @@ _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WHITE = re.compile(r"\s+")
 _LAYOUT = frozenset(("html", "body", "article", "main", "br", "hr"))
-_PARAGRAPHS = frozenset(("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "td", "th", "tbody", "thead", "li", "figure", "figcaption", "dt", "dd"))
+#: An article's own paragraphs may recur, as articles quote each other and sites repeat themselves: never template.
+_PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 table tr td th tbody thead li figure figcaption dt dd".split())
+#: Fixed value of HTML: of inline elements of one name, at most so many go on in the next block.
+_REOPENED = 3
+#: Hashes of a site's template are broadcast up to so many and joined with the pages' blocks beyond.
+BROADCAST_HASHES = 2_000_000
+BROADCAST_HOSTS = 500_000
 
 
 class Node:
@@ -50,9 +60,20 @@ class Node:
 
 def parse(page: str) -> Node:
     """The page's tree; texts are strings among the children. Unclosed and misplaced tags are taken as browsers would in the usual cases."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # pages may be nested deeply
     root = Node("#root")
     stack = [root]
+    open_ = Counter()  # names on the stack
+
+    def push(node: Node) -> None:
+        stack[-1].children.append(node)
+        stack.append(node)
+        open_[node.name] += 1
+
+    def pop() -> Node:
+        node = stack.pop()
+        open_[node.name] -= 1
+        return node
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -66,72 +87,95 @@ def parse(page: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            if any(x.name == name for x in stack):
-                while stack.pop().name != name:
+            if open_[name]:
+                while pop().name != name:
                     pass
             elif name in ("p", "br"):
                 stack[-1].children.append(Node("br"))
             continue
-        ends = CLOSES.get(name)
-        if ends or name in _ENDS_P:
+        ends = CLOSES.get(name, frozenset()) | (frozenset(("p",)) if name in _ENDS_P else frozenset())
+        if any(open_[x] for x in ends):
             for i in range(len(stack) - 1, 0, -1):
-                if (ends and stack[i].name in ends) or (stack[i].name == "p" and name in _ENDS_P):
-                    open_inline = [x for x in stack[i + 1 :] if x.name not in BLOCKS]
-                    del stack[i:]
-                    for x in open_inline:  # inline elements go on in the next block
-                        again = Node(x.name, x.labels)
-                        stack[-1].children.append(again)
-                        stack.append(again)
+                if stack[i].name in ends:
+                    again: list[Node] = []
+                    while len(stack) > i:
+                        x = pop()
+                        if x.name not in BLOCKS and sum(y.name == x.name for y in again) < _REOPENED:
+                            again.append(x)
+                    for x in reversed(again):
+                        push(Node(x.name, x.labels))
                     break
                 if stack[i].name in _SCOPE:
                     break
         labels = tuple(w for k, v in _ATTR.findall(m[3]) if k.lower() in ("class", "id", "role") for w in v.strip("\"'").lower().split()) if m[3] else ()
         node = Node(name, labels)
-        stack[-1].children.append(node)
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
+            stack[-1].children.append(node)
             continue
         if name in RAW:
-            end = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
+            stack[-1].children.append(node)
+            end = _raw_end(name).search(page, at)
             close = page.find(">", end.end()) if end else -1
             at = close + 1 if close >= 0 else n
             continue
-        stack.append(node)
+        push(node)
     return root
 
 
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(name)}", re.I)
+
+
 def _says(label: str) -> bool:
     return label in DROP_LABEL or (not _WRAPS.search(label) and not DROP_CLASS.isdisjoint(re.split("[-_]+", label)))
 
 
 def _dropped(node: Node, inside: bool) -> bool:
-    return node.name in DROP or any(_says(w) for w in node.labels) or (node.name == "header" and not inside)
-
-
-def _article(root: Node) -> Node | None:
-    """The first article, else main, outside elements whose name says that they hold none."""
-    for name in ("article", "main"):
-        todo = [root]
-        while todo:
-            node = todo.pop()
-            if node.name == name or (name == "main" and "main" in node.labels and node.name == "div"):
-                return node
-            todo.extend(x for x in reversed(node.children) if isinstance(x, Node) and x.name not in DROP)
-    return None
-
-
-def hashes(node: Node, keep: Node | None, out: dict[int, int], inside: bool = False) -> bytes:
-    """Hash of the element's subtree; those that may be template go to ``out`` by identity. An article's own paragraphs may not."""
-    inside = inside or node is keep
-    h = hashlib.blake2b(node.name.encode(), digest_size=8)
-    for x in node.children:
-        if isinstance(x, Node):
-            h.update(hashes(x, keep, out, inside))
-        elif s := _WHITE.sub(" ", x).strip():
-            h.update(s.encode("utf-8", "surrogatepass") + b"\x00")
-    d = h.digest()
-    if node.name in BLOCKS and node.name not in _LAYOUT and node is not keep and not (inside and node.name in _PARAGRAPHS):
-        out[id(node)] = int.from_bytes(d, "little", signed=True)
-    return d
+    return node.name in DROP or (node.name not in _LAYOUT - {"article"} and any(_says(w) for w in node.labels)) or (node.name == "header" and not inside)
+
+
+def _articles(root: Node) -> list[Node]:
+    """The outermost articles outside what is dropped by name or class; on pages without one the first main element, if any."""
+    articles, mains, todo = [], [], [root]
+    while todo:
+        node = todo.pop()
+        if node.name == "article":
+            articles.append(node)
+            continue
+        if node.name == "main" or (node.name == "div" and "main" in node.labels):
+            mains.append(node)
+        todo += [x for x in reversed(node.children) if isinstance(x, Node) and not _dropped(x, False)]
+    return articles or mains[:1]
+
+
+def hashes(root: Node, articles: list[Node]) -> tuple[int, dict[int, int]]:
+    """(hash of the articles' text, or of the page's where there are none; hashes of the blocks by identity of the element).
+
+    The last bit of a block's hash tells whether it lies inside an article.
+    """
+    inner = {id(x) for x in articles}
+    out: dict[int, int] = {}
+    digest: dict[int, bytes] = {}
+    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    while todo:
+        node, inside, ready = todo.pop()
+        inside = inside or id(node) in inner
+        if not ready:
+            todo.append((node, inside, True))
+            todo += [(x, inside, False) for x in node.children if isinstance(x, Node)]
+            continue
+        h = hashlib.blake2b(node.name.encode(), digest_size=8)
+        for x in node.children:
+            if isinstance(x, Node):
+                h.update(digest[id(x)] if id(x) in inner else digest.pop(id(x)))
+            elif s := _WHITE.sub(" ", x).strip():
+                h.update(s.encode("utf-8", "surrogatepass") + b"\x00")
+        digest[id(node)] = h.digest()
+        if node.name in BLOCKS and node.name not in _LAYOUT and id(node) not in inner and not (inside and node.name in _PARAGRAPHS):
+            out[id(node)] = int.from_bytes(h.digest(), "little", signed=True) & ~1 | inside
+    page = hashlib.blake2b(b"".join(digest[id(x)] for x in articles or [root]), digest_size=8).digest()
+    return int.from_bytes(page, "little", signed=True), out
 
 
 def host_of(url: str | None) -> str:
@@ -139,25 +183,12 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _page_hashes(page: str) -> tuple[int, list[int]]:
-    """(hash of the whole page's text, the distinct hashes of the subtrees that may be template)."""
-    root = parse(page)
-    keep = _article(root)
-    found: dict[int, int] = {}
-    if keep is None:
-        all_of = hashes(root, None, found)
-    else:
-        all_of = hashes(keep, keep, {})
-        hashes(root, keep, found)
-    return int.from_bytes(all_of, "little", signed=True), sorted(set(found.values()))
-
-
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The main text of a page, given the hashes of its site's template."""
     root = parse(page)
-    keep = _article(root)
-    found: dict[int, int] = {}
-    hashes(root, keep, found)
+    articles = _articles(root)
+    found = hashes(root, articles)[1] if template else {}
+    inside = bool(articles)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -167,19 +198,22 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    def walk(node: Node) -> None:
-        for x in node.children:
-            if isinstance(x, str):
-                run.append(x)
-            elif x.name in BLOCKS:
-                close()
-                if not _dropped(x, True) and found.get(id(x)) not in template:
-                    walk(x)
-                    close()
-            elif not _dropped(x, True):
-                walk(x)
-
-    walk(keep or root)
+    # what is still to come: texts, elements, and None where a block ends
+    todo: list[str | Node | None] = []
+    for node in reversed(articles or [root]):
+        todo += [None, *reversed(node.children), None]
+    while todo:
+        x = todo.pop()
+        if x is None:
+            close()
+        elif isinstance(x, str):
+            run.append(x)
+        elif x.name in BLOCKS:
+            close()
+            if not _dropped(x, inside) and found.get(id(x)) not in template:
+                todo += [None, *reversed(x.children)]
+        elif not _dropped(x, inside):
+            todo += reversed(x.children)
     close()
     return " ".join(blocks)
 
@@ -188,57 +222,75 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def template(pages: DataFrame, *, least_pages: int = 5, least_share: float = 0.05) -> DataFrame:
-    """(host, hashes): for each host the subtrees on at least ``least_pages`` of its distinct pages and ``least_share`` of them.
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host, hash of the page's text, and the distinct hashes of the page's blocks; keeps the columns before ``html``."""
+    for batch in slices(batches):
+        hosts, whole, parts = [], [], []
+        for url, page in zip(_column(batch, "url"), _column(batch, "html"), strict=True):
+            root = parse(page or "")
+            w, p = hashes(root, _articles(root))
+            hosts.append(host_of(url))
+            whole.append(w)
+            parts.append(sorted(set(p.values())))
+        kept = batch.drop_columns(["html"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=[*kept.schema.names, "host", "page", "parts"])
 
-    Copies of a page count once, so that a page copied often is no template. A page has so many subtrees and each must
-    be on a share of the host's pages, so a host has at most (subtrees of a page) / ``least_share`` hashes.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            hosts, whole, parts = [], [], []
-            for url, page in zip(_column(batch, "url"), _column(batch, "html"), strict=True):
-                w, p = _page_hashes(page or "")
-                hosts.append(host_of(url))
-                whole.append(w)
-                parts.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["host", "page", "parts"])
-
-    seen = pages.select("url", "html").mapInArrow(run, "host string, page long, parts array<long>")
+def template(pages: DataFrame, *, least_pages: int = 5, least_share: float = 0.05, many_pages: int = 50, inside_share: float = 0.2) -> DataFrame:
+    """(host, part): for each host the blocks that recur on many of its distinct pages.
+
+    Many are ``least_pages`` at least, and ``least_share`` of the host's pages or ``many_pages``, whichever is less;
+    inside articles ``inside_share`` of the pages. Pages with the same main text count once, so that a page copied often is
+    no template.
+    """
+    seen = pages.select("url", "html").mapInArrow(_parts, "url string, host string, page long, parts array<long>")
     # copies of a page meet by its hash; any one of them stands for all
     distinct = written(seen.groupBy("host", "page").agg(F.first("parts").alias("parts")), "subtrees")
-    count = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    count = written(distinct.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages), "hosts")
     often = distinct.select("host", F.explode("parts").alias("part")).groupBy("host", "part").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    often = often.join(count, "host").where(F.col("n") >= F.col("pages") * F.lit(least_share))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("part")).alias("hashes"))
+    often = often.join(F.broadcast(count) if count.count() <= BROADCAST_HOSTS else count, "host")
+    inside = F.col("part").bitwiseAND(F.lit(1)) == 1
+    enough = F.when(inside, F.col("pages") * F.lit(inside_share)).otherwise(F.least(F.col("pages") * F.lit(least_share), F.lit(float(many_pages))))
+    return often.where(F.col("n") >= enough).select("host", "part")
 
 
-def extract(pages: DataFrame, *, broadcast_hashes: int = 2_000_000, **options) -> DataFrame:
+def _host(url: str) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
+def extract(pages: DataFrame, **options) -> DataFrame:
     """page_id, url, text and n_chars of every page. Input: page_id, url, html and any other columns, which are not carried.
 
     A null or empty page has the empty text; pages with a null url share one nameless host; repeated rows each give a
-    row; an empty table gives none. Tags that a truncated page leaves open end with it.
+    row; an empty table gives none. Tags that a truncated page leaves open end with it; nesting may be of any depth.
     """
     known = written(template(pages, **options), "template")
-    size = known.agg(F.coalesce(F.sum(F.size("hashes") + 4), F.lit(0))).first()[0]
-
     rows = pages.select("page_id", "url", "html")
-    parts = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = rows.withColumn("host", parts).join(F.broadcast(known) if size <= broadcast_hashes else known, "host", "left")
+    if known.count() <= BROADCAST_HASHES:
+        lists = known.groupBy("host").agg(F.sort_array(F.collect_list("part")).alias("hashes"))
+        joined = rows.withColumn("host", _host("url")).join(F.broadcast(lists), "host", "left")
+    else:  # by page instead: the blocks of each page that are template, whatever their number on a host
+        key = F.xxhash64("url", "html")
+        own = rows.select(key.alias("key"), "page_id", "url", "html").mapInArrow(_parts, "key long, page_id long, url string, host string, page long, parts array<long>")
+        own = written(own.select("key", "page_id", "host", F.explode("parts").alias("part")).distinct(), "page-parts").join(known, ["host", "part"])
+        lists = own.groupBy(F.col("key").alias("k"), F.col("page_id").alias("p")).agg(F.collect_list("part").alias("hashes"))
+        joined = rows.withColumn("host", F.lit(None).cast("string")).withColumn("key", key)
+        joined = joined.join(lists, (joined["key"] == lists["k"]) & joined["page_id"].eqNullSafe(lists["p"]), "left").select("page_id", "url", "html", "host", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, frozenset[int]] = {}
+        sets: dict[str, frozenset[int]] = {}  # of the hosts met last
         for batch in slices(batches):
             texts = []
             names = _column(batch, "host")
             lists = batch.column(batch.schema.get_field_index("hashes"))
             for i, page in enumerate(_column(batch, "html")):
-                own = sets.get(names[i])
+                own = sets.get(names[i]) if names[i] is not None else None
                 if own is None:
-                    if len(sets) > 1000:
-                        sets.clear()
-                    own = sets[names[i]] = frozenset(lists[i].as_py() or ())
+                    own = frozenset(lists[i].as_py() or ())
+                    if names[i] is not None:
+                        if len(sets) > 1000:
+                            sets.clear()
+                        sets[names[i]] = own
                 texts.append(main_text(page or "", own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
