@@ -9,8 +9,8 @@ blocks per source, its quota.
 The quotas are dealt to the output shards by a binary tree. Each node splits its shards in two and draws how many
 blocks of every source go left from the multivariate hypergeometric distribution, one source after another, so every
 shard holds what a random deal of all blocks would have given it and the quotas stay exact. The draws run over one
-small array per node; no block is ever listed. A source's blocks then go to the shards along a permutation of the
-block numbers, and each shard is shuffled by a hash on its own.
+small array per node (two numbers per source); no block is ever listed. A source's blocks then go to the shards along
+a seeded permutation of the block numbers, and each shard is shuffled by a hash on its own.
 
 Everything is DataFrame expressions. The running word count of a source is taken in two levels (hash buckets, then
 offsets of the buckets), so a source with a third of all rows is spread over all tasks.
@@ -26,8 +26,27 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import WORD, let, word_count, written
 
-#: Multipliers for the permutation of blocks; the first that does not divide the number of blocks is used.
-_PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171)
+#: Words of a written part: shards hold as many parts as their words need.
+PART_WORDS = 1 << 25
+ROUNDS = 24
+
+
+def permuted(x: Column, n: Column, *key: Column | str) -> Column:
+    """Place of ``x`` in a permutation of 0 .. n - 1 drawn by ``key``, by the swap-or-not shuffle.
+
+    Each round pairs every number with another one (their sum is a drawn number, modulo n) and swaps a pair if a hash of
+    its larger number says so; that is a bijection for every n, and ``ROUNDS`` rounds make it a random one.
+    """
+
+    def swapped(v: Column) -> Column:
+        coin = F.xxhash64(*key, v["r"], F.greatest(v["x"], v["y"]), F.lit(1))
+        return F.when(coin.bitwiseAND(F.lit(1)) == 1, v["y"]).otherwise(v["x"])
+
+    def step(acc: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(*key, r), n) - acc, n)
+        return let(F.struct(acc.alias("x"), other.alias("y"), r.alias("r")), swapped)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), step)
 
 
 def _ln_factorial(n: Column) -> Column:
@@ -135,6 +154,17 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: f
     rows, as order and draws come from hashes of the row and of ``seed``. Documents with equal hashes follow doc_id and
     size; rows equal in all of these are alike in all that is decided here.
     """
+    return _mix(docs, weights, cap, total, block_words, shards, buckets, seed, carry)[0]
+
+
+def mixed(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, total: float = 1.0, shards: int = 64, seed: int = 17) -> DataFrame:
+    """The mixed corpus of ``docs``: ``mix`` and ``materialize`` in one."""
+    plan, words = _mix(docs, weights, cap, total, 2048, shards, 1024, seed, None)
+    return materialize(plan, shards, words)
+
+
+def _mix(docs: DataFrame, weights: tuple[float, ...], cap: float, total: float, block_words: int, shards: int, buckets: int, seed: int, carry: list[str] | None) -> tuple[DataFrame, int]:
+    """The plan and the number of words that it takes."""
     src = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     base = docs.select(F.struct(*(carry or ["*"])).alias("row"), src.alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     base = base.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
@@ -146,21 +176,21 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: f
     per_round = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
     source = source.withColumns({"per_round": per_round, "blocks": F.col("rounds") * per_round + F.ceil(F.col("rest") / F.lit(block_words)).cast("long")})
     source = written(source, "mix-sources")
+    words = source.agg(F.coalesce(F.sum(F.col("rounds") * F.col("source_size") + F.col("rest")), F.lit(0))).first()[0]
     source = written(source.join(_shard_counts(source.select("src", "blocks"), shards, seed), "src"), "mix-shards")
     start = F.coalesce(F.sum("words").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # a table again, as its order by source alone must not become that of the rows it is joined to
+    # (the rows are dealt by source and bucket already; a broadcast would send the shards of every source to all tasks)
     plan = written(sums.withColumn("bucket_start", start).drop("words").join(source, "src"), "mix-plan")
     within = W.partitionBy("src", "bucket").orderBy("h", "row.doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = base.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(plan, ["src", "bucket"])
+    placed = base.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(plan.hint("merge"), ["src", "bucket"])
     first = F.col("bucket_start") + F.col("within")
     placed = placed.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - first)).cast("long")).withColumn("block", F.floor(first / F.lit(block_words)).cast("long"))
-    step = F.coalesce(*[F.when(F.pmod(F.lit(p).cast("long"), F.col("blocks")) != 0, F.lit(p)) for p in _PRIMES], F.lit(1)).cast("long")
-    step = F.when(F.col("blocks") > 1, step).otherwise(F.lit(1).cast("long"))
 
     def copy(i: Column) -> Column:
-        at = F.pmod((i * F.col("per_round") + F.col("block")) * F.col("step"), F.col("blocks"))
+        at = permuted(i * F.col("per_round") + F.col("block"), F.col("blocks"), F.lit(seed + 3), F.col("src"))
         return F.struct(
-            F.size(F.filter("ends", lambda e: e <= at)).alias("shard"),
+            let(at, lambda x: F.size(F.filter("ends", lambda e: e <= x))).alias("shard"),
             F.xxhash64(F.lit(seed + 2), F.col("h"), i).alias("place"),
             i.cast("int").alias("round"),
             F.when(i < F.col("rounds"), F.col("size")).otherwise(F.col("part")).alias("words"),
@@ -168,21 +198,25 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: f
 
     n = F.col("rounds") + F.when(F.col("part") > 0, 1).otherwise(0)
     copies = F.when((F.col("size") > 0) & (n > 0), F.transform(F.sequence(F.lit(0).cast("long"), n - 1), copy)).otherwise(F.array().cast("array<struct<shard:int,place:bigint,round:int,words:bigint>>"))
-    return placed.withColumn("step", step).select("row", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("part")).alias("taken"), copies.alias("copies"))
+    return placed.select("row", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("part")).alias("taken"), copies.alias("copies")), words
 
 
-def materialize(plan: DataFrame, shards: int = 64) -> DataFrame:
+def materialize(plan: DataFrame, shards: int = 64, words: int = 0) -> DataFrame:
     """The mixed corpus itself: a row per copy, grouped by shard and shuffled within it; a cut copy keeps its first words.
 
-    All columns of the input, and mix_shard, mix_place and mix_words (columns of these names are replaced).
+    All columns of the input, and mix_shard, mix_place and mix_words (columns of these names are replaced). A shard is
+    one partition, or as many as its share of all ``words`` needs: its places, which are even random numbers, in equal
+    ranges.
     """
+    parts = max(1, -(-words // (shards * PART_WORDS)))
     names = [c for c in plan.schema["row"].dataType.names if c not in ("mix_shard", "mix_place", "mix_words")]
     c = plan.select("row", F.explode("copies").alias("copy"), "size")
     cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("copy.words").cast("int")), " ")
     text = F.when(F.col("copy.words") < F.col("size"), cut).otherwise(F.col("row.text"))
     own = [text.alias(k) if k == "text" else F.length(text).cast(plan.schema["row"].dataType[k].dataType).alias(k) if k == "n_chars" else F.col(f"row.`{k}`") for k in names]
     c = c.select(*own, F.col("copy.shard").alias("mix_shard"), F.col("copy.place").alias("mix_place"), F.col("copy.words").alias("mix_words"))
-    return c.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_place")
+    part = F.floor((F.shiftright("mix_place", 32) + F.lit(1 << 31)) * F.lit(parts) / F.lit(1 << 32)).cast("int")
+    return c.repartitionById(shards * parts, F.col("mix_shard") * F.lit(parts) + part).sortWithinPartitions("mix_shard", "mix_place")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

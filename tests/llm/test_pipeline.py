@@ -128,6 +128,27 @@ def test_mix_shares_caps_and_shards(spark):
     assert M.mix(docs.limit(0)).count() == 0
 
 
+def test_permutation_is_a_bijection_and_no_identity(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 3, 6, 7, 64, 333, 5000):
+        rows = spark.range(n).select("id", *[M.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(s)).alias(f"p{s}") for s in (1, 2)]).orderBy("id").collect()
+        for p in ("p1", "p2"):
+            assert sorted(r[p] for r in rows) == list(range(n))
+        if n >= 64:
+            assert sum(r.p1 == r.id for r in rows) < 10 and sum(r.p1 == r.p2 for r in rows) < 10
+            assert sum(abs(a.p1 - b.p1) <= 2 for a, b in zip(rows, rows[1:])) < n / 10
+
+
+def test_a_shard_of_many_words_is_written_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", "w " * 50) for i in range(300)], "doc_id long, source string, text string")
+    monkeypatch.setattr(M, "PART_WORDS", 500)
+    out = M.mixed(docs, shards=4)
+    assert out.rdd.getNumPartitions() == 4 * -(-15000 // 2000)
+    places = out.rdd.glom().map(lambda rows: [(r.mix_shard, r.mix_place) for r in rows]).collect()
+    assert [x for part in places for x in part] == sorted(x for part in places for x in part)
+
+
 def test_hypergeometric_draws_follow_the_distribution(spark):
     from math import comb
 
