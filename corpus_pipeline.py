@@ -36,7 +36,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source up to its target weight, in shuffled shards; documents without words are never taken."""
-    return mixing.materialize(mixing.mix(docs))
+    return mixing.mixed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
