@@ -70,10 +70,11 @@ def test_overlaps_tolerate_substitutions(spark):
                 for j in rng.sample(range(0, len(piece), 7), 2):
                     piece[j] = word()
             text[20:20] = piece
-            if k < 3:
-                want.add((i, k))
+            want.add((i, k))
         if i % 3 == 1:
-            text[5:5] = items[k][:6]  # too little
+            text[5:5] = items[k][:6]  # too little, but for the item of five words
+            if k == 3:
+                want.add((i, k))
         docs.append((i, " ".join(w.upper() + ("," if rng.random() < 0.2 else "") for w in text), "x"))
     docs += [(100, None, "x"), (101, "", "x"), (None, " ".join(items[0]), "x"), (0, docs[0][1], "x")]
     d = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
@@ -86,3 +87,47 @@ def test_overlaps_tolerate_substitutions(spark):
     assert {r.doc_id for r in clean.collect()} == {x[0] for x in docs} - {x[0] for x in got}
     assert D.overlaps(d.limit(0), b).count() == 0
     assert D.overlaps(d, b.limit(0)).count() == 0
+
+
+def brute_overlaps(docs, items):
+    """(document, item, words that agree) by laying every item on every place of every text."""
+    words = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower())
+    out = {}
+    for d, text in docs:
+        w = words(text)
+        for k, item in items:
+            b = words(item)
+            size = min(13, len(b))
+            for shift in range(-len(b) + 1, len(w)) if b else ():
+                same = [0 <= shift + j < len(w) and w[shift + j] == x for j, x in enumerate(b)]
+                if max(sum(same[i : i + size]) for i in range(len(b) - size + 1)) >= size - size * 2 // 13:
+                    out[d, k] = max(out.get((d, k), 0), sum(same))
+    return out
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(21)
+    word = lambda n=40: f"w{rng.randrange(n)}"
+    items = [(n, " ".join(word() for _ in range(n))) for n in range(1, 21)] + [(90, "same " * 9), (91, "..."), (92, None), (93, "only"), (94, "ein Zwei, DREI")]
+    docs = []
+    for i in range(160):
+        text = [word(400) for _ in range(60)]
+        for _ in range(2):
+            piece = items[rng.randrange(20)][1].split()
+            for _ in range(rng.randrange(0, 4)):
+                piece[rng.randrange(len(piece))] = word(400)
+            text[rng.randrange(len(text)) :][:0] = piece
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = piece[rng.randrange(3) if rng.random() < 0.2 else 0 :]
+        docs.append((i, " ".join(text)))
+    docs += [(200, "same " * 3000), (201, "x eins ein zwei drei only"), (202, "same " * 8), (203, ""), (204, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched_words for r in D.overlaps(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_overlaps(docs, items)
+
+
+def test_the_way_without_broadcasts_gives_the_same(spark, monkeypatch):
+    for hashes in (8_000_000, 0):
+        monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(D, "BROADCAST_HASHES", hashes)
+        test_overlaps_tolerate_substitutions(spark)
