@@ -1,10 +1,12 @@
 """Personal data: exact base kinds, and bootstrapped contextual extraction of what these miss.
 
 Base spans (e-mail, IP address, payment card, phone) are the seed entities. Words that hold a digit or an at sign are
-the instances; the word before an instance is its lexical pattern. Patterns and instances form a graph that is scored
-in rounds: a pattern's confidence for a kind is the share of its distinct instances that are known to be of that kind
-(with at least ``support`` of them), an instance's is that of any of its patterns being right. Instances above the
-threshold join the known ones and teach patterns in the next round; in the end every occurrence of one is a span.
+the instances. Lexical patterns are what stands around an instance: one to three words before it, one or two after it,
+the words on both sides, and the word before together with the instance's shape. Patterns and instances form a graph
+that is scored in rounds: a pattern's confidence for a kind is the share of known ones among its distinct instances.
+Those known to be of other kinds and those that look like no identifier are its negatives; those that look like one and
+are not known yet weigh ``unknown`` each. An instance's confidence is that of any of its patterns being right. Instances above the threshold join the known ones and teach patterns in the next round; in the end
+every occurrence of one is a span.
 
 Only DataFrame functions. The texts are read once; only spans and instances leave the row.
 """
@@ -85,16 +87,42 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*[of(rank, kind) for rank, kind in enumerate(KINDS)]))
 
 
+#: Words around an instance are sought in so many characters.
+_NEAR = 80
+
+
+def _words(text: Column) -> Column:
+    """Lower-case words that hold a letter or stand for one."""
+    return F.filter(F.split(F.lower(text), f"[{_SPACE}]+"), lambda w: w.rlike(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"))
+
+
 def _instances(text: Column) -> Column:
-    """Words with a digit or an at sign, without outer punctuation, and the word before."""
+    """Words with a digit or an at sign, without outer punctuation, and the three words before and two after."""
 
     def one(m: Column) -> Column:
         lead = F.length(F.regexp_extract(m["found"], r"^[^A-Za-z0-9+]*+", 0))
         core = F.regexp_replace(m["found"], r"^[^A-Za-z0-9+]++|(?<![^A-Za-z0-9])[^A-Za-z0-9]++$|[.,;:!?)\]}\"']++$", "")
-        left = F.lower(F.substring_index(F.rtrim(F.regexp_replace(m["before"], r"[\x09-\x0D]", " ")), " ", -1))
-        return F.struct((m["start"] + lead).alias("start"), core.alias("found"), F.when(left.rlike("[^\\x00-\\x40]"), left).alias("left"))
+        left, right = _words(F.right(m["before"], F.lit(_NEAR))), _words(F.substring(m["after"], 1, _NEAR))
+        return F.struct((m["start"] + lead).alias("start"), core.alias("found"), F.slice(left, F.greatest(F.lit(1), F.size(left) - 2), 3).alias("left"), F.slice(right, 1, 2).alias("right"))
+
+    return F.transform(_located(text, _INSTANCE), lambda m: let(m, one))
+
 
-    return F.transform(_located(text, _INSTANCE), one)
+def _shape(found: Column) -> Column:
+    """Runs of digits as 9, of other letters as a."""
+    return F.regexp_replace(F.regexp_replace(found, "[0-9]+", "9"), r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "a")
+
+
+def _patterns(found: Column, left: Column, right: Column) -> Column:
+    """The lexical patterns that an occurrence of an instance has."""
+    n, m = F.size(left), F.size(right)
+    last = lambda k: F.array_join(F.slice(left, n - k + 1, k), " ")
+    first = lambda k: F.array_join(F.slice(right, 1, k), " ")
+    all_of = [F.when(n >= k, F.concat(last(k), F.lit(" _"))) for k in (1, 2, 3)]
+    all_of += [F.when(m >= k, F.concat(F.lit("_ "), first(k))) for k in (1, 2)]
+    all_of += [F.when((n >= 1) & (m >= 1), F.concat(last(1), F.lit(" _ "), first(1)))]
+    all_of += [F.when(n >= 1, F.concat(last(1), F.lit(" _ is "), _shape(found)))]
+    return F.array_compact(F.array(*all_of))
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -105,24 +133,37 @@ def extract(docs: DataFrame) -> DataFrame:
     return written(rows, "pii")
 
 
-def bootstrap(rows: DataFrame, *, rounds: int = 2, support: int = 5, threshold: float = 0.9) -> DataFrame:
-    """(found, kind) of the instances that high-confidence patterns discover, beyond the seeds. Input: what ``extract`` gives."""
-    one = rows.select("row_no", "base", F.explode("seen").alias("i")).select("i.*", F.get(F.filter("base", lambda s: (s["start"] < F.col("i.start") + F.length("i.found")) & (s["end"] > F.col("i.start"))), F.lit(0)).alias("s"))
+def _known_kind(start: Column, found: Column) -> Column:
+    """The base span that an instance overlaps, if any."""
+    return F.get(F.filter("base", lambda s: (s["start"] < start + F.length(found)) & (s["end"] > start)), F.lit(0))
+
+
+def bootstrap(rows: DataFrame, *, rounds: int = 2, support: int = 4, threshold: float = 0.9, unknown: float = 0.1) -> DataFrame:
+    """(found, kind, score) of the instances that high-confidence patterns discover, beyond the seeds. Input: what ``extract`` gives.
+
+    An instance is discovered only if it looks like an identifier: at least six digits, or an at sign between letters.
+    """
+    i = F.col("i")
+    one = rows.select("base", F.explode("seen").alias("i")).withColumn("s", _known_kind(i["start"], i["found"]))
     # within a base span only its first word counts, as the whole span
-    one = one.where(F.col("s").isNull() | (F.col("start") <= F.col("s.start")))
-    one = one.select(F.coalesce("s.found", "found").alias("found"), F.col("s.kind").alias("kind"), "left").where(F.col("left").isNotNull())
-    looks = (F.length(_digits(F.col("found"))) >= 6) | F.col("found").contains("@")
-    edges = written(one.where(F.col("kind").isNotNull() | looks).groupBy("left", "found").agg(F.min("kind").alias("seed")), "edges")
-    known = edges.where(F.col("seed").isNotNull()).select("found", F.col("seed").alias("kind")).distinct()
+    one = one.where(F.col("s").isNull() | (i["start"] <= F.col("s.start")))
+    found = F.coalesce("s.found", i["found"])
+    one = one.select(found.alias("found"), F.col("s.kind").alias("kind"), F.explode(_patterns(found, i["left"], i["right"])).alias("pattern"))
+    edges = written(one.groupBy("pattern", "found").agg(F.min("kind").alias("seed")), "edges")
+    known = edges.where(F.col("seed").isNotNull()).groupBy("found").agg(F.min("seed").alias("kind"), F.lit(1.0).alias("score"))
+    looks = (F.length(_digits(F.col("found"))) >= 6) | F.col("found").rlike("[A-Za-z0-9]@[A-Za-z0-9]")
     for _ in range(rounds):
-        graph = edges.select("left", "found").join(known.groupBy("found").agg(F.min("kind").alias("kind")), "found", "left")
-        total = graph.groupBy("left").agg(F.count("*").alias("n"))
-        share = graph.where(F.col("kind").isNotNull()).groupBy("left", "kind").agg(F.count("*").alias("known")).join(total, "left")
-        patterns = share.where(F.col("known") >= support).select("left", F.col("kind").alias("as"), (F.col("known") / F.col("n")).alias("p")).where(F.col("p") >= threshold)
+        taught = edges.join(known, "found").groupBy("pattern", "kind").agg(F.count("*").alias("known")).where(F.col("known") >= support)
+        taught = written(taught.groupBy("pattern").agg(F.max_by(F.struct("kind", "known"), F.struct("known", "kind")).alias("t")).select("pattern", "t.*"), "taught")
+        # negatives are counted for the patterns alone that enough seeds have
+        graph = edges.join(taught.select("pattern", F.col("kind").alias("as"), "known"), "pattern").join(known.select("found", "kind"), "found", "left")
+        weight = F.when(F.col("kind").isNull() & looks, F.lit(unknown)).otherwise(F.lit(1.0))
+        patterns = graph.groupBy("pattern", "as", "known").agg(F.sum(weight).alias("n")).select("pattern", "as", (F.col("known") / F.col("n")).alias("p")).where(F.col("p") >= threshold)
+        patterns = written(patterns, "patterns")
         doubt = F.exp(F.sum(F.log(1.001 - F.col("p"))))
-        fresh = graph.where(F.col("kind").isNull()).join(patterns, "left").groupBy("found", "as").agg((1 - doubt).alias("score"))
-        fresh = fresh.where(F.col("score") >= threshold).groupBy("found").agg(F.max_by("as", F.struct("score", "as")).alias("kind"))
-        known = written(known.unionByName(fresh), "known")
+        fresh = edges.where(F.col("seed").isNull() & looks).join(patterns, "pattern").groupBy("found", "as").agg(F.least(F.lit(1.0), 1.001 - doubt).alias("score"))
+        fresh = fresh.where(F.col("score") >= threshold).groupBy("found").agg(F.max_by(F.struct(F.col("as").alias("kind"), "score"), F.struct("score", "as")).alias("k")).select("found", "k.*")
+        known = written(known.unionByName(fresh.join(known.select("found"), "found", "left_anti")), "known")
     return known.join(edges.where(F.col("seed").isNotNull()).select("found").distinct(), "found", "left_anti")
 
 
@@ -131,12 +172,13 @@ def find(docs: DataFrame, **options) -> DataFrame:
 
     Input: doc_id, text and any other columns, which are not carried. A null text counts as empty and has no spans;
     rows with a null or repeated doc_id each give a row; an empty table gives none. Offsets are in code points, ends
-    exclusive. A discovered span never overlaps a base span.
+    exclusive. A discovered span never overlaps a base span. A string that base finds as two kinds has both spans and
+    teaches as the first of them; one that is discovered has one kind, that of the higher score.
     """
     rows = extract(docs)
     found = bootstrap(rows, **options)
     spots = rows.where(F.size("seen") > 0).select("row_no", "base", F.explode("seen").alias("i")).where(~F.exists("base", lambda s: (s["start"] < F.col("i.start") + F.length("i.found")) & (s["end"] > F.col("i.start"))))
-    spots = spots.select("row_no", F.col("i.start").alias("start"), F.col("i.found").alias("found")).join(found, "found")
+    spots = spots.select("row_no", F.col("i.start").alias("start"), F.col("i.found").alias("found")).join(found.select("found", "kind"), "found")
     rank = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)]), F.col("kind"))
     more = spots.groupBy("row_no").agg(F.collect_list(F.struct("start", rank.alias("rank"), "kind", (F.col("start") + F.length("found")).alias("end"), "found")).alias("more"))
     return rows.join(more, "row_no", "left").select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))).alias("spans"))

@@ -56,6 +56,38 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[3] == [("email", 14, 33)]
 
 
+def test_recall_of_identifiers_that_base_misses(spark):
+    """Contexts of one to three words on either side; a third of the identifiers are beyond the base patterns."""
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    noise = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(rng.randrange(3, 12)))
+    frames = {"email": ["write to {} soon", "my mail address {}", "{} is my mailbox"], "phone": ["call me at {} today", "phone number {}", "{} after six"], "card": ["charged card {} twice", "card ending {}"]}
+    # (what base finds, what it misses: no top-level name, no plus sign, a wrong check digit)
+    makes = {
+        "email": (lambda: f"n{digits(6)}@mail.example.com", lambda: f"n{digits(6)}@intranet"),
+        "phone": (lambda: "+49" + digits(9), lambda: "0049" + digits(9)),
+        "card": (lambda: next(c for c in ("4" + digits(15) for _ in range(1000)) if luhn(c)), lambda: "5" + digits(15)),
+    }
+    rows, hidden = [], {}
+    for i in range(600):
+        kind = rng.choice(list(frames))
+        base = i % 3 > 0
+        entity = makes[kind][1 - base]()
+        while not base and luhn(re.sub("[^0-9]", "", entity)):
+            entity = makes[kind][1]()
+        left, right = noise(), noise()
+        text = f"{left} {rng.choice(frames[kind]).format(entity)} {right}"
+        if not base:
+            hidden[i] = (kind, text.index(entity), text.index(entity) + len(entity))
+        rows.append((i, text))
+    rows += [(1000 + i, f"{noise()} order {digits(8)} {noise()} weighs {digits(7)} {noise()}") for i in range(300)]  # numbers of no kind
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in P.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = sum(span in found[i] for i, span in hidden.items())
+    wrong = sum(len(found[i]) for i in range(1000, 1300)) + sum(len(found[i]) > 1 for i in range(600))
+    assert caught >= 0.9 * len(hidden) > 150, (caught, len(hidden))
+    assert wrong <= 0.01 * len(rows), wrong
+
+
 def test_overlaps_tolerate_substitutions(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
