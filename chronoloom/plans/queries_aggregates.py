@@ -148,11 +148,11 @@ def a16_density(spark, sf):
 
 @query(
     "a18_hour_baselines",
-    WITH + ", b AS (SELECT hour(ts) AS h, avg(spread) AS m, stddev_pop(spread) AS s, count(*) AS n FROM ticks WHERE k % 7 = 0 AND hour(ts) <> 4 GROUP BY 1) SELECT CAST(r.h AS INTEGER) AS hour, coalesce(n, 0) AS n, round(CASE WHEN n > 1 THEN m ELSE 1.0 END, 6) AS mean, round(CASE WHEN n > 1 AND s > 0 THEN s ELSE 1.0 END, 6) AS std FROM range(24) r(h) LEFT JOIN b ON b.h = r.h",
+    WITH + ", b AS (SELECT hour(ts) AS h, avg(spread) AS m, stddev_pop(spread) AS s, count(*) AS n FROM ticks GROUP BY 1) SELECT CAST(r.h AS INTEGER) AS hour, coalesce(n, 0) AS n, round(CASE WHEN n > 1 THEN m ELSE 1.0 END, 6) AS mean, round(CASE WHEN n > 1 AND s > 0 THEN s ELSE 1.0 END, 6) AS std FROM range(24) r(h) LEFT JOIN b ON b.h = r.h",
 )
 def a18_hour_baselines(spark, sf):
     """Hourly baselines with defaults where there is no sample."""
-    b = V.ticks(spark, sf).where("k % 7 = 0 and hour(ts) <> 4").groupBy(F.hour("ts").alias("hour")).agg(F.avg("spread").alias("m"), F.stddev_pop("spread").alias("s"), F.count("*").alias("n"))
+    b = V.ticks(spark, sf).groupBy(F.hour("ts").alias("hour")).agg(F.avg("spread").alias("m"), F.stddev_pop("spread").alias("s"), F.count("*").alias("n"))
     d = spark.range(24).select(F.col("id").cast("int").alias("hour")).join(b, "hour", "left")
     return d.select("hour", F.coalesce("n", F.lit(0)).alias("n"), r6(F.when(F.col("n") > 1, F.col("m")).otherwise(1.0)).alias("mean"), r6(F.when((F.col("n") > 1) & (F.col("s") > 0), F.col("s")).otherwise(1.0)).alias("std"))
 

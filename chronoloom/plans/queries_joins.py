@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import asof as A
 from chronoloom.operators import matching as M
+from chronoloom.operators import paths as X
 from chronoloom.plans import views as V
 from chronoloom.plans.views import WITH, r6
 from chronoloom.registry import query
@@ -96,16 +97,18 @@ def j07_nearest_tick(spark, sf):
     "j09_ticks_in_trades",
     WITH + """SELECT l.ticket, count(*) AS ticks, round(max(t.bid), 6) AS high, round(min(t.bid), 6) AS low, round(max(CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END), 6) AS mfe, round(min(CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END), 6) AS mae,
   round((epoch_us(arg_max(t.ts, CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END)) - epoch_us(min(open_time))) / 1e6, 3) AS seconds_to_mfe
-FROM ledger l JOIN ticks t ON l.symbol = t.symbol AND t.ts >= l.open_time AND t.ts <= l.close_time AND l.close_time <= l.open_time + INTERVAL '2 days' GROUP BY 1""",
+FROM ledger l JOIN ticks t ON l.symbol = t.symbol AND t.ts >= l.open_time AND t.ts <= l.close_time GROUP BY 1""",
 )
 def j09_ticks_in_trades(spark, sf):
     """Excursions of trades over the ticks while they were open (closed interval), and the time to the best one."""
-    led = V.ledger(spark, sf).where("close_time <= open_time + interval 2 days").select("ticket", "symbol", "side", "price", "open_time", "close_time")
-    j = A.within(V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), led, on="symbol", ts="ts", start="open_time", end="close_time", closed_end=True, width=6 * 3600)
-    move = F.when(F.col("side") == "Buy", F.col("bid") - F.col("price")).otherwise(F.col("price") - F.col("ask"))
-    j = j.withColumn("move", move)
-    first_best = F.max_by("ts", F.struct("move", -F.unix_micros(F.col("ts").cast("timestamp"))))
-    return j.groupBy("ticket").agg(F.count("*").alias("ticks"), r6(F.max("bid")).alias("high"), r6(F.min("bid")).alias("low"), r6(F.max("move")).alias("mfe"), r6(F.min("move")).alias("mae"), F.round(A.seconds(first_best, F.min("open_time")), 3).alias("seconds_to_mfe"))
+    led = V.ledger(spark, sf).select("ticket", "symbol", "side", "price", "open_time", "close_time")
+    x = X.interval_extremes(V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), led, on="symbol", key="ticket", start="open_time", end="close_time", high="bid", low="ask")
+    j = led.join(x, "ticket")
+    buy = F.col("side") == "Buy"
+    best = F.when(buy, F.col("hi") - F.col("price")).otherwise(F.col("price") - F.col("lo"))
+    worst = F.when(buy, F.col("hi_low") - F.col("price")).otherwise(F.col("price") - F.col("lo_high"))
+    when = F.when(buy, F.col("hi_ts")).otherwise(F.col("lo_ts"))
+    return j.select("ticket", F.col("n").alias("ticks"), r6("hi").alias("high"), r6("hi_low").alias("low"), r6(best).alias("mfe"), r6(worst).alias("mae"), F.round(A.seconds(when, F.col("open_time")), 3).alias("seconds_to_mfe"))
 
 
 @query(
@@ -139,31 +142,22 @@ def j10_active_before(spark, sf):
 
 @query(
     "j11_flat_minutes",
-    WITH + """, s AS (SELECT * FROM ledger WHERE user_id % 10 = 3 AND close_time <= open_time + INTERVAL '12 hours')
-SELECT t.symbol, t.event_id FROM ticks t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.symbol = t.symbol AND t.ts >= s.open_time AND t.ts < s.close_time)""",
+    WITH + """SELECT t.symbol, t.event_id FROM ticks t WHERE NOT EXISTS (SELECT 1 FROM ledger s WHERE s.symbol = t.symbol AND t.ts >= s.open_time AND t.ts < s.close_time)""",
 )
 def j11_flat_minutes(spark, sf):
-    """Ticks outside all positions of a desk: anti join on half-open intervals."""
-    s = V.ledger(spark, sf).where("user_id % 10 = 3 and close_time <= open_time + interval 12 hours").select("symbol", "open_time", "close_time")
-    return A.within(V.ticks(spark, sf).select("symbol", "event_id", "ts"), s, on="symbol", ts="ts", start="open_time", end="close_time", how="left_anti", width=3 * 3600).select("symbol", "event_id")
-
-
-_PRED = ", pred AS (SELECT event_id AS p_id, symbol, ts AS p_ts, CASE WHEN user_id % 2 = 0 THEN 'Buy' ELSE 'Sell' END AS p_side FROM ticks WHERE k % 10 = 7)"
-
-
-def _predictions(spark, sf):
-    return V.ticks(spark, sf).where("k % 10 = 7").select(F.col("event_id").alias("p_id"), "symbol", F.col("ts").alias("p_ts"), F.when(F.col("user_id") % 2 == 0, "Buy").otherwise("Sell").alias("p_side"))
+    """Ticks outside all positions in their symbol: merged positions and an as-of join, whatever their length."""
+    return X.outside(V.ticks(spark, sf).select("symbol", "event_id", "ts"), V.ledger(spark, sf), on="symbol", ts="ts", start="open_time", end="close_time").select("symbol", "event_id")
 
 
 @query(
     "j14_tolerance_bands",
-    WITH + _PRED + """, m AS (SELECT l.ticket, p.p_id, abs(epoch_us(l.open_time) - epoch_us(p.p_ts)) AS d, l.side = p.p_side AS same FROM ledger l JOIN pred p ON l.symbol = p.symbol AND abs(epoch_us(l.open_time) - epoch_us(p.p_ts)) <= 7200000000),
+    WITH + """, m AS (SELECT l.ticket, p.p_id, abs(epoch_us(l.open_time) - epoch_us(p.p_ts)) AS d, l.side = p.p_side AS same FROM ledger l JOIN predictions p ON l.symbol = p.symbol AND abs(epoch_us(l.open_time) - epoch_us(p.p_ts)) <= 7200000000),
 b AS (SELECT * FROM (VALUES (1, 600.0), (2, 1800.0), (3, 3600.0), (4, 7200.0)) v(band, sec))
 SELECT b.band, count(DISTINCT m.ticket) AS trades, count(DISTINCT m.p_id) AS predictions, count(DISTINCT CASE WHEN same THEN m.ticket END) AS same_side FROM b LEFT JOIN m ON m.d <= b.sec * 1e6 GROUP BY 1""",
 )
 def j14_tolerance_bands(spark, sf):
     """Trades and predictions that have a partner within four tolerances; predictions may serve several trades."""
-    j = A.band(V.ledger(spark, sf).select("ticket", "symbol", "side", "open_time"), _predictions(spark, sf), on=["symbol"], left_ts="open_time", right_ts="p_ts", seconds_=7200)
+    j = A.band(V.ledger(spark, sf).select("ticket", "symbol", "side", "open_time"), V.predictions(spark, sf), on=["symbol"], left_ts="open_time", right_ts="p_ts", seconds_=7200)
     d = F.abs(A.seconds(F.col("open_time"), F.col("p_ts")))
     bands = F.filter(F.array(*[F.when(d <= s, F.lit(b)) for b, s in ((1, 600), (2, 1800), (3, 3600), (4, 7200))]), lambda x: x.isNotNull())
     j = j.withColumn("band", F.explode(bands))
@@ -172,13 +166,13 @@ def j14_tolerance_bands(spark, sf):
 
 @query(
     "j15_best_match",
-    WITH + _PRED + """, m AS (SELECT l.ticket, p.p_id, abs(epoch_us(l.open_time) - epoch_us(p.p_ts)) / 1e6 AS d, row_number() OVER (PARTITION BY l.ticket ORDER BY abs(epoch_us(l.open_time) - epoch_us(p.p_ts)), p.p_id) AS r FROM ledger l JOIN pred p ON l.symbol = p.symbol AND l.side = p.p_side AND abs(epoch_us(l.open_time) - epoch_us(p.p_ts)) <= 7200000000)
+    WITH + """, m AS (SELECT l.ticket, p.p_id, abs(epoch_us(l.open_time) - epoch_us(p.p_ts)) / 1e6 AS d, row_number() OVER (PARTITION BY l.ticket ORDER BY abs(epoch_us(l.open_time) - epoch_us(p.p_ts)), p.p_id) AS r FROM ledger l JOIN predictions p ON l.symbol = p.symbol AND l.side = p.p_side AND abs(epoch_us(l.open_time) - epoch_us(p.p_ts)) <= 7200000000)
 SELECT l.ticket, m.p_id, round(m.d, 6) AS distance, CASE WHEN d IS NULL THEN 'none' WHEN d <= 600 THEN 'exact' WHEN d <= 1800 THEN 'close' ELSE 'loose' END AS grade, coalesce(floor(d / 60) <= 30, false) AS within_30 FROM ledger l LEFT JOIN m ON l.ticket = m.ticket AND r = 1""",
 )
 def j15_best_match(spark, sf):
     """Nearest prediction of the same side within two hours, with a grade and the whole-minute test."""
     led = V.ledger(spark, sf).select("ticket", "symbol", "side", "open_time")
-    j = A.band(led, _predictions(spark, sf).withColumnRenamed("p_side", "side"), on=["symbol", "side"], left_ts="open_time", right_ts="p_ts", seconds_=7200)
+    j = A.band(led, V.predictions(spark, sf).withColumnRenamed("p_side", "side"), on=["symbol", "side"], left_ts="open_time", right_ts="p_ts", seconds_=7200)
     d = F.abs(A.seconds(F.col("open_time"), F.col("p_ts")))
     best = j.groupBy("ticket").agg(F.min(F.struct(d.alias("d"), "p_id")).alias("m"))
     out = led.select("ticket").join(best, "ticket", "left")
@@ -191,7 +185,7 @@ def j15_best_match(spark, sf):
 def j13_optimal_matching(spark, sf):
     """One-to-one matching of trades to predictions: most pairs first, then least time between them."""
     obs = V.ledger(spark, sf).select("symbol", "side", F.col("ticket").alias("o_id"), F.col("open_time").alias("o_ts"))
-    pred = _predictions(spark, sf).select("symbol", F.col("p_side").alias("side"), F.col("p_id").cast("string").alias("p_id"), "p_ts")
+    pred = V.predictions(spark, sf).select("symbol", F.col("p_side").alias("side"), F.col("p_id").cast("string").alias("p_id"), "p_ts")
     return M.match_one_to_one(obs, pred, on=["symbol", "side"], tolerance=1800)
 
 
@@ -199,7 +193,7 @@ def j13_optimal_matching(spark, sf):
 def j12_greedy_matching(spark, sf):
     """Trades in order take the nearest prediction that is left."""
     obs = V.ledger(spark, sf).select("symbol", "side", F.col("ticket").alias("o_id"), F.col("open_time").alias("o_ts"))
-    pred = _predictions(spark, sf).select("symbol", F.col("p_side").alias("side"), F.col("p_id").cast("string").alias("p_id"), "p_ts")
+    pred = V.predictions(spark, sf).select("symbol", F.col("p_side").alias("side"), F.col("p_id").cast("string").alias("p_id"), "p_ts")
     return M.match_one_to_one(obs, pred, on=["symbol", "side"], tolerance=1800, greedy=True)
 
 

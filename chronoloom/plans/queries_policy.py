@@ -48,7 +48,7 @@ def p05_noise(spark, sf):
     return t.groupBy((F.col("event_id") % 100).alias("grp")).agg(F.count("*").alias("n"), (F.abs(F.count_if("hit") / F.count("*") - 0.3) < 0.2).alias("plausible"))
 
 
-_EXIT = """, s AS (SELECT * FROM ledger WHERE close_time <= open_time + INTERVAL '24 hours'), p AS (SELECT s.ticket, t.ts, s.open_time, CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END AS move FROM s JOIN ticks t ON t.symbol = s.symbol AND t.ts > s.open_time AND t.ts <= s.open_time + INTERVAL '24 hours'),
+_EXIT = """, p AS (SELECT s.ticket, t.ts, s.open_time, CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END AS move FROM ledger s JOIN ticks t ON t.symbol = s.symbol AND t.ts > s.open_time AND t.ts <= s.open_time + INTERVAL '24 hours'),
 m AS (SELECT *, max(move) OVER (PARTITION BY ticket ORDER BY ts ROWS UNBOUNDED PRECEDING) AS best FROM p)"""
 
 
@@ -59,7 +59,7 @@ SELECT ticket, least(sl, tp, tr, tm) AS exit_ts, CASE WHEN least(sl, tp, tr, tm)
 )
 def p09_first_exit(spark, sf):
     """First exit of each entry over its ticks: stop before profit before trailing before time."""
-    s = V.ledger(spark, sf).where("close_time <= open_time + interval 24 hours").select("ticket", "symbol", "side", "price", "open_time", (F.col("open_time") + F.expr("interval 24 hours")).alias("until"))
+    s = V.ledger(spark, sf).select("ticket", "symbol", "side", "price", "open_time", (F.col("open_time") + F.expr("interval 24 hours")).alias("until"))
     j = A.within(V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), s, on="symbol", ts="ts", start="open_time", end="until", closed_end=True, width=6 * 3600).where("ts > open_time")
     j = j.withColumn("move", F.when(F.col("side") == "Buy", F.col("bid") - F.col("price")).otherwise(F.col("price") - F.col("ask")))
     j = j.withColumn("best", F.max("move").over(W.partitionBy("ticket").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)))
@@ -153,11 +153,18 @@ def p36_observation_grid(spark, sf):
     return j.groupBy("delay").agg(F.count("*").alias("n"), r6(F.avg(F.col("ask") - F.col("price"))).alias("mean_cost"))
 
 
-@query("p34_shift_placebo")
+@query(
+    "p34_shift_placebo",
+    WITH + """, m AS (SELECT p.symbol, s.s AS shift, 1704067200000000 + (epoch_us(p.p_ts) - 1704067200000000 + s.s * 129600000000) % 2592000000000 AS us FROM predictions p CROSS JOIN (SELECT unnest(range(20)) AS s) s),
+l AS (SELECT ticket, symbol, epoch_us(open_time) AS us FROM ledger), b AS (SELECT l.ticket, m.shift, l.us - m.us AS d FROM (SELECT * FROM l CROSS JOIN (SELECT unnest(range(20)) AS shift)) l ASOF JOIN m ON l.symbol = m.symbol AND l.shift = m.shift AND l.us >= m.us),
+f AS (SELECT l.ticket, m.shift, m.us - l.us AS d FROM (SELECT * FROM l CROSS JOIN (SELECT unnest(range(20)) AS shift)) l ASOF JOIN m ON l.symbol = m.symbol AND l.shift = m.shift AND l.us <= m.us),
+h AS (SELECT DISTINCT ticket, shift FROM (SELECT * FROM b UNION ALL SELECT * FROM f) WHERE d <= 1800000000)
+SELECT CAST(s.s AS INTEGER) AS shift, count(h.ticket) AS matched FROM (SELECT unnest(range(20)) AS s) s LEFT JOIN h ON h.shift = s.s GROUP BY 1""",
+)
 def p34_shift_placebo(spark, sf):
     """Matches within 30 minutes after shifting predictions around the sample, against the unshifted count."""
     led = V.ledger(spark, sf).select("ticket", "symbol", "open_time")
-    pred = V.ticks(spark, sf).where("k % 10 = 7").select("event_id", "symbol", "ts")
+    pred = V.predictions(spark, sf).select("symbol", F.col("p_ts").alias("ts"))
     start, span = 1704067200000000, 30 * 86400 * 1_000_000
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     moved = pred.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("p_ts", F.timestamp_micros(F.lit(start) + F.pmod(us - start + F.col("shift") * F.lit(span // 20), F.lit(span))).cast("timestamp_ntz"))
@@ -187,7 +194,7 @@ def p26_planted_families(spark, sf):
 def p33_casebook(spark, sf):
     """First misses of the matching, three per symbol."""
     obs = V.ledger(spark, sf).select("symbol", "side", F.col("ticket").alias("o_id"), F.col("open_time").alias("o_ts"))
-    pred = V.ticks(spark, sf).where("k % 10 = 7").select("symbol", F.when(F.col("user_id") % 2 == 0, "Buy").otherwise("Sell").alias("side"), F.col("event_id").cast("string").alias("p_id"), F.col("ts").alias("p_ts"))
+    pred = V.predictions(spark, sf).select("symbol", F.col("p_side").alias("side"), F.col("p_id").cast("string").alias("p_id"), "p_ts")
     return S.divergences(M.match_one_to_one(obs, pred, on=["symbol", "side"], tolerance=1800), "fn", 3, ["symbol"], F.col("o_id"))
 
 
@@ -209,7 +216,7 @@ def p27_rule_scores(spark, sf):
 )
 def p18_exit_grid(spark, sf):
     """Barrier pairs over all paths: first hits per parameter as conditional minima, the adverse side first at ties."""
-    s = V.ledger(spark, sf).where("close_time <= open_time + interval 24 hours").select("ticket", "symbol", "side", "price", "open_time", (F.col("open_time") + F.expr("interval 24 hours")).alias("until"))
+    s = V.ledger(spark, sf).select("ticket", "symbol", "side", "price", "open_time", (F.col("open_time") + F.expr("interval 24 hours")).alias("until"))
     j = A.within(V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), s, on="symbol", ts="ts", start="open_time", end="until", closed_end=True, width=6 * 3600).where("ts > open_time")
     j = j.withColumn("move", F.when(F.col("side") == "Buy", F.col("bid") - F.col("price")).otherwise(F.col("price") - F.col("ask")))
     sls = (5.0, 10.0, 20.0, 40.0)

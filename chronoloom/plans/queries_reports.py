@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.operators import asof as A
+from chronoloom.operators import paths as X
 from chronoloom.operators import series as S
 from chronoloom.plans import views as V
 from chronoloom.plans.views import WITH, r6
@@ -189,26 +190,29 @@ def j04_containing_bar(spark, sf):
 
 @query(
     "j08_nearest_errors",
-    WITH + """, p AS (SELECT symbol, ts FROM ticks WHERE k % 10 = 7), b AS (SELECT l.ticket, (epoch_us(l.open_time) - epoch_us(p.ts)) / 1e6 AS d FROM ledger l ASOF LEFT JOIN p ON l.symbol = p.symbol AND l.open_time >= p.ts), f AS (SELECT l.ticket, (epoch_us(p.ts) - epoch_us(l.open_time)) / 1e6 AS d FROM ledger l ASOF LEFT JOIN p ON l.symbol = p.symbol AND l.open_time <= p.ts)
+    WITH + """, p AS (SELECT DISTINCT symbol, p_ts AS ts FROM predictions), b AS (SELECT l.ticket, (epoch_us(l.open_time) - epoch_us(p.ts)) / 1e6 AS d FROM ledger l ASOF LEFT JOIN p ON l.symbol = p.symbol AND l.open_time >= p.ts), f AS (SELECT l.ticket, (epoch_us(p.ts) - epoch_us(l.open_time)) / 1e6 AS d FROM ledger l ASOF LEFT JOIN p ON l.symbol = p.symbol AND l.open_time <= p.ts)
 SELECT ticket, round(least(b.d, f.d), 6) AS error_seconds FROM b JOIN f USING (ticket)""",
 )
 def j08_nearest_errors(spark, sf):
     """Seconds to the nearest prediction."""
-    p = V.ticks(spark, sf).where("k % 10 = 7").select("symbol", F.col("ts").alias("p_ts"))
+    p = V.predictions(spark, sf).select("symbol", "p_ts").distinct()
     j = A.nearest(V.ledger(spark, sf).select("ticket", "symbol", "open_time"), p, on="symbol", left_ts="open_time", right_ts="p_ts", take=[])
     return j.select("ticket", r6(F.abs(A.seconds(F.col("open_time"), F.col("p_ts")))).alias("error_seconds"))
 
 
 @query(
     "a21_excursions_by_side",
-    WITH + """, s AS (SELECT l.ticket, any_value(side) AS side, any_value(pnl) AS pnl, max(CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END) AS mfe, min(CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END) AS mae FROM ledger l JOIN ticks t ON l.symbol = t.symbol AND t.ts >= l.open_time AND t.ts < l.close_time AND l.close_time <= l.open_time + INTERVAL '2 days' GROUP BY 1)
+    WITH + """, s AS (SELECT l.ticket, any_value(side) AS side, any_value(pnl) AS pnl, max(CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END) AS mfe, min(CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END) AS mae FROM ledger l JOIN ticks t ON l.symbol = t.symbol AND t.ts >= l.open_time AND t.ts < l.close_time GROUP BY 1)
 SELECT side, count(*) AS n, round(avg(mfe), 6) AS mean_mfe, round(avg(mae), 6) AS mean_mae, round(quantile_cont(mae, 0.05) FILTER (pnl < 0), 6) AS loss_mae_p05, round(quantile_cont(mfe, 0.95) FILTER (pnl > 0), 6) AS win_mfe_p95 FROM s GROUP BY 1""",
 )
 def a21_excursions_by_side(spark, sf):
-    led = V.ledger(spark, sf).where("close_time <= open_time + interval 2 days").select("ticket", "symbol", "side", "price", "pnl", "open_time", "close_time")
-    j = A.within(V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), led, on="symbol", ts="ts", start="open_time", end="close_time", width=6 * 3600)
-    move = F.when(F.col("side") == "Buy", F.col("bid") - F.col("price")).otherwise(F.col("price") - F.col("ask"))
-    s = j.groupBy("ticket", "side", "pnl").agg(F.max(move).alias("mfe"), F.min(move).alias("mae"))
+    """Excursions over the ticks in [open, close) by side, with tails of the losing and the winning trades."""
+    led = V.ledger(spark, sf).select("ticket", "symbol", "side", "price", "pnl", "open_time", "close_time")
+    x = X.interval_extremes(V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), led, on="symbol", key="ticket", start="open_time", end="close_time", high="bid", low="ask", closed_end=False)
+    buy = F.col("side") == "Buy"
+    best = F.when(buy, F.col("hi") - F.col("price")).otherwise(F.col("price") - F.col("lo"))
+    worst = F.when(buy, F.col("hi_low") - F.col("price")).otherwise(F.col("price") - F.col("lo_high"))
+    s = led.join(x, "ticket").select("side", "pnl", best.alias("mfe"), worst.alias("mae"))
     q = lambda x, p, c: r6(F.percentile(F.when(c, F.col(x)), F.lit(p)))
     return s.groupBy("side").agg(F.count("*").alias("n"), r6(F.avg("mfe")).alias("mean_mfe"), r6(F.avg("mae")).alias("mean_mae"), q("mae", 0.05, F.col("pnl") < 0).alias("loss_mae_p05"), q("mfe", 0.95, F.col("pnl") > 0).alias("win_mfe_p95"))
 
@@ -269,12 +273,12 @@ def s10_projection(spark, sf):
     return V.ticks(spark, sf).where("ts >= timestamp_ntz'2024-01-10 00:00:00' and ts < timestamp_ntz'2024-01-12 00:00:00'").groupBy("symbol").agg(F.count("*").alias("n"), r6(F.avg("spread")).alias("spread"))
 
 
-@query("s12_key_lookup", WITH + "SELECT t.event_id, round(t.mid, 6) AS mid FROM ticks t WHERE t.event_id % 97 = 0")
+@query("s12_key_lookup", WITH + "SELECT l.event_id, round(t.mid, 6) AS mid FROM ledger l JOIN ticks t ON t.event_id = l.event_id")
 def s12_key_lookup(spark, sf):
     """Features written once and looked up by key through a join."""
     path = shared(spark, "features")
     V.ticks(spark, sf).select("event_id", r6("mid").alias("mid")).write.parquet(path, compression="snappy")
-    keys = V.table(spark, sf, "events").where("event_id % 97 = 0").select("event_id")
+    keys = V.ledger(spark, sf).select("event_id")
     return keys.join(spark.read.parquet(path), "event_id").select("event_id", "mid")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.operators import asof as A
+from chronoloom.operators import paths as X
 from chronoloom.operators import windows_at as T
 from chronoloom.plans import views as V
 from chronoloom.plans.views import WITH, r6
@@ -83,7 +84,7 @@ def t09_multi_window(spark, sf):
 
 @query(
     "t12_trade_path",
-    WITH + """, s AS (SELECT * FROM ledger WHERE close_time <= open_time + INTERVAL '24 hours'), g AS (SELECT s.*, unnest(generate_series(open_time, close_time, INTERVAL '30 minutes')) AS gt FROM s),
+    WITH + """, g AS (SELECT s.*, unnest(generate_series(open_time, close_time, INTERVAL '30 minutes')) AS gt FROM ledger s),
 q AS (SELECT g.ticket, g.gt, g.open_time, g.side, g.price, t.bid, t.ask FROM g ASOF LEFT JOIN ticks t ON g.symbol = t.symbol AND g.gt >= t.ts),
 m AS (SELECT *, CASE WHEN side = 'Buy' THEN bid - price ELSE price - ask END AS move FROM q)
 SELECT ticket, round((epoch_us(gt) - epoch_us(open_time)) / 1e6, 3) AS age, round(move, 6) AS move, round(max(move) OVER w, 6) AS mfe, round(min(move) OVER w, 6) AS mae, round(max(move) OVER w - move, 6) AS giveback, round(move - lag(move, 2) OVER (PARTITION BY ticket ORDER BY gt), 6) AS momentum,
@@ -91,7 +92,7 @@ round((epoch_us(gt) - coalesce(epoch_us(lag(gt) OVER (PARTITION BY ticket ORDER
 )
 def t12_trade_path(spark, sf):
     """Path of each trade on a grid: move, running extremes, giveback, momentum, exact exposure."""
-    s = V.ledger(spark, sf).where("close_time <= open_time + interval 24 hours").select("ticket", "symbol", "side", "price", "open_time", F.explode(F.expr("sequence(open_time, close_time, interval 30 minutes)")).alias("at"))
+    s = V.ledger(spark, sf).select("ticket", "symbol", "side", "price", "open_time", F.explode(F.expr("sequence(open_time, close_time, interval 30 minutes)")).alias("at"))
     q = A.asof(s, V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), on="symbol", left_ts="at", right_ts="ts", take=["bid", "ask"])
     q = q.withColumn("move", F.when(F.col("side") == "Buy", F.col("bid") - F.col("price")).otherwise(F.col("price") - F.col("ask")))
     o = W.partitionBy("ticket").orderBy("at")
@@ -150,16 +151,15 @@ def c06_epochs(spark, sf):
 
 @query(
     "c08_risk_sets",
-    WITH + ", e AS (SELECT ticket, symbol, open_time FROM ledger WHERE user_id % 10 = 1), m AS (SELECT e.ticket, e.symbol, b.ts FROM e JOIN bars_1h b ON b.symbol = e.symbol AND CAST(b.ts AS DATE) = CAST(e.open_time AS DATE) AND b.ts <> date_trunc('hour', e.open_time)), f AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.symbol = m.symbol AND l.user_id % 10 = 1 AND m.ts >= l.open_time AND m.ts < l.close_time AND l.close_time <= l.open_time + INTERVAL '12 hours')) SELECT ticket, count(*) AS controls, min(ts) AS first_control, max(ts) AS last_control FROM f GROUP BY 1 HAVING count(*) >= 5",
+    WITH + ", e AS (SELECT ticket, user_id, symbol, open_time FROM ledger), m AS (SELECT e.ticket, e.user_id, b.ts FROM e JOIN bars_1h b ON b.symbol = e.symbol AND CAST(b.ts AS DATE) = CAST(e.open_time AS DATE) AND b.ts <> date_trunc('hour', e.open_time)), f AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.user_id = m.user_id AND m.ts >= l.open_time AND m.ts < l.close_time)) SELECT ticket, count(*) AS controls, min(ts) AS first_control, max(ts) AS last_control FROM f GROUP BY 1 HAVING count(*) >= 5",
 )
 def c08_risk_sets(spark, sf):
-    """Same-day control bars outside positions, strata of at least five."""
-    led = V.ledger(spark, sf).where("user_id % 10 = 1")
-    e = led.select("ticket", "symbol", "open_time", F.to_date("open_time").alias("day"))
+    """Same-day control bars outside the account's own positions, strata of at least five."""
+    led = V.ledger(spark, sf)
+    e = led.select("ticket", "user_id", "symbol", "open_time", F.to_date("open_time").alias("day"))
     b = V.bars_1h(spark, sf).select("symbol", "ts", F.to_date("ts").alias("day"))
-    m = e.join(b, ["symbol", "day"]).where(F.date_trunc("hour", "open_time").cast("timestamp_ntz") != F.col("ts")).select("ticket", "symbol", "ts")
-    busy = led.where("close_time <= open_time + interval 12 hours").select("symbol", F.col("open_time").alias("b_open"), F.col("close_time").alias("b_close"))
-    f = A.within(m, busy, on="symbol", ts="ts", start="b_open", end="b_close", how="left_anti", width=3 * 3600)
+    m = e.join(b, ["symbol", "day"]).where(F.date_trunc("hour", "open_time").cast("timestamp_ntz") != F.col("ts")).select("ticket", "user_id", "ts")
+    f = X.outside(m, led, on="user_id", ts="ts", start="open_time", end="close_time")
     return f.groupBy("ticket").agg(F.count("*").alias("controls"), F.min("ts").alias("first_control"), F.max("ts").alias("last_control")).where("controls >= 5")
 
 

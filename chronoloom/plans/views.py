@@ -26,7 +26,10 @@ ledger AS (
       ts AS open_time, lead(ts) OVER w AS close_time, 0.01 * (1 + k % 3) AS lot, mid AS price,
       CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END * (lead(mid) OVER w - mid) * (0.01 * (1 + k % 3)) * 100 AS pnl
     FROM ticks WHERE symbol = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-  WHERE close_time IS NOT NULL)
+  WHERE close_time IS NOT NULL),
+predictions AS (
+  SELECT event_id AS p_id, CASE user_id % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'view' END AS symbol,
+    ts AS p_ts, CASE WHEN user_id % 2 = 0 THEN 'Buy' ELSE 'Sell' END AS p_side FROM ticks WHERE symbol = 'signup')
 """
 
 
@@ -64,6 +67,16 @@ def bars_1h(spark, sf_dir: str) -> DataFrame:
     return bars(ticks(spark, sf_dir), "1 hour")
 
 
+def _traded():
+    return F.element_at(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), (F.col("user_id") % 5 + 1).cast("int"))
+
+
+def predictions(spark, sf_dir: str) -> DataFrame:
+    """A model's signals: p_id, symbol, p_ts, p_side."""
+    t = ticks(spark, sf_dir).where("symbol = 'signup'")
+    return t.select(F.col("event_id").alias("p_id"), _traded().alias("symbol"), F.col("ts").alias("p_ts"), F.when(F.col("user_id") % 2 == 0, "Buy").otherwise("Sell").alias("p_side"))
+
+
 def ledger(spark, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
@@ -71,10 +84,9 @@ def ledger(spark, sf_dir: str) -> DataFrame:
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     lot = F.lit(0.01) * (1 + F.col("k") % 3)
     sign = F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)
-    symbol = F.element_at(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), (F.col("user_id") % 5 + 1).cast("int"))
     out = t.select(
         "event_id", F.lpad(F.col("event_id").cast("string"), 8, "0").alias("ticket"), "user_id", F.when(F.col("user_id") % 2 == 0, "Buy").otherwise("Sell").alias("side"),
-        symbol.alias("symbol"), F.col("ts").alias("open_time"), F.lead("ts").over(w).alias("close_time"), lot.alias("lot"), F.col("mid").alias("price"),
+        _traded().alias("symbol"), F.col("ts").alias("open_time"), F.lead("ts").over(w).alias("close_time"), lot.alias("lot"), F.col("mid").alias("price"),
         (sign * (F.lead("mid").over(w) - F.col("mid")) * lot * 100).alias("pnl"),
     )
     return out.where("close_time is not null")
