@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,36 +18,61 @@ def unique_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_ok", ok).where("_ok is null").drop("_ok")
 
 
-def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Least-cost assignment of all rows to columns (rows <= columns): shortest augmenting paths with potentials."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match = np.zeros(m + 1, dtype=int)
-    for i in range(1, n + 1):
-        match[0] = i
-        j0 = 0
-        least = np.full(m + 1, np.inf)
-        way = np.zeros(m + 1, dtype=int)
-        used = np.zeros(m + 1, dtype=bool)
-        while True:
-            used[j0] = True
-            i0 = match[j0]
-            reduced = cost[i0 - 1] - u[i0] - v[1:]
-            better = (reduced < least[1:]) & ~used[1:]
-            least[1:][better] = reduced[better]
-            way[1:][better] = j0
-            j1 = int(np.argmin(np.where(used[1:], np.inf, least[1:]))) + 1
-            step = least[j1]
-            u[match[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
+def aligned(o: list[int], p: list[int], tolerance: int) -> list[tuple[int, int]]:
+    """Most pairs of ascending times within ``tolerance``, and among these the least total distance.
+
+    On a line, matches that cross can be uncrossed at no cost, so both sides are walked in order: the best of the first
+    i and j is that without the one, without the other, or with the two as a pair. Only j within the tolerance of i are
+    looked at, so memory and time are the number of such pairs.
+    """
+    pair = (min(len(o), len(p)) + 1) * tolerance + 1  # one more pair outweighs all distances
+    best, ranges, taken = [0], [], []
+    lo = hi = 0
+    for x in o:
+        while lo < len(p) and p[lo] < x - tolerance:
+            lo += 1
+        while hi < len(p) and p[hi] <= x + tolerance:
+            hi += 1
+        best += [best[-1]] * (max(lo, hi) + 1 - len(best))
+        how, before = bytearray(hi - lo), best[lo]
+        for j in range(lo, hi):
+            old, both = best[j + 1], before + pair - abs(x - p[j])
+            how[j - lo] = 2 if both >= old and both >= best[j] else 1 if best[j] > old else 0
+            best[j + 1], before = max(old, best[j], both), old
+        ranges.append((lo, hi))
+        taken.append(how)
+    out, j = [], len(p)
+    for i in range(len(o) - 1, -1, -1):
+        lo, hi = ranges[i]
+        j = min(j, hi)
+        while j > lo and taken[i][j - 1 - lo] == 1:
+            j -= 1
+        if j > lo and taken[i][j - 1 - lo] == 2:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def _find(link: list[int], i: int) -> int:
+    while link[i] != i:
+        link[i] = link[link[i]]
+        i = link[i]
+    return i
+
+
+def nearest_left(o: list[int], p: list[int], tolerance: int) -> list[tuple[int, int]]:
+    """Each of ``o`` in order takes the nearest of ``p`` that is left, within ``tolerance``; the earlier at equal distance."""
+    later, earlier = list(range(len(p) + 1)), list(range(len(p) + 1))  # links over those that are gone; earlier[i] is p[i - 1]
+    out = []
+    for i, x in enumerate(o):
+        at = bisect_left(p, x)
+        near = [j for j in (_find(earlier, at) - 1, _find(later, at)) if 0 <= j < len(p) and abs(p[j] - x) <= tolerance]
+        if near:
+            j = min(near, key=lambda j: (abs(p[j] - x), j))
+            j = _find(later, bisect_left(p, p[j]))  # the first of equal times
+            out.append((i, j))
+            later[j], earlier[j + 1] = j + 1, j
+    return out
 
 
 def match_one_to_one(observed: DataFrame, predicted: DataFrame, *, on: list[str], tolerance: float, greedy: bool = False) -> DataFrame:
@@ -72,7 +99,7 @@ def match_one_to_one(observed: DataFrame, predicted: DataFrame, *, on: list[str]
         rows: list[tuple] = []
         for s, e in zip(edges, edges[1:]):
             a, b = s + np.flatnonzero(seen[s:e]), s + np.flatnonzero(~seen[s:e])
-            pairs = _pairs(np.abs(us[a][:, None] - us[b][None, :]) / 1e6, tolerance, greedy)
+            pairs = (nearest_left if greedy else aligned)(us[a].tolist(), us[b].tolist(), int(tolerance * 1e6))
             rows += [("tp", o_ids[a[i]], p_ids[b[j]], abs(int(us[a[i]] - us[b[j]])) / 1e6) for i, j in pairs]
             rows += [("fn", o_ids[a[i]], None, None) for i in sorted(set(range(len(a))) - {i for i, _ in pairs})]
             rows += [("fp", None, p_ids[b[j]], None) for j in sorted(set(range(len(b))) - {j for _, j in pairs})]
@@ -85,26 +112,6 @@ def match_one_to_one(observed: DataFrame, predicted: DataFrame, *, on: list[str]
     return cut.groupBy(*on, F.floor(F.col("stretch") / 256)).applyInPandas(solve, f"{keys}, status string, o_id string, p_id string, seconds double")
 
 
-def _pairs(d: np.ndarray, tolerance: float, greedy: bool) -> list[tuple[int, int]]:
-    if not d.size:
-        return []
-    if greedy:
-        left, pairs = np.ones(d.shape[1], dtype=bool), []
-        for i in range(d.shape[0]):
-            row = np.where(left, d[i], np.inf)
-            j = int(row.argmin())
-            if row[j] <= tolerance:
-                pairs.append((i, j))
-                left[j] = False
-        return pairs
-    if d.shape[0] == 1 or d.shape[1] == 1:
-        j = int(d.argmin())
-        return [(0, j) if d.shape[0] == 1 else (j, 0)] if d.flat[j] <= tolerance else []
-    c = np.where(d <= tolerance, d, (tolerance + 1) * (min(d.shape) + 1))
-    got = assignment(c) if d.shape[0] <= d.shape[1] else [(i, j) for j, i in assignment(c.T)]
-    return [(i, j) for i, j in got if d[i, j] <= tolerance]
-
-
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """The ``k`` nearest of ``vectors`` to each of ``queries`` by Euclidean distance (ties by id), without itself.
 

@@ -1,7 +1,9 @@
 """Causal tick windows [t - L, t) with completeness: a feature is a value, a status and the latest input time.
 
-Targets and ticks are united per key and read by time-range frames, so a window is an ordered frame, not a pairwise
-join. The unit is microseconds; the target itself is outside its window by the frame's end, one microsecond before.
+Targets and ticks are united per key and time bucket and read by time-range frames, so a window is an ordered frame, not a
+pairwise join. A bucket is as wide as the window and holds the ticks of the one before as well, so a key with a third of
+all ticks is spread over its buckets. The unit is microseconds; the target itself is outside its window by the frame's
+end, one microsecond before. Windows of some seconds, read many ways, are arrays in the target's row instead.
 """
 
 from __future__ import annotations
@@ -17,6 +19,12 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def bucketed(us: Column, width: int, context: bool) -> Column:
+    """The bucket of a time, with the one after it if the row is to be ``context`` there."""
+    b = F.floor(us / F.lit(width)).cast("long")
+    return F.explode(F.array(b, b + 1)) if context else b
+
+
 def features(targets: DataFrame, ticks: DataFrame, *, on: str, at: str, lookback: float, slack: float) -> DataFrame:
     """Per target: return of the mid, tick rate, last spread, n, each observed only if the window is covered.
 
@@ -26,7 +34,9 @@ def features(targets: DataFrame, ticks: DataFrame, *, on: str, at: str, lookback
     none = lambda c: F.lit(None).cast(ticks.schema[c].dataType).alias(c)
     l = targets.select(F.struct("*").alias("_row"), F.col(on).alias("_on"), micros(F.col(at)).alias("_us"), none("ts"), none("bid"), none("ask"))
     r = ticks.select(F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(on).alias("_on"), micros(F.col("ts")).alias("_us"), "ts", "bid", "ask")
-    frame = W.partitionBy("_on").orderBy("_us").rangeBetween(-int(lookback * 1e6), -1)
+    width = int(lookback * 1e6)
+    l, r = l.withColumn("_b", bucketed(F.col("_us"), width, False)), r.withColumn("_b", bucketed(F.col("_us"), width, True))
+    frame = W.partitionBy("_on", "_b").orderBy("_us").rangeBetween(-width, -1)
     q = F.when(F.col("ts").isNotNull(), F.struct("ts", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), (F.col("ask") - F.col("bid")).alias("spread")))
     u = l.unionByName(r).withColumn("q", q)
     u = u.select("_row", F.first("q", ignorenulls=True).over(frame).alias("a"), F.last("q", ignorenulls=True).over(frame).alias("z"), F.count("q").over(frame).alias("n")).where(F.col("_row").isNotNull())
@@ -43,3 +53,98 @@ def assert_causal(df: DataFrame, at: str) -> DataFrame:
     """Fails at run time if an input is not before its decision."""
     ok = F.assert_true(F.col("max_input_time").isNull() | (F.col("max_input_time") < F.col(at)), F.lit("input at or after the decision"))
     return df.withColumn("_ok", ok).where("_ok is null").drop("_ok")
+
+
+def near(targets: DataFrame, ticks: DataFrame, *, on: str, key: str, at: str, lookback: float, inclusive: bool = False) -> DataFrame:
+    """(_key, _t, us and the ticks' columns) for every tick in the ``lookback`` seconds before a target (or at it): an equi
+    join on buckets of that width."""
+    width = max(1, int(lookback * 1e6))
+    r = ticks.withColumn("us", micros(F.col("ts"))).withColumn("_b", bucketed(F.col("us"), width, True)).drop("ts")
+    t = micros(F.col(at))
+    l = targets.select(F.col(key).alias("_key"), F.col(on), t.alias("_t"), bucketed(t, width, False).alias("_b"))
+    last = (F.col("us") <= F.col("_t")) if inclusive else (F.col("us") < F.col("_t"))
+    return l.join(r, [on, "_b"]).where((F.col("us") >= F.col("_t") - width) & last).drop("_b", on)
+
+
+def _diffs(a: Column) -> Column:
+    """Differences of neighbours of an array of numbers."""
+    n = F.size(a)
+    return F.when(n > 1, F.zip_with(F.slice(a, 1, F.greatest(n - 1, F.lit(0))), F.slice(a, 2, F.greatest(n - 1, F.lit(0))), lambda x, y: y - x)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _total(a: Column, f=lambda x: x) -> Column:
+    return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + f(x))
+
+
+def tick_vector(targets: DataFrame, ticks: DataFrame, *, on: str, key: str, at: str, last: float, short: float, long: float) -> DataFrame:
+    """The raw figures of each target over three nested windows before it, in integer price units (mid) and points (spread).
+
+    ``ticks``: ts, mid and spread as long. A target without ticks has nulls and a coverage of 0, never a zero return:
+    one without two ticks in the last window refers to the first tick of the short one, if it has any.
+    """
+    j = near(targets, ticks, on=on, key=key, at=at, lookback=long)
+    inside = lambda w: F.col("us") >= F.col("_t") - int(w * 1e6)
+    row = F.struct("us", "mid", "spread")
+    g = j.groupBy("_key", "_t").agg(
+        F.count("*").alias("n_long"), F.min("us").alias("first_us"), F.sum("spread").alias("spread_sum"), F.max(row).alias("now"),
+        F.sort_array(F.collect_list(F.when(inside(short), F.struct("us", "mid")))).alias("s"), F.count_if(inside(last)).alias("n_last"), F.min(F.when(inside(last), F.struct("us", "mid"))).alias("from_last"),
+    )
+    mids = F.col("s.mid")
+    n = F.size("s")
+    two = n >= 2
+    g = g.select(
+        F.col("_key").alias(key), "n_long", F.least(F.lit(1.0), (F.col("_t") - F.col("first_us")) / F.lit(long * 1e6)).alias("coverage"), F.col("now.spread").alias("spread_now"), (F.col("spread_sum") / F.col("n_long")).alias("mean_spread"),
+        n.alias("n_short"), F.when(two, F.abs(F.element_at(mids, -1) - F.get(mids, F.lit(0)))).alias("abs_move"), F.when(two, _total(_diffs(mids), F.abs)).alias("displacement"),
+        F.when(F.col("n_last") >= 2, F.col("now.mid") - F.col("from_last.mid")).when((F.col("n_last") == 1) & (n >= 1), F.col("now.mid") - F.get(mids, F.lit(0))).alias("ret_last"),
+    )
+    g = g.withColumns({"rate_short": F.col("n_short") / F.lit(float(short)), "rate_ratio": F.when(F.col("n_short") >= 2, (F.col("n_short") / F.lit(float(short))) / (F.col("n_long") / F.lit(float(long))))})
+    return targets.select(key, at).join(g, key, "left").withColumns({"coverage": F.coalesce("coverage", F.lit(0.0)), "hour": F.hour(at)}).drop(at)
+
+
+def rescaled(vector: DataFrame, baselines: DataFrame | None) -> DataFrame:
+    """Adds jump_z and spread_ratio: by the hour's ``std_move`` and ``spread`` (hour, std_move, spread; 1 where null or 0).
+
+    Without baselines, or for an hour that has none, jump_z is null and the spread is put in relation to its own window.
+    """
+    if baselines is None:
+        b = vector.withColumns({"std_move": F.lit(None).cast("double"), "base_spread": F.lit(None).cast("double"), "known": F.lit(False)})
+    else:
+        b = vector.join(baselines.select("hour", "std_move", F.col("spread").alias("base_spread"), F.lit(True).alias("known")), "hour", "left")
+    one = lambda c: F.when(F.col(c) != 0, F.col(c)).otherwise(1.0)
+    out = b.withColumn("jump_z", F.when(F.col("known"), F.col("abs_move") / one("std_move")))
+    own = F.col("spread_now") / F.when(F.col("mean_spread") != 0, F.col("mean_spread"))
+    return out.withColumn("spread_ratio", F.when(F.col("known"), F.col("spread_now") / one("base_spread")).otherwise(own)).drop("std_move", "base_spread", "known")
+
+
+def window_bundle(targets: DataFrame, ticks: DataFrame, *, on: str, key: str, at: str, windows: tuple[float, ...], legacy: bool = False) -> DataFrame:
+    """A row per target and window of ``windows`` seconds: 14 figures of the ticks in it, in the ticks' integer units.
+
+    Fewer than two ticks: zeros, and the spread of the last tick before the target. By default only ticks before the
+    target count and a target with none before it has nulls; ``legacy`` counts the tick at the target too and falls back to
+    the first later tick, which no decision could have known.
+    """
+    from chronoloom.operators.asof import asof
+
+    take = ["mid", "spread"]
+    base = asof(targets.select(key, on, at), ticks.select(on, F.col("ts").alias("entry_ts"), *take), on=on, left_ts=at, right_ts="entry_ts", take=take, exact=legacy)
+    if legacy:
+        later = asof(targets.select(key, on, at), ticks.select(on, F.col("ts").alias("later_ts"), F.col("mid").alias("l_mid"), F.col("spread").alias("l_spread")), on=on, left_ts=at, right_ts="later_ts", take=["l_mid", "l_spread"], forward=True)
+        base = base.join(later.select(key, "l_mid", "l_spread"), key).withColumns({"mid": F.coalesce("mid", "l_mid"), "spread": F.coalesce("spread", "l_spread")})
+    row = F.struct("us", "mid", "bid", "ask", "spread")
+    got = near(targets, ticks, on=on, key=key, at=at, lookback=max(windows), inclusive=legacy).groupBy("_key").agg(F.sort_array(F.collect_list(row)).alias("a"))
+    b = base.select(key, F.col("mid").alias("entry_mid"), F.col("spread").alias("entry_spread"), micros(F.col(at)).alias("_t"))
+    b = b.join(got.withColumnRenamed("_key", key), key, "left").withColumn("seconds", F.explode(F.array(*[F.lit(float(w)) for w in windows])))
+    since = F.col("_t") - (F.col("seconds") * 1e6).cast("long")
+    b = b.withColumn("a", F.filter(F.coalesce("a", F.array().cast(got.schema["a"].dataType)), lambda x: x["us"] >= since))
+    b = b.select("*", F.size("a").alias("n"), _diffs(F.col("a.mid")).alias("d"), _diffs(F.col("a.bid")).alias("db"), _diffs(F.col("a.ask")).alias("da"))
+    end = lambda c: F.element_at(f"a.{c}", -1) - F.get(f"a.{c}", F.lit(0))
+    middle = F.get("a.mid", F.floor(F.col("n") / 2).cast("int"))
+    m, s2, s1 = F.size("d"), _total(F.col("d"), lambda x: x * x), _total(F.col("d"))
+    zero = lambda c: F.when(F.col("n") >= 2, c).otherwise(F.lit(0))
+    return b.select(
+        key, "seconds", F.col("n").alias("tick_count"), zero(end("mid")).alias("ret_mid"), zero(end("bid")).alias("ret_bid"), zero(end("ask")).alias("ret_ask"), zero(F.abs(end("mid"))).alias("abs_move"),
+        zero(F.size(F.filter(F.zip_with("db", "da", lambda x, y: (x != 0) | (y != 0)), lambda x: x))).alias("quote_changes"), zero(F.size(F.filter("d", lambda x: x > 0))).alias("ups"), zero(F.size(F.filter("d", lambda x: x < 0))).alias("downs"),
+        zero(F.element_at("a.mid", -1) + F.get("a.mid", F.lit(0)) - 2 * middle).alias("acceleration"), F.when(m >= 2, F.sqrt((m * s2 - s1 * s1).cast("double")) / m).otherwise(0.0).alias("volatility"),
+        F.when(F.col("n") >= 2, _total(F.col("a.spread")) / F.col("n")).otherwise(F.col("entry_spread").cast("double")).alias("spread"), zero(end("spread")).alias("spread_change"),
+        zero(F.array_max("a.mid") - F.col("entry_mid")).alias("below_high"), zero(F.col("entry_mid") - F.array_min("a.mid")).alias("above_low"),
+    )

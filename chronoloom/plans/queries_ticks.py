@@ -37,49 +37,93 @@ SELECT event_id, round(mid / first_value(mid) OVER w - 1, 9) AS ret, round(max(m
 FROM d WINDOW w AS (PARTITION BY symbol ORDER BY epoch_us(ts) RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW)""",
 )
 def t06_tick_bundle(spark, sf):
-    """Features at a tick over the closed window that ends in it."""
-    o = W.partitionBy("symbol").orderBy("ts")
-    d = V.ticks(spark, sf).withColumn("dl", F.log("mid") - F.log(F.lag("mid").over(o)))
-    w = W.partitionBy("symbol").orderBy(T.micros(F.col("ts"))).rangeBetween(-7_200_000_000, 0)
+    """Features at a tick over the closed window that ends in it (T06); frames by symbol and stretch of the window's width."""
+    width = 7_200_000_000
+    t = V.ticks(spark, sf).select("event_id", "symbol", "mid", T.micros(F.col("ts")).alias("us")).withColumn("b", T.bucketed(F.col("us"), width, True))
+    o = W.partitionBy("symbol", "b").orderBy("us")
+    d = t.withColumn("dl", F.log("mid") - F.log(F.lag("mid").over(o)))
+    w = o.rangeBetween(-width, 0)
     first = F.first("dl").over(w)
     vol = F.sqrt(F.greatest(F.sum(F.col("dl") * F.col("dl")).over(w) - F.coalesce(first * first, F.lit(0.0)), F.lit(0.0)))
-    return d.select("event_id", F.round(F.col("mid") / F.first("mid").over(w) - 1, 9).alias("ret"), r6(F.max("mid").over(w) - F.min("mid").over(w)).alias("range_"), r6(vol).alias("vol"), F.count("*").over(w).alias("n"))
+    out = d.select("event_id", F.round(F.col("mid") / F.first("mid").over(w) - 1, 9).alias("ret"), r6(F.max("mid").over(w) - F.min("mid").over(w)).alias("range_"), r6(vol).alias("vol"), F.count("*").over(w).alias("n"), "us", "b")
+    return out.where(F.floor(F.col("us") / width) == F.col("b")).drop("us", "b")
+
+
+#: The survey's windows are of seconds; ticks of the tables are minutes apart, so all are so many times as long.
+_SCALE = 240
+_UNITS = """, u AS (SELECT symbol, ts, epoch_us(ts) AS us, CAST(round(mid * 100) AS BIGINT) AS mid, CAST(2 * round(mid * 100) AS BIGINT) - 1 - k % 10 AS bid, CAST(2 * round(mid * 100) AS BIGINT) + 1 + k % 10 AS ask, 1 + k % 10 AS spread FROM ticks)"""
+_VECTOR = _UNITS + f""", g AS (SELECT l.ticket, any_value(epoch_us(l.open_time)) AS t, any_value(hour(l.open_time)) AS hour, count(u.us) AS n_long, min(u.us) AS first_us, sum(u.spread) AS spread_sum, arg_max(u.spread, u.us) AS spread_now, arg_max(u.mid, u.us) AS now_mid,
+  list(u.mid ORDER BY u.us) FILTER (u.us >= epoch_us(l.open_time) - {30 * _SCALE * 1_000_000}) AS s, count(u.us) FILTER (u.us >= epoch_us(l.open_time) - {5 * _SCALE * 1_000_000}) AS n_last, arg_min(u.mid, u.us) FILTER (u.us >= epoch_us(l.open_time) - {5 * _SCALE * 1_000_000}) AS from_last
+  FROM ledger l LEFT JOIN u ON u.symbol = l.symbol AND u.ts < l.open_time AND u.us >= epoch_us(l.open_time) - {300 * _SCALE * 1_000_000} GROUP BY 1),
+v AS (SELECT ticket, hour, nullif(n_long, 0) AS n_long, coalesce(least(1.0, (t - first_us) / {300 * _SCALE}e6), 0) AS coverage, spread_now, spread_sum / n_long AS mean_spread, CASE WHEN n_long > 0 THEN coalesce(len(s), 0) END AS n_short, CASE WHEN len(s) >= 2 THEN abs(s[-1] - s[1]) END AS abs_move,
+  CASE WHEN len(s) >= 2 THEN list_sum(list_transform(range(2, len(s) + 1), lambda i: abs(s[i] - s[i - 1]))) END AS displacement, CASE WHEN n_last >= 2 THEN now_mid - from_last WHEN n_last = 1 AND len(s) >= 1 THEN now_mid - s[1] END AS ret_last FROM g),
+x AS (SELECT *, n_short / {30.0 * _SCALE} AS rate_short, CASE WHEN n_short >= 2 THEN n_short / {30.0 * _SCALE} / (n_long / {300.0 * _SCALE}) END AS rate_ratio FROM v)"""
+_VECTOR_OUT = "ticket, CAST(n_long AS BIGINT) AS n_long, round(coverage, 9) AS coverage, round(spread_now / 100.0, 6) AS spread_now, CAST(n_short AS INTEGER) AS n_short, round(abs_move / 100.0, 6) AS abs_move, round(displacement / 100.0, 6) AS displacement, round(ret_last / 100.0, 6) AS ret_last, round(rate_short, 9) AS rate_short, round(rate_ratio, 9) AS rate_ratio"
+
+
+def _units(spark, sf):
+    """Ticks with prices in integer cents (bid and ask in halves) and the spread in points."""
+    cents, points = F.round(F.col("mid") * 100).cast("long"), (1 + F.col("k") % 10).cast("long")
+    return V.ticks(spark, sf).select("symbol", "ts", cents.alias("mid"), (2 * cents - points).alias("bid"), (2 * cents + points).alias("ask"), points.alias("spread"))
+
+
+def _vector(spark, sf):
+    return T.tick_vector(V.ledger(spark, sf).select("ticket", "symbol", "open_time"), _units(spark, sf).select("symbol", "ts", "mid", "spread"), on="symbol", key="ticket", at="open_time", last=5 * _SCALE, short=30 * _SCALE, long=300 * _SCALE)
+
+
+def _vector_out(v):
+    per = lambda c: r6(F.col(c) / 100).alias(c)
+    return v.select("ticket", "n_long", F.round("coverage", 9).alias("coverage"), per("spread_now"), "n_short", per("abs_move"), per("displacement"), per("ret_last"), F.round("rate_short", 9).alias("rate_short"), F.round("rate_ratio", 9).alias("rate_ratio"), r6("jump_z").alias("jump_z"), r6("spread_ratio").alias("spread_ratio"))
+
+
+@query("t07_feature_vector", WITH + _VECTOR + f" SELECT {_VECTOR_OUT}, CAST(NULL AS DOUBLE) AS jump_z, round(spread_now / mean_spread, 6) AS spread_ratio FROM x")
+def t07_feature_vector(spark, sf):
+    """Eight figures over three nested causal windows, without baselines: jump_z is unavailable, not unscaled."""
+    return _vector_out(T.rescaled(_vector(spark, sf), None))
 
 
 @query(
-    "t07_feature_vector",
-    WITH + """, d AS (SELECT *, abs(mid - lag(mid) OVER (PARTITION BY symbol ORDER BY ts)) AS ad FROM ticks),
-w AS (SELECT l.ticket, count(t.ts) AS n_long, count(t.ts) FILTER (t.ts >= l.open_time - INTERVAL '1 hour') AS n_short, sum(t.ad) FILTER (t.ts >= l.open_time - INTERVAL '1 hour') AS disp, avg(t.spread) AS sp_mean, arg_max(t.spread, t.ts) AS sp_now, arg_max(t.mid, t.ts) AS last_mid, avg(t.mid) AS mean_mid, stddev_pop(t.mid) AS sd
-FROM ledger l LEFT JOIN d t ON t.symbol = l.symbol AND t.ts >= l.open_time - INTERVAL '6 hours' AND t.ts < l.open_time GROUP BY 1)
-SELECT ticket, n_long, n_short, round(disp, 6) AS displacement, round(n_short / nullif(n_long / 6.0, 0), 6) AS rate_ratio, round(sp_now / nullif(sp_mean, 0), 6) AS spread_ratio, round((last_mid - mean_mid) / nullif(sd, 0), 6) AS jump_z FROM w""",
+    "t08_rescaled_vector",
+    WITH + _VECTOR + f", b AS (SELECT hour, stddev_pop(abs_move) AS sd, avg(mean_spread) AS sp FROM x GROUP BY 1 HAVING count(*) > 1 AND hour <> 4) SELECT {_VECTOR_OUT}, round(CASE WHEN b.hour IS NOT NULL THEN abs_move / coalesce(nullif(sd, 0), 1.0) END, 6) AS jump_z, round(CASE WHEN b.hour IS NOT NULL THEN spread_now / coalesce(nullif(sp, 0), 1.0) ELSE spread_now / mean_spread END, 6) AS spread_ratio FROM x LEFT JOIN b ON b.hour = x.hour",
 )
-def t07_feature_vector(spark, sf):
-    """Jump, displacement, rate and spread ratios over nested windows, by two range frames."""
-    o = W.partitionBy("symbol").orderBy("ts")
-    d = V.ticks(spark, sf).withColumn("ad", F.abs(F.col("mid") - F.lag("mid").over(o))).select("symbol", T.micros(F.col("ts")).alias("us"), "mid", "spread", "ad", F.lit(None).cast("string").alias("ticket"))
-    l = V.ledger(spark, sf).select("symbol", T.micros(F.col("open_time")).alias("us"), *[F.lit(None).cast("double").alias(c) for c in ("mid", "spread", "ad")], "ticket")
-    w = W.partitionBy("symbol").orderBy("us")
-    long, short = w.rangeBetween(-6 * 3_600_000_000, -1), w.rangeBetween(-3_600_000_000, -1)
-    u = d.unionByName(l).select(
-        "ticket", F.count("mid").over(long).alias("n_long"), F.count("mid").over(short).alias("n_short"), F.sum("ad").over(short).alias("disp"), F.avg("spread").over(long).alias("sp_mean"), F.last("spread", True).over(long).alias("sp_now"),
-        F.last("mid", True).over(long).alias("last_mid"), F.avg("mid").over(long).alias("mean_mid"), F.stddev_pop("mid").over(long).alias("sd"),
-    ).where("ticket is not null")
-    return u.select("ticket", "n_long", "n_short", r6("disp").alias("displacement"), r6(F.expr("n_short / nullif(n_long / 6d, 0)")).alias("rate_ratio"), r6(F.expr("sp_now / nullif(sp_mean, 0)")).alias("spread_ratio"), r6(F.expr("(last_mid - mean_mid) / nullif(sd, 0)")).alias("jump_z"))
+def t08_rescaled_vector(spark, sf):
+    """The same put in relation to hourly baselines without reading a tick again; one hour has none."""
+    v = _vector(spark, sf)
+    b = v.groupBy("hour").agg(F.stddev_pop("abs_move").alias("std_move"), F.avg("mean_spread").alias("spread"), F.count("*").alias("c")).where("c > 1 and hour <> 4")
+    return _vector_out(T.rescaled(v, b))
+
+
+_WINDOWS = tuple(w * _SCALE for w in (0.25, 0.5, 1.0, 2.0, 3.0, 5.0, 10.0, 20.0, 30.0, 60.0))
+_BUNDLE = """, e AS (SELECT l.ticket, l.symbol, l.open_time, epoch_us(l.open_time) AS t, u.mid AS entry_mid, u.spread AS entry_spread FROM ledger l ASOF LEFT JOIN u ON u.symbol = l.symbol AND l.open_time > u.ts),
+w AS (SELECT e.ticket, v.w AS seconds, any_value(entry_mid) AS entry_mid, any_value(entry_spread) AS entry_spread, count(u.us) AS n, list(u.mid ORDER BY u.us) FILTER (u.us IS NOT NULL) AS m, list(u.bid ORDER BY u.us) FILTER (u.us IS NOT NULL) AS b, list(u.ask ORDER BY u.us) FILTER (u.us IS NOT NULL) AS a, list(u.spread ORDER BY u.us) FILTER (u.us IS NOT NULL) AS s
+  FROM e CROSS JOIN (SELECT unnest({windows}) AS w) v LEFT JOIN u ON u.symbol = e.symbol AND u.us < e.t AND u.us >= e.t - CAST(v.w * 1000000 AS BIGINT) GROUP BY 1, 2),
+d AS (SELECT *, list_transform(range(2, n + 1), lambda i: m[i] - m[i - 1]) AS d, list_transform(range(2, n + 1), lambda i: b[i] <> b[i - 1] OR a[i] <> a[i - 1]) AS q FROM w)"""
 
 
 @query(
     "t09_multi_window",
-    WITH + ", h AS (SELECT unnest([1, 2, 4, 8]) AS h), w AS (SELECT l.ticket, h.h, count(t.ts) AS n, avg(t.spread) AS sp, max(t.mid) - min(t.mid) AS rng FROM ledger l CROSS JOIN h LEFT JOIN ticks t ON t.symbol = l.symbol AND t.ts >= l.open_time - to_hours(CAST(h.h AS INTEGER)) AND t.ts < l.open_time GROUP BY 1, 2) SELECT ticket, CAST(h AS INTEGER) AS hours, n, round(coalesce(sp, 0), 6) AS spread, round(coalesce(rng, 0), 6) AS range_ FROM w",
+    WITH + _UNITS + _BUNDLE.replace("{windows}", str([float(w) for w in _WINDOWS])) + """ SELECT ticket, seconds, CAST(n AS INTEGER) AS tick_count, CASE WHEN n >= 2 THEN m[-1] - m[1] ELSE 0 END AS ret_mid, CASE WHEN n >= 2 THEN b[-1] - b[1] ELSE 0 END AS ret_bid, CASE WHEN n >= 2 THEN a[-1] - a[1] ELSE 0 END AS ret_ask, CASE WHEN n >= 2 THEN abs(m[-1] - m[1]) ELSE 0 END AS abs_move,
+CASE WHEN n >= 2 THEN CAST(len(list_filter(q, lambda x: x)) AS INTEGER) ELSE 0 END AS quote_changes, CASE WHEN n >= 2 THEN CAST(len(list_filter(d, lambda x: x > 0)) AS INTEGER) ELSE 0 END AS ups, CASE WHEN n >= 2 THEN CAST(len(list_filter(d, lambda x: x < 0)) AS INTEGER) ELSE 0 END AS downs, CASE WHEN n >= 2 THEN m[-1] + m[1] - 2 * m[n // 2 + 1] ELSE 0 END AS acceleration,
+round(CASE WHEN n >= 3 THEN sqrt(CAST((n - 1) * list_sum(list_transform(d, lambda x: x * x)) - list_sum(d) * list_sum(d) AS DOUBLE)) / (n - 1) ELSE 0 END, 6) AS volatility, CASE WHEN n >= 2 THEN CAST(list_sum(s) AS DOUBLE) / n ELSE entry_spread END AS spread, CASE WHEN n >= 2 THEN CAST(s[-1] - s[1] AS BIGINT) ELSE 0 END AS spread_change,
+CASE WHEN n >= 2 THEN list_max(m) - entry_mid ELSE 0 END AS below_high, CASE WHEN n >= 2 THEN entry_mid - list_min(m) ELSE 0 END AS above_low FROM d""",
 )
 def t09_multi_window(spark, sf):
-    """The same features over several windows; one widest join, the rest by conditions."""
-    led = V.ledger(spark, sf).select("ticket", "symbol", "open_time", (F.col("open_time") - F.expr("interval 8 hours")).alias("since"))
-    j = A.within(V.ticks(spark, sf).select("symbol", "ts", "mid", "spread"), led, on="symbol", ts="ts", start="since", end="open_time", width=4 * 3600)
-    age = A.seconds(F.col("open_time"), F.col("ts"))
-    aggs = [x for h in (1, 2, 4, 8) for x in (F.count_if(age <= h * 3600).alias(f"n{h}"), F.avg(F.when(age <= h * 3600, F.col("spread"))).alias(f"s{h}"), (F.max(F.when(age <= h * 3600, F.col("mid"))) - F.min(F.when(age <= h * 3600, F.col("mid")))).alias(f"r{h}"))]
-    g = led.select("ticket").join(j.groupBy("ticket").agg(*aggs), "ticket", "left")
-    rows = F.explode(F.array(*[F.struct(F.lit(h).alias("hours"), F.coalesce(f"n{h}", F.lit(0)).alias("n"), F.coalesce(f"s{h}", F.lit(0.0)).alias("s"), F.coalesce(f"r{h}", F.lit(0.0)).alias("r")) for h in (1, 2, 4, 8)]))
-    return g.select("ticket", rows.alias("x")).select("ticket", "x.hours", "x.n", r6("x.s").alias("spread"), r6("x.r").alias("range_"))
+    """Fourteen figures over ten windows before each entry, in integer units: cents, half cents and points."""
+    b = T.window_bundle(V.ledger(spark, sf).select("ticket", "symbol", "open_time"), _units(spark, sf), on="symbol", key="ticket", at="open_time", windows=_WINDOWS)
+    return b.withColumn("volatility", r6("volatility"))
+
+
+_HALVES = tuple(w * _SCALE for w in (1, 3, 5, 10, 30, 60))
+
+
+@query(
+    "t10_half_split",
+    WITH + _UNITS + _BUNDLE.replace("{windows}", str([float(w) for w in _HALVES])) + """ SELECT ticket, seconds, CAST(n AS INTEGER) AS tick_count, CASE WHEN n >= 2 THEN m[-1] - m[1] ELSE 0 END AS ret_mid, CASE WHEN n >= 2 THEN CAST(list_sum(s) AS DOUBLE) / n ELSE entry_spread END AS spread, CASE WHEN n >= 2 THEN CAST(len(list_filter(d, lambda x: x > 0)) - len(list_filter(d, lambda x: x < 0)) AS INTEGER) ELSE 0 END AS net_ups, CASE WHEN n >= 2 THEN m[-1] + m[1] - 2 * m[n // 2 + 1] ELSE 0 END AS acceleration FROM d""",
+)
+def t10_half_split(spark, sf):
+    """Five figures over six windows, the acceleration between the two halves of the ticks."""
+    b = T.window_bundle(V.ledger(spark, sf).select("ticket", "symbol", "open_time"), _units(spark, sf), on="symbol", key="ticket", at="open_time", windows=_HALVES)
+    return b.select("ticket", "seconds", "tick_count", "ret_mid", "spread", (F.col("ups") - F.col("downs")).alias("net_ups"), "acceleration")
 
 
 @query(

@@ -102,13 +102,40 @@ def test_matching_fixtures(spark):
     assert {r.status: r["count"] for r in got} == {"tp": 1, "fp": 2}
 
 
-def test_assignment_against_brute_force():
-    rng = np.random.default_rng(4)
-    for n, m in ((1, 1), (2, 4), (4, 4), (5, 6)):
-        for _ in range(20):
-            c = rng.integers(0, 30, (n, m)).astype(float)
-            got = sum(c[i, j] for i, j in matching.assignment(c))
-            assert got == min(sum(c[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+def test_alignment_against_brute_force():
+    import itertools
+    import random
+
+    from chronoloom.operators import matching as M
+
+    def best(o, p, tol):
+        for k in range(min(len(o), len(p)), 0, -1):
+            costs = [sum(abs(o[i] - p[j]) for i, j in zip(a, b)) for a in itertools.combinations(range(len(o)), k) for b in itertools.permutations(range(len(p)), k) if all(abs(o[i] - p[j]) <= tol for i, j in zip(a, b))]
+            if costs:
+                return k, min(costs)
+        return 0, 0
+
+    def greedy(o, p, tol):
+        free, out = set(range(len(p))), []
+        for i, x in enumerate(o):
+            near = [j for j in free if abs(p[j] - x) <= tol]
+            if near:
+                j = min(near, key=lambda j: (abs(p[j] - x), j))
+                free.remove(j)
+                out.append((i, j))
+        return out
+
+    rng = random.Random(5)
+    for _ in range(300):
+        o, p = (sorted(rng.randrange(30) for _ in range(rng.randrange(0, 6))) for _ in range(2))
+        tol = rng.randrange(0, 8)
+        got = M.aligned(o, p, tol)
+        assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+        assert (len(got), sum(abs(o[i] - p[j]) for i, j in got)) == best(o, p, tol)
+    for _ in range(300):
+        o, p = (sorted(rng.randrange(200) for _ in range(rng.randrange(0, 60))) for _ in range(2))
+        tol = rng.randrange(0, 40)
+        assert M.nearest_left(o, p, tol) == greedy(o, p, tol)
 
 
 def test_conditions(spark):
