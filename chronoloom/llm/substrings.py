@@ -9,7 +9,7 @@ so a repeated window always shows as two anchors whose surroundings agree for at
    windows there are repeats. What is left, one anchor for each surrounding, goes on. 128-grams with more than ``HOT``
    surroundings (a passage that a share of all texts have) go another way, below.
 2. Each task sorts the suffixes at its anchors into runs, front-coded: a suffix is written as the length of its common
-   prefix with the one before and the rest. The runs are exchanged by ranges of the 128-gram's hash and combined by a
+   prefix with the one before and the rest. The runs are exchanged by bucket of the 128-gram and combined by a
    loser tree that keeps, for every loser, the prefix it shares with the winner: known prefixes are not compared again.
 3. The merge yields the suffixes in order with their common prefixes. A window that begins ``a`` bytes before the anchor
    is a repeat if another suffix agrees for 400 - a bytes and the text before it for ``a``; the least and the largest
@@ -286,6 +286,11 @@ def reaches(group: list[tuple[int, Suffix]]) -> Iterator[tuple[int | None, int,
         yield *row, place, LENGTH - far[left_rank[i]], a
 
 
+def _bucket(gram: int, buckets: int) -> int:
+    """An anchor's hash is the least of many, so it lies low; multiplied, it is even."""
+    return ((gram * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) * buckets) >> 64
+
+
 def _stretch(j: int) -> tuple[int, int]:
     """First and last ``a`` of a stretch: windows that begin so many bytes before the anchor."""
     return j * (REACH + 1) // STRETCHES, (j + 1) * (REACH + 1) // STRETCHES - 1
@@ -309,7 +314,7 @@ def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         held.sort(key=lambda s: s[0])
         by: dict[int, list[Suffix]] = {}
         for s in held:
-            by.setdefault(int.from_bytes(s[0][:8], "big") * buckets >> 64, []).append(s)
+            by.setdefault(_bucket(int.from_bytes(s[0][:8], "big"), buckets), []).append(s)
         return pa.RecordBatch.from_pylist([{"bucket": b, "run": encode(r)} for b, r in by.items()], schema=_SENT_TYPES)
 
     for batch in slices(batches):
