@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def fold(df: DataFrame, *, key: str, order: str, start: Callable[[], dict], step: Callable[[dict, tuple], list[tuple]], schema: str) -> DataFrame:
+def fold(df: DataFrame, *, key: str, order: str | list[str], start: Callable[[], dict], step: Callable[[dict, tuple], list[tuple]], schema: str) -> DataFrame:
     """``step(state, row)`` for each row of a key in ``order``; the tuples that it returns are the rows of the result.
 
     Rows arrive sorted by the shuffle, so a task holds a batch and one state, whatever a key's number of rows.
@@ -25,7 +25,7 @@ def fold(df: DataFrame, *, key: str, order: str, start: Callable[[], dict], step
                 out += step(state, row)
             yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *([order] if isinstance(order, str) else order)).mapInPandas(run, schema)
 
 
 def session_machine(hold: int, cooldown: int) -> tuple[Callable, Callable]:

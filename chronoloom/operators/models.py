@@ -136,3 +136,130 @@ def ridge_folds(rows: DataFrame, folds: int = 3) -> DataFrame:
         a = m.transform(test).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("mae"), F.avg(F.abs(F.col("y") - F.lit(med))).alias("mae_median")).select(F.lit(i).alias("fold"), "*")
         out = a if out is None else out.unionByName(a)
     return out
+
+
+def weighted_logistic(rows: DataFrame, folds: int = 3) -> DataFrame:
+    """(fold, penalty, bits, used): logistic models of label with weights ``w`` on expanding folds, for L2, elastic-net and
+    L1 penalties; features are scaled by the fit, ``bits`` are per weighted event and against none."""
+    h = F.col("hour") * (2 * np.pi / 24)
+    x = VectorAssembler(inputCols=["mid", "spread", "hs", "hc"], outputCol="features").transform(rows.withColumns({"hs": F.sin(h), "hc": F.cos(h)}))
+    out = []
+    for i in range(folds):
+        cut = 12 + 6 * i
+        train, test = x.where(F.col("day") <= cut), x.where((F.col("day") > cut) & (F.col("day") <= cut + 6))
+        for name, net in (("l2", 0.0), ("elastic_net", 0.5), ("l1", 1.0)):
+            m = LogisticRegression(weightCol="w", regParam=0.001, elasticNetParam=net, maxIter=40, standardization=True).fit(train)
+            s = m.transform(test).select("label", "w", vector_to_array("probability")[1].alias("p"))
+            p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("p")))
+            bits = s.agg((F.sum(F.col("w") * (F.col("label") * F.log(p) + (1 - F.col("label")) * F.log(1 - p))) / F.sum(F.col("w") * F.col("label")) / np.log(2)).alias("bits"))
+            out.append(bits.select(F.lit(i).alias("fold"), F.lit(name).alias("penalty"), F.round("bits", 4).alias("bits"), F.lit(int(np.count_nonzero(np.abs(m.coefficients.toArray()) > 1e-9))).alias("used")))
+    total = out[0]
+    for o in out[1:]:
+        total = total.unionByName(o)
+    return total
+
+
+def exit_risk(ledger: DataFrame, cap: int = 60, width_us: int = 7_200_000_000) -> DataFrame:
+    """(day, side, age, at_risk, exits): trades by day of entry, still open at each age of ``width_us``; the last age is censored.
+
+    A trade is one number, its last age; at risk at an age are all whose last age is as great, so trades are counted by
+    last age first and only those counts are spread over the ages before.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    last = F.least(F.floor((us("close_time") - us("open_time")) / width_us).cast("int"), F.lit(cap))
+    n = ledger.groupBy(F.dayofmonth("open_time").alias("day"), "side", last.alias("last")).agg(F.count("*").alias("n"))
+    a = n.withColumn("age", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return a.groupBy("day", "side", "age").agg(F.sum("n").alias("at_risk"), F.sum(F.when((F.col("age") == F.col("last")) & (F.col("last") < cap), F.col("n")).otherwise(0)).alias("exits"))
+
+
+def exit_hazard(risk: DataFrame, train_to: int = 15, inner_to: int = 10) -> DataFrame:
+    """(model, setting, n, exits, expected, bits) on days after ``train_to``: constant, logistic and spline Poisson hazards of exit by age.
+
+    The logistic penalty is the one that is best on the days after ``inner_to`` when fitted before; knots of the natural
+    spline are quantiles of the training exits' ages. The cells are few, so the fits read counts, not trades.
+    """
+    cells = risk.groupBy("day", "side", "age").agg(F.sum("at_risk").alias("at_risk"), F.sum("exits").alias("exits"))
+    sum_of = lambda d: d.groupBy("side", "age").agg(F.sum("at_risk").cast("double").alias("at_risk"), F.sum("exits").cast("double").alias("exits"))
+    train, test, inner, outer = (sum_of(cells.where(c)) for c in (F.col("day") <= train_to, F.col("day") > train_to, F.col("day") <= inner_to, (F.col("day") > inner_to) & (F.col("day") <= train_to)))
+    q = train.select(F.percentile("age", F.array(*map(F.lit, (0.05, 0.35, 0.65, 0.95))), F.col("exits").cast("int")).alias("q")).first()["q"]  # four numbers
+    x = F.col("age").cast("double")
+    cube = lambda k: F.pow(F.greatest(x - float(k), F.lit(0.0)), 3) / float(q[-1] - q[0] + 1e-9) ** 2
+    tail = lambda k: (cube(k) - cube(q[-1])) / float(q[-1] - k + 1e-9)
+    spline = {f"s{i}": tail(k) - tail(q[-2]) for i, k in enumerate(q[:-2])}
+    made = VectorAssembler(inputCols=["la", "buy", *spline], outputCol="features")
+    with_x = lambda d: made.transform(d.withColumns({"la": F.log1p(x), "buy": (F.col("side") == "Buy").cast("double"), **spline}))
+
+    def bits(d: DataFrame, p) -> DataFrame:
+        p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+        ll = F.sum(F.col("exits") * F.log(p) + (F.col("at_risk") - F.col("exits")) * F.log(1 - p))
+        return d.agg(F.sum("at_risk").alias("n"), F.sum("exits").alias("exits"), F.sum(F.col("at_risk") * p).alias("expected"), (ll / F.sum("exits") / np.log(2)).alias("bits"))
+
+    def logistic(d: DataFrame, c: float):
+        hit = with_x(d).withColumn("l", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("exits").alias("w")), F.struct(F.lit(0.0).alias("label"), (F.col("at_risk") - F.col("exits")).alias("w")))))
+        return LogisticRegression(weightCol="w", regParam=c, maxIter=50).fit(hit.select("features", "l.*").where("w > 0"))
+
+    score = lambda m, d: bits(m.transform(with_x(d)), vector_to_array("probability")[1])
+    grid = {c: score(logistic(inner, c), outer).first()["bits"] for c in (1e-4, 1e-3, 1e-2)}
+    best = max(grid, key=lambda c: (grid[c] is not None, grid[c]))
+    rate = train.agg(F.sum("exits") / F.sum("at_risk")).first()[0]
+    g = GeneralizedLinearRegression(family="poisson", link="log", offsetCol="o", labelCol="exits", maxIter=50).fit(with_x(train).withColumn("o", F.log("at_risk")))
+    poisson = bits(g.transform(with_x(test).withColumn("o", F.log("at_risk"))), F.col("prediction") / F.col("at_risk"))
+    rows = [("constant", "", bits(test, F.lit(float(rate)))), ("logistic", f"penalty {best:g}", score(logistic(train, best), test)), ("spline_poisson", f"knots {', '.join(f'{k:g}' for k in q)}", poisson)]
+    out = None
+    for model, setting, d in rows:
+        d = d.select(F.lit(model).alias("model"), F.lit(setting).alias("setting"), "n", "exits", F.round("expected", 4).alias("expected"), F.round("bits", 4).alias("bits"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def stratified_fit(d: DataFrame, features: list[str], l2: float, steps: int = 4) -> np.ndarray:
+    """Coefficients of a conditional logit of ``y`` within (symbol, day); strata may hold several cases. Each Newton step is one aggregate."""
+    beta = np.zeros(len(features))
+    for _ in range(steps if features else 0):
+        s = _stratum_sums(d, features, beta)
+        n = len(features)
+        g = [F.sum(F.col(f"y{i}") - F.col("c") * F.col(f"m{i}") / F.col("z")).alias(f"g{i}") for i in range(n)]
+        h = [F.sum(F.col("c") * (F.col(f"m{i}_{j}") / F.col("z") - F.col(f"m{i}") * F.col(f"m{j}") / (F.col("z") * F.col("z")))).alias(f"h{i}_{j}") for i in range(n) for j in range(i, n)]
+        r = s.agg(*g, *h).first()  # one row of sums
+        grad = np.array([r[f"g{i}"] or 0.0 for i in range(n)]) - l2 * beta
+        hess = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]) + l2 * np.eye(n)
+        beta = beta + np.linalg.solve(hess, grad)
+    return beta
+
+
+def _stratum_sums(d: DataFrame, features: list[str], beta: np.ndarray) -> DataFrame:
+    eta = F.lit(0.0)
+    for b, x in zip(beta, features, strict=True):
+        eta = eta + F.lit(float(b)) * F.col(x)
+    e = d.withColumn("e", F.exp(eta)).withColumn("eta", eta)
+    n = range(len(features))
+    sums = [F.sum(F.col("e") * F.col(features[i])).alias(f"m{i}") for i in n] + [F.sum(F.col("e") * F.col(features[i]) * F.col(features[j])).alias(f"m{i}_{j}") for i in n for j in n if j >= i]
+    return e.groupBy("symbol", "day").agg(F.sum("e").alias("z"), F.sum("y").alias("c"), F.sum(F.col("y") * F.col("eta")).alias("ye"), F.count("*").alias("k"), *sums, *[F.sum(F.col("y") * F.col(features[i])).alias(f"y{i}") for i in n])
+
+
+def ladder(rows: DataFrame, models: list[list[str]], *, train_to: int = 18, inner_to: int = 12, grid: tuple[float, ...] = (0.1, 10.0)) -> DataFrame:
+    """(model, features, penalty, cases, ll, gain) of nested conditional logits on the days after ``train_to``.
+
+    Features are standardised by the days that teach; the penalty is the one that does best after ``inner_to`` when fitted
+    before it, later days never choosing for earlier ones. Rows: symbol, day, d (day number), y and the features.
+    """
+    names = sorted({x for m in models for x in m})
+
+    def scaled(data: DataFrame, by: DataFrame) -> DataFrame:
+        z = by.agg(*[x for c in names for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()  # two numbers a feature
+        return data.withColumns({c: (F.col(c) - float(z[f"m_{c}"])) / float(z[f"s_{c}"] or 1.0) for c in names})
+
+    def ll(d: DataFrame, features: list[str], beta: np.ndarray):
+        return _stratum_sums(d, features, beta).agg(F.sum(F.col("ye") - F.col("c") * F.log("z")).alias("ll"), F.sum(-F.col("c") * F.log("k")).alias("null_ll"), F.sum("c").alias("cases")).first()
+
+    first, second, train, test = (rows.where(c) for c in (F.col("d") <= inner_to, (F.col("d") > inner_to) & (F.col("d") <= train_to), F.col("d") <= train_to, F.col("d") > train_to))
+    a, b = scaled(first, first).cache(), scaled(second, first).cache()
+    c, e = scaled(train, train).cache(), scaled(test, train).cache()
+    out = []
+    for i, features in enumerate(models):
+        best = max(grid, key=lambda g: ll(b, features, stratified_fit(a, features, g))["ll"]) if features else 0.0
+        r = ll(e, features, stratified_fit(c, features, best))
+        out.append((f"M{i}", ",".join(features), float(best), int(r["cases"]), round(r["ll"] / r["cases"], 6), round((r["ll"] - r["null_ll"]) / r["cases"], 6)))
+    for d in (a, b, c, e):
+        d.unpersist()
+    return rows.sparkSession.createDataFrame(out, "model string, features string, penalty double, cases long, ll double, gain double")

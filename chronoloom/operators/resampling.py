@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def uniform(*cols: Column) -> Column:
-    return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+def uniform(*cols: Column | str) -> Column:
+    """A number in (0, 1) drawn by the columns, from an MD5 digest that any engine can make."""
+    h = F.md5(F.concat_ws(":", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) * F.lit(2.0**-52)
+
+
+def uniform_sql(*cols: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws(':', {', '.join(cols)})), 1, 13))::BIGINT + 0.5) * {2.0**-52!r})"
 
 
 def bootstrap_mean(df: DataFrame, key: str, cluster: str, x: str, replicates: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -137,16 +139,30 @@ def h19_discordant_pairs(spark, sf):
     return c.agg(F.count_if(F.col("a") & ~F.col("b")).alias("b"), F.count_if(F.col("b") & ~F.col("a")).alias("c"), F.count("*").alias("pairs"))
 
 
-@query("h01_bootstrap")
+_CDF = [0.36787944117144233 * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+@query(
+    "h01_bootstrap",
+    WITH + f""", c AS (SELECT symbol, CAST(open_time AS DATE) AS day, sum(pnl) AS s, count(pnl) AS n FROM ledger GROUP BY 1, 2), u AS (SELECT c.*, r, {R.uniform_sql("r", "symbol", "day")} AS u FROM c CROSS JOIN (SELECT unnest(range(1, 201)) AS r)),
+m AS (SELECT symbol, r, sum(s * w) / sum(n * w) AS m FROM (SELECT *, {' + '.join(f'(u > {x!r})::INTEGER' for x in _CDF)} AS w FROM u) GROUP BY 1, 2),
+q AS (SELECT symbol, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) SELECT symbol, round(sum(s) / sum(n), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM c JOIN q USING (symbol) GROUP BY 1""",
+)
 def h01_bootstrap(spark, sf):
     """Day-cluster bootstrap interval of the mean result (H01): Poisson weights by hash, one pass for all replicates."""
-    return R.bootstrap_mean(V.ledger(spark, sf).withColumn("day", F.to_date("open_time")), "symbol", "day", "pnl", 200)
+    m = R.bootstrap_mean(V.ledger(spark, sf).withColumn("day", F.to_date("open_time")), "symbol", "day", "pnl", 200)
+    return m.select("symbol", r6("mean").alias("mean"), r6("low").alias("low"), r6("high").alias("high"))
 
 
-@query("h02_permutation")
+@query(
+    "h02_permutation",
+    WITH + f""", d AS (SELECT symbol, event_id, (side = 'Buy')::INTEGER AS y, pnl AS x, avg((side = 'Buy')::INTEGER) OVER (PARTITION BY symbol) AS share FROM ledger), u AS (SELECT symbol, r, x, CASE WHEN r = 0 THEN y ELSE ({R.uniform_sql("r", "event_id")} < share)::INTEGER END AS y FROM d CROSS JOIN (SELECT unnest(range(200)) AS r)),
+m AS (SELECT symbol, r, avg(x) FILTER (y = 1) - avg(x) FILTER (y = 0) AS d FROM u GROUP BY 1, 2) SELECT m.symbol, round(any_value(o.d), 6) AS difference, round((1 + count(*) FILTER (abs(m.d) >= abs(o.d))) / (1.0 + count(m.d)), 6) AS p_value FROM m JOIN m o ON o.symbol = m.symbol AND o.r = 0 WHERE m.r > 0 GROUP BY 1""",
+)
 def h02_permutation(spark, sf):
     """Permutation p-value of the difference of means, labels shuffled within symbols (H02, H13, H14, SM3)."""
-    return R.permutation_difference(V.ledger(spark, sf), "symbol", F.col("side") == "Buy", "pnl", "event_id", 199)
+    m = R.permutation_difference(V.ledger(spark, sf), "symbol", F.col("side") == "Buy", "pnl", "event_id", 199)
+    return m.select("symbol", r6("difference").alias("difference"), r6("p_value").alias("p_value"))
 
 
 @query(
@@ -272,19 +288,23 @@ def m11_mixture(spark, sf):
 
 @query(
     "m03_self_exciting",
-    WITH.replace("WITH ", "WITH RECURSIVE ", 1) + ", n AS (SELECT symbol, event_id, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM ticks WHERE ts < TIMESTAMP '2024-01-04'), e AS (SELECT symbol, event_id, ts, i, 0.0::DOUBLE AS y FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.event_id, n.ts, n.i, (e.y + 1) * exp(-0.0005 * (epoch_us(n.ts) - epoch_us(e.ts)) / 1e6) FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1) SELECT event_id, round(y, 6) AS excitation FROM e",
+    WITH + ", x AS (SELECT event_id, symbol, epoch_us(ts) AS us FROM ticks) SELECT a.event_id, round(coalesce(sum(exp(-0.0005 * (a.us - b.us) / 1e6)), 0), 6) AS excitation FROM x a LEFT JOIN x b ON b.symbol = a.symbol AND b.us < a.us GROUP BY 1",
 )
 def m03_self_exciting(spark, sf):
-    """Decaying excitation by earlier events, the state of self-exciting models (M03). The window of days is the SQL's, which recurses row by row."""
-    t = V.ticks(spark, sf).where("ts < timestamp_ntz'2024-01-04 00:00:00'")
-    return M.self_exciting(t.select("event_id", "symbol", "ts"), "symbol", 0.0005).select("event_id", r6("excitation").alias("excitation"))
+    """Decaying excitation by all earlier events, the state of self-exciting models."""
+    return M.self_exciting(V.ticks(spark, sf).select("event_id", "symbol", "ts"), "symbol", 0.0005).select("event_id", r6("excitation").alias("excitation"))
 
 
-@query("m12_outliers")
+@query(
+    "m12_outliers",
+    WITH + """, l AS (SELECT ticket, symbol, pnl, ln((epoch_us(close_time) - epoch_us(open_time)) / 1e6) AS d FROM ledger), m AS (SELECT symbol, quantile_cont(pnl, 0.5) AS mp, quantile_cont(d, 0.5) AS md FROM l GROUP BY 1),
+a AS (SELECT symbol, quantile_cont(abs(pnl - mp), 0.5) AS ap, quantile_cont(abs(d - md), 0.5) AS ad FROM l JOIN m USING (symbol) GROUP BY 1), s AS (SELECT l.*, greatest(abs(pnl - mp) / (1.4826 * nullif(ap, 0)), abs(d - md) / (1.4826 * nullif(ad, 0)), 0) AS score FROM l JOIN m USING (symbol) JOIN a USING (symbol)),
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, ticket) AS r FROM s) SELECT ticket, symbol, round(pnl, 6) AS pnl, round(d, 6) AS d, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 15""",
+)
 def m12_outliers(spark, sf):
     """Fifteen most unusual trades per symbol by robust z-scores."""
     led = V.ledger(spark, sf).select("ticket", "symbol", "pnl", F.log((F.unix_micros(F.col("close_time").cast("timestamp")) - F.unix_micros(F.col("open_time").cast("timestamp"))) / 1e6).alias("d"))
-    return M.robust_outliers(led, "symbol", ["pnl", "d"], 15)
+    return M.robust_outliers(led, "symbol", ["pnl", "d"], 15).select("ticket", "symbol", r6("pnl").alias("pnl"), r6("d").alias("d"), r6("score").alias("score"), "rank")
 
 
 @query("m13_segments")
@@ -302,16 +322,20 @@ def m18_holding_ridge(spark, sf):
     return M.ridge_folds(V.ledger(spark, sf).select(y.alias("y"), "lot", F.sin(h).alias("hs"), F.cos(h).alias("hc"), F.dayofmonth("open_time").alias("day")))
 
 
-@query("m21_power_curve")
+@query(
+    "m21_power_curve",
+    f"""WITH g AS (SELECT n, r, unnest(range(1, n + 1)) AS i FROM (SELECT unnest([50, 100, 200, 400, 800]) AS n) CROSS JOIN (SELECT unnest(range(1, 201)) AS r)), x AS (SELECT n, r, sqrt(-2 * ln({R.uniform_sql("1", "n", "r", "i")})) * cos(6.283185307179586 * {R.uniform_sql("2", "n", "r", "i")}) + 0.15 AS x FROM g),
+t AS (SELECT n, r, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t FROM x GROUP BY 1, 2) SELECT CAST(n AS INTEGER) AS n, round(avg((t > 1.96)::INTEGER), 6) AS power FROM t GROUP BY 1""",
+)
 def m21_power_curve(spark, sf):
     """Share of replicates in which a planted effect passes, by sample size."""
-    return R.power_curve(spark, [50, 100, 200, 400, 800], 0.15, 200)
+    return R.power_curve(spark, [50, 100, 200, 400, 800], 0.15, 200).withColumn("power", r6("power"))
 
 
-@query("sm2_weighted_sample")
+@query("sm2_weighted_sample", WITH + f", r AS (SELECT ticket, symbol, lot, row_number() OVER (PARTITION BY symbol ORDER BY -ln({R.uniform_sql('9', 'ticket')}) / lot, ticket) AS r FROM ledger) SELECT ticket, symbol, round(lot, 6) AS lot FROM r WHERE r <= 50")
 def sm2_weighted_sample(spark, sf):
     """Fifty trades per symbol without replacement, chances by size: exponential keys by hash (SM2)."""
-    return R.weighted_sample(V.ledger(spark, sf).select("ticket", "symbol", "lot"), "symbol", "lot", "ticket", 50)
+    return R.weighted_sample(V.ledger(spark, sf).select("ticket", "symbol", "lot"), "symbol", "lot", "ticket", 50).withColumn("lot", r6("lot"))
 
 
 @query(
@@ -327,7 +351,13 @@ def sm1_downsample(spark, sf):
     return t.withColumn("r", r).join(F.broadcast(n), "symbol").where("r <= most").select("symbol", "event_id")
 
 
-@query("h16_burst_null")
+@query(
+    "h16_burst_null",
+    WITH + f""", t AS (SELECT symbol, event_id, epoch_us(ts) // 86400000000 AS day, epoch_us(ts) % 86400000000 AS at0 FROM ticks), r AS (SELECT symbol, event_id, day, r, CASE WHEN r = 0 THEN at0 ELSE CAST(floor({R.uniform_sql("r", "event_id")} * 86400000000) AS BIGINT) END AS at1 FROM t CROSS JOIN (SELECT unnest(range(51)) AS r)),
+n AS (SELECT *, coalesce(at1 - lag(at1) OVER (PARTITION BY symbol, day, r ORDER BY at1, event_id) > 1800000000, true) AS new FROM r), b AS (SELECT symbol, r, count(*) FILTER (new) / count(DISTINCT day)::DOUBLE AS b FROM n GROUP BY 1, 2)
+SELECT b.symbol, round(any_value(o.b), 6) AS bursts_per_day, round(avg(b.b), 6) AS expected, round((1 + count(*) FILTER (b.b <= o.b)) / (1.0 + count(*)), 6) AS p_value FROM b JOIN b o ON o.symbol = b.symbol AND o.r = 0 WHERE b.r > 0 GROUP BY 1""",
+)
 def h16_burst_null(spark, sf):
     """Bursts per day against random clocks of the same counts."""
-    return R.burst_null(V.ticks(spark, sf), 1800, 50)
+    b = R.burst_null(V.ticks(spark, sf), 1800, 50)
+    return b.select("symbol", *[r6(c).alias(c) for c in b.columns if c != "symbol"])

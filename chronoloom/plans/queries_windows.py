@@ -258,10 +258,27 @@ def w31_resample_day(spark, sf):
     return V.resample(V.bars_1h(spark, sf), "1 day").select("symbol", "ts", *[r6(c).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
-@query("w32_decision_panel", None)
+_C = "close - open AS body, abs(close - open) / nullif(high - low, 0) AS body_ratio, high - greatest(open, close) AS upper_wick, least(open, close) - low AS lower_wick"
+_KNOWN = ("body", "body_ratio", "upper_wick", "lower_wick", "tr", "sma_20", "ret_1", "ret_5", "atr_14", "vol_20", "ema_20", "rsi_14")
+
+
+@query(
+    "w32_decision_panel",
+    _RECURSIVE + ", " + _ema_sql(2 / 21, name="ye") + f""", rd AS (SELECT symbol, ts, close - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS d, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM bars_1h),
+ry AS (SELECT symbol, ts, i, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM rd WHERE i = 1 UNION ALL SELECT rd.symbol, rd.ts, rd.i, ry.g * (1 - 1 / 14.0) + greatest(rd.d, 0) / 14.0, ry.l * (1 - 1 / 14.0) + greatest(-rd.d, 0) / 14.0 FROM ry JOIN rd ON rd.symbol = ry.symbol AND rd.i = ry.i + 1),
+f0 AS (SELECT *, {_C}, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, close / lag(close) OVER w - 1 AS ret_1, close / lag(close, 5) OVER w - 1 AS ret_5 FROM bars_1h{_W}),
+f1 AS (SELECT *, {_full('avg(close)', 20)} AS sma_20, {_full('avg(tr)', 14)} AS atr_14, {_full('stddev_samp(ret_1)', 20, x='ret_1')} AS vol_20 FROM f0),
+f2 AS (SELECT f1.*, ye.y AS ema_20, CASE WHEN ry.i >= 14 THEN 100 - 100 / (1 + ry.g / nullif(ry.l, 0)) END AS rsi_14 FROM f1 JOIN ye USING (symbol, ts) LEFT JOIN ry USING (symbol, ts)),
+f3 AS (SELECT symbol, ts, {', '.join(f'lag({c}) OVER w AS {c}' for c in _KNOWN)} FROM f2{_W}),
+h4 AS (SELECT symbol, ts + INTERVAL '4 hours' AS seen, close - open AS body, close FROM bars_4h), d1 AS (SELECT symbol, ts + INTERVAL '1 day' AS seen, close - open AS body, close FROM bars_1d),
+en AS (SELECT symbol, date_trunc('hour', open_time) AS ts, count(*) AS entries, CASE WHEN sum(CASE WHEN side = 'Buy' THEN 1 ELSE -1 END) >= 0 THEN 'Buy' ELSE 'Sell' END AS side, string_agg(ticket, ';' ORDER BY ticket) AS tickets FROM ledger GROUP BY 1, 2)
+SELECT f3.symbol, f3.ts, {', '.join(f'round(f3.{c}, 6) AS {c}' for c in _KNOWN)}, h4.seen AS h4_seen, round(h4.body, 6) AS h4_body, round(h4.close, 6) AS h4_close, d1.seen AS d1_seen, round(d1.body, 6) AS d1_body, round(d1.close, 6) AS d1_close, coalesce(en.entries, 0) AS entries, en.side, en.tickets
+FROM f3 ASOF LEFT JOIN h4 ON h4.symbol = f3.symbol AND f3.ts >= h4.seen ASOF LEFT JOIN d1 ON d1.symbol = f3.symbol AND f3.ts >= d1.seen LEFT JOIN en ON en.symbol = f3.symbol AND en.ts = f3.ts""",
+)
 def w32_decision_panel(spark, sf):
     """The decision panel: indicators, lagged, wider bars and entry labels in one table."""
-    return B.decision_panel(V.bars_1h(spark, sf), V.ledger(spark, sf))
+    p = B.decision_panel(V.bars_1h(spark, sf), V.ledger(spark, sf))
+    return p.select(*[r6(f.name).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in p.schema.fields])
 
 
 @query(

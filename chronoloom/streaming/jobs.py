@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from chronoloom.operators.folds import fold
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -107,29 +109,26 @@ def armed_trigger(stream: DataFrame, condition: str, cooldown_seconds: int, gap_
 
 
 def armed_batch(df: DataFrame, condition: str, cooldown_seconds: int, gap_seconds: int) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "event_id"])
-        fired = arm(rows.us.tolist(), rows.hit.tolist(), False, None, None, cooldown_seconds * 1_000_000, gap_seconds * 1_000_000)[0]
-        return rows[fired][["event_id", "symbol"]]
+    """The same over bounded data: one state per symbol along its ticks, read in order."""
+
+    def step(s: dict, row) -> list[tuple]:
+        fired, s["armed"], s["last"], s["free"] = arm([row.us], [row.hit], s["armed"], s["last"], s["free"], cooldown_seconds * 1_000_000, gap_seconds * 1_000_000)
+        return [(row.event_id, row.symbol)] if fired[0] else []
 
     s = df.select("event_id", "symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.expr(condition).alias("hit"))
-    return s.groupBy("symbol").applyInPandas(run, "event_id long, symbol string")
+    return fold(s, key="symbol", order=["us", "event_id"], start=lambda: {"armed": False, "last": None, "free": None}, step=step, schema="event_id long, symbol string")
 
 
 def locked_out(df: DataFrame, key: str, condition: str, hold_seconds: int) -> DataFrame:
     """Signals that count when each one taken locks out those of the next ``hold_seconds`` (lockout scenarios)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "event_id"])
-        keep, free = [], None
-        for t in rows.us.tolist():
-            ok = free is None or t >= free
-            keep.append(ok)
-            if ok:
-                free = t + hold_seconds * 1_000_000
-        return rows[keep][["event_id", key]]
+    def step(s: dict, row) -> list[tuple]:
+        if s["free"] is not None and row.us < s["free"]:
+            return []
+        s["free"] = row.us + hold_seconds * 1_000_000
+        return [(row.event_id, getattr(row, key))]
 
     s = df.where(condition).select("event_id", key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return s.groupBy(key).applyInPandas(run, f"event_id long, {key} string")
+    return fold(s, key=key, order=["us", "event_id"], start=lambda: {"free": None}, step=step, schema=f"event_id long, {key} string")
 
 
