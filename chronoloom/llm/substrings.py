@@ -46,7 +46,7 @@ HOT = 50_000
 #: Hot 128-grams are broadcast up to so many (8 bytes each) and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of suffixes for each bucket of the merge.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 STRETCHES = 8
 _PLACE_BITS = 20
 _PIECE = 1 << 19
@@ -89,7 +89,7 @@ def _around(raw: bytes, p: int) -> tuple[int, int]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, 128):
         rows, places, grams, around = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], []
         for i, text in enumerate(batch.column(2).to_pylist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
@@ -317,7 +317,7 @@ def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             by.setdefault(_bucket(int.from_bytes(s[0][:8], "big"), buckets), []).append(s)
         return pa.RecordBatch.from_pylist([{"bucket": b, "run": encode(r)} for b, r in by.items()], schema=_SENT_TYPES)
 
-    for batch in slices(batches):
+    for batch in slices(batches, 128):
         hot_rows = []
         for doc_id, text_hash, text, spots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if (doc_id, text_hash) in done:
@@ -334,7 +334,7 @@ def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                 size += e - s + 200
         if hot_rows:
             yield pa.RecordBatch.from_pylist(hot_rows, schema=_SENT_TYPES)
-        if size > 96 << 20:
+        if size > 24 << 20:
             yield out()
             held, size = [], 0
     if held:
