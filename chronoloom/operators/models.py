@@ -263,3 +263,31 @@ def ladder(rows: DataFrame, models: list[list[str]], *, train_to: int = 18, inne
     for d in (a, b, c, e):
         d.unpersist()
     return rows.sparkSession.createDataFrame(out, "model string, features string, penalty double, cases long, ll double, gain double")
+
+
+def mixture_selection(ledger: DataFrame, most: int = 6) -> DataFrame:
+    """(parts, ll, bic, chosen, stability) of Gaussian mixtures of log durations and results: the least BIC is chosen, and
+    stability is the adjusted Rand index of two fits from different starts, from their table of joint labels.
+    """
+    d = ledger.select(F.log(F.unix_micros(F.col("close_time").cast("timestamp")) - F.unix_micros(F.col("open_time").cast("timestamp"))).alias("d"), "pnl").where("d is not null and pnl is not null")
+    x = VectorAssembler(inputCols=["d", "pnl"], outputCol="features").transform(d).cache()
+    n = x.count()
+    rows = []
+    for k in range(1, most + 1):
+        a, b = (GaussianMixture(k=max(k, 2), seed=s, maxIter=20).fit(x) for s in (3, 11)) if k > 1 else (None, None)
+        if a is None:
+            v = x.agg(F.var_pop("d").alias("a"), F.var_pop("pnl").alias("b"), F.covar_pop("d", "pnl").alias("c")).first()
+            ll, stability = -n / 2 * (2 * np.log(2 * np.pi) + np.log(v["a"] * v["b"] - v["c"] ** 2) + 2), 1.0
+        else:
+            ll = a.summary.logLikelihood
+            joint = b.transform(a.transform(x).select("features", F.col("prediction").alias("p"))).groupBy("p", "prediction").count().collect()  # k * k numbers
+            table = np.zeros((k, k))
+            for r in joint:
+                table[r["p"], r["prediction"]] = r["count"]
+            pairs = lambda t: float((t * (t - 1) / 2).sum())
+            both, p, q, total = pairs(table), pairs(table.sum(axis=1)), pairs(table.sum(axis=0)), n * (n - 1) / 2
+            stability = (both - p * q / total) / ((p + q) / 2 - p * q / total) if (p + q) / 2 != p * q / total else 1.0
+        rows.append((k, round(float(ll), 3), round(float(-2 * ll + (6 * k - 1) * np.log(n)), 3), round(float(stability), 6)))
+    x.unpersist()
+    best = min(rows, key=lambda r: r[2])[0]
+    return ledger.sparkSession.createDataFrame([(k, ll, bic, k == best, s) for k, ll, bic, s in rows], "parts int, ll double, bic double, chosen boolean, stability double")

@@ -67,10 +67,10 @@ def artifacts(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length", F.upper(F.sha2("content", 256)).alias("sha256"))
 
 
-def text_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Role, columns, delimiter and number of lines of text files, by their first line."""
+def text_artifacts(spark: SparkSession, path: str | list[str], part: int = -1) -> DataFrame:
+    """Role, columns, delimiter and number of lines of text files, by their first line. ``part``: the piece of the path that names a file."""
     lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"))
     g = lines.groupBy("file").agg(F.min_by("value", "n").alias("head"), F.count("*").alias("lines"))
     best = F.array_max(F.array(*[F.struct(F.size(F.split("head", f"[{d}]")).alias("k"), F.lit(d).alias("d")) for d in (",", ";", "\t", "|")]))
     g = g.withColumn("delimiter", best["d"]).withColumn("columns", F.transform(F.split(F.lower("head"), F.concat(F.lit("["), F.col("delimiter"), F.lit("]"))), lambda c: F.regexp_replace(F.trim(c), "[<>\"]", "")))
-    return g.select(F.regexp_extract("file", "[^/]+$", 0).alias("name"), "delimiter", "columns", "lines", header_role(F.col("columns")).alias("role"))
+    return g.select(F.element_at(F.split("file", "/"), part).alias("name"), "delimiter", "columns", "lines", header_role(F.col("columns")).alias("role"))
