@@ -14,13 +14,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators.folds import fold
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chronoloom.operators.folds import fold
+
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chronoloom-")
+    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset and all runs on one machine (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

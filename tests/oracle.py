@@ -32,7 +32,7 @@ def key(row):
 
 def same(a, b):
     if isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool) and not isinstance(b, bool):
-        return abs(a - b) <= 2e-6 * max(1.0, abs(a))
+        return abs(a - b) <= 1e-9 * max(1.0, abs(a))
     return a == b
 
 

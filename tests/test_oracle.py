@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the small tables; the others run."""
+"""Every query with SQL against DuckDB on the small tables; the others give rows here and are held against twins in other tests."""
 
 import sys
 from pathlib import Path
@@ -11,7 +11,6 @@ import oracle
 from chronoloom import registry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"m01_logistic_folds", "m02_forest_folds"}
 
 
 @pytest.fixture(scope="module")
@@ -24,10 +23,10 @@ def test_query_equals_sql(spark, con, name):
     assert oracle.compare(registry.QUERIES[name](spark, SF), con, registry.ORACLE_SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_runs(spark, name):
     df = registry.QUERIES[name](spark, SF)
-    assert len(df.columns) > 1 and df.count() >= 0
+    assert len(df.columns) > 1 and df.count() > 0
 
 
 def test_entry_points(spark):
