@@ -27,10 +27,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the cluster's shared folder.
 
-    ``spark.checkpoint.dir`` names the folder; where it is unset (tests on one machine), a temporary one is set.
+    ``spark.checkpoint.dir`` names the folder. Where it is unset and all runs on one machine (tests), a temporary one is
+    set; on a cluster that is an error, as executors would not see the driver's folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
