@@ -292,13 +292,28 @@ def st9_missing_is_unknown(spark, sf):
 
 @query("p35_verdicts")
 def p35_verdicts(spark, sf):
-    """Verdicts per symbol from matching, placebo and coverage."""
-    from chronoloom.operators.search import verdict
-
-    c = C.inventory(V.ticks(spark, sf), "2024-01-01 00:00:00", "2024-01-30 23:00:00").groupBy("symbol").agg(F.avg((F.col("status") == "observed").cast("int")).alias("coverage"))
-    n = V.ledger(spark, sf).groupBy("symbol").agg(F.avg((F.col("pnl") > 0).cast("int")).alias("f1"))
-    rows = c.join(n, "symbol", "left").collect()  # a row per symbol
-    return spark.createDataFrame([(r["symbol"], verdict(r["f1"], 0.5, None, r["coverage"])) for r in rows], "symbol string, verdict string")
+    """Verdicts per symbol: F1 of the one-to-one matching, the mean F1 of four circular shifts of the predictions, the bits
+    that hours with a prediction tell of entries, and coverage (P34, P35)."""
+    from chronoloom.operators import matching as M
+
+    obs = V.ledger(spark, sf).select("symbol", "side", F.col("ticket").alias("o_id"), F.col("open_time").alias("o_ts"))
+    pred = V.predictions(spark, sf).select("symbol", F.col("p_side").alias("side"), F.col("p_id").cast("string").alias("p_id"), "p_ts")
+    start, span, shifts = 1704067200000000, 30 * 86400 * 1_000_000, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("shift")
+    us = F.unix_micros(F.col("p_ts").cast("timestamp"))
+    moved = pred.select("*", shifts).withColumn("p_ts", F.timestamp_micros(F.lit(start) + F.pmod(us - start + F.col("shift") * F.lit(span // 5), F.lit(span))).cast("timestamp_ntz"))
+    m = M.match_one_to_one(obs.select("*", shifts), moved, on=["symbol", "side", "shift"], tolerance=1800)
+    n = m.groupBy("symbol", "shift").agg(F.count_if(F.col("status") == "tp").alias("tp"), F.count_if(F.col("status") != "tp").alias("miss"))
+    f1 = F.col("tp") * 2 / (F.col("tp") * 2 + F.col("miss"))
+    n = n.groupBy("symbol").agg(F.max(F.when(F.col("shift") == 0, f1)).alias("f1"), F.avg(F.when(F.col("shift") > 0, f1)).alias("placebo"))
+    hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz").alias("hour")
+    c = C.inventory(V.ticks(spark, sf), "2024-01-01 00:00:00", "2024-01-30 23:00:00")
+    h = c.join(obs.select("symbol", hour("o_ts")).distinct().withColumn("y", F.lit(1)), ["symbol", "hour"], "left").join(pred.select("symbol", hour("p_ts")).distinct().withColumn("x", F.lit(1)), ["symbol", "hour"], "left")
+    y, x = F.coalesce("y", F.lit(0)), F.coalesce("x", F.lit(0))
+    k = h.groupBy("symbol").agg(F.avg((F.col("status") == "observed").cast("int")).alias("coverage"), F.count("*").alias("n"), F.sum(y).alias("y"), F.sum(x).alias("n1"), F.sum(x * y).alias("y1"))
+    ll = lambda y, n: f"(({y}) * ln((({y}) + 0.5d) / (({n}) + 1)) + (({n}) - ({y})) * ln(1 - (({y}) + 0.5d) / (({n}) + 1)))"
+    k = k.withColumn("bits", F.expr(f"({ll('y1', 'n1')} + {ll('y - y1', 'n - n1')} - {ll('y', 'n')}) / ln(2d)"))
+    verdict = F.when((F.col("coverage") < 0.5) | F.col("f1").isNull(), "unknown").when(F.col("f1") >= 0.99, "identified").when(F.col("f1") <= F.col("placebo"), "no_better_than_placebo").when(F.col("bits") > 0, "supported").otherwise("not_supported")
+    return k.join(n, "symbol", "left").select("symbol", r6("f1").alias("f1"), r6("placebo").alias("placebo"), F.round("bits", 4).alias("bits"), r6("coverage").alias("coverage"), verdict.alias("verdict"))
 
 
 @query(

@@ -144,16 +144,16 @@ def w14_drawdown(spark, sf):
 
 @query(
     "w15_session",
-    WITH + """SELECT symbol, ts, round(sum(close * volume) OVER s / nullif(sum(volume) OVER s, 0), 6) AS vwap, round(max(high) OVER p, 6) AS high_before, round(min(low) OVER p, 6) AS low_before, count(*) OVER s AS bar_of_day FROM bars_1h
+    WITH + """SELECT symbol, ts, CAST(sum(CAST(round(close * 100) AS BIGINT) * CAST(volume AS BIGINT)) OVER s AS DOUBLE) / nullif(sum(volume) OVER s, 0) / 100 AS vwap, round(max(high) OVER p, 6) AS high_before, round(min(low) OVER p, 6) AS low_before, count(*) OVER s AS bar_of_day FROM bars_1h
 WINDOW s AS (PARTITION BY symbol, date_trunc('day', ts) ORDER BY ts ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY symbol, date_trunc('day', ts) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def w15_session(spark, sf):
-    """Day's VWAP so far, extremes before the bar, running count."""
+    """Day's VWAP so far (from integer cents, so that no order of addition shows), extremes before the bar, running count."""
     b = V.bars_1h(spark, sf)
     w = W.partitionBy("symbol", F.to_date("ts")).orderBy("ts")
     s, p = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
     vol = F.sum("volume").over(s)
-    return b.select("symbol", "ts", r6(F.sum(F.col("close") * F.col("volume")).over(s) / F.when(vol != 0, vol)).alias("vwap"), r6(F.max("high").over(p)).alias("high_before"), r6(F.min("low").over(p)).alias("low_before"), F.count("*").over(s).alias("bar_of_day"))
+    return b.select("symbol", "ts", (F.sum(F.round(F.col("close") * 100).cast("long") * F.col("volume").cast("long")).over(s) / F.when(vol != 0, vol) / 100).alias("vwap"), r6(F.max("high").over(p)).alias("high_before"), r6(F.min("low").over(p)).alias("low_before"), F.count("*").over(s).alias("bar_of_day"))
 
 
 @query("w17_time_rolling", WITH + "SELECT ticket, round(sum(pnl) OVER w, 6) AS pnl_5d, count(*) OVER w AS n_5d FROM ledger WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(open_time) RANGE BETWEEN 431999999999 PRECEDING AND CURRENT ROW)")
