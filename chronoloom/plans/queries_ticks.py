@@ -55,7 +55,7 @@ _UNITS = """, u AS (SELECT symbol, ts, epoch_us(ts) AS us, CAST(round(mid * 100)
 _VECTOR = _UNITS + f""", g AS (SELECT l.ticket, any_value(epoch_us(l.open_time)) AS t, any_value(hour(l.open_time)) AS hour, count(u.us) AS n_long, min(u.us) AS first_us, sum(u.spread) AS spread_sum, arg_max(u.spread, u.us) AS spread_now, arg_max(u.mid, u.us) AS now_mid,
   list(u.mid ORDER BY u.us) FILTER (u.us >= epoch_us(l.open_time) - {30 * _SCALE * 1_000_000}) AS s, count(u.us) FILTER (u.us >= epoch_us(l.open_time) - {5 * _SCALE * 1_000_000}) AS n_last, arg_min(u.mid, u.us) FILTER (u.us >= epoch_us(l.open_time) - {5 * _SCALE * 1_000_000}) AS from_last
   FROM ledger l LEFT JOIN u ON u.symbol = l.symbol AND u.ts < l.open_time AND u.us >= epoch_us(l.open_time) - {300 * _SCALE * 1_000_000} GROUP BY 1),
-v AS (SELECT ticket, hour, nullif(n_long, 0) AS n_long, coalesce(least(1.0, (t - first_us) / {300 * _SCALE}e6), 0) AS coverage, spread_now, spread_sum / n_long AS mean_spread, CASE WHEN n_long > 0 THEN coalesce(len(s), 0) END AS n_short, CASE WHEN len(s) >= 2 THEN abs(s[-1] - s[1]) END AS abs_move,
+v AS (SELECT ticket, hour, nullif(n_long, 0) AS n_long, CASE WHEN n_long > 0 THEN least(1.0, (t - first_us) / {300 * _SCALE}e6) ELSE 0 END AS coverage, spread_now, spread_sum / n_long AS mean_spread, CASE WHEN n_long > 0 THEN coalesce(len(s), 0) END AS n_short, CASE WHEN len(s) >= 2 THEN abs(s[-1] - s[1]) END AS abs_move,
   CASE WHEN len(s) >= 2 THEN list_sum(list_transform(range(2, len(s) + 1), lambda i: abs(s[i] - s[i - 1]))) END AS displacement, CASE WHEN n_last >= 2 THEN now_mid - from_last WHEN n_last = 1 AND len(s) >= 1 THEN now_mid - s[1] END AS ret_last FROM g),
 x AS (SELECT *, n_short / {30.0 * _SCALE} AS rate_short, CASE WHEN n_short >= 2 THEN n_short / {30.0 * _SCALE} / (n_long / {300.0 * _SCALE}) END AS rate_ratio FROM v)"""
 _VECTOR_OUT = "ticket, CAST(n_long AS BIGINT) AS n_long, round(coverage, 9) AS coverage, round(spread_now / 100.0, 6) AS spread_now, CAST(n_short AS INTEGER) AS n_short, round(abs_move / 100.0, 6) AS abs_move, round(displacement / 100.0, 6) AS displacement, round(ret_last / 100.0, 6) AS ret_last, round(rate_short, 9) AS rate_short, round(rate_ratio, 9) AS rate_ratio"
