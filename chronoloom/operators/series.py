@@ -61,11 +61,28 @@ def affine(df: DataFrame, *, key: str, order: str, a: Column, b: Column, out: st
     return d.select(*df.columns, out)
 
 
+def _carried(df: DataFrame, *, key: str, order: str, end, into) -> DataFrame:
+    """Adds columns that need the rows of earlier days: ``end`` are the aggregates of a day and ``into(w)`` their window
+    over the days before, by name. What is ordered per key are days, not rows."""
+    day = F.to_date(order)
+    days = df.groupBy(F.col(key).alias("_ck"), day.alias("_cd")).agg(*end)
+    before = W.partitionBy("_ck").orderBy("_cd").rowsBetween(W.unboundedPreceding, -1)
+    carry = days.select("_ck", "_cd", *[c.alias(n) for n, c in into(before).items()])
+    return df.withColumn("_day", day).join(carry, F.col(key).eqNullSafe(F.col("_ck")) & F.col("_day").eqNullSafe(F.col("_cd"))).drop("_ck", "_cd")
+
+
+def lagged(df: DataFrame, x: str, *, key: str, order: str, out: str) -> DataFrame:
+    """Adds the value of the key's row before, null at its first."""
+    d = _carried(df, key=key, order=order, end=[F.max_by(F.struct(F.col(x).alias("v")), order).alias("_end")], into=lambda w: {"_before": F.last("_end").over(w)})
+    w = W.partitionBy(key, "_day").orderBy(order)
+    return d.withColumn(out, F.when(F.row_number().over(w) > 1, F.lag(x).over(w)).otherwise(F.col("_before.v"))).drop("_day", "_before")
+
+
 def ewm(df: DataFrame, x: str, alpha: float, *, key: str, order: str, out: str, least: int = 1) -> DataFrame:
     """Exponential mean (not adjusted) seeded with the first non-null value; null values keep the state; null below ``least`` values."""
-    w = W.partitionBy(key).orderBy(order)
-    seen = F.count(x).over(w.rowsBetween(W.unboundedPreceding, 0))
-    d = df.withColumn("_seen", seen)
+    d = _carried(df, key=key, order=order, end=[F.count(x).alias("_end")], into=lambda w: {"_before": F.coalesce(F.sum("_end").over(w), F.lit(0))})
+    seen = F.col("_before") + F.count(x).over(W.partitionBy(key, "_day").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    d = d.withColumn("_seen", seen).drop("_day", "_before")
     has = F.col(x).isNotNull()
     a = F.when(has & (F.col("_seen") == 1), 0.0).when(has, 1.0 - alpha).otherwise(1.0)
     b = F.when(has & (F.col("_seen") == 1), F.col(x)).when(has, alpha * F.col(x)).otherwise(0.0)
@@ -74,8 +91,7 @@ def ewm(df: DataFrame, x: str, alpha: float, *, key: str, order: str, out: str,
 
 
 def rsi_wilder(df: DataFrame, x: str, n: int, *, key: str, order: str, out: str) -> DataFrame:
-    w = W.partitionBy(key).orderBy(order)
-    d = df.withColumn("_d", F.col(x) - F.lag(x).over(w))
+    d = lagged(df, x, key=key, order=order, out="_p").withColumn("_d", F.col(x) - F.col("_p")).drop("_p")
     d = d.withColumns({"_g": F.when(F.col("_d").isNotNull(), F.greatest("_d", F.lit(0.0))), "_l": F.when(F.col("_d").isNotNull(), F.greatest(-F.col("_d"), F.lit(0.0)))}).drop("_d")
     d = ewm(d, "_g", 1 / n, key=key, order=order, out="_ag", least=n)
     d = ewm(d, "_l", 1 / n, key=key, order=order, out="_al", least=n)

@@ -235,13 +235,14 @@ def a28_bursts(spark, sf):
 
 @query(
     "a29_walk_forward_mean",
-    WITH + ", m AS (SELECT CAST(open_time AS DATE) AS day, sum(pnl) AS s, count(*) AS n FROM ledger GROUP BY 1), f AS (SELECT day, s / n AS actual, sum(s) OVER w / sum(n) OVER w AS predicted, count(*) OVER w AS earlier FROM m WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT day, round(actual, 6) AS actual, round(predicted, 6) AS predicted, earlier FROM f WHERE earlier >= 3",
+    WITH + ", m AS (SELECT CAST(open_time AS DATE) AS day, CAST(sum(CAST(round(pnl * 100) AS BIGINT)) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM ledger GROUP BY 1), f AS (SELECT day, s / n / 100 AS actual, sum(s) OVER w / sum(n) OVER w / 100 AS predicted, count(*) OVER w AS earlier FROM m WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT day, actual, predicted, earlier FROM f WHERE earlier >= 3",
 )
 def a29_walk_forward_mean(spark, sf):
     """Each day predicted by the mean of all before, at least three (A29): sums per day first, so the order is over days only."""
-    m = V.ledger(spark, sf).groupBy(F.to_date("open_time").alias("day")).agg(F.sum("pnl").alias("s"), F.count("*").alias("n"))
+    cents = F.sum(F.round(F.col("pnl") * 100).cast("long")).cast("double")
+    m = V.ledger(spark, sf).groupBy(F.to_date("open_time").alias("day")).agg(cents.alias("s"), F.count("*").cast("double").alias("n"))
     w = W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    f = m.select("day", r6(F.col("s") / F.col("n")).alias("actual"), r6(F.sum("s").over(w) / F.sum("n").over(w)).alias("predicted"), F.count("*").over(w).alias("earlier"))
+    f = m.select("day", (F.col("s") / F.col("n") / 100).alias("actual"), (F.sum("s").over(w) / F.sum("n").over(w) / 100).alias("predicted"), F.count("*").over(w).alias("earlier"))
     return f.where("earlier >= 3")
 
 

@@ -277,7 +277,11 @@ FROM f3 ASOF LEFT JOIN h4 ON h4.symbol = f3.symbol AND f3.ts >= h4.seen ASOF LEF
 )
 def w32_decision_panel(spark, sf):
     """The decision panel: indicators, lagged, wider bars and entry labels in one table."""
-    p = B.decision_panel(V.bars_1h(spark, sf), V.ledger(spark, sf))
+    from chronoloom.streaming.jobs import shared
+
+    path = shared(spark, "bars")  # the bars are read by every branch of the panel: made once
+    V.bars_1h(spark, sf).write.parquet(path)
+    p = B.decision_panel(spark.read.parquet(path), V.ledger(spark, sf))
     return p.select(*[r6(f.name).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in p.schema.fields])
 
 
