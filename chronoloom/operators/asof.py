@@ -18,12 +18,13 @@ def seconds(a: Column, b: Column) -> Column:
     return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(1e6)
 
 
-def asof(left: DataFrame, right: DataFrame, *, on: str, left_ts: str, right_ts: str, take: list[str], exact: bool = True, forward: bool = False, tolerance: float | None = None, prefix: str = "", bucket: int = 86400) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, *, on: str, left_ts: str, right_ts: str, take: list[str], exact: bool = True, forward: bool = False, tolerance: float | None = None, prefix: str = "", bucket: int | None = 86400) -> DataFrame:
     """Each left row with ``take`` (and the time, as ``right_ts``) of the right row last at or before it, per key ``on``.
 
     ``exact`` false: strictly before. ``forward``: next at or after. ``tolerance``: seconds beyond which nothing matches.
     Right rows of one key and time must be unique; left rows may repeat. Unmatched left rows have nulls. ``bucket``:
-    seconds of a key that one task sorts together.
+    seconds of a key that one task sorts together. It costs a second reading of both sides; None sorts whole keys instead,
+    for a ``left`` that is small but dear to make.
     """
     names = [f"{prefix}{c}" for c in [right_ts, *take]]
     l = left.select(F.struct("*").alias("_row"), F.col(on).alias("_on"), F.col(left_ts).alias("_ts"), F.lit(None).cast(right.select(F.struct(right_ts, *take)).schema[0].dataType).alias("_hit"))
@@ -34,18 +35,23 @@ def asof(left: DataFrame, right: DataFrame, *, on: str, left_ts: str, right_ts:
     # forwards means backwards along the descending order: a growing frame is read once, a shrinking one again and again
     order = [F.desc("_ts"), F.desc("_tag")] if forward else [F.asc("_ts"), F.asc("_tag")]
     w = W.partitionBy("_on", "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    at = _bucket(F.col("_ts"), bucket)
+    at = _bucket(F.col("_ts"), bucket) if bucket else F.lit(0)
     u = l.unionByName(r).withColumns({"_tag": tag, "_b": at})
     u = u.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
-    # the last (first) right row of each bucket, handed on to the later (earlier) ones
+    u = u if bucket is None else _handed_on(u, l, r, at, forward)
+    if tolerance is not None:
+        u = u.withColumn("_hit", F.when(F.abs(seconds(F.col("_ts"), F.col(f"_hit.{right_ts}"))) <= tolerance, F.col("_hit")))
+    return u.select("_row.*", *[F.col(f"_hit.{c}").alias(n) for c, n in zip([right_ts, *take], names, strict=True)])
+
+
+def _handed_on(u: DataFrame, l: DataFrame, r: DataFrame, at: Column, forward: bool) -> DataFrame:
+    """Left rows that found nothing in their bucket with the last (first) right row of the earlier (later) buckets."""
     ends = r.withColumn("_b", at).groupBy("_on", "_b").agg((F.min_by if forward else F.max_by)("_hit", "_ts").alias("_end"))
     nodes = ends.unionByName(l.select("_on", at.alias("_b")).distinct(), allowMissingColumns=True).groupBy("_on", "_b").agg(F.first("_end", ignorenulls=True).alias("_end"))
     beyond = W.partitionBy("_on").orderBy(F.desc("_b") if forward else F.asc("_b")).rowsBetween(W.unboundedPreceding, -1)
     carry = nodes.select(F.col("_on").alias("_con"), F.col("_b").alias("_cb"), F.last("_end", ignorenulls=True).over(beyond).alias("_carry"))
-    u = u.join(carry, u["_on"].eqNullSafe(carry["_con"]) & u["_b"].eqNullSafe(carry["_cb"]), "left").withColumn("_hit", F.coalesce("_hit", F.when(F.col("_on").isNotNull(), F.col("_carry"))))
-    if tolerance is not None:
-        u = u.withColumn("_hit", F.when(F.abs(seconds(F.col("_ts"), F.col(f"_hit.{right_ts}"))) <= tolerance, F.col("_hit")))
-    return u.select("_row.*", *[F.col(f"_hit.{c}").alias(n) for c, n in zip([right_ts, *take], names, strict=True)])
+    joined = u.join(carry, u["_on"].eqNullSafe(carry["_con"]) & u["_b"].eqNullSafe(carry["_cb"]), "left")
+    return joined.withColumn("_hit", F.coalesce("_hit", F.when(F.col("_on").isNotNull(), F.col("_carry"))))
 
 
 def nearest(left: DataFrame, right: DataFrame, *, on: str, left_ts: str, right_ts: str, take: list[str], tolerance: float | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ def decision_panel(bars: DataFrame, ledger: DataFrame) -> DataFrame:
     f = f.select("symbol", "ts", *[F.lag(c).over(w).alias(c) for c in known])
     for label, width in (("h4", "4 hours"), ("d1", "1 day")):
         wide = resample(bars, width).withColumns(candle()).select("symbol", (F.col("ts") + F.expr(f"interval {width}")).alias("seen"), "body", "close")
-        f = A.asof(f, wide, on="symbol", left_ts="ts", right_ts="seen", take=["body", "close"], prefix=f"{label}_")
+        f = A.asof(f, wide, on="symbol", left_ts="ts", right_ts="seen", take=["body", "close"], prefix=f"{label}_", bucket=None)
     at = F.date_trunc("hour", "open_time").cast("timestamp_ntz").alias("ts")
     sign = F.sum(F.when(F.col("side") == "Buy", 1).otherwise(-1))
     labels = ledger.groupBy("symbol", at).agg(F.count("*").alias("entries"), F.when(sign >= 0, "Buy").otherwise("Sell").alias("side"), F.array_join(F.sort_array(F.collect_list("ticket")), ";").alias("tickets"))
