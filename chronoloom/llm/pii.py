@@ -32,21 +32,28 @@ _INSTANCE = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,found:string>>"
 
 
+def running(values: Column, add, neutral: Column) -> Column:
+    """Running totals of an array under an associative ``add``: doubling steps, each one pass, no array is grown."""
+    steps = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(acc: Column, k: Column) -> Column:
+        far = F.pow(F.lit(2), k).cast("int")
+        return F.transform(acc, lambda v, i: add(F.coalesce(F.get(acc, i - far), neutral), v)).cast("array<int>")
+
+    return F.aggregate(steps, values.cast("array<int>"), step)
+
+
 def _located(text: Column, pattern: str) -> Column:
     """Matches with start (code points), the text before them up to the last match, and the text after up to the next."""
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
 
     def place(v: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,found:string,before:string,after:string>>").alias("out"))
+        lengths = F.transform(v["m"], lambda m, i: F.length(F.get(v["b"], i)) + F.length(m))
 
-        def add(acc: Column, m: Column) -> Column:
-            i = F.size(acc["out"])
-            before = F.get(v["b"], i)
-            at = acc["at"] + F.length(before)
-            one = F.struct(at.alias("start"), m.alias("found"), before.alias("before"), F.get(v["b"], i + 1).alias("after"))
-            return F.struct((at + F.length(m)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        def of(ends: Column) -> Column:
+            return F.transform(v["m"], lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), m.alias("found"), F.get(v["b"], i).alias("before"), F.get(v["b"], i + 1).alias("after")))
 
-        return F.aggregate(v["m"], start, add, lambda acc: acc["out"])
+        return let(let(lengths, lambda n: running(n, lambda x, y: x + y, F.lit(0))), of)
 
     return let(F.struct(between.alias("b"), matches.alias("m")), place)
 
@@ -87,8 +94,8 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*[of(rank, kind) for rank, kind in enumerate(KINDS)]))
 
 
-#: Words around an instance are sought in so many characters.
-_NEAR = 80
+#: Parameter: context is what whole words stand within so many characters of an instance, up to the instance next to it.
+NEAR = 80
 
 
 def _words(text: Column) -> Column:
@@ -97,17 +104,44 @@ def _words(text: Column) -> Column:
 
 
 def _instances(text: Column) -> Column:
-    """Words with a digit or an at sign, without outer punctuation, and the three words before and two after."""
+    """Words with a digit or an at sign, without outer punctuation, and the three words before and two after.
+
+    A neighbour that begins or ends beyond ``NEAR`` characters is left out whole.
+    """
 
     def one(m: Column) -> Column:
         lead = F.length(F.regexp_extract(m["found"], r"^[^A-Za-z0-9+]*+", 0))
         core = F.regexp_replace(m["found"], r"^[^A-Za-z0-9+]++|(?<![^A-Za-z0-9])[^A-Za-z0-9]++$|[.,;:!?)\]}\"']++$", "")
-        left, right = _words(F.right(m["before"], F.lit(_NEAR))), _words(F.substring(m["after"], 1, _NEAR))
+        before = F.when(F.length(m["before"]) > NEAR, F.regexp_replace(F.right(m["before"], F.lit(NEAR)), f"^[^{_SPACE}]++", "")).otherwise(m["before"])
+        after = F.when(F.length(m["after"]) > NEAR, F.regexp_replace(F.substring(m["after"], 1, NEAR), f"(?<![^{_SPACE}])[^{_SPACE}]++$", "")).otherwise(m["after"])
+        left, right = _words(before), _words(after)
         return F.struct((m["start"] + lead).alias("start"), core.alias("found"), F.slice(left, F.greatest(F.lit(1), F.size(left) - 2), 3).alias("left"), F.slice(right, 1, 2).alias("right"))
 
     return F.transform(_located(text, _INSTANCE), lambda m: let(m, one))
 
 
+def _with_known(base: Column, seen: Column) -> Column:
+    """The instances, each with the first base span that it overlaps (``known``, else null), by one merge of both.
+
+    That is the first span that ends behind the instance's start, if it begins before the instance's end. Running maxima
+    of the spans' ends rise, so its number is the number of maxima up to the start.
+    """
+
+    def merged(v: Column) -> Column:
+        tops = F.transform(v["tops"], lambda t: F.struct(t.alias("at"), F.lit(0).alias("what")))
+        all_of = F.array_sort(F.concat(tops, F.transform(v["seen"], lambda i: F.struct(i["start"].alias("at"), F.lit(1).alias("what")))))
+        places = F.filter(F.transform(all_of, lambda e, p: F.when(e["what"] == 1, p).otherwise(-1)), lambda p: p >= 0)
+
+        def known(i: Column, k: Column, places: Column) -> Column:
+            span = F.get(v["base"], F.get(places, k) - k)
+            return F.struct(i["start"], i["found"], i["left"], i["right"], F.when(span["start"] < i["start"] + F.length(i["found"]), span).alias("known"))
+
+        return let(places, lambda places: F.transform(v["seen"], lambda i, k: known(i, k, places)))
+
+    tops = let(base, lambda b: running(F.transform(b, lambda s: s["end"]), F.greatest, F.lit(0)))
+    return let(F.struct(base.alias("base"), seen.alias("seen"), tops.alias("tops")), merged)
+
+
 def _shape(found: Column) -> Column:
     """Runs of digits as 9, of other letters as a."""
     return F.regexp_replace(F.regexp_replace(found, "[0-9]+", "9"), r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "a")
@@ -129,22 +163,18 @@ def extract(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, row number, base spans and instances, written to the shared folder."""
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_no", F.monotonically_increasing_id())
-    rows = rows.select("doc_id", "row_no", base_spans(text).alias("base"), _instances(text).alias("seen"))
-    return written(rows, "pii")
-
-
-def _known_kind(start: Column, found: Column) -> Column:
-    """The base span that an instance overlaps, if any."""
-    return F.get(F.filter("base", lambda s: (s["start"] < start + F.length(found)) & (s["end"] > start)), F.lit(0))
+    both = let(F.struct(base_spans(text).alias("base"), _instances(text).alias("seen")), lambda v: F.struct(v["base"].alias("base"), _with_known(v["base"], v["seen"]).alias("seen")))
+    return written(rows.select("doc_id", "row_no", both.alias("v")).select("doc_id", "row_no", "v.base", "v.seen"), "pii")
 
 
 def bootstrap(rows: DataFrame, *, rounds: int = 2, support: int = 4, threshold: float = 0.9, unknown: float = 0.1) -> DataFrame:
     """(found, kind, score) of the instances that high-confidence patterns discover, beyond the seeds. Input: what ``extract`` gives.
 
-    An instance is discovered only if it looks like an identifier: at least six digits, or an at sign between letters.
+    An instance is discovered only if it looks like an identifier: at least six digits, or an at sign between letters;
+    as a card only if its digits pass for one.
     """
     i = F.col("i")
-    one = rows.select("base", F.explode("seen").alias("i")).withColumn("s", _known_kind(i["start"], i["found"]))
+    one = rows.select(F.explode("seen").alias("i")).withColumn("s", i["known"])
     # within a base span only its first word counts, as the whole span
     one = one.where(F.col("s").isNull() | (i["start"] <= F.col("s.start")))
     found = F.coalesce("s.found", i["found"])
@@ -162,7 +192,7 @@ def bootstrap(rows: DataFrame, *, rounds: int = 2, support: int = 4, threshold:
         patterns = written(patterns, "patterns")
         doubt = F.exp(F.sum(F.log(1.001 - F.col("p"))))
         fresh = edges.where(F.col("seed").isNull() & looks).join(patterns, "pattern").groupBy("found", "as").agg(F.least(F.lit(1.0), 1.001 - doubt).alias("score"))
-        fresh = fresh.where(F.col("score") >= threshold).groupBy("found").agg(F.max_by(F.struct(F.col("as").alias("kind"), "score"), F.struct("score", "as")).alias("k")).select("found", "k.*")
+        fresh = fresh.where((F.col("score") >= threshold) & ((F.col("as") != "card") | _valid("card", F.col("found")))).groupBy("found").agg(F.max_by(F.struct(F.col("as").alias("kind"), "score"), F.struct("score", "as")).alias("k")).select("found", "k.*")
         known = written(known.unionByName(fresh.join(known.select("found"), "found", "left_anti")), "known")
     return known.join(edges.where(F.col("seed").isNotNull()).select("found").distinct(), "found", "left_anti")
 
@@ -173,11 +203,12 @@ def find(docs: DataFrame, **options) -> DataFrame:
     Input: doc_id, text and any other columns, which are not carried. A null text counts as empty and has no spans;
     rows with a null or repeated doc_id each give a row; an empty table gives none. Offsets are in code points, ends
     exclusive. A discovered span never overlaps a base span. A string that base finds as two kinds has both spans and
-    teaches as the first of them; one that is discovered has one kind, that of the higher score.
+    teaches as the first of them; one that is discovered has one kind, that of the higher score. A text of very many
+    matches takes time in proportion to them, but for a logarithm.
     """
     rows = extract(docs)
     found = bootstrap(rows, **options)
-    spots = rows.where(F.size("seen") > 0).select("row_no", "base", F.explode("seen").alias("i")).where(~F.exists("base", lambda s: (s["start"] < F.col("i.start") + F.length("i.found")) & (s["end"] > F.col("i.start"))))
+    spots = rows.select("row_no", F.explode("seen").alias("i")).where(F.col("i.known").isNull())
     spots = spots.select("row_no", F.col("i.start").alias("start"), F.col("i.found").alias("found")).join(found.select("found", "kind"), "found")
     rank = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)]), F.col("kind"))
     more = spots.groupBy("row_no").agg(F.collect_list(F.struct("start", rank.alias("rank"), "kind", (F.col("start") + F.length("found")).alias("end"), "found")).alias("more"))
