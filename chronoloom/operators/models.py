@@ -12,21 +12,29 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.operators import splits as S
+
+
+def _folds(data: DataFrame, folds: int) -> list[tuple[int, int]]:
+    """(last training day, last test day) of expanding folds: two fifths of the days of ``data``, then a fifth more each."""
+    days = data.agg(F.max("day")).first()[0] or 0
+    return [(S.cut(days, (2 + i) / 5), S.cut(days, (3 + i) / 5)) for i in range(folds)]
+
 
 def panel(ticks: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Event panel: label and features of every tick, with the day for folds."""
+    """Event panel: label and features of every tick, with the day since the first one for folds."""
+    first, _ = S.span(ticks, "ts")
     y = ledger.select("event_id", F.lit(1.0).alias("label"))
     h = F.hour("ts") * (2 * np.pi / 24)
-    p = ticks.join(y, "event_id", "left").select(F.coalesce("label", F.lit(0.0)).alias("label"), F.dayofmonth("ts").alias("day"), "mid", "spread", F.col("k").cast("double").alias("k"), F.sin(h).alias("hs"), F.cos(h).alias("hc"))
+    p = ticks.join(y, "event_id", "left").select(F.coalesce("label", F.lit(0.0)).alias("label"), S.day_number("ts", first).alias("day"), "mid", "spread", F.col("k").cast("double").alias("k"), F.sin(h).alias("hs"), F.cos(h).alias("hc"))
     return VectorAssembler(inputCols=["mid", "spread", "k", "hs", "hc"], outputCol="features").transform(p)
 
 
 def walk_forward(data: DataFrame, kind: str, folds: int = 3) -> DataFrame:
     """(fold, n, positives, auc, ll) of models fitted on all days before each fold's test days."""
     out = None
-    for i in range(folds):
-        cut = 12 + 6 * i
-        train, test = data.where(F.col("day") <= cut), data.where((F.col("day") > cut) & (F.col("day") <= cut + 6))
+    for i, (cut, end) in enumerate(_folds(data, folds)):
+        train, test = data.where(F.col("day") <= cut), data.where((F.col("day") > cut) & (F.col("day") <= end))
         model = LogisticRegression(regParam=0.01, elasticNetParam=0.0, maxIter=50) if kind == "logistic" else RandomForestClassifier(numTrees=20, maxDepth=5, seed=1)
         s = model.fit(train).transform(test).select("label", vector_to_array("probability")[1].alias("p"))
         g = s.groupBy(F.round("p", 6).alias("p")).agg(F.count("*").alias("n"), F.sum("label").alias("y"))  # ties together
@@ -129,9 +137,8 @@ def ridge_folds(rows: DataFrame, folds: int = 3) -> DataFrame:
 
     x = VectorAssembler(inputCols=["lot", "hs", "hc"], outputCol="features").transform(rows)
     out = None
-    for i in range(folds):
-        cut = 12 + 6 * i
-        train, test = x.where(F.col("day") <= cut), x.where((F.col("day") > cut) & (F.col("day") <= cut + 6))
+    for i, (cut, end) in enumerate(_folds(x, folds)):
+        train, test = x.where(F.col("day") <= cut), x.where((F.col("day") > cut) & (F.col("day") <= end))
         m = LinearRegression(labelCol="y", regParam=1.0, elasticNetParam=0.0).fit(train)
         med = train.agg(F.percentile("y", F.lit(0.5)).alias("m")).first()["m"]
         a = m.transform(test).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("mae"), F.avg(F.abs(F.col("y") - F.lit(med))).alias("mae_median")).select(F.lit(i).alias("fold"), "*")
@@ -145,9 +152,8 @@ def weighted_logistic(rows: DataFrame, folds: int = 3) -> DataFrame:
     h = F.col("hour") * (2 * np.pi / 24)
     x = VectorAssembler(inputCols=["mid", "spread", "hs", "hc"], outputCol="features").transform(rows.withColumns({"hs": F.sin(h), "hc": F.cos(h)}))
     out = []
-    for i in range(folds):
-        cut = 12 + 6 * i
-        train, test = x.where(F.col("day") <= cut), x.where((F.col("day") > cut) & (F.col("day") <= cut + 6))
+    for i, (cut, end) in enumerate(_folds(x, folds)):
+        train, test = x.where(F.col("day") <= cut), x.where((F.col("day") > cut) & (F.col("day") <= end))
         for name, net in (("l2", 0.0), ("elastic_net", 0.5), ("l1", 1.0)):
             m = LogisticRegression(weightCol="w", regParam=0.001, elasticNetParam=net, maxIter=40, standardization=True).fit(train)
             s = m.transform(test).select("label", "w", vector_to_array("probability")[1].alias("p"))
@@ -161,24 +167,27 @@ def weighted_logistic(rows: DataFrame, folds: int = 3) -> DataFrame:
 
 
 def exit_risk(ledger: DataFrame, cap: int = 60, width_us: int = 7_200_000_000) -> DataFrame:
-    """(day, side, age, at_risk, exits): trades by day of entry, still open at each age of ``width_us``; the last age is censored.
+    """(day, side, age, at_risk, exits): trades by day of entry (from the first one on), still open at each age of ``width_us``; the last age is censored.
 
     A trade is one number, its last age; at risk at an age are all whose last age is as great, so trades are counted by
     last age first and only those counts are spread over the ages before.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     last = F.least(F.floor((us("close_time") - us("open_time")) / width_us).cast("int"), F.lit(cap))
-    n = ledger.groupBy(F.dayofmonth("open_time").alias("day"), "side", last.alias("last")).agg(F.count("*").alias("n"))
+    first, _ = S.span(ledger, "open_time")
+    n = ledger.groupBy(S.day_number("open_time", first).alias("day"), "side", last.alias("last")).agg(F.count("*").alias("n"))
     a = n.withColumn("age", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return a.groupBy("day", "side", "age").agg(F.sum("n").alias("at_risk"), F.sum(F.when((F.col("age") == F.col("last")) & (F.col("last") < cap), F.col("n")).otherwise(0)).alias("exits"))
 
 
-def exit_hazard(risk: DataFrame, train_to: int = 15, inner_to: int = 10) -> DataFrame:
-    """(model, setting, n, exits, expected, bits) on days after ``train_to``: constant, logistic and spline Poisson hazards of exit by age.
+def exit_hazard(risk: DataFrame, train_share: float = 0.5, inner_share: float = 1 / 3) -> DataFrame:
+    """(model, setting, n, exits, expected, bits) on the days after ``train_share`` of them: constant, logistic and spline Poisson hazards of exit by age.
 
-    The logistic penalty is the one that is best on the days after ``inner_to`` when fitted before; knots of the natural
+    The logistic penalty is the one that is best on the days after ``inner_share`` when fitted before; knots of the natural
     spline are quantiles of the training exits' ages. The cells are few, so the fits read counts, not trades.
     """
+    days = risk.agg(F.max("day")).first()[0] or 0
+    train_to, inner_to = S.cut(days, train_share), S.cut(days, inner_share)
     cells = risk.groupBy("day", "side", "age").agg(F.sum("at_risk").alias("at_risk"), F.sum("exits").alias("exits"))
     sum_of = lambda d: d.groupBy("side", "age").agg(F.sum("at_risk").cast("double").alias("at_risk"), F.sum("exits").cast("double").alias("exits"))
     train, test, inner, outer = (sum_of(cells.where(c)) for c in (F.col("day") <= train_to, F.col("day") > train_to, F.col("day") <= inner_to, (F.col("day") > inner_to) & (F.col("day") <= train_to)))
@@ -238,12 +247,14 @@ def _stratum_sums(d: DataFrame, features: list[str], beta: np.ndarray) -> DataFr
     return e.groupBy("symbol", "day").agg(F.sum("e").alias("z"), F.sum("y").alias("c"), F.sum(F.col("y") * F.col("eta")).alias("ye"), F.count("*").alias("k"), *sums, *[F.sum(F.col("y") * F.col(features[i])).alias(f"y{i}") for i in n])
 
 
-def ladder(rows: DataFrame, models: list[list[str]], *, train_to: int = 18, inner_to: int = 12, grid: tuple[float, ...] = (0.1, 10.0)) -> DataFrame:
-    """(model, features, penalty, cases, ll, gain) of nested conditional logits on the days after ``train_to``.
+def ladder(rows: DataFrame, models: list[list[str]], *, train_share: float = 0.6, inner_share: float = 0.4, grid: tuple[float, ...] = (0.1, 10.0)) -> DataFrame:
+    """(model, features, penalty, cases, ll, gain) of nested conditional logits on the days after ``train_share`` of them.
 
-    Features are standardised by the days that teach; the penalty is the one that does best after ``inner_to`` when fitted
-    before it, later days never choosing for earlier ones. Rows: symbol, day, d (day number), y and the features.
+    Features are standardised by the days that teach; the penalty is the one that does best after ``inner_share`` when
+    fitted before it, later days never choosing for earlier ones. Rows: symbol, day, d (day number), y and the features.
     """
+    days = rows.agg(F.max("d")).first()[0] or 0
+    train_to, inner_to = S.cut(days, train_share), S.cut(days, inner_share)
     names = sorted({x for m in models for x in m})
 
     def scaled(data: DataFrame, by: DataFrame) -> DataFrame:

@@ -57,6 +57,55 @@ def interval_extremes(ticks: DataFrame, intervals: DataFrame, *, on: str, key: s
     return out.select(F.col("_key").alias(key), "n", "hi", "hi_low", "lo", "lo_high", at(-F.col("top.t")).alias("hi_ts"), at(F.col("bottom.t")).alias("lo_ts"))
 
 
+def target(name: str, value: str, up: bool, level: Column) -> Column:
+    """What ``first_hits`` looks for: ``value`` at or beyond ``level``, upwards or downwards."""
+    sign = 1.0 if up else -1.0
+    return F.struct(F.lit(name).alias("name"), F.lit(f"{'+' if up else '-'}{value}").alias("series"), (F.lit(sign) * level).alias("level"))
+
+
+def first_hits(ticks: DataFrame, entries: DataFrame, *, on: str, key: str, start: str, end: str, targets: str, values: list[str]) -> DataFrame:
+    """(key, name, ts): the first tick in (start, end] at which a target of the entry holds; no row where none does.
+
+    ``targets`` is an array of ``target``. Ticks are summed up by hour, day and 32 days. A target is looked for in the rest
+    of its first hour, then by hour in the rest of the day, by day in the rest of its 32, then by 32 days; the first that
+    holds it is opened, down to one hour's ticks. So a target meets some 60 rows and two hours of ticks, however far it is.
+    """
+    series = F.explode(F.array(*[F.struct(F.lit(f"{s}{v}").alias("series"), (F.lit(-1.0 if s == "-" else 1.0) * F.col(v)).alias("v")) for v in values for s in "+-"]))
+    one = ticks.select(F.col(on).alias("_on"), micros(F.col("ts")).alias("us"), series.alias("x")).select("_on", "us", "x.*").withColumn("b", F.floor(F.col("us") / HOUR).cast("long"))
+    sums = [one.groupBy("_on", "series", "b").agg(F.max("v").alias("top"))]
+    for width in (24, 32):
+        sums.append(sums[-1].groupBy("_on", "series", F.floor(F.col("b") / width).cast("long").alias("b")).agg(F.max("top").alias("top")))
+    e = entries.select(F.col(key).alias("_key"), F.col(on).alias("_on"), (micros(F.col(start)) + 1).alias("s"), micros(F.col(end)).alias("e"), F.explode(targets).alias("t")).select("_key", "_on", "s", "e", "t.*").where("s <= e")
+    same = ["_on", "series", "b"]
+    who = ["_key", "name", "_on", "series", "level", "s", "e"]
+
+    def in_hour(rows: DataFrame) -> DataFrame:
+        j = rows.join(one, same).where("v >= level and us between s and e")
+        return j.groupBy("_key", "name").agg(F.min("us").alias("us"))
+
+    def opened(rows: DataFrame, level: int) -> DataFrame:
+        """The first bucket of a level that reaches the target, of rows with candidates ``bs``."""
+        j = rows.select(*who, F.explode("bs").alias("b")).join(sums[level], same).where("top >= level")
+        return j.groupBy(*who).agg(F.min("b").alias("b"))
+
+    b = lambda c, w: F.floor(F.col(c) / w).cast("long")
+    near = in_hour(e.withColumn("b", b("s", HOUR)))
+    rest = e.join(near.select(F.col("_key").alias("_k"), F.col("name").alias("_n")), (F.col("_key") == F.col("_k")) & (F.col("name") == F.col("_n")), "left_anti")
+    some = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    widths = [HOUR, 24 * HOUR, 768 * HOUR]
+    found = None
+    for level, width in enumerate(widths):
+        top = b("e", width) if level == 2 else F.least(b("e", width), (b("s", widths[level + 1]) + 1) * (24, 32)[level] - 1)
+        f = opened(rest.withColumn("bs", some(b("s", width) + 1, top)), level).withColumn("at", F.lit(level))
+        found = f if found is None else found.unionByName(f)
+    best = found.groupBy(*who).agg(F.min(F.struct("at", "b")).alias("x")).select(*who, "x.*")
+    for level, width in ((2, 32), (1, 24)):
+        deep = best.where(F.col("at") == level).withColumn("bs", F.sequence(F.col("b") * width, F.col("b") * width + width - 1))
+        best = best.where(F.col("at") < level).unionByName(opened(deep, level - 1).withColumn("at", F.lit(level - 1)).select(best.columns))
+    hits = near.unionByName(in_hour(best.drop("at")))
+    return hits.select(F.col("_key").alias(key), "name", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
+
+
 def merged(intervals: DataFrame, *, on: str, start: str, end: str) -> DataFrame:
     """(on, start, end) of the half-open intervals' union: those that overlap or touch are one."""
     w = W.partitionBy(on).orderBy(start, end)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.operators import splits as S
 from chronoloom.plans import views as V
 from chronoloom.plans.views import WITH, r6
 from chronoloom.registry import query
@@ -119,18 +120,22 @@ def a13_rule_confusion(spark, sf):
     return g.select("*", e("try_divide(tp, tp + fp)").alias("precision"), e("try_divide(tp, tp + fn)").alias("recall"), e("try_divide(2d * tp, 2 * tp + fp + fn)").alias("f1"), e("try_divide(fp, fp + tn)").alias("fpr"), e("(tp + 0.5d) * (tn + 0.5d) / ((fp + 0.5d) * (fn + 0.5d))").alias("odds"))
 
 
-@query("a14_grouping_sets", WITH + ", p AS (SELECT *, CASE WHEN day(open_time) <= 15 THEN 'discovery' WHEN day(open_time) <= 18 THEN 'buffer' ELSE 'lockbox' END AS part FROM ledger) SELECT coalesce(part, 'ALL') AS part, coalesce(side, 'ALL') AS side, count(*) AS n, round(sum(pnl), 6) AS pnl FROM p GROUP BY GROUPING SETS ((part), (part, side), ())")
+@query("a14_grouping_sets", WITH + ", p AS (SELECT *, CASE WHEN d <= ceil(n * 0.5) THEN 'discovery' WHEN d <= ceil(n * 0.6) THEN 'buffer' ELSE 'lockbox' END AS part FROM (SELECT *, max(d) OVER () AS n FROM (SELECT *, date_diff('day', min(open_time) OVER ()::DATE, open_time::DATE) + 1 AS d FROM ledger))) SELECT coalesce(part, 'ALL') AS part, coalesce(side, 'ALL') AS side, count(*) AS n, round(sum(pnl), 6) AS pnl FROM p GROUP BY GROUPING SETS ((part), (part, side), ())")
 def a14_grouping_sets(spark, sf):
     """Metrics per partition with totals, in one aggregate."""
-    d = F.dayofmonth("open_time")
-    p = V.ledger(spark, sf).withColumn("part", F.when(d <= 15, "discovery").when(d <= 18, "buffer").otherwise("lockbox"))
+    led = V.ledger(spark, sf)
+    first, days = S.span(led, "open_time")
+    d = S.day_number("open_time", first)
+    p = led.withColumn("part", F.when(d <= S.cut(days, 0.5), "discovery").when(d <= S.cut(days, 0.6), "buffer").otherwise("lockbox"))
     g = p.groupingSets([[F.col("part")], [F.col("part"), F.col("side")], []], F.col("part"), F.col("side")).agg(F.count("*").alias("n"), r6(F.sum("pnl")).alias("pnl"))
     return g.select(F.coalesce("part", F.lit("ALL")).alias("part"), F.coalesce("side", F.lit("ALL")).alias("side"), "n", "pnl")
 
 
-@query("a15_fold_summary", WITH + ", f AS (SELECT day(open_time) // 6 AS fold, avg(pnl) AS m FROM ledger GROUP BY 1) SELECT count(*) AS folds, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.5), 6) AS median, round(min(m), 6) AS least, count(*) FILTER (m > 0) AS positive FROM f")
+@query("a15_fold_summary", WITH + ", x AS (SELECT pnl, date_diff('day', min(open_time) OVER ()::DATE, open_time::DATE) AS d, date_diff('day', min(open_time) OVER ()::DATE, max(open_time) OVER ()::DATE) + 1 AS n FROM ledger), f AS (SELECT d * 5 // n AS fold, avg(pnl) AS m FROM x GROUP BY 1) SELECT count(*) AS folds, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.5), 6) AS median, round(min(m), 6) AS least, count(*) FILTER (m > 0) AS positive FROM f")
 def a15_fold_summary(spark, sf):
-    f = V.ledger(spark, sf).groupBy(F.expr("day(open_time) div 6").alias("fold")).agg(F.avg("pnl").alias("m"))
+    led = V.ledger(spark, sf)
+    first, days = S.span(led, "open_time")
+    f = led.groupBy(F.floor((S.day_number("open_time", first) - 1) * 5 / days).alias("fold")).agg(F.avg("pnl").alias("m"))
     return f.agg(F.count("*").alias("folds"), r6(F.avg("m")).alias("mean"), r6(F.percentile("m", F.lit(0.5))).alias("median"), r6(F.min("m")).alias("least"), F.count_if(F.col("m") > 0).alias("positive"))
 
 

@@ -9,7 +9,7 @@ from chronoloom.operators import asof as A
 from chronoloom.operators import matching as M
 from chronoloom.operators import paths as X
 from chronoloom.plans import views as V
-from chronoloom.plans.views import WITH, r6
+from chronoloom.plans.views import HOURS, WITH, r6
 from chronoloom.registry import query
 
 
@@ -69,13 +69,13 @@ def j05_forward_bar(spark, sf):
 
 @query(
     "j06_quote_at_grid",
-    WITH + """, g AS (SELECT symbol, ts FROM (SELECT DISTINCT symbol FROM ticks) CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 00:00:00', INTERVAL '30 minutes')) AS ts))
+    WITH + """, g AS (SELECT symbol, ts FROM (SELECT DISTINCT symbol FROM ticks) CROSS JOIN (SELECT unnest(""" + HOURS.replace("'1 hour'", "'30 minutes'") + """) AS ts))
 SELECT g.symbol, g.ts, round(t.bid, 6) AS bid, round(t.ask, 6) AS ask, round((epoch_us(g.ts) - epoch_us(t.ts)) / 1e6, 6) AS age_seconds FROM g ASOF LEFT JOIN ticks t ON g.symbol = t.symbol AND g.ts >= t.ts""",
 )
 def j06_quote_at_grid(spark, sf):
     """Quote standing at each half hour with its age."""
     t = V.ticks(spark, sf)
-    grid = t.select("symbol").distinct().withColumn("at", F.explode(F.expr("sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-30 00:00:00', interval 30 minutes)")))
+    grid = t.select("symbol").distinct().withColumn("at", F.explode(F.expr("sequence(timestamp_ntz'%s', timestamp_ntz'%s', interval 30 minutes)" % V.period(t))))
     j = A.asof(grid, t.select("symbol", "ts", "bid", "ask"), on="symbol", left_ts="at", right_ts="ts", take=["bid", "ask"])
     return j.select("symbol", F.col("at").alias("ts"), r6("bid").alias("bid"), r6("ask").alias("ask"), r6(A.seconds(F.col("at"), F.col("ts"))).alias("age_seconds"))
 

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.operators import asof as A
 from chronoloom.operators import models as M
 from chronoloom.operators import paths as X
+from chronoloom.operators import splits as S
 from chronoloom.plans import views as V
 from chronoloom.plans.queries_controls import _PANEL, _panel
-from chronoloom.plans.views import WITH, r6
+from chronoloom.plans.views import DAYS, FIRST, WITH, r6
 from chronoloom.registry import query
 
 _FEATURES = ("rsi", "return_1", "expansion")
 #: Days before it teach, later ones test.
-_CUT = "2024-01-19"
-_PREDICATES = _PANEL + f""", tr AS (SELECT * FROM panel WHERE ts < TIMESTAMP '{_CUT}'), th AS ({' UNION ALL '.join(f"SELECT {i} AS f, {j} AS q, quantile_cont({c}, {v}) AS t FROM tr" for i, c in enumerate(_FEATURES) for j, v in enumerate((0.25, 0.75)))}),
-pr AS (SELECT p.symbol, p.ts, p.entry::INTEGER AS y, p.ts < TIMESTAMP '{_CUT}' AS train, th.f * 4 + th.q * 2 + d.d AS id, th.f, coalesce(CASE WHEN d.d = 0 THEN x > t ELSE x <= t END, false) AS hit, coalesce(CASE WHEN d.d = 0 THEN x <= t ELSE x > t END, false) AS reset
+_CUT = f"({FIRST} + to_days(CAST(ceil({DAYS} * 0.6) AS INTEGER)))"
+
+
+def _cut(spark, sf):
+    """Where the first three fifths of the days end, as a column."""
+    first, days = S.span(V.ticks(spark, sf), "ts")
+    return F.lit(str(first + timedelta(days=S.cut(days, 0.6)))).cast("timestamp_ntz")
+
+
+_PREDICATES = _PANEL + f""", tr AS (SELECT * FROM panel WHERE ts < {_CUT}), th AS ({' UNION ALL '.join(f"SELECT {i} AS f, {j} AS q, quantile_cont({c}, {v}) AS t FROM tr" for i, c in enumerate(_FEATURES) for j, v in enumerate((0.25, 0.75)))}),
+pr AS (SELECT p.symbol, p.ts, p.entry::INTEGER AS y, p.ts < {_CUT} AS train, th.f * 4 + th.q * 2 + d.d AS id, th.f, coalesce(CASE WHEN d.d = 0 THEN x > t ELSE x <= t END, false) AS hit, coalesce(CASE WHEN d.d = 0 THEN x <= t ELSE x > t END, false) AS reset
   FROM panel p CROSS JOIN th CROSS JOIN (SELECT unnest([0, 1]) AS d) d CROSS JOIN LATERAL (SELECT CASE th.f WHEN 0 THEN p.rsi WHEN 1 THEN p.return_1 ELSE p.expansion END AS x)),
 ev AS (SELECT *, hit AND NOT coalesce(lag(hit) OVER w, true) AS cross_, hit AND coalesce(lag(hit) OVER w, false) AND coalesce(lag(hit, 2) OVER w, false) AS persist, hit AND coalesce(max(CASE WHEN reset THEN ts END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > coalesce(max(CASE WHEN hit THEN ts END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '1970-01-01'), false) AS armed FROM pr WINDOW w AS (PARTITION BY symbol, id ORDER BY ts)),
 ru AS (SELECT 'single' AS kind, id, NULL::INTEGER AS id2, symbol, ts, y, train, hit FROM ev UNION ALL SELECT 'crossing', id, NULL, symbol, ts, y, train, cross_ FROM ev UNION ALL SELECT 'persistence', id, NULL, symbol, ts, y, train, persist FROM ev UNION ALL SELECT 'armed', id, NULL, symbol, ts, y, train, armed FROM ev
@@ -26,7 +37,7 @@ ru AS (SELECT 'single' AS kind, id, NULL::INTEGER AS id2, symbol, ts, y, train,
 
 def _rules(spark, sf):
     """A row per bar with its outcome and the flags of all rules: (kind, id, id2, hit) as an array; every rule in one pass over the bars."""
-    p = _panel(spark, sf).withColumn("train", F.col("ts") < F.lit(_CUT).cast("timestamp_ntz"))
+    p = _panel(spark, sf).withColumn("train", F.col("ts") < _cut(spark, sf))
     t = p.where("train").agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"t_{c}") for c in _FEATURES])
     p = p.crossJoin(F.broadcast(t))  # six numbers
     w = W.partitionBy("symbol").orderBy("ts")
@@ -99,13 +110,13 @@ def p29_conditional_search(spark, sf):
 
 
 _WEIGHTED = WITH + """, q AS (SELECT t.*, l.event_id IS NOT NULL AS y FROM ticks t LEFT JOIN ledger l ON l.event_id = t.event_id), c AS (SELECT symbol, ts, 0 AS y, count(*) OVER (PARTITION BY symbol, date_trunc('hour', ts)) AS w, row_number() OVER (PARTITION BY symbol, date_trunc('hour', ts) ORDER BY md5(concat('7:', event_id))) AS r FROM q WHERE NOT y),
-s AS (SELECT symbol, ts, y, w::DOUBLE AS w FROM c WHERE r = 1 UNION ALL SELECT symbol, ts, 1, 1.0 FROM q WHERE y), d AS (SELECT symbol, y, w, hour(ts) AS h, isodow(ts) AS dow, dayofmonth(ts) AS day FROM s)"""
+s AS (SELECT symbol, ts, y, w::DOUBLE AS w FROM c WHERE r = 1 UNION ALL SELECT symbol, ts, 1, 1.0 FROM q WHERE y), d AS (SELECT symbol, y, w, hour(ts) AS h, isodow(ts) AS dow, date_diff('day', (SELECT min(ts) FROM ticks)::DATE, ts::DATE) + 1 AS day FROM s), n AS (SELECT max(day) AS n FROM d)"""
 
 
 @query(
     "m04_weighted_folds",
-    _WEIGHTED + """, k AS (SELECT unnest(range(3)) AS k), b0 AS (SELECT k, sum(w * y) AS wy, sum(w) AS w FROM d JOIN k ON d.day <= 12 + 6 * k GROUP BY 1), b1 AS (SELECT k, h, sum(w * y) AS wy, sum(w) AS w FROM d JOIN k ON d.day <= 12 + 6 * k GROUP BY 1, 2), b2 AS (SELECT k, h, dow, sum(w * y) AS wy, sum(w) AS w FROM d JOIN k ON d.day <= 12 + 6 * k GROUP BY 1, 2, 3), b3 AS (SELECT k, symbol, h, sum(w * y) AS wy, sum(w) AS w FROM d JOIN k ON d.day <= 12 + 6 * k GROUP BY 1, 2, 3),
-t AS (SELECT d.*, k.k, b0.wy / b0.w AS p0, (coalesce(b1.wy, 0) + 20 * b0.wy / b0.w) / (coalesce(b1.w, 0) + 20) AS p1, (coalesce(b2.wy, 0) + 20 * b0.wy / b0.w) / (coalesce(b2.w, 0) + 20) AS p2, (coalesce(b3.wy, 0) + 20 * b0.wy / b0.w) / (coalesce(b3.w, 0) + 20) AS p3 FROM d JOIN k ON d.day > 12 + 6 * k AND d.day <= 18 + 6 * k JOIN b0 ON b0.k = k.k LEFT JOIN b1 ON b1.k = k.k AND b1.h = d.h LEFT JOIN b2 ON b2.k = k.k AND b2.h = d.h AND b2.dow = d.dow LEFT JOIN b3 ON b3.k = k.k AND b3.h = d.h AND b3.symbol = d.symbol)
+    _WEIGHTED + """, k AS (SELECT k, ceil(n * (2 + k) / 5.0) AS cut, ceil(n * (3 + k) / 5.0) AS till FROM n, (SELECT unnest(range(3)) AS k)), b0 AS (SELECT k, sum(w * y) AS wy, sum(w) AS w FROM d JOIN k ON d.day <= cut GROUP BY 1), b1 AS (SELECT k, h, sum(w * y) AS wy, sum(w) AS w FROM d JOIN k ON d.day <= cut GROUP BY 1, 2), b2 AS (SELECT k, h, dow, sum(w * y) AS wy, sum(w) AS w FROM d JOIN k ON d.day <= cut GROUP BY 1, 2, 3), b3 AS (SELECT k, symbol, h, sum(w * y) AS wy, sum(w) AS w FROM d JOIN k ON d.day <= cut GROUP BY 1, 2, 3),
+t AS (SELECT d.*, k.k, b0.wy / b0.w AS p0, (coalesce(b1.wy, 0) + 20 * b0.wy / b0.w) / (coalesce(b1.w, 0) + 20) AS p1, (coalesce(b2.wy, 0) + 20 * b0.wy / b0.w) / (coalesce(b2.w, 0) + 20) AS p2, (coalesce(b3.wy, 0) + 20 * b0.wy / b0.w) / (coalesce(b3.w, 0) + 20) AS p3 FROM d JOIN k ON d.day > cut AND d.day <= till JOIN b0 ON b0.k = k.k LEFT JOIN b1 ON b1.k = k.k AND b1.h = d.h LEFT JOIN b2 ON b2.k = k.k AND b2.h = d.h AND b2.dow = d.dow LEFT JOIN b3 ON b3.k = k.k AND b3.h = d.h AND b3.symbol = d.symbol)
 SELECT CAST(k AS INTEGER) AS fold, count(*) AS n, CAST(sum(y) AS BIGINT) AS cases, round(sum(w), 6) AS weight, """ + ", ".join(f"round(sum(w * (y * ln(p{i}) + (1 - y) * ln(1 - p{i}))) / sum(w * y) / ln(2), 6) AS bits_b{i}" for i in range(4)) + " FROM t GROUP BY 1",
 )
 def m04_weighted_folds(spark, sf):
@@ -114,13 +125,17 @@ def m04_weighted_folds(spark, sf):
     t = V.ticks(spark, sf).join(V.ledger(spark, sf).select("event_id", F.lit(1).alias("y")), "event_id", "left")
     c = t.where("y is null").groupBy("symbol", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").cast("double").alias("w"), F.min_by("ts", F.md5(F.concat(F.lit("7:"), F.col("event_id").cast("string")))).alias("ts"))
     s = c.select("symbol", "ts", F.lit(0).alias("y"), "w").unionByName(t.where("y = 1").select("symbol", "ts", "y", F.lit(1.0).alias("w")))
-    d = s.select("symbol", "y", "w", F.hour("ts").alias("h"), F.weekday("ts").alias("dow"), F.dayofmonth("ts").alias("day"))
+    first, _ = S.span(t, "ts")
+    d = s.select("symbol", "y", "w", F.hour("ts").alias("h"), F.weekday("ts").alias("dow"), S.day_number("ts", first).alias("day"))
     # sums per cell once; a fold adds up the days before it
     day = d.groupBy("symbol", "h", "dow", "day").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w"), F.count("*").alias("n"), F.sum("y").alias("y"))
-    k = F.explode(F.filter(F.array(*map(F.lit, range(3))), lambda k: F.col("day") <= 12 + 6 * k)).alias("k")
+    days = day.agg(F.max("day")).first()[0] or 0
+    cuts = [S.cut(days, (2 + i) / 5) for i in range(4)]
+    k = F.explode(F.array_compact(F.array(*[F.when(F.col("day") <= cuts[i], F.lit(i)) for i in range(3)]))).alias("k")
     past = day.select("*", k)
     cell = lambda *keys: past.groupBy("k", *keys).agg(F.sum("wy").alias("cy"), F.sum("w").alias("cw"))
-    test = day.withColumn("k", F.floor((F.col("day") - 13) / 6).cast("int")).where("k between 0 and 2")
+    fold = F.coalesce(*[F.when((F.col("day") > cuts[i]) & (F.col("day") <= cuts[i + 1]), F.lit(i)) for i in range(3)])
+    test = day.withColumn("k", fold).where("k is not null")
     test = test.join(F.broadcast(cell().withColumnsRenamed({"cy": "y0", "cw": "w0"})), "k")  # three rows
     p = {"p0": F.col("y0") / F.col("w0")}
     for i, keys in enumerate((["h"], ["h", "dow"], ["h", "symbol"]), start=1):
@@ -137,10 +152,11 @@ def m04_weighted_logistic(spark, sf):
     t = V.ticks(spark, sf).join(V.ledger(spark, sf).select("event_id", F.lit(1.0).alias("y")), "event_id", "left").withColumn("h", F.date_trunc("hour", "ts"))
     n = t.where("y is null").groupBy("symbol", "h").agg(F.count("*").cast("double").alias("w"), F.min_by("event_id", F.md5(F.concat(F.lit("7:"), F.col("event_id").cast("string")))).alias("event_id")).select("event_id", "w")
     d = t.join(n, "event_id", "left").where("y = 1 or w is not null").withColumns({"w": F.when(F.col("y") == 1, 1.0).otherwise(F.col("w")), "label": F.coalesce("y", F.lit(0.0))})
-    return M.weighted_logistic(d.select("label", "w", F.dayofmonth("ts").alias("day"), "mid", "spread", F.hour("ts").alias("hour")))
+    first, _ = S.span(t, "ts")
+    return M.weighted_logistic(d.select("label", "w", S.day_number("ts", first).alias("day"), "mid", "spread", F.hour("ts").alias("hour")))
 
 
-_RISK = WITH + """, t AS (SELECT ticket, side, dayofmonth(open_time) AS day, least(CAST(floor((epoch_us(close_time) - epoch_us(open_time)) / 7.2e9) AS BIGINT), 60) AS last FROM ledger)"""
+_RISK = WITH + """, t AS (SELECT ticket, side, least(CAST(floor((epoch_us(close_time) - epoch_us(open_time)) / 7.2e9) AS BIGINT), 60) AS last FROM ledger)"""
 
 
 @query(
@@ -161,7 +177,9 @@ def m08_exit_hazard(spark, sf):
 @query("m22_model_ladder")
 def m22_model_ladder(spark, sf):
     """Five nested conditional logits: penalty chosen on the days before the test, baselines from the training days alone."""
-    p = _panel(spark, sf).select("symbol", F.to_date("ts").alias("day"), F.dayofmonth("ts").alias("d"), F.col("entry").cast("double").alias("y"), "return_1", "expansion", F.col("rsi"), F.sin(F.col("hour") * 0.2617993877991494).alias("hs"), F.cos(F.col("hour") * 0.2617993877991494).alias("hc"), "atr_pct")
+    panel = _panel(spark, sf)
+    first, _ = S.span(panel, "ts")
+    p = panel.select("symbol", F.to_date("ts").alias("day"), S.day_number("ts", first).alias("d"), F.col("entry").cast("double").alias("y"), "return_1", "expansion", F.col("rsi"), F.sin(F.col("hour") * 0.2617993877991494).alias("hs"), F.cos(F.col("hour") * 0.2617993877991494).alias("hc"), "atr_pct")
     return M.ladder(p.dropna(), [[], ["hs", "hc"], ["hs", "hc", "expansion"], ["hs", "hc", "expansion", "return_1"], ["hs", "hc", "expansion", "return_1", "rsi", "atr_pct"]])
 
 
@@ -192,7 +210,7 @@ _AUDIT = {
     "E_bars_consistent": ("SELECT count(*) AS n, count(*) FILTER (WHERE high < greatest(open, close) OR low > least(open, close)) AS bad FROM bars_1h",),
     "F_entries_covered": ("SELECT count(*) AS n, count(*) FILTER (WHERE b.ts IS NULL) AS bad FROM ledger l LEFT JOIN bars_1h b ON b.symbol = l.symbol AND b.ts = date_trunc('hour', l.open_time)",),
     "G_finite_results": ("SELECT count(*) AS n, count(*) FILTER (WHERE pnl IS NULL OR isnan(pnl)) AS bad FROM ledger",),
-    "H_train_closed_before_test": (f"SELECT count(*) AS n, count(*) FILTER (WHERE close_time >= TIMESTAMP '{_CUT}') AS bad FROM ledger WHERE open_time < TIMESTAMP '{_CUT}'",),
+    "H_train_closed_before_test": (f"SELECT count(*) AS n, count(*) FILTER (WHERE close_time >= {_CUT}) AS bad FROM ledger WHERE open_time < {_CUT}",),
     "I_known_sides": ("SELECT count(*) AS n, count(*) FILTER (WHERE side NOT IN ('Buy', 'Sell')) AS bad FROM ledger",),
 }
 
@@ -202,7 +220,7 @@ def r16_precondition_audit(spark, sf):
     """The nine preconditions of the audit, each with what was checked and what fails it."""
     led, ticks, bars = V.ledger(spark, sf), V.ticks(spark, sf), V.bars_1h(spark, sf)
     n = lambda df, bad: df.agg(F.count("*").alias("n"), bad.alias("bad"))
-    cut = F.lit(_CUT).cast("timestamp_ntz")
+    cut = _cut(spark, sf)
     covered = led.select("symbol", F.date_trunc("hour", "open_time").cast("timestamp_ntz").alias("ts")).join(bars.select("symbol", "ts", F.lit(True).alias("found")), ["symbol", "ts"], "left")
     parts = {
         "A_unique_tickets": n(led, F.count("*") - F.countDistinct("ticket")),

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from chronoloom.operators import asof as A
 from chronoloom.operators import matching as M
 from chronoloom.operators import policy as P
+from chronoloom.operators import paths as X
 from chronoloom.operators import search as S
+from chronoloom.operators import splits as D
 from chronoloom.plans import views as V
-from chronoloom.plans.views import WITH, r6
+from chronoloom.plans.views import DAYS, FIRST, WITH, r6
 from chronoloom.registry import query
 
 
@@ -48,19 +50,25 @@ def p05_noise(spark, sf):
     return t.groupBy((F.col("event_id") % 100).alias("grp")).agg(F.count("*").alias("n"), (F.abs(F.count_if("hit") / F.count("*") - 0.3) < 0.2).alias("plausible"))
 
 
-_EXIT = """, p AS (SELECT s.ticket, t.ts, s.open_time, CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END AS move FROM ledger s JOIN ticks t ON t.symbol = s.symbol AND t.ts > s.open_time AND t.ts <= s.open_time + INTERVAL '24 hours'),
+_EXIT = """, p AS (SELECT s.ticket, t.ts, s.open_time, CASE WHEN side = 'Buy' THEN t.bid - price ELSE price - t.ask END AS move FROM ledger s JOIN ticks t ON t.symbol = s.symbol AND t.ts > s.open_time AND t.ts <= {until}),
 m AS (SELECT *, max(move) OVER (PARTITION BY ticket ORDER BY ts ROWS UNBOUNDED PRECEDING) AS best FROM p)"""
 
 
 @query(
     "p09_first_exit",
-    WITH + _EXIT + """, e AS (SELECT ticket, min(CASE WHEN move <= -20 THEN ts END) AS sl, min(CASE WHEN move >= 30 THEN ts END) AS tp, min(CASE WHEN best >= 10 AND best - move >= 15 THEN ts END) AS tr, min(CASE WHEN ts >= open_time + INTERVAL '6 hours' THEN ts END) AS tm FROM m GROUP BY 1)
+    WITH + _EXIT.format(until="coalesce((SELECT min(u.ts) FROM ticks u WHERE u.symbol = s.symbol AND u.ts >= s.open_time + INTERVAL '6 hours'), s.open_time + INTERVAL '6 hours')") + """, e AS (SELECT ticket, min(CASE WHEN move <= -20 THEN ts END) AS sl, min(CASE WHEN move >= 30 THEN ts END) AS tp, min(CASE WHEN best >= 10 AND best - move >= 15 THEN ts END) AS tr, min(CASE WHEN ts >= open_time + INTERVAL '6 hours' THEN ts END) AS tm FROM m GROUP BY 1)
 SELECT ticket, least(sl, tp, tr, tm) AS exit_ts, CASE WHEN least(sl, tp, tr, tm) IS NULL THEN 'none' WHEN sl = least(sl, tp, tr, tm) THEN 'stop_loss' WHEN tp = least(sl, tp, tr, tm) THEN 'take_profit' WHEN tr = least(sl, tp, tr, tm) THEN 'trailing' ELSE 'time' END AS reason FROM e""",
 )
 def p09_first_exit(spark, sf):
-    """First exit of each entry over its ticks: stop before profit before trailing before time."""
-    s = V.ledger(spark, sf).select("ticket", "symbol", "side", "price", "open_time", (F.col("open_time") + F.expr("interval 24 hours")).alias("until"))
-    j = A.within(V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), s, on="symbol", ts="ts", start="open_time", end="until", closed_end=True, width=6 * 3600).where("ts > open_time")
+    """First exit of each entry over its ticks: stop before profit before trailing before time (P09, P18-P20). The path
+    ends with the time exit, the first tick after six hours, however late that is."""
+    ticks = V.ticks(spark, sf).select("symbol", "ts", "bid", "ask")
+    s = V.ledger(spark, sf).select("ticket", "symbol", "side", "price", "open_time", (F.col("open_time") + F.expr("interval 6 hours")).alias("due"))
+    s = A.asof(s, ticks.select("symbol", F.col("ts").alias("late")), on="symbol", left_ts="due", right_ts="late", take=[], forward=True)
+    # ticks up to six hours meet by time; the one after them is known
+    last = s.where("late is not null").join(ticks.withColumnRenamed("ts", "late"), ["symbol", "late"]).withColumn("ts", F.col("late"))
+    j = A.within(ticks, s, on="symbol", ts="ts", start="open_time", end="due", closed_end=False, width=6 * 3600).where("ts > open_time")
+    j = j.select("ticket", "ts", "side", "price", "bid", "ask", "open_time").unionByName(last.select("ticket", "ts", "side", "price", "bid", "ask", "open_time"))
     j = j.withColumn("move", F.when(F.col("side") == "Buy", F.col("bid") - F.col("price")).otherwise(F.col("price") - F.col("ask")))
     j = j.withColumn("best", F.max("move").over(W.partitionBy("ticket").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)))
     first = lambda c: F.min(F.when(F.expr(c), F.col("ts")))
@@ -155,7 +163,7 @@ def p36_observation_grid(spark, sf):
 
 @query(
     "p34_shift_placebo",
-    WITH + """, m AS (SELECT p.symbol, s.s AS shift, 1704067200000000 + (epoch_us(p.p_ts) - 1704067200000000 + s.s * 129600000000) % 2592000000000 AS us FROM predictions p CROSS JOIN (SELECT unnest(range(20)) AS s) s),
+    WITH + """, m AS (SELECT p.symbol, s.s AS shift, epoch_us(""" + FIRST + """) + (epoch_us(p.p_ts) - epoch_us(""" + FIRST + """) + s.s * 4320000000 * """ + DAYS + """) % (86400000000 * """ + DAYS + """) AS us FROM predictions p CROSS JOIN (SELECT unnest(range(20)) AS s) s),
 l AS (SELECT ticket, symbol, epoch_us(open_time) AS us FROM ledger), b AS (SELECT l.ticket, m.shift, l.us - m.us AS d FROM (SELECT * FROM l CROSS JOIN (SELECT unnest(range(20)) AS shift)) l ASOF JOIN m ON l.symbol = m.symbol AND l.shift = m.shift AND l.us >= m.us),
 f AS (SELECT l.ticket, m.shift, m.us - l.us AS d FROM (SELECT * FROM l CROSS JOIN (SELECT unnest(range(20)) AS shift)) l ASOF JOIN m ON l.symbol = m.symbol AND l.shift = m.shift AND l.us <= m.us),
 h AS (SELECT DISTINCT ticket, shift FROM (SELECT * FROM b UNION ALL SELECT * FROM f) WHERE d <= 1800000000)
@@ -165,9 +173,10 @@ def p34_shift_placebo(spark, sf):
     """Matches within 30 minutes after shifting predictions around the sample, against the unshifted count."""
     led = V.ledger(spark, sf).select("ticket", "symbol", "open_time")
     pred = V.predictions(spark, sf).select("symbol", F.col("p_ts").alias("ts"))
-    start, span = 1704067200000000, 30 * 86400 * 1_000_000
+    first, days = D.span(V.ticks(spark, sf), "ts")
+    start, span = F.unix_micros(F.lit(str(first)).cast("timestamp")), days * 86400 * 1_000_000
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    moved = pred.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("p_ts", F.timestamp_micros(F.lit(start) + F.pmod(us - start + F.col("shift") * F.lit(span // 20), F.lit(span))).cast("timestamp_ntz"))
+    moved = pred.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("p_ts", F.timestamp_micros(start + F.pmod(us - start + F.col("shift") * F.lit(span // 20), F.lit(span))).cast("timestamp_ntz"))
     j = A.band(led, moved.drop("ts"), on=["symbol"], left_ts="open_time", right_ts="p_ts", seconds_=1800)
     return j.groupBy("shift").agg(F.countDistinct("ticket").alias("matched"))
 
@@ -212,14 +221,18 @@ def p27_rule_scores(spark, sf):
 
 @query(
     "p18_exit_grid",
-    WITH + _EXIT + ", g AS (SELECT unnest([5.0, 10.0, 20.0, 40.0]) AS sl), e AS (SELECT g.sl, m.ticket, min(CASE WHEN move <= -sl THEN ts END) AS t_sl, min(CASE WHEN move >= 2 * sl THEN ts END) AS t_tp FROM m CROSS JOIN g GROUP BY 1, 2) SELECT sl, count(*) AS trades, count(*) FILTER (t_sl IS NOT NULL AND (t_tp IS NULL OR t_sl <= t_tp)) AS stopped, count(*) FILTER (t_tp IS NOT NULL AND (t_sl IS NULL OR t_tp < t_sl)) AS profits FROM e GROUP BY 1",
+    WITH + _EXIT.format(until="s.close_time") + ", g AS (SELECT unnest([5.0, 10.0, 20.0, 40.0]) AS sl), e AS (SELECT g.sl, m.ticket, min(CASE WHEN move <= -sl THEN ts END) AS t_sl, min(CASE WHEN move >= 2 * sl THEN ts END) AS t_tp FROM m CROSS JOIN g GROUP BY 1, 2) SELECT sl, count(*) AS trades, count(*) FILTER (t_sl IS NOT NULL AND (t_tp IS NULL OR t_sl <= t_tp)) AS stopped, count(*) FILTER (t_tp IS NOT NULL AND (t_sl IS NULL OR t_tp < t_sl)) AS profits FROM e GROUP BY 1",
 )
 def p18_exit_grid(spark, sf):
-    """Barrier pairs over all paths: first hits per parameter as conditional minima, the adverse side first at ties."""
-    s = V.ledger(spark, sf).select("ticket", "symbol", "side", "price", "open_time", (F.col("open_time") + F.expr("interval 24 hours")).alias("until"))
-    j = A.within(V.ticks(spark, sf).select("symbol", "ts", "bid", "ask"), s, on="symbol", ts="ts", start="open_time", end="until", closed_end=True, width=6 * 3600).where("ts > open_time")
-    j = j.withColumn("move", F.when(F.col("side") == "Buy", F.col("bid") - F.col("price")).otherwise(F.col("price") - F.col("ask")))
+    """Barrier pairs over the paths of all trades: first hits of every barrier, the adverse side first at ties."""
+    ticks = V.ticks(spark, sf).select("symbol", "ts", "bid", "ask")
+    led = V.ledger(spark, sf).select("ticket", "symbol", "side", "price", "open_time", "close_time")
     sls = (5.0, 10.0, 20.0, 40.0)
-    e = j.groupBy("ticket").agg(*[x for i, sl in enumerate(sls) for x in (F.min(F.when(F.col("move") <= -sl, F.col("ts"))).alias(f"s{i}"), F.min(F.when(F.col("move") >= 2 * sl, F.col("ts"))).alias(f"p{i}"))])
+    buy, p = F.col("side") == "Buy", F.col("price")
+    targets = [x for i, sl in enumerate(sls) for x in (F.when(buy, X.target(f"s{i}", "bid", False, p - sl)).otherwise(X.target(f"s{i}", "ask", True, p + sl)), F.when(buy, X.target(f"p{i}", "bid", True, p + 2 * sl)).otherwise(X.target(f"p{i}", "ask", False, p - 2 * sl)))]
+    hits = X.first_hits(ticks, led.withColumn("targets", F.array(*targets)), on="symbol", key="ticket", start="open_time", end="close_time", targets="targets", values=["bid", "ask"])
+    h = hits.groupBy("ticket").agg(*[F.max(F.when(F.col("name") == n, F.col("ts"))).alias(n) for i in range(len(sls)) for n in (f"s{i}", f"p{i}")])
+    seen = X.interval_extremes(ticks, led.withColumn("after", F.col("open_time") + F.expr("interval 1 microsecond")), on="symbol", key="ticket", start="after", end="close_time", high="bid", low="ask")
+    e = seen.select("ticket").join(h, "ticket", "left")
     x = e.select(F.explode(F.array(*[F.struct(F.lit(sl).alias("sl"), F.col(f"s{i}").alias("s"), F.col(f"p{i}").alias("p")) for i, sl in enumerate(sls)])).alias("x")).select("x.*")
     return x.groupBy("sl").agg(F.count("*").alias("trades"), F.count_if(F.expr("s is not null and (p is null or s <= p)")).alias("stopped"), F.count_if(F.expr("p is not null and (s is null or p < s)")).alias("profits"))

@@ -12,9 +12,10 @@ from chronoloom.operators import asof as A
 from chronoloom.operators import bars as B
 from chronoloom.operators import folds as K
 from chronoloom.operators import series as S
+from chronoloom.operators import splits as D
 from chronoloom.plans import views as V
 from chronoloom.plans.queries_windows import _ema_sql
-from chronoloom.plans.views import WITH, r6
+from chronoloom.plans.views import DAYS, FIRST, WITH, r6
 from chronoloom.registry import query
 
 _RECURSIVE = WITH.replace("WITH ", "WITH RECURSIVE ", 1)
@@ -72,7 +73,7 @@ def p15_two_model_replay(spark, sf):
 
 @query(
     "p15_expanding_splits",
-    _RECURSIVE + _BARS + _TWO + """, k AS (SELECT k, TIMESTAMP '2024-01-01' + to_days(CAST(15 + 3 * k AS INTEGER)) AS a, TIMESTAMP '2024-01-01' + to_days(CAST(18 + 3 * k AS INTEGER)) AS b FROM range(5) r(k)),
+    _RECURSIVE + _BARS + _TWO + """, k AS (SELECT k, """ + FIRST + """ + to_days(CAST(ceil(""" + DAYS + """ * (5 + k) / 10.0) AS INTEGER)) AS a, """ + FIRST + """ + to_days(CAST(ceil(""" + DAYS + """ * (6 + k) / 10.0) AS INTEGER)) AS b FROM range(5) r(k)),
 n1 AS (SELECT s.symbol, s.ts, least(coalesce(epoch_us(s.ts) - epoch_us(p.open_time), 9e18), coalesce(epoch_us(f.open_time) - epoch_us(s.ts), 9e18)) AS d FROM sim s ASOF LEFT JOIN ledger p ON p.symbol = s.symbol AND s.ts >= p.open_time ASOF LEFT JOIN ledger f ON f.symbol = s.symbol AND s.ts <= f.open_time),
 n2 AS (SELECT l.open_time AS ts, least(coalesce(epoch_us(l.open_time) - epoch_us(p.ts), 9e18), coalesce(epoch_us(f.ts) - epoch_us(l.open_time), 9e18)) AS d FROM ledger l ASOF LEFT JOIN sim p ON p.symbol = l.symbol AND l.open_time >= p.ts ASOF LEFT JOIN sim f ON f.symbol = l.symbol AND l.open_time <= f.ts)
 SELECT CAST(k AS INTEGER) AS split, (SELECT count(*) FROM sim WHERE ts < a) AS train_entries, (SELECT count(*) FROM n1 WHERE ts >= a AND ts < b) AS simulated, (SELECT count(*) FROM n1 WHERE ts >= a AND ts < b AND d <= 18000000000) AS matched, (SELECT count(*) FROM n2 WHERE ts >= a AND ts < b) AS real_trades, (SELECT count(*) FROM n2 WHERE ts >= a AND ts < b AND d <= 18000000000) AS captured FROM k""",
@@ -84,10 +85,11 @@ def p15_expanding_splits(spark, sf):
     unique = led.select("symbol", "open_time").distinct()
     n1 = A.nearest(sim, unique, on="symbol", left_ts="ts", right_ts="open_time", take=[]).select("ts", (F.abs(A.seconds(F.col("ts"), F.col("open_time"))) <= 18000).alias("hit"), F.lit("sim").alias("of"))
     n2 = A.nearest(led, sim.select("symbol", F.col("ts").alias("sim_ts")), on="symbol", left_ts="open_time", right_ts="sim_ts", take=[]).select(F.col("open_time").alias("ts"), (F.abs(A.seconds(F.col("open_time"), F.col("sim_ts"))) <= 18000).alias("hit"), F.lit("real").alias("of"))
-    u = n1.unionByName(n2).withColumn("day", F.datediff("ts", F.lit("2024-01-01").cast("date")))
+    first, days = D.span(V.ticks(spark, sf), "ts")
+    u = n1.unionByName(n2).withColumn("day", F.datediff("ts", F.lit(first)))
     aggs = []
     for k in range(5):
-        a, b = 15 + 3 * k, 18 + 3 * k
+        a, b = D.cut(days, (5 + k) / 10), D.cut(days, (6 + k) / 10)
         test = (F.col("day") >= a) & (F.col("day") < b)
         is_sim, hit = F.col("of") == "sim", F.coalesce("hit", F.lit(False))
         aggs.append(F.struct(F.lit(k).alias("split"), F.count_if(is_sim & (F.col("day") < a)).alias("train_entries"), F.count_if(is_sim & test).alias("simulated"), F.count_if(is_sim & test & hit).alias("matched"), F.count_if(~is_sim & test).alias("real_trades"), F.count_if(~is_sim & test & hit).alias("captured")))
@@ -150,7 +152,7 @@ _EXITS = _RECURSIVE + ", " + _ema_sql(2 / 10) + """, f AS (SELECT b.symbol, b.ts
   greatest(b.high - b.low, abs(b.high - lag(b.close) OVER w), abs(b.low - lag(b.close) OVER w)) AS tr, row_number() OVER w AS i FROM bars_1h b JOIN y USING (symbol, ts) WINDOW w AS (PARTITION BY b.symbol ORDER BY b.ts)),
 fe AS (SELECT *, CASE WHEN i >= 14 THEN avg(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING) END AS atr FROM f),
 t AS (SELECT l.ticket, l.symbol, CASE WHEN l.side = 'Buy' THEN 1 ELSE -1 END AS side, l.price, l.open_time, l.close_time, date_trunc('hour', l.open_time) AS h0, (epoch_us(l.close_time) - epoch_us(l.open_time)) / 3.6e9 AS hours, l.pnl / (l.lot * 100) AS moved, fe.atr FROM ledger l LEFT JOIN fe ON fe.symbol = l.symbol AND fe.ts = date_trunc('hour', l.open_time)),
-k AS (SELECT k, TIMESTAMP '2024-01-01' + to_days(CAST(10 + 4 * k AS INTEGER)) AS a, TIMESTAMP '2024-01-01' + to_days(CAST(14 + 4 * k AS INTEGER)) AS b FROM range(5) r(k)),
+k AS (SELECT k, """ + FIRST + """ + to_days(CAST(ceil(""" + DAYS + """ * (5 + 2 * k) / 15.0) AS INTEGER)) AS a, """ + FIRST + """ + to_days(CAST(ceil(""" + DAYS + """ * (7 + 2 * k) / 15.0) AS INTEGER)) AS b FROM range(5) r(k)),
 q AS (SELECT k, any_value(a) AS a, any_value(b) AS b, quantile_cont(hours, 0.5) AS med, least(greatest(quantile_cont(hours, 0.95), 15), 48) AS horizon, quantile_cont(-moved, 0.5) FILTER (moved < 0) AS stop, quantile_cont(moved, 0.5) FILTER (moved > 0) AS target, quantile_cont(-moved / atr, 0.5) FILTER (moved < 0 AND atr > 0) AS stop_atr, quantile_cont(moved / atr, 0.5) FILTER (moved > 0 AND atr > 0) AS target_atr FROM k JOIN t ON t.close_time < k.a GROUP BY 1),
 p AS (SELECT q.k, t.ticket, t.side, t.price, t.h0, q.stop, q.target, q.stop_atr * t.atr AS stop2, q.target_atr * t.atr AS target2, fe.ts, fe.close, CASE WHEN t.side > 0 THEN fe.high - t.price ELSE t.price - fe.low END AS fav, CASE WHEN t.side > 0 THEN t.price - fe.low ELSE fe.high - t.price END AS adv, t.side * fe.ema_dist < 0 AS c1, t.side * fe.vwap_dist < 0 AS c2, t.side * fe.mom3 < 0 AS c3, abs(epoch_us(fe.ts) - epoch_us(t.h0) - CAST(round(q.med * 3.6e9) AS BIGINT)) AS off
   FROM q JOIN t ON t.open_time >= q.a AND t.open_time < q.b JOIN fe ON fe.symbol = t.symbol AND fe.ts >= t.h0 AND epoch_us(fe.ts) <= epoch_us(t.h0) + CAST(round(q.horizon * 3.6e9) AS BIGINT)),
@@ -177,13 +179,15 @@ def p20_exit_candidates(spark, sf):
     h0 = F.date_trunc("hour", "open_time").cast("timestamp_ntz")
     t = V.ledger(spark, sf).select("ticket", "symbol", F.when(F.col("side") == "Buy", 1).otherwise(-1).alias("side"), "price", "open_time", "close_time", h0.alias("h0"), ((F.unix_micros(F.col("close_time").cast("timestamp")) - F.unix_micros(F.col("open_time").cast("timestamp"))) / 3.6e9).alias("hours"), (F.col("pnl") / (F.col("lot") * 100)).alias("moved"))
     t = t.join(f.select("symbol", F.col("ts").alias("h0"), "atr"), ["symbol", "h0"], "left")
-    day_of = lambda c: F.datediff(c, F.lit("2024-01-01").cast("date"))
+    first_day, days = D.span(V.ticks(spark, sf), "ts")
+    cuts = [D.cut(days, (5 + 2 * k) / 15) for k in range(6)]
+    day_of = lambda c: F.datediff(c, F.lit(first_day))
     # a trade teaches all folds that begin after its close: at most five copies
-    k_first = F.floor((day_of("close_time") - 10) / 4).cast("int") + 1
-    q = t.withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k >= k_first)))
+    q = t.withColumn("k", F.explode(F.array_compact(F.array(*[F.when(day_of("close_time") < cuts[k], F.lit(k)) for k in range(5)]))))
     med = lambda v, c: F.percentile(F.when(F.expr(c), F.expr(v)), F.lit(0.5))
     q = q.groupBy("k").agg(F.percentile("hours", F.lit(0.5)).alias("med"), F.least(F.greatest(F.percentile("hours", F.lit(0.95)), F.lit(15.0)), F.lit(48.0)).alias("horizon"), med("-moved", "moved < 0").alias("stop"), med("moved", "moved > 0").alias("target"), med("-moved / atr", "moved < 0 and atr > 0").alias("stop_atr"), med("moved / atr", "moved > 0 and atr > 0").alias("target_atr"))
-    test = t.withColumn("k", F.floor((day_of("open_time") - 10) / 4).cast("int")).where("k between 0 and 4").join(F.broadcast(q), "k")  # five rows
+    fold = F.coalesce(*[F.when((day_of("open_time") >= cuts[k]) & (day_of("open_time") < cuts[k + 1]), F.lit(k)) for k in range(5)])
+    test = t.withColumn("k", fold).where("k is not null").join(F.broadcast(q), "k")  # five rows
     # bars of the path meet by hour; the horizon is at most two days
     hours = F.sequence(F.lit(0), F.floor(F.round(F.col("horizon") * 3.6e9) / _HOUR).cast("int"))
     test = test.withColumn("ts", F.explode(F.transform(hours, lambda i: F.timestamp_micros(F.unix_micros(F.col("h0").cast("timestamp")) + i * _HOUR).cast("timestamp_ntz"))))

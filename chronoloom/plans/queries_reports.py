@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from chronoloom.operators import asof as A
 from chronoloom.operators import paths as X
 from chronoloom.operators import series as S
+from chronoloom.operators import splits as D
 from chronoloom.plans import views as V
-from chronoloom.plans.views import WITH, r6
+from chronoloom.plans.views import HOURS, WITH, r6
 from chronoloom.registry import query
 from chronoloom.sources import coverage as C
 from chronoloom.sources import readers as R
@@ -61,9 +62,10 @@ def s15_json_sink(spark, sf):
     return spark.read.schema("mean double, n long, symbol string").json(path).select("symbol", "n", "mean")
 
 
-@query("s25_acquisition_plan", WITH + ", g AS (SELECT s.symbol, ts FROM (SELECT DISTINCT symbol FROM ticks) s CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00', INTERVAL '1 hour')) AS ts)) SELECT g.symbol, g.ts AS hour, 'missing' AS reason FROM g WHERE NOT EXISTS (SELECT 1 FROM bars_1h b WHERE b.symbol = g.symbol AND b.ts = g.ts)")
+@query("s25_acquisition_plan", WITH + ", g AS (SELECT s.symbol, ts FROM (SELECT DISTINCT symbol FROM ticks) s CROSS JOIN (SELECT unnest(" + HOURS + ") AS ts)) SELECT g.symbol, g.ts AS hour, 'missing' AS reason FROM g WHERE NOT EXISTS (SELECT 1 FROM bars_1h b WHERE b.symbol = g.symbol AND b.ts = g.ts)")
 def s25_acquisition_plan(spark, sf):
-    return C.acquisition_plan(C.inventory(V.ticks(spark, sf), "2024-01-01 00:00:00", "2024-01-30 23:00:00"))
+    t = V.ticks(spark, sf)
+    return C.acquisition_plan(C.inventory(t, *V.period(t)))
 
 
 @query("s31_frozen_model")
@@ -282,12 +284,13 @@ def s12_key_lookup(spark, sf):
     return keys.join(spark.read.parquet(path), "event_id").select("event_id", "mid")
 
 
-@query("st9_missing_is_unknown", WITH + ", g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-05 00:00:00', INTERVAL '1 hour')) AS ts) SELECT g.ts, b.close IS NULL AS unknown, round(b.close, 6) AS close FROM g LEFT JOIN bars_1h b ON b.ts = g.ts AND b.symbol = 'click'")
+@query("st9_missing_is_unknown", WITH + ", g AS (SELECT s.symbol, ts FROM (SELECT DISTINCT symbol FROM ticks) s CROSS JOIN (SELECT unnest(" + HOURS + ") AS ts)) SELECT g.symbol, g.ts, b.close IS NULL AS unknown, round(b.close, 6) AS close FROM g LEFT JOIN bars_1h b ON b.ts = g.ts AND b.symbol = g.symbol")
 def st9_missing_is_unknown(spark, sf):
     """Hours without data stay explicit and are never filled (ST9)."""
-    grid = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-05 00:00:00', interval 1 hour)")).alias("ts"))
-    j = grid.join(V.bars_1h(spark, sf).where("symbol = 'click'").select("ts", "close"), "ts", "left")
-    return j.select("ts", F.col("close").isNull().alias("unknown"), r6("close").alias("close"))
+    t = V.ticks(spark, sf)
+    grid = C.inventory(t, *V.period(t)).select("symbol", F.col("hour").alias("ts"))
+    j = grid.join(V.bars_1h(spark, sf).select("symbol", "ts", "close"), ["symbol", "ts"], "left")
+    return j.select("symbol", "ts", F.col("close").isNull().alias("unknown"), r6("close").alias("close"))
 
 
 @query("p35_verdicts")
@@ -298,15 +301,18 @@ def p35_verdicts(spark, sf):
 
     obs = V.ledger(spark, sf).select("symbol", "side", F.col("ticket").alias("o_id"), F.col("open_time").alias("o_ts"))
     pred = V.predictions(spark, sf).select("symbol", F.col("p_side").alias("side"), F.col("p_id").cast("string").alias("p_id"), "p_ts")
-    start, span, shifts = 1704067200000000, 30 * 86400 * 1_000_000, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("shift")
+    ticks = V.ticks(spark, sf)
+    first, last = V.period(ticks)
+    start, span = F.unix_micros(F.lit(first).cast("timestamp")), D.span(ticks, "ts")[1] * 86400 * 1_000_000
+    shifts = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("shift")
     us = F.unix_micros(F.col("p_ts").cast("timestamp"))
-    moved = pred.select("*", shifts).withColumn("p_ts", F.timestamp_micros(F.lit(start) + F.pmod(us - start + F.col("shift") * F.lit(span // 5), F.lit(span))).cast("timestamp_ntz"))
+    moved = pred.select("*", shifts).withColumn("p_ts", F.timestamp_micros(start + F.pmod(us - start + F.col("shift") * F.lit(span // 5), F.lit(span))).cast("timestamp_ntz"))
     m = M.match_one_to_one(obs.select("*", shifts), moved, on=["symbol", "side", "shift"], tolerance=1800)
     n = m.groupBy("symbol", "shift").agg(F.count_if(F.col("status") == "tp").alias("tp"), F.count_if(F.col("status") != "tp").alias("miss"))
     f1 = F.col("tp") * 2 / (F.col("tp") * 2 + F.col("miss"))
     n = n.groupBy("symbol").agg(F.max(F.when(F.col("shift") == 0, f1)).alias("f1"), F.avg(F.when(F.col("shift") > 0, f1)).alias("placebo"))
     hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz").alias("hour")
-    c = C.inventory(V.ticks(spark, sf), "2024-01-01 00:00:00", "2024-01-30 23:00:00")
+    c = C.inventory(ticks, first, last)
     h = c.join(obs.select("symbol", hour("o_ts")).distinct().withColumn("y", F.lit(1)), ["symbol", "hour"], "left").join(pred.select("symbol", hour("p_ts")).distinct().withColumn("x", F.lit(1)), ["symbol", "hour"], "left")
     y, x = F.coalesce("y", F.lit(0)), F.coalesce("x", F.lit(0))
     k = h.groupBy("symbol").agg(F.avg((F.col("status") == "observed").cast("int")).alias("coverage"), F.count("*").alias("n"), F.sum(y).alias("y"), F.sum(x).alias("n1"), F.sum(x * y).alias("y1"))

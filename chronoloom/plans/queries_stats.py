@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import tails as X
 from chronoloom.operators import models as M
 from chronoloom.operators import resampling as R
+from chronoloom.operators import splits as S
 from chronoloom.plans import views as V
 from chronoloom.plans.views import WITH, r6
 from chronoloom.registry import query
@@ -319,7 +320,9 @@ def m18_holding_ridge(spark, sf):
     """Ridge regression of the log holding time on expanding folds."""
     h = F.hour("open_time") * 0.2617993877991494
     y = F.log((F.unix_micros(F.col("close_time").cast("timestamp")) - F.unix_micros(F.col("open_time").cast("timestamp"))) / 1e6)
-    return M.ridge_folds(V.ledger(spark, sf).select(y.alias("y"), "lot", F.sin(h).alias("hs"), F.cos(h).alias("hc"), F.dayofmonth("open_time").alias("day")))
+    led = V.ledger(spark, sf)
+    first, _ = S.span(led, "open_time")
+    return M.ridge_folds(led.select(y.alias("y"), "lot", F.sin(h).alias("hs"), F.cos(h).alias("hc"), S.day_number("open_time", first).alias("day")))
 
 
 @query(

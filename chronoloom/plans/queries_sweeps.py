@@ -78,20 +78,20 @@ _STOPS, _TRAILS = (20.0, 40.0, 80.0), ((30.0, 10.0), (30.0, 20.0), (60.0, 10.0),
 
 @query(
     "p19_parameter_grid",
-    WITH + """, p AS (SELECT l.ticket, l.side, l.price, b.ts, b.close, CASE WHEN side = 'Buy' THEN high - price ELSE price - low END AS fav, CASE WHEN side = 'Buy' THEN price - low ELSE high - price END AS adv, CASE WHEN side = 'Buy' THEN close - price ELSE price - close END AS cur FROM ledger l JOIN bars_1h b ON b.symbol = l.symbol AND b.ts > l.open_time AND b.ts <= l.open_time + INTERVAL '24 hours'),
+    WITH + """, p AS (SELECT l.ticket, l.side, l.price, b.ts, b.close, CASE WHEN side = 'Buy' THEN high - price ELSE price - low END AS fav, CASE WHEN side = 'Buy' THEN price - low ELSE high - price END AS adv, CASE WHEN side = 'Buy' THEN close - price ELSE price - close END AS cur FROM ledger l JOIN bars_1h b ON b.symbol = l.symbol AND b.ts > l.open_time AND b.ts <= l.close_time),
 m AS (SELECT *, max(fav) OVER (PARTITION BY ticket ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak FROM p), s AS (SELECT unnest([20.0, 40.0, 80.0]) AS sl), t AS (SELECT * FROM (VALUES (30.0, 10.0), (30.0, 20.0), (60.0, 10.0), (60.0, 20.0)) v(act, trail)),
 es AS (SELECT ticket, sl, min(ts) FILTER (adv >= sl) AS ts FROM m CROSS JOIN s GROUP BY 1, 2), et AS (SELECT ticket, act, trail, min(ts) FILTER (peak >= act AND cur <= peak - trail) AS ts, arg_min(peak, ts) FILTER (peak >= act AND cur <= peak - trail) AS peak, arg_max(cur, ts) AS last FROM m CROSS JOIN t GROUP BY 1, 2, 3)
 SELECT es.sl::DOUBLE AS stop, et.act::DOUBLE AS activation, et.trail::DOUBLE AS trail, count(*) AS trades, count(*) FILTER (es.ts IS NOT NULL AND (et.ts IS NULL OR es.ts <= et.ts)) AS stopped, count(*) FILTER (et.ts IS NOT NULL AND (es.ts IS NULL OR et.ts < es.ts)) AS trailed, round(avg(CASE WHEN es.ts IS NOT NULL AND (et.ts IS NULL OR es.ts <= et.ts) THEN -es.sl WHEN et.ts IS NOT NULL THEN et.peak - et.trail ELSE et.last END), 6) AS mean_move FROM es JOIN et ON et.ticket = es.ticket GROUP BY 1, 2, 3""",
 )
 def p19_parameter_grid(spark, sf):
-    """Stop, activation and trail over all paths on bars: first hits per stop and per trail once, then all twelve pairs from them."""
+    """Stop, activation and trail over the bars of all trades' paths: first hits per stop and per trail once, then all twelve pairs from them."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    led = V.ledger(spark, sf).select("ticket", "symbol", "side", "price", "open_time")
-    # a path is of a day, so its bars meet by hour
-    first = F.floor(us("open_time") / 3_600_000_000).cast("long")
-    path = led.withColumn("h", F.explode(F.sequence(first, first + 24)))
+    led = V.ledger(spark, sf).select("ticket", "symbol", "side", "price", "open_time", "close_time")
+    # a path's bars meet by hour
+    hour = lambda c: F.floor(us(c) / 3_600_000_000).cast("long")
+    path = led.withColumn("h", F.explode(F.sequence(hour("open_time"), hour("close_time"))))
     bars = V.bars_1h(spark, sf).withColumn("h", F.floor(us("ts") / 3_600_000_000).cast("long"))
-    p = path.join(bars, ["symbol", "h"]).where("ts > open_time and ts <= open_time + interval 24 hours")
+    p = path.join(bars, ["symbol", "h"]).where("ts > open_time and ts <= close_time")
     buy = F.col("side") == "Buy"
     p = p.select("ticket", "ts", F.when(buy, F.col("high") - F.col("price")).otherwise(F.col("price") - F.col("low")).alias("fav"), F.when(buy, F.col("price") - F.col("low")).otherwise(F.col("high") - F.col("price")).alias("adv"), F.when(buy, F.col("close") - F.col("price")).otherwise(F.col("price") - F.col("close")).alias("cur"))
     m = p.withColumn("peak", F.max("fav").over(W.partitionBy("ticket").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from chronoloom.operators import asof as A
 from chronoloom.operators import paths as X
 from chronoloom.operators import windows_at as T
+from chronoloom.operators import splits as S
 from chronoloom.plans import views as V
-from chronoloom.plans.views import WITH, r6
+from chronoloom.plans.views import DAYS, FIRST, HOURS, WITH, r6
 from chronoloom.registry import query
 from chronoloom.sources import coverage as C
 
@@ -84,12 +85,12 @@ def t07_feature_vector(spark, sf):
 
 @query(
     "t08_rescaled_vector",
-    WITH + _VECTOR + f", b AS (SELECT hour, stddev_pop(abs_move) AS sd, avg(mean_spread) AS sp FROM x GROUP BY 1 HAVING count(*) > 1 AND hour <> 4) SELECT {_VECTOR_OUT}, round(CASE WHEN b.hour IS NOT NULL THEN abs_move / coalesce(nullif(sd, 0), 1.0) END, 6) AS jump_z, round(CASE WHEN b.hour IS NOT NULL THEN spread_now / coalesce(nullif(sp, 0), 1.0) ELSE spread_now / mean_spread END, 6) AS spread_ratio FROM x LEFT JOIN b ON b.hour = x.hour",
+    WITH + _VECTOR + f", b AS (SELECT hour, stddev_pop(abs_move) AS sd, avg(mean_spread) AS sp FROM x GROUP BY 1 HAVING count(*) > 1) SELECT {_VECTOR_OUT}, round(CASE WHEN b.hour IS NOT NULL THEN abs_move / coalesce(nullif(sd, 0), 1.0) END, 6) AS jump_z, round(CASE WHEN b.hour IS NOT NULL THEN spread_now / coalesce(nullif(sp, 0), 1.0) ELSE spread_now / mean_spread END, 6) AS spread_ratio FROM x LEFT JOIN b ON b.hour = x.hour",
 )
 def t08_rescaled_vector(spark, sf):
-    """The same put in relation to hourly baselines without reading a tick again; one hour has none."""
+    """The same put in relation to hourly baselines without reading a tick again; an hour of one entry has none."""
     v = _vector(spark, sf)
-    b = v.groupBy("hour").agg(F.stddev_pop("abs_move").alias("std_move"), F.avg("mean_spread").alias("spread"), F.count("*").alias("c")).where("c > 1 and hour <> 4")
+    b = v.groupBy("hour").agg(F.stddev_pop("abs_move").alias("std_move"), F.avg("mean_spread").alias("spread"), F.count("*").alias("c")).where("c > 1")
     return _vector_out(T.rescaled(v, b))
 
 
@@ -168,12 +169,12 @@ def c03_completed_bar_clock(spark, sf):
 
 @query(
     "c04_opportunity_support",
-    WITH + ", g AS (SELECT s.symbol, ts FROM (SELECT DISTINCT symbol FROM ticks) s CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-31 00:00:00', INTERVAL '1 hour')) AS ts)), n AS (SELECT symbol, ts, count(*) AS n FROM bars_1h GROUP BY 1, 2), c AS (SELECT symbol, date_trunc('hour', open_time) AS ts, count(*) AS e FROM ledger GROUP BY 1, 2) SELECT g.symbol, g.ts, CASE WHEN n.n IS NULL THEN 'unknown' ELSE 'observed' END AS support_status, CASE WHEN n.n IS NULL THEN NULL ELSE coalesce(c.e, 0) > 0 END AS label FROM g LEFT JOIN n USING (symbol, ts) LEFT JOIN c USING (symbol, ts)",
+    WITH + ", g AS (SELECT s.symbol, ts FROM (SELECT DISTINCT symbol FROM ticks) s CROSS JOIN (SELECT unnest(" + HOURS + ") AS ts)), n AS (SELECT symbol, ts, count(*) AS n FROM bars_1h GROUP BY 1, 2), c AS (SELECT symbol, date_trunc('hour', open_time) AS ts, count(*) AS e FROM ledger GROUP BY 1, 2) SELECT g.symbol, g.ts, CASE WHEN n.n IS NULL THEN 'unknown' ELSE 'observed' END AS support_status, CASE WHEN n.n IS NULL THEN NULL ELSE coalesce(c.e, 0) > 0 END AS label FROM g LEFT JOIN n USING (symbol, ts) LEFT JOIN c USING (symbol, ts)",
 )
 def c04_opportunity_support(spark, sf):
     """Opportunities with support and labels; without support the label is unknown, not negative."""
     t = V.ticks(spark, sf)
-    grid = t.select("symbol").distinct().withColumn("ts", F.explode(F.expr("sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-31 00:00:00', interval 1 hour)")))
+    grid = C.inventory(t, *V.period(t)).select("symbol", F.col("hour").alias("ts"))
     n = V.bars_1h(spark, sf).select("symbol", "ts", F.lit(True).alias("seen"))
     c = V.ledger(spark, sf).groupBy("symbol", F.date_trunc("hour", "open_time").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("e"))
     j = grid.join(n, ["symbol", "ts"], "left").join(c, ["symbol", "ts"], "left")
@@ -220,11 +221,13 @@ def c09_sampled_controls(spark, sf):
 
 @query(
     "c11_expanding_folds",
-    WITH + ", f AS (SELECT i AS fold, TIMESTAMP '2024-01-01' + to_days(CAST(10 + i * 4 AS INTEGER)) AS test_start, TIMESTAMP '2024-01-01' + to_days(CAST(14 + i * 4 AS INTEGER)) AS test_end FROM range(5) r(i)), a AS (SELECT f.fold, CASE WHEN open_time < test_start - INTERVAL '15 minutes' AND close_time < test_start THEN 'train' WHEN open_time >= test_start AND open_time < test_end THEN 'test' ELSE 'excluded' END AS role, pnl FROM ledger CROSS JOIN f) SELECT CAST(fold AS BIGINT) AS fold, role, count(*) AS n, round(avg(pnl), 6) AS mean_pnl FROM a GROUP BY 1, 2",
+    WITH + ", f AS (SELECT i AS fold, " + FIRST + " + to_days(CAST(ceil(" + DAYS + " * (5 + 2 * i) / 15.0) AS INTEGER)) AS test_start, " + FIRST + " + to_days(CAST(ceil(" + DAYS + " * (7 + 2 * i) / 15.0) AS INTEGER)) AS test_end FROM range(5) r(i)), a AS (SELECT f.fold, CASE WHEN open_time < test_start - INTERVAL '15 minutes' AND close_time < test_start THEN 'train' WHEN open_time >= test_start AND open_time < test_end THEN 'test' ELSE 'excluded' END AS role, pnl FROM ledger CROSS JOIN f) SELECT CAST(fold AS BIGINT) AS fold, role, count(*) AS n, round(avg(pnl), 6) AS mean_pnl FROM a GROUP BY 1, 2",
 )
 def c11_expanding_folds(spark, sf):
     """Expanding folds with embargo and purge of trades still open at the test's start."""
-    return C.folds(V.ledger(spark, sf), "2024-01-01", first_days=10, step_days=4, n=5, embargo=900).groupBy("fold", "role").agg(F.count("*").alias("n"), r6(F.avg("pnl")).alias("mean_pnl"))
+    first, days = S.span(V.ticks(spark, sf), "ts")
+    cuts = [S.cut(days, (5 + 2 * i) / 15) for i in range(6)]
+    return C.folds(V.ledger(spark, sf), str(first), cuts, embargo=900).groupBy("fold", "role").agg(F.count("*").alias("n"), r6(F.avg("pnl")).alias("mean_pnl"))
 
 
 @query(
@@ -260,11 +263,12 @@ def s22_tick_inspection(spark, sf):
 
 @query(
     "s23_coverage",
-    WITH + ", g AS (SELECT s.symbol, ts FROM (SELECT DISTINCT symbol FROM ticks) s CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00', INTERVAL '1 hour')) AS ts)) SELECT g.symbol, count(*) AS expected, count(b.ts) AS observed, count(*) - count(b.ts) AS unknown, min(CASE WHEN b.ts IS NULL THEN g.ts END) AS first_missing FROM g LEFT JOIN bars_1h b ON b.symbol = g.symbol AND b.ts = g.ts GROUP BY 1",
+    WITH + ", g AS (SELECT s.symbol, ts FROM (SELECT DISTINCT symbol FROM ticks) s CROSS JOIN (SELECT unnest(" + HOURS + ") AS ts)) SELECT g.symbol, count(*) AS expected, count(b.ts) AS observed, count(*) - count(b.ts) AS unknown, min(CASE WHEN b.ts IS NULL THEN g.ts END) AS first_missing FROM g LEFT JOIN bars_1h b ON b.symbol = g.symbol AND b.ts = g.ts GROUP BY 1",
 )
 def s23_coverage(spark, sf):
     """Expected hours against those with ticks; missing ones stay explicit and make the acquisition plan."""
-    c = C.inventory(V.ticks(spark, sf), "2024-01-01 00:00:00", "2024-01-30 23:00:00")
+    t = V.ticks(spark, sf)
+    c = C.inventory(t, *V.period(t))
     return c.groupBy("symbol").agg(F.count("*").alias("expected"), F.count_if(F.col("status") == "observed").alias("observed"), F.count_if(F.col("status") == "unknown").alias("unknown"), F.min(F.when(F.col("status") == "unknown", F.col("hour"))).alias("first_missing"))
 
 

@@ -32,6 +32,11 @@ predictions AS (
     ts AS p_ts, CASE WHEN user_id % 2 = 0 THEN 'Buy' ELSE 'Sell' END AS p_side FROM ticks WHERE symbol = 'signup')
 """
 
+#: The period of the data in SQL: its first day, its number of days, and all its hours.
+FIRST = "(SELECT min(ts)::DATE::TIMESTAMP FROM ticks)"
+DAYS = "(SELECT date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1 FROM ticks)"
+HOURS = f"generate_series({FIRST}, (SELECT date_trunc('hour', max(ts)) FROM ticks), INTERVAL '1 hour')"
+
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +49,12 @@ def ticks(spark, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", F.col("event_type").alias("symbol"), "user_id", "k", mid.alias("mid"), (F.lit(0.01) * (1 + F.col("k") % 10)).alias("spread"), (mid - half).alias("bid"), (mid + half).alias("ask"))
 
 
+def period(ticks: DataFrame) -> tuple[str, str]:
+    """Midnight of the first day and the last hour with ticks; of an empty table both are the epoch."""
+    r = ticks.agg(F.min(F.to_date("ts")).cast("string").alias("a"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:00:00").alias("b")).first()
+    return f"{r['a'] or '1970-01-01'} 00:00:00", r["b"] or "1970-01-01 00:00:00"
+
+
 def bars(df: DataFrame, width: str) -> DataFrame:
     """OHLCV bars of ticks (symbol, ts, mid, event_id), labelled by their start; empty ones do not exist."""
     g = df.groupBy("symbol", F.window(F.col("ts").cast("timestamp"), width)["start"].cast("timestamp_ntz").alias("ts"))

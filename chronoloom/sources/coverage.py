@@ -37,12 +37,12 @@ def inspect(ticks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def folds(ledger: DataFrame, start: str, first_days: int, step_days: int, n: int, embargo: int) -> DataFrame:
-    """Ledger rows once per expanding fold with their role: train (closed before the test and outside the embargo), test or excluded."""
+def folds(ledger: DataFrame, start: str, cuts: list[int], embargo: int) -> DataFrame:
+    """Ledger rows once per expanding fold with their role: train (closed before the test and outside the embargo), test or excluded. Fold i tests the days from ``cuts[i]`` up to ``cuts[i + 1]`` after ``start``."""
     day = lambda k: F.expr(f"timestamp_ntz'{start} 00:00:00'") + F.make_dt_interval(days=k)
-    d = ledger.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    begin = day((F.lit(first_days) + F.col("fold") * step_days).cast("int"))
-    stop = day((F.lit(first_days + step_days) + F.col("fold") * step_days).cast("int"))
+    d = ledger.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(cuts) - 2).cast("long"))))
+    at = lambda i: F.element_at(F.array(*map(F.lit, cuts)), (F.col("fold") + i).cast("int"))
+    begin, stop = day(at(1)), day(at(2))
     train = (F.col("open_time") < begin - F.make_dt_interval(secs=F.lit(embargo))) & (F.col("close_time") < begin)
     test = (F.col("open_time") >= begin) & (F.col("open_time") < stop)
     return d.withColumn("role", F.when(train, "train").when(test, "test").otherwise("excluded"))
