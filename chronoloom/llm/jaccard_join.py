@@ -7,14 +7,16 @@ of each segment's hashed shingles, and for the u segments also what is left when
 u a band has is decided by cost: postings, and expected meetings of unrelated sets (``allocation``). A set also posts in
 the next band if a set of that band can be similar to it.
 
-Segments that many sets have alike (empty ones, boilerplate) have long lists. m + u is higher than needed by a slack x:
-a set with at most x such segments meets every similar one in a short list too. Only sets with more of them, as in large
-groups of near copies, go on with their long lists.
+Segments that many sets have alike (empty ones, boilerplate) have long lists. m + u is higher than needed by a slack, and
+the smaller sets of a band agree in more segments than its largest ones must: a set of n shingles and a similar one share
+at least ``shared_lists(n)`` lists. If one of these is short, they meet there. So only sets on as many long lists go on
+with them, as in large groups of near copies, and only with the rarest of them: all but that number, and one.
 
 Lists are read in sorted order. All of a list are compared with its first set, then components are made, and only then
 the sets of short lists that are still in different components meet pair by pair. In long lists, what is outside of the
-main component is compared with a few sets of it and, if still outside, with all. Each pair is confirmed on the
-full sets: a cheap sketch only drops pairs that differ in more than H shingles for certain.
+main component is compared with a few sets of it and, if still outside, with all: their sketches meet block by block
+within a task, and only pairs that may be similar come out. Each pair is confirmed on the full sets: a sketch only drops
+pairs that differ in more shingles than they may for certain.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import partitions, same_row, slices, written
@@ -40,7 +43,9 @@ SHORT_LIST = 64
 #: So many unrelated sets are taken to be met with in a list when costs are compared.
 CROWD = 1000
 #: Rounds in which those outside of the main component of a long list are compared with one set inside.
-ROUNDS = 4
+ROUNDS = 2
+#: What is outside of the main component visits a long list in blocks of so many sets.
+BLOCK = 2048
 #: Keys of candidate rows are broadcast up to so many (24 bytes each) and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 _RNG = np.random.default_rng(20240311)
@@ -84,6 +89,12 @@ def allocation(band: int) -> tuple[int, int, int]:
     return best[1:]
 
 
+def shared_lists(n: Column, m: Column, u: Column) -> Column:
+    """The least number of lists that a set of n shingles shares with any similar one: by the largest such set; a segment counts twice where some may differ."""
+    differ = F.floor((100 - PERCENT) * (n + F.floor(n * 100 / PERCENT)) / (100 + PERCENT))
+    return F.greatest(F.lit(1), F.ceil((m + u - differ) / F.when(u > 0, 2).otherwise(1)))
+
+
 def shingles(raw: bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the four-word shingles; of all words, if they are fewer; none without words."""
     words = (raw or b"").lower().split()  # of bytes: A-Z and ASCII white space only
@@ -240,16 +251,38 @@ def _open(rows: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("k").alias("size"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
 
 
+def _visited(group: pd.DataFrame) -> pd.DataFrame:
+    """Of a block's visitors and its residents the pairs whose sketches allow that they are similar."""
+    home, guests = group[~group.visitor], group[group.visitor]
+    size = min(map(len, group["sketch"]))
+
+    def folded(rows: pd.DataFrame) -> np.ndarray:
+        v = [np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, size), axis=0) for x in rows["sketch"]]
+        return np.array(v, dtype=np.uint8).reshape(-1, size).view(np.uint64)
+
+    a, b = folded(guests), folded(home)
+    n, cls, comp, full = (home[c].to_numpy() for c in ("n", "cls", "comp", "full"))
+    out = []
+    for i, g in enumerate(guests.itertuples()):
+        total = n + g.n
+        ok = (comp != g.comp) & (full | g.full) & (100 * np.minimum(n, g.n) >= PERCENT * np.maximum(n, g.n))
+        ok &= np.bitwise_count(b ^ a[i]).sum(axis=1) <= (100 - PERCENT) * total // (100 + PERCENT)
+        out += [(min(g.cls, x), max(g.cls, x)) for x in cls[ok].tolist()]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def _long_lists(rows: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
-    """Further links in long lists: of the sets with more segments in such lists than their band's slack."""
+    """Further links in long lists (rows: key, cls, full, comp, size), of the sets that share too many of them to meet elsewhere."""
     spark = rows.sparkSession
     band = F.col("key").bitwiseAND(63).cast("int")
     bands = [r[0] for r in rows.select(band.alias("b")).distinct().collect()]  # at most 64
     if not bands:
         return links.limit(0)
-    plan = spark.createDataFrame([(b, allocation(b)[2], 2 if allocation(b)[1] else 1) for b in bands], "band int, slack int, weight int")
-    heavy = rows.withColumn("band", band).groupBy("cls", "band").agg(F.count("*").alias("e")).join(F.broadcast(plan), "band").where(F.col("e") * F.col("weight") > F.col("slack"))
-    rows = written(rows.withColumn("band", band).join(heavy.select("cls", "band"), ["cls", "band"]).select("key", "cls", "full", "comp"), "heavy")
+    plan = spark.createDataFrame([(b, *allocation(b)[:2]) for b in bands], "band int, m int, u int")
+    own = W.partitionBy("cls", "band")  # at most the segments of a set
+    rows = rows.withColumn("band", band).join(F.broadcast(plan), "band").join(members.select("cls", "n"), "cls")
+    rows = rows.withColumns({"e": F.count("*").over(own), "r": F.row_number().over(own.orderBy("size", "key"))})
+    rows = written(rows.where(F.col("r") <= F.col("e") - shared_lists(F.col("n"), F.col("m"), F.col("u")) + 1).select("key", "cls", "full", "comp"), "heavy")
     found = []
     for i in range(ROUNDS + 1):
         open_ = written(_open(rows), "open")
@@ -261,8 +294,10 @@ def _long_lists(rows: DataFrame, members: DataFrame, links: DataFrame) -> DataFr
             pivots = rows.where("comp = main").groupBy("key").agg(F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias("pivot"))
             met = outside.join(pivots, "key").select(*_ordered("cls", "pivot"))
         else:
-            other = rows.select("key", F.col("cls").alias("o"), F.col("comp").alias("o_comp"), F.col("full").alias("o_full"))
-            met = outside.join(other, "key").where("comp <> o_comp and (full or o_full)").select(*_ordered("cls", "o"))
+            cut = rows.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").join(members.select("cls", "n", "sketch"), "cls")
+            home = cut.select("*", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visitor"))
+            guests = cut.where("comp <> main").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
+            met = home.unionByName(guests).groupBy("key", "block").applyInPandas(_visited, "a long, b long")
         fresh = _confirmed(met.distinct(), members)
         found.append(fresh)
         if i < ROUNDS and not fresh.isEmpty():
@@ -307,7 +342,8 @@ def link(docs: DataFrame) -> DataFrame:
     open_ = _open(all_of)
     all_of = written(all_of.join(open_.select("key", "size"), "key"), "open")
     links = links.union(_confirmed(_across(all_of.where(F.col("size") <= SHORT_LIST)), members))
-    long_ = _labelled(lists.join(open_.where(F.col("size") > SHORT_LIST).select("key"), "key", "left_semi"), links)
+    long_ = open_.where(F.col("size") > SHORT_LIST).select("key", "size")
+    long_ = _labelled(lists.join(long_.select("key"), "key", "left_semi"), links).join(long_, "key")
     links = links.union(_long_lists(long_, members, links))
     labels = components(links)
     named = classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("label", "cls").alias("comp"))

@@ -51,6 +51,7 @@ def corpus(rng):
 @pytest.mark.parametrize("short", [64, 3, 1])
 def test_links_equal_brute_force(spark, tmp_path, monkeypatch, short):
     monkeypatch.setattr(J, "SHORT_LIST", short)
+    monkeypatch.setattr(J, "BLOCK", 16 * short)
     texts = corpus(random.Random(short))
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)] + [(5, "only null"), (None, "only null"), (None, "alone"), (None, "")]
     rows += [rows[3], rows[3]]
@@ -79,8 +80,10 @@ def test_similar_sets_share_a_posting():
             shared = {*fa} & {*fb} | {*fa} & {*db} | {*da} & {*fb}
             assert shared, (len(a), len(b))
             for band in {int(k) & 63 for k in shared}:
-                _, u, slack = J.allocation(band)
-                assert sum(2 if u else 1 for k in shared if int(k) & 63 == band) > slack
+                m, u, slack = J.allocation(band)
+                least = -(-(m + u - J.differing(len(a) + len(a) * 100 // J.PERCENT)) // (2 if u else 1))
+                assert sum(int(k) & 63 == band for k in shared) >= least
+                assert (m + u) - J.differing(2 * (J.BORDERS[band + 1] - 1)) > slack
 
 
 def test_lists_are_read_across_batches():
