@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.operators import asof as A
 from chronoloom.operators import paths as X
+from chronoloom.operators import reconcile as K
 from chronoloom.operators import series as S
 from chronoloom.operators import splits as D
 from chronoloom.plans import views as V
 from chronoloom.plans.views import HOURS, WITH, r6
 from chronoloom.registry import query
 from chronoloom.sources import coverage as C
+from chronoloom.sources import locks as L
 from chronoloom.sources import readers as R
 from chronoloom.streaming.jobs import shared
 
@@ -70,13 +69,40 @@ def s25_acquisition_plan(spark, sf):
 
 @query("s31_frozen_model")
 def s31_frozen_model(spark, sf):
-    """A frozen rule is scored only if its certificate holds."""
-    model = {"tau": 0.8, "beta": {"spread": 0.5, "mid": 0.002}}
-    frozen = {"model": model, "sha256": hashlib.sha256(json.dumps(model, sort_keys=True).encode()).hexdigest()}
-    if hashlib.sha256(json.dumps(frozen["model"], sort_keys=True).encode()).hexdigest() != frozen["sha256"]:
-        raise ValueError("the frozen model was changed")
-    eta = sum((F.lit(b) * F.col(x) for x, b in sorted(model["beta"].items())), F.lit(0.0))
-    return V.ticks(spark, sf).groupBy("symbol").agg(F.count_if(eta >= model["tau"]).alias("predicted"), F.count("*").alias("n"))
+    """A rule frozen on the first three fifths of the days is scored on the others only if its lock holds (S31, M24): per
+    symbol the 99th percentile of the mid and of the spread on the days that teach."""
+    t = V.ticks(spark, sf)
+    first, days = D.span(t, "ts")
+    teaches = D.day_number("ts", first) <= D.cut(days, 0.6)
+    path = shared(spark, "frozen")
+    t.where(teaches).groupBy("symbol").agg(F.percentile_approx("mid", 0.99, 10_000).alias("mid_at"), F.percentile_approx("spread", 0.99, 10_000).alias("spread_at")).write.parquet(f"{path}/model")
+    L.write_lock(spark.read.parquet(f"{path}/model"), f"{path}/lock")
+    model = spark.read.parquet(f"{path}/model")
+    lock = L.check_lock(model, f"{path}/lock")
+    hit = (F.col("mid") >= F.col("mid_at")) | (F.col("spread") > F.col("spread_at"))
+    j = t.where(~teaches).join(F.broadcast(model), "symbol")  # a row per symbol
+    return j.groupBy("symbol").agg(F.count_if(hit).alias("predicted"), F.count("*").alias("n"), F.lit(lock["sha256"]).alias("model_sha256"))
+
+
+@query("s27_canonical_lock")
+def s27_canonical_lock(spark, sf):
+    """Locks of the ledger, the ticks and the bars, written and checked against the tables in another partitioning."""
+    rows = []
+    for name, df in (("ledger", V.ledger(spark, sf)), ("ticks", V.ticks(spark, sf)), ("bars_1h", V.bars_1h(spark, sf))):
+        path = shared(spark, f"lock-{name}")
+        L.write_lock(df, path)
+        d = L.check_lock(df.repartition(7), path)
+        rows.append((name, len(d["columns"]), d["rows"], d["sha256"], "locked"))
+    return spark.createDataFrame(rows, "name string, columns int, rows_ long, sha256 string, status string")
+
+
+@query("s26_two_sources")
+def s26_two_sources(spark, sf):
+    """All ticks against a second recording of them: a clock 7 seconds late, a tick in 31 lost, one in 47 repeated."""
+    t = V.ticks(spark, sf).select("event_id", "symbol", "ts", "bid", "ask")
+    late = t.where(F.col("event_id") % 31 != 5).withColumn("ts", (F.col("ts") + F.expr("interval 7 seconds")))
+    again = late.where(F.col("event_id") % 47 == 3)
+    return K.reconciled(t.drop("event_id"), late.unionByName(again).drop("event_id"))
 
 
 @query(
