@@ -48,6 +48,8 @@ _PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 table tr td th tbody
 _REOPENED = 3
 #: Hashes of a site's template are broadcast up to so many and joined with the pages' blocks beyond.
 BROADCAST_HASHES = 2_000_000
+#: A host with more hashes than that has them matched page by page, so that no row carries a long list.
+HOST_HASHES = 1000
 BROADCAST_HOSTS = 500_000
 
 
@@ -236,12 +238,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=[*kept.schema.names, "host", "page", "parts"])
 
 
-def template(pages: DataFrame, *, least_pages: int = 5, least_share: float = 0.05, many_pages: int = 50, inside_share: float = 0.2) -> DataFrame:
+def template(pages: DataFrame, *, least_pages: int = 5, least_share: float = 0.05, inside_share: float = 0.2) -> DataFrame:
     """(host, part): for each host the blocks that recur on many of its distinct pages.
 
-    Many are ``least_pages`` at least, and ``least_share`` of the host's pages or ``many_pages``, whichever is less;
-    inside articles ``inside_share`` of the pages. Pages with the same main text count once, so that a page copied often is
-    no template.
+    Many are ``least_pages`` at least, and ``least_share`` of the host's pages; inside articles ``inside_share`` of them.
+    Pages with the same main text count once, so that a page copied often is no template.
     """
     seen = pages.select("url", "html").mapInArrow(_parts, "url string, host string, page long, parts array<long>")
     # copies of a page meet by its hash; any one of them stands for all
@@ -250,7 +251,7 @@ def template(pages: DataFrame, *, least_pages: int = 5, least_share: float = 0.0
     often = distinct.select("host", F.explode("parts").alias("part")).groupBy("host", "part").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     often = often.join(F.broadcast(count) if count.count() <= BROADCAST_HOSTS else count, "host")
     inside = F.col("part").bitwiseAND(F.lit(1)) == 1
-    enough = F.when(inside, F.col("pages") * F.lit(inside_share)).otherwise(F.least(F.col("pages") * F.lit(least_share), F.lit(float(many_pages))))
+    enough = F.when(inside, F.col("pages") * F.lit(inside_share)).otherwise(F.col("pages") * F.lit(least_share))
     return often.where(F.col("n") >= enough).select("host", "part")
 
 
@@ -258,24 +259,36 @@ def _host(url: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _by_page(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(page_id, url, html, host, hashes): the template's blocks that each page has, whatever their number on its host."""
+    key = F.xxhash64("url", "html")
+    own = rows.select(key.alias("key"), "page_id", "url", "html").mapInArrow(_parts, "key long, page_id long, url string, host string, page long, parts array<long>")
+    own = written(own.select("key", "page_id", "host", F.explode("parts").alias("part")).distinct(), "page-parts").join(known, ["host", "part"])
+    lists = own.groupBy(F.col("key").alias("k"), F.col("page_id").alias("p")).agg(F.collect_list("part").alias("hashes"))
+    keyed = rows.withColumn("host", F.lit(None).cast("string")).withColumn("key", key)
+    return keyed.join(lists, (keyed["key"] == lists["k"]) & keyed["page_id"].eqNullSafe(lists["p"]), "left").select("page_id", "url", "html", "host", "hashes")
+
+
 def extract(pages: DataFrame, **options) -> DataFrame:
     """page_id, url, text and n_chars of every page. Input: page_id, url, html and any other columns, which are not carried.
 
     A null or empty page has the empty text; pages with a null url share one nameless host; repeated rows each give a
-    row; an empty table gives none. Tags that a truncated page leaves open end with it; nesting may be of any depth.
+    row; an empty table gives none. Tags that a truncated page leaves open end with it; nesting may be of any depth. A
+    header element is the site's and goes, but inside an article it is the article's own head and stays.
     """
     known = written(template(pages, **options), "template")
-    rows = pages.select("page_id", "url", "html")
-    if known.count() <= BROADCAST_HASHES:
-        lists = known.groupBy("host").agg(F.sort_array(F.collect_list("part")).alias("hashes"))
-        joined = rows.withColumn("host", _host("url")).join(F.broadcast(lists), "host", "left")
-    else:  # by page instead: the blocks of each page that are template, whatever their number on a host
-        key = F.xxhash64("url", "html")
-        own = rows.select(key.alias("key"), "page_id", "url", "html").mapInArrow(_parts, "key long, page_id long, url string, host string, page long, parts array<long>")
-        own = written(own.select("key", "page_id", "host", F.explode("parts").alias("part")).distinct(), "page-parts").join(known, ["host", "part"])
-        lists = own.groupBy(F.col("key").alias("k"), F.col("page_id").alias("p")).agg(F.collect_list("part").alias("hashes"))
-        joined = rows.withColumn("host", F.lit(None).cast("string")).withColumn("key", key)
-        joined = joined.join(lists, (joined["key"] == lists["k"]) & joined["page_id"].eqNullSafe(lists["p"]), "left").select("page_id", "url", "html", "host", "hashes")
+    rows = pages.select("page_id", "url", "html").withColumn("host", _host("url"))
+    if known.count() > BROADCAST_HASHES:
+        joined = _by_page(rows, known)
+    else:
+        sizes = known.groupBy("host").agg(F.count("*").alias("n"))
+        wide = written(sizes.where(F.col("n") > HOST_HASHES).select("host"), "wide")  # at most one in HOST_HASHES of the rows of known
+        narrow = known.join(F.broadcast(wide), "host", "left_anti")
+        lists = narrow.groupBy("host").agg(F.sort_array(F.collect_list("part")).alias("hashes"))
+        joined = rows.join(F.broadcast(lists), "host", "left").select("page_id", "url", "html", "host", "hashes")
+        if not wide.isEmpty():
+            joined = joined.join(F.broadcast(wide), "host", "left_anti").select("page_id", "url", "html", "host", "hashes")
+            joined = joined.unionByName(_by_page(rows.join(F.broadcast(wide), "host", "left_semi"), known.join(F.broadcast(wide), "host", "left_semi")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, frozenset[int]] = {}  # of the hosts met last

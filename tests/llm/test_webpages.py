@@ -85,3 +85,18 @@ def test_pages_without_article_or_telling_names(spark):
     assert changed == len(made)  # the template alone makes the difference
     hashes = P.template(pages).groupBy("host").count().collect()
     assert len(hashes) == 4 and all(r["count"] >= 5 for r in hashes)
+
+
+def test_hosts_of_many_hashes_are_matched_by_page(spark, monkeypatch):
+    made = pages_without_names(random.Random(5))
+    rows = [r[:3] for r in made] + [(9000 + i, f"http://tiny.org/{i}", f"<div>{'same menu' if i else 'x'}</div><p>own {i}") for i in range(9)] + [(None, "http://h0.org/null", None), (7, *made[7][1:3])]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, hashes int")
+    want = sorted(map(tuple, P.extract(pages).collect()), key=str)
+    monkeypatch.setattr(P, "HOST_HASHES", 3)  # all but the tiny host
+    assert sorted(map(tuple, P.extract(pages).collect()), key=str) == want and len(want) == len(rows)
+
+
+def test_what_recurs_on_a_small_share_of_a_large_host_stays(spark):
+    rows = [(i, f"http://big.org/{i}", f"<div>menu of all</div><div>{'quoted by some' if i < 60 else f'own {i}'}</div><p>text {i}") for i in range(1500)]
+    got = {r.page_id: r.text for r in P.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "quoted by some text 3" and got[100] == "own 100 text 100"
