@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.operators import asof as A
+from chronoloom.operators import conditional as C
 from chronoloom.operators import detection as D
+from chronoloom.operators import placebo as P
 from chronoloom.operators import sequences as Q
 from chronoloom.operators import splits as S
 from chronoloom.plans import views as V
@@ -139,3 +141,42 @@ def c11_time_folds(spark, sf):
     """Expanding folds at shares of the time, purged."""
     led = V.ledger(spark, sf)
     return _counted(S.roles(led, S.micros("open_time"), S.share_borders(led, "open_time", (0.5, 0.7, 0.85)), S.micros("close_time")))
+
+
+@query("m06_single_features")
+def m06_single_features(spark, sf):
+    """Each feature's conditional fit beside the clock's offset, strata of a symbol's day with its busiest tick as case, and
+    the gain's chance under cases drawn by the clock alone (M06)."""
+    t = V.ticks(spark, sf)
+    rate = t.groupBy("symbol", F.hour("ts").alias("h")).agg(F.log(F.count("*")).alias("clock"))
+    t = t.withColumn("h", F.hour("ts")).join(F.broadcast(rate), ["symbol", "h"])  # 24 rows a symbol
+    w = W.partitionBy("symbol", F.to_date("ts"))
+    t = t.withColumns({"day": F.to_date("ts"), "y": (F.row_number().over(w.orderBy(F.desc("k"), "event_id")) == 1).cast("int"), "minute": F.minute("ts").cast("double")})
+    features = ["mid", "spread", "minute"]
+    scale = t.agg(*[x for c in features for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
+    t = t.select("symbol", "day", "y", "clock", *[((F.col(c) - scale[f"m_{c}"]) / (scale[f"s_{c}"] or 1.0)).alias(c) for c in features])
+    fits = C.fit_single_features(t, ["symbol", "day"], "y", "clock", features, within=1e-5)
+    tested = C.randomized_gain(t, ["symbol", "day"], "y", "clock", {r["feature"]: r["beta"] for r in fits.collect()}, replicates=1999)
+    return fits.join(tested.select("feature", "p_value"), "feature").select("feature", F.round("beta", 4).alias("beta"), F.round("ll", 4).alias("ll"), F.round("gain", 4).alias("gain"), "p_value")
+
+
+@query("h14_clock_placebos")
+def h14_clock_placebos(spark, sf):
+    """How often entries go against the last 1, 2, 4 or 8 ticks' move, against entries redrawn at the same clock, uniformly over
+    the symbol's ticks, and corrected for the best of the four windows (H14)."""
+    e = _epochs(spark, sf).join(V.ticks(spark, sf).select("event_id", "user_id"), "event_id")
+    w = W.partitionBy("symbol").orderBy("ts", "event_id")
+    side = F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)
+    windows = {f"against_{n}": (F.signum(F.col("mid") - F.lag("mid", n).over(w)) * side < 0).cast("int") for n in (1, 2, 4, 8)}
+    e = e.withColumns(windows).withColumns({"hit": F.col("label") == 1, "hour": F.hour("ts")})
+    same = P.stratum_placebo(e, ["symbol", "hour"], list(windows), "hit").withColumn("placebo", F.lit("same_clock"))
+    uniform = P.stratum_placebo(e, ["symbol"], list(windows), "hit", replace=True).withColumn("placebo", F.lit("uniform_clock"))
+    return same.unionByName(uniform).select("placebo", "score", "n", *[r6(c).alias(c) for c in ("observed", "null_mean", "null_q95", "p_value", "max_p_value")])
+
+
+@query("h17_uniform_seconds")
+def h17_uniform_seconds(spark, sf):
+    """Seconds of the minute at which trades open and close, against equal chances by 19,999 multinomial draws."""
+    led = V.ledger(spark, sf)
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.second(c).alias("second")) for n, c in (("open", "open_time"), ("close", "close_time"))])).alias("b")
+    return P.uniform_cells(led.select("symbol", both).select("symbol", "b.*"), ["symbol", "what"], "second", 60).withColumn("chi_square", r6("chi_square"))
