@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from chronoloom.llm import substrings as S
 
 
@@ -84,3 +86,38 @@ def test_merge_keeps_order_and_prefixes():
     for (_, a), (k, b) in zip(merged, merged[1:]):
         n = next((i for i, (x, y) in enumerate(zip(a[0], b[0])) if x != y), min(len(a[0]), len(b[0])))
         assert k == n
+
+
+def test_documents_equal_hashed_brute_force(spark):
+    """All 400-byte windows of a whole table by a rolling hash, sorted; what repeats is removed."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    rng = np.random.default_rng(1)
+    table, base = rng.integers(0, 2**64, 256, dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    back = np.uint64(pow(int(base), -1, 2**64))
+    longest = max(len(b) for _, b in rows) + 1
+    up, down = (np.cumprod(np.array([1] + [int(x)] * longest, dtype=np.uint64), dtype=np.uint64) for x in (base, back))
+    hashes = []
+    for _, raw in rows:
+        b = np.frombuffer(raw, dtype=np.uint8)
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(table[b] * up[: len(b)], dtype=np.uint64)))
+        n = max(0, len(b) - 399)
+        hashes.append((total[400 : 400 + n] - total[:n]) * down[:n])
+    flat = np.concatenate(hashes)
+    order = np.argsort(flat, kind="stable")
+    same = flat[order[1:]] == flat[order[:-1]]
+    repeats = np.zeros(len(flat), dtype=bool)
+    repeats[order[1:][same]] = repeats[order[:-1][same]] = True
+    want, at = {}, 0
+    for (doc_id, raw), h in zip(rows, hashes, strict=True):
+        cover = np.zeros(len(raw) + 1, dtype=np.int64)
+        starts = np.flatnonzero(repeats[at : at + len(h)])
+        at += len(h)
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, starts + 400, -1)
+        gone = np.cumsum(cover[:-1]) > 0
+        spans = int((np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1).sum())
+        kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
+        want[doc_id] = (len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.op6_substrings(spark, "/root/testdata/sf0.1").collect()}
+    assert got == want and sum(v[1] > 0 for v in want.values()) > 500
