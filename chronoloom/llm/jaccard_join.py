@@ -188,9 +188,9 @@ def unpack(raw: bytes) -> np.ndarray:
     return five.view("<u8").reshape(-1)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parities of a number of bits by the set's band: two sets differ in at least as many shingles as their sketches in bits."""
-    size = 64 << max(0, (differing(2 * len(s)) * 3 // 64).bit_length())
+def sketch(s: np.ndarray, bits: int = 3) -> bytes:
+    """Parities of about ``bits`` bits for each shingle in which similar sets of this size may differ: two sets differ in at least as many shingles as their sketches in bits."""
+    size = 64 << (differing(2 * len(s)) * bits // 64).bit_length()
     n = np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size)
     return np.packbits((n & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -203,10 +203,15 @@ def near(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
     return int(np.bitwise_count(fold(x) ^ fold(y)).sum()) <= differing(n_a + n_b)
 
 
+def wide(s: np.ndarray) -> bytes:
+    """A longer sketch, for the long lists whose sets have much in common."""
+    return sketch(s, 24)
+
+
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         made = [shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([sketch(s) for s in made], pa.binary()), pa.array([pack(s) for s in made], pa.binary())], names=["cls", "n", "sketch", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in made], pa.int64()), *[pa.array([f(s) for s in made], pa.binary()) for f in (sketch, wide, pack)]], names=["cls", "n", "sketch", "wide", "set"])
 
 
 def _confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -222,7 +227,11 @@ def _confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
     side = lambda x, *cols: members.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    some = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").where(fits)
+    # sizes first: they are small, and pairs that they rule out take no sketch along
+    sizes = members.select("cls", "n")
+    small = F.broadcast if sizes.count() <= BROADCAST_ROWS else lambda d: d
+    fit = pairs.join(small(sizes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"))), "a").join(small(sizes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"))), "b").where(fits)
+    some = fit.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
     some = written(some.where(hopeful("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b"), "hopeful")
     return written(some.join(side("a", "set"), "a").join(side("b", "set"), "b").where(alike("set_a", "set_b")).select("a", "b"), "confirmed")
 
@@ -254,10 +263,10 @@ def _open(rows: DataFrame) -> DataFrame:
 def _visited(group: pd.DataFrame) -> pd.DataFrame:
     """Of a block's visitors and its residents the pairs whose sketches allow that they are similar."""
     home, guests = group[~group.visitor], group[group.visitor]
-    size = min(map(len, group["sketch"]))
+    size = min(map(len, group["wide"]))
 
     def folded(rows: pd.DataFrame) -> np.ndarray:
-        v = [np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, size), axis=0) for x in rows["sketch"]]
+        v = [np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, size), axis=0) for x in rows["wide"]]
         return np.array(v, dtype=np.uint8).reshape(-1, size).view(np.uint64)
 
     a, b = folded(guests), folded(home)
@@ -294,7 +303,7 @@ def _long_lists(rows: DataFrame, members: DataFrame, links: DataFrame) -> DataFr
             pivots = rows.where("comp = main").groupBy("key").agg(F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias("pivot"))
             met = outside.join(pivots, "key").select(*_ordered("cls", "pivot"))
         else:
-            cut = rows.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").join(members.select("cls", "n", "sketch"), "cls")
+            cut = rows.join(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").join(members.select("cls", "n", "wide"), "cls")
             home = cut.select("*", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("visitor"))
             guests = cut.where("comp <> main").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
             met = home.unionByName(guests).groupBy("key", "block").applyInPandas(_visited, "a long, b long")
@@ -333,7 +342,7 @@ def link(docs: DataFrame) -> DataFrame:
     met = lists.select("cls").union(lists.select("first")).distinct()
     chosen = written(classes.join(met, "cls").select("cls", "one.*"), "chosen")
     few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    members = same_row(texts, few).select("cls", "text").mapInArrow(_with_sets, "cls long, n long, sketch binary, set binary")
+    members = same_row(texts, few).select("cls", "text").mapInArrow(_with_sets, "cls long, n long, sketch binary, wide binary, set binary")
     members = written(members, "members")
     if members.count() > chosen.count():  # repeated rows of a doc_id and text
         members = written(members.dropDuplicates(["cls"]), "members")

@@ -75,7 +75,7 @@ def test_similar_sets_share_a_posting():
             a, b = np.unique(s[:cut]), np.unique(np.concatenate((s[: min(common, total)], s[cut:])))
             if not J.similar(a, b, J.PERCENT) or len(a) == len(b) == len(np.intersect1d(a, b)):
                 continue
-            assert J.near(J.sketch(a), J.sketch(b), len(a), len(b))
+            assert J.near(J.sketch(a), J.sketch(b), len(a), len(b)) and J.near(J.wide(a), J.wide(b), len(a), len(b))
             (fa, da), (fb, db) = J.postings(a), J.postings(b)
             shared = {*fa} & {*fb} | {*fa} & {*db} | {*da} & {*fb}
             assert shared, (len(a), len(b))
