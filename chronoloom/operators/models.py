@@ -92,14 +92,11 @@ def mixture(ledger: DataFrame, k: int) -> DataFrame:
 
 def self_exciting(events: DataFrame, key: str, decay_per_second: float) -> DataFrame:
     """Adds ``excitation``: the sum of exp(-decay * age) over the key's earlier events, an affine recurrence solved in blocks."""
-    from pyspark.sql import Window as W
-
     from chronoloom.operators import series
 
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = W.partitionBy(key).orderBy("ts")
-    gap = (us - F.lag(us).over(w)) / 1e6
-    d = events.withColumn("_a", F.coalesce(F.exp(-decay_per_second * gap), F.lit(0.0)))
+    d = series.lagged(events.withColumn("_us", us), "_us", key=key, order="ts", out="_before")
+    d = d.withColumn("_a", F.coalesce(F.exp(-decay_per_second * (F.col("_us") - F.col("_before")) / 1e6), F.lit(0.0))).drop("_us", "_before")
     # y = a * (y + 1) with y before the first event 0: an event counts one at its own time and decays from there
     return series.affine(d, key=key, order="ts", a=F.col("_a"), b=F.col("_a"), out="excitation").drop("_a")
 

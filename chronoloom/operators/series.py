@@ -61,6 +61,16 @@ def affine(df: DataFrame, *, key: str, order: str, a: Column, b: Column, out: st
     return d.select(*df.columns, out)
 
 
+def lagged(df: DataFrame, x: str, *, key: str, order: str, out: str) -> DataFrame:
+    """Adds the value that ``x`` has in the key's row before, in order: within a day by a window, over days by the last value of the day before."""
+    d = df.withColumn("_ld", F.to_date(order))
+    last = d.groupBy(key, "_ld").agg(F.max_by(F.struct(x), order)[x].alias("_last"))
+    before = F.lag("_last").over(W.partitionBy(key).orderBy("_ld"))  # a row per day
+    d = d.join(last.select(key, "_ld", before.alias("_lb")), [key, "_ld"])
+    w = W.partitionBy(key, "_ld").orderBy(order)
+    return d.withColumn(out, F.when(F.row_number().over(w) == 1, F.col("_lb")).otherwise(F.lag(x).over(w))).select(*df.columns, out)
+
+
 def ewm(df: DataFrame, x: str, alpha: float, *, key: str, order: str, out: str, least: int = 1) -> DataFrame:
     """Exponential mean (not adjusted) seeded with the first non-null value; null values keep the state; null below ``least`` values."""
     w = W.partitionBy(key).orderBy(order)

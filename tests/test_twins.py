@@ -158,3 +158,23 @@ def test_models_find_what_is_planted(spark):
     for kind in ("logistic", "forest"):
         for r in M.walk_forward(M.panel(panel, led), kind).collect():
             assert r.auc > 0.9 and r.n > 500
+
+
+def test_lags_go_on_over_days(spark):
+    from chronoloom.operators import series as S
+
+    rng = random.Random(12)
+    rows = []
+    for k in "ab":
+        t = 0
+        for i in range(200):
+            t += rng.choice([60, 7000, 200_000])
+            rows.append((k, at(t), None if rng.random() < 0.2 else float(i)))
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, x double")
+    lag = {(r.k, r.ts): r.p for r in S.lagged(df, "x", key="k", order="ts", out="p").collect()}
+    for k in "ab":
+        before = None
+        for _, t, x in (r for r in rows if r[0] == k):
+            assert lag[k, t] == before
+            before = x
+    assert len(lag) == len(rows)
