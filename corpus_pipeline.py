@@ -2,6 +2,10 @@
 
 Each stage takes the documents that the one before kept and returns those that it keeps, with the same columns; the
 last returns the mixed corpus, a row per copy of a document, with shard and place.
+
+Nulls, ties, repeated rows, very long texts, empty tables and further columns fare as the operators' docstrings say: null
+and wordless texts are rejected by the first stage; of repeated rows one stays after the second; an empty table stays
+empty through all stages.
 """
 
 from __future__ import annotations
@@ -52,6 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a data folder; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
