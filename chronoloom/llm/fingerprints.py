@@ -163,4 +163,5 @@ def compare_with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def op10_fingerprint(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they are to each other and to the next document."""
     return compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -136,7 +136,7 @@ def postings(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done: set[int] = set()  # equal sets post once in a task
-    for batch in slices(batches):
+    for batch in slices(batches, 128):
         n, cls, keys, full = [], [], [], []
         for raw in batch.column(2).cast(pa.binary()).to_pylist():
             s = shingles(raw)
@@ -209,11 +209,18 @@ def wide(s: np.ndarray) -> bytes:
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, 128):
         made = [shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in made], pa.int64()), *[pa.array([f(s) for s in made], pa.binary()) for f in (sketch, wide, pack)]], names=["cls", "n", "sketch", "wide", "set"])
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets are similar; a worker holds the sets of a slice of pairs."""
+    for batch in slices(batches, 128):
+        ok = [similar(unpack(x), unpack(y), PERCENT) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def _confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Of pairs (a, b) those that are similar, by sizes, sketches and then the full sets."""
 
@@ -221,10 +228,6 @@ def _confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
     def hopeful(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
         return pd.Series([near(*x) for x in zip(a, b, n_a, n_b, strict=True)], dtype=bool)
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(unpack(x), unpack(y), PERCENT) for x, y in zip(a, b, strict=True)], dtype=bool)
-
     side = lambda x, *cols: members.select(F.col("cls").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     # sizes first: they are small, and pairs that they rule out take no sketch along
@@ -233,7 +236,8 @@ def _confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
     fit = pairs.join(small(sizes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"))), "a").join(small(sizes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"))), "b").where(fits)
     some = fit.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
     some = written(some.where(hopeful("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b"), "hopeful")
-    return written(some.join(side("a", "set"), "a").join(side("b", "set"), "b").where(alike("set_a", "set_b")).select("a", "b"), "confirmed")
+    sets = some.join(side("a", "set"), "a").join(side("b", "set"), "b").select("a", "b", "set_a", "set_b")
+    return written(sets.mapInArrow(_alike, "a long, b long"), "confirmed")
 
 
 def _ordered(x: str, y: str) -> list:
