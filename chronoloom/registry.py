@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from chronoloom.plans import queries_aggregates, queries_controls, queries_joins, queries_models, queries_panels, queries_policy, queries_replay, queries_reports, queries_scalars, queries_sequences, queries_stats, queries_streams, queries_sweeps, queries_ticks, queries_windows  # noqa: E402, F401
+from chronoloom.plans import queries_aggregates, queries_controls, queries_joins, queries_lockbox, queries_models, queries_panels, queries_policy, queries_replay, queries_reports, queries_scalars, queries_sequences, queries_stats, queries_streams, queries_sweeps, queries_ticks, queries_windows  # noqa: E402, F401
