@@ -43,12 +43,19 @@ def order_statistics(df: DataFrame, x: str, ranks: list[int], *, fit: int = 100_
     return out
 
 
+def quantiles(df: DataFrame, x: str, qs: list[float], *, fit: int = 100_000) -> list[float | None]:
+    """The exact quantiles, linear between the two nearest values; None without values. Nulls and NaN are no values.
+
+    Up to ``fit`` values are one aggregate's buffer; of more, each quantile's two values are searched for. Results agree.
+    """
+    v = df.select(F.col(x).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n = v.count()
+    if n <= fit:
+        return v.agg(F.percentile("x", F.array(*map(F.lit, qs))).alias("q")).first()["q"] or [None] * len(qs)
+    at = [q * (n - 1) for q in qs]
+    s = order_statistics(v, "x", sorted({r for a in at for r in (math.floor(a), math.ceil(a))}), fit=fit)
+    return [s[math.floor(a)] + (s[math.ceil(a)] - s[math.floor(a)]) * (a - math.floor(a)) for a in at]
+
+
 def quantile(df: DataFrame, x: str, q: float, *, fit: int = 100_000) -> float | None:
-    """The exact quantile, linear between the two nearest values; None without values."""
-    n = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).count()
-    if not n:
-        return None
-    at = q * (n - 1)
-    lo, hi = math.floor(at), math.ceil(at)
-    v = order_statistics(df, x, sorted({lo, hi}), fit=fit)
-    return v[lo] + (v[hi] - v[lo]) * (at - lo)
+    return quantiles(df, x, [q], fit=fit)[0]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import asof as A
 from chronoloom.operators import bars as B
+from chronoloom.operators import selection as Q
 from chronoloom.operators import series as S
 from chronoloom.operators import windows_at as T
 from chronoloom.plans import views as V
@@ -17,6 +18,7 @@ from chronoloom.plans.queries_ticks import _SCALE, _units
 from chronoloom.plans.queries_windows import _ema_sql
 from chronoloom.plans.views import WITH, r6
 from chronoloom.registry import ORACLE_SQL, query
+from chronoloom.streaming.jobs import shared
 
 _STATE = """, s0 AS (SELECT *, close / lag(close) OVER w - 1 AS ret1, close / lag(close, 5) OVER w - 1 AS ret5, high - low AS rng FROM bars_1h WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 s1 AS (SELECT symbol, ts, CAST(ts AS DATE) AS day, CASE WHEN hour(ts) <= 6 THEN 0 WHEN hour(ts) <= 12 THEN 1 WHEN hour(ts) <= 17 THEN 2 ELSE 3 END AS session, hour(ts) % 4 AS phase, ret1, ret5, rng, volume,
@@ -66,6 +68,30 @@ def _apart():
     return F.abs(A.seconds(F.col("x.ts"), F.col("c.ts")))
 
 
+_NEAR = f"(x.session = c.session AND {_DT} BETWEEN 3600 AND 28800)"
+
+
+@query(
+    "j23_state_controls",
+    WITH + _STATE + _Z_SQL + f""", p AS (SELECT c.ticket, x.ts, x.ts > c.ts AS later, {_Z_DIST} AS d, {_NEAR} AS near FROM ca c JOIN st x ON x.symbol = c.symbol AND x.day = c.day AND NOT x.entry CROSS JOIN z WHERE {_DT} BETWEEN 3600 AND 57600),
+b AS (SELECT *, max(CASE WHEN near THEN 1 ELSE 0 END) OVER (PARTITION BY ticket) = 0 AS widened FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY ticket, later ORDER BY d, ts) AS r FROM b WHERE near OR widened)
+SELECT c.ticket, bool_or(widened) AS widened, max(CASE WHEN NOT later THEN r.ts END) AS before_ts, round(max(CASE WHEN NOT later THEN d END), 6) AS before_distance, max(CASE WHEN later THEN r.ts END) AS after_ts, round(max(CASE WHEN later THEN d END), 6) AS after_distance FROM ca c LEFT JOIN r ON r.ticket = c.ticket AND r.r = 1 GROUP BY 1""",
+)
+def j23_state_controls(spark, sf):
+    """The control before and the one after a trade that are most like its bar, by the root mean square of standardised differences:
+    of its day and session within eight hours, or, if there is none on either side, of its day within sixteen (J23). A trade
+    without any has nulls; of equals the earlier one is taken."""
+    st, cases = _states(spark, sf)
+    p = _distance(_beside(cases, st, ["symbol", "day"]).where(_apart().between(3600, 57600)), st)
+    near = (F.col("x.session") == F.col("c.session")) & _apart().between(3600, 28800)
+    later = F.col("x.ts") > F.col("c.ts")
+    best = lambda c: F.min(F.when(c, F.struct("d", F.col("x.ts").alias("ts"))))
+    g = p.groupBy(F.col("c.ticket").alias("ticket")).agg((F.count_if(near) == 0).alias("widened"), best(near & ~later).alias("nb"), best(near & later).alias("na"), best(~later).alias("wb"), best(later).alias("wa"))
+    g = g.withColumns({"b": F.when(F.col("widened"), F.col("wb")).otherwise(F.col("nb")), "a": F.when(F.col("widened"), F.col("wa")).otherwise(F.col("na"))})
+    out = g.select("ticket", "widened", F.col("b.ts").alias("before_ts"), r6("b.d").alias("before_distance"), F.col("a.ts").alias("after_ts"), r6("a.d").alias("after_distance"))
+    return cases.select("ticket").join(out, "ticket", "left")
+
+
 @query(
     "j24_phase_matched",
     WITH + _STATE + _Z_SQL + f""", p AS (SELECT c.ticket, x.ts, {_Z_DIST} AS d, NOT (x.session = c.session AND {_DT} BETWEEN 3600 AND 28800) AS relaxed FROM ca c JOIN st x ON x.symbol = c.symbol AND x.day = c.day AND x.phase = c.phase AND NOT x.entry CROSS JOIN z),
@@ -323,5 +349,8 @@ SYMBOLIC = {
 def f26_symbolic_rules(spark, sf):
     """Eight symbolic rules, two of them against quartiles of the whole panel, which are two numbers."""
     p = _panel(spark, sf)
-    q = p.agg(F.percentile("vol", F.lit(0.75)).alias("q_vol"), F.percentile(F.abs("return_5"), F.lit(0.75)).alias("q_ret"))
-    return _scored(p.crossJoin(F.broadcast(q)), SYMBOLIC)
+    path = shared(spark, "panel")  # read by the counts, the quartiles and the scores: made once
+    p.write.parquet(path)
+    p = spark.read.parquet(path)
+    (vol,), (ret,) = Q.quantiles(p, "vol", [0.75]), Q.quantiles(p.select(F.abs("return_5").alias("ret")), "ret", [0.75])
+    return _scored(p.withColumns({"q_vol": F.lit(vol).cast("double"), "q_ret": F.lit(ret).cast("double")}), SYMBOLIC)

@@ -10,6 +10,7 @@ from chronoloom.operators import matching as M
 from chronoloom.operators import policy as P
 from chronoloom.operators import paths as X
 from chronoloom.operators import search as S
+from chronoloom.operators import selection as Q
 from chronoloom.operators import splits as D
 from chronoloom.plans import views as V
 from chronoloom.plans.views import DAYS, FIRST, WITH, r6
@@ -126,9 +127,9 @@ def p27_region_search(spark, sf):
     led = V.ledger(spark, sf).select("event_id", F.lit(1).alias("y"))
     c = V.ticks(spark, sf).join(led, "event_id", "left").select("mid", F.coalesce("y", F.lit(0)).alias("y"))
     ps = [i / 10 for i in range(1, 10)]
-    q = c.agg(F.percentile("mid", F.array(*map(F.lit, ps))).alias("q")).select(F.posexplode("q").alias("i", "th")).withColumn("p", F.element_at(F.array(*map(F.lit, ps)), F.col("i") + 1))  # nine rows
+    rules = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(th).cast("double").alias("th")) for p, th in zip(ps, Q.quantiles(c, "mid", ps), strict=True)]))
     hit = F.col("mid") > F.col("th")
-    g = c.join(F.broadcast(q)).groupBy("p", "th").agg(F.count_if(hit).alias("n1"), F.sum(F.when(hit, F.col("y")).otherwise(0)).alias("y1"), F.count_if(~hit).alias("n0"), F.sum(F.when(~hit, F.col("y")).otherwise(0)).alias("y0"))
+    g = c.withColumn("_r", rules).select("*", "_r.p", "_r.th").groupBy("p", "th").agg(F.count_if(hit).alias("n1"), F.sum(F.when(hit, F.col("y")).otherwise(0)).alias("y1"), F.count_if(~hit).alias("n0"), F.sum(F.when(~hit, F.col("y")).otherwise(0)).alias("y0"))
     g = g.withColumns({"r1": F.expr("(y1 + 0.5d) / (n1 + 1)"), "r0": F.expr("(y0 + 0.5d) / (n0 + 1)"), "r": F.expr("(y1 + y0 + 0.5d) / (n1 + n0 + 1)")})
     ll = F.expr("y1 * ln(r1) + (n1 - y1) * ln(1 - r1) + y0 * ln(r0) + (n0 - y0) * ln(1 - r0)")
     null = F.expr("(y1 + y0) * ln(r) + (n1 + n0 - y1 - y0) * ln(1 - r)")
@@ -186,8 +187,7 @@ def p23_beam_search(spark, sf):
     """Rules found by beam search over thresholds."""
     led = V.ledger(spark, sf).select("event_id", F.lit(1).alias("y"))
     rows = V.ticks(spark, sf).join(led, "event_id", "left").select("ts", "mid", "spread", F.col("k").cast("double").alias("k"), F.coalesce("y", F.lit(0)).alias("y"))
-    q = rows.agg(*[F.percentile(c, F.array(*map(F.lit, (0.1, 0.3, 0.5, 0.7, 0.9)))).alias(c) for c in ("mid", "spread", "k")]).first()  # five numbers a feature
-    leaves = S.enumerate_rules({c: list(q[c]) for c in ("mid", "spread", "k")}, 3)
+    leaves = S.enumerate_rules({c: Q.quantiles(rows, c, [0.1, 0.3, 0.5, 0.7, 0.9]) for c in ("mid", "spread", "k")}, 3)
     found = S.beam(rows, leaves)
     return spark.createDataFrame([(i, P.to_json(r), s, P.description_bits(r)) for i, (r, s) in enumerate(found)], "rank int, rule string, score double, bits int")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalars as X
+from chronoloom.operators import selection as Q
 from chronoloom.plans import views as V
 from chronoloom.plans.views import WITH, r6
 from chronoloom.registry import query
@@ -130,9 +131,9 @@ SELECT ticket, CASE WHEN pnl <= a THEN 1 WHEN pnl <= b THEN 2 WHEN pnl <= c THEN
 def f20_quartiles(spark, sf):
     """Quartile by interpolated cut points."""
     led = V.ledger(spark, sf)
-    q = led.agg(F.percentile("pnl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))  # one row
+    a, b, c = (F.lit(v).cast("double") for v in Q.quantiles(led, "pnl", [0.25, 0.5, 0.75]))
     p = F.col("pnl")
-    return led.crossJoin(F.broadcast(q)).select("ticket", F.when(p <= F.col("q")[0], 1).when(p <= F.col("q")[1], 2).when(p <= F.col("q")[2], 3).otherwise(4).alias("quartile"))
+    return led.select("ticket", F.when(p <= a, 1).when(p <= b, 2).when(p <= c, 3).otherwise(4).alias("quartile"))
 
 
 @query(
