@@ -9,6 +9,7 @@ from chronoloom.plans import views as V
 from chronoloom.plans.views import WITH, r6
 from chronoloom.registry import query
 from chronoloom.streaming import jobs as J
+from chronoloom.streaming import sinks as K
 
 
 @query("st3_tumbling_bars", WITH + "SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars_1h")
@@ -70,3 +71,19 @@ def st6_debounce(spark, sf):
 def st8_lockout(spark, sf):
     """Each signal taken locks out the next twelve hours (ST8)."""
     return J.locked_out(V.ticks(spark, sf), "symbol", "mid > 150", 12 * 3600)
+
+
+@query("s14_hourly_append", WITH + "SELECT strftime(ts, '%Y-%m-%d-%H') AS hour, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, round(max(mid), 6) AS top, true AS second_run_refused FROM ticks GROUP BY 1")
+def s14_hourly_append(spark, sf):
+    """The stream appended to hourly CSV files and read back; a run of another owner is refused, the same one adds nothing."""
+    stream = J.ticks(spark, sf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    folder, state = J.shared(spark, "hours"), J.shared(spark, "hours-state")
+    for _ in range(2):
+        K.append_by_hour(stream, folder, "ts", state)
+    try:
+        K.append_by_hour(stream, folder, "ts", J.shared(spark, "other-state"))
+        refused = False
+    except FileExistsError:
+        refused = True
+    g = K.read_hours(spark, folder, stream.schema).groupBy("hour").agg(F.count("*").alias("n"), F.sum("event_id").cast("long").alias("ids"), r6(F.max("mid")).alias("top"))
+    return g.withColumn("second_run_refused", F.lit(refused))
