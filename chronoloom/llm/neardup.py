@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import same_row, slices, written
+from chronoloom.llm.common import by_count, same_row, slices, written
 from chronoloom.llm.fingerprints import _mixed, _powers
 
 SHINGLE = 5
@@ -129,11 +129,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges`` (a, b): the label is the least node of the connected component."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    nodes = labels.count()
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        near = both.join(by_count(labels, nodes), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         stepped = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         ahead = labels.select(F.col("node").alias("to"), F.col("label").alias("ahead"))
-        jumped = written(stepped.join(ahead, F.col("label") == F.col("to"), "left").select("node", "old", F.least("label", "ahead").alias("label")), "labels")
+        jumped = written(stepped.join(by_count(ahead, nodes), F.col("label") == F.col("to"), "left").select("node", "old", F.least("label", "ahead").alias("label")), "labels")
         if jumped.where("label <> old").isEmpty():
             return jumped.select("node", "label")
         labels = jumped.select("node", "label")
@@ -152,7 +153,8 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         return pd.Series((a == b).sum(axis=1).astype(np.int32))
 
     small = classes.select("cls", "n", low_bytes("sig").alias("sig"))
-    side = lambda x: small.select(F.col("cls").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
+    rows = classes.count()
+    side = lambda x: by_count(small.select(F.col("cls").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")), rows)
     some = pairs.join(side("a"), "a").join(side("b"), "b")
     # sets of too different sizes cannot be similar
     return some.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75) & (agreements("sig_a", "sig_b") >= MATCHES)).select("a", "b")
@@ -228,10 +230,10 @@ def _meeting(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     posts = written(rows.mapInArrow(posted, "grp long, cls long, comp long, guest boolean, token long"), "rare")
     lists = posts.groupBy("grp", "token").agg(F.count("*").alias("size"), F.max("guest").alias("any"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     lists = written(lists.where("any and c0 <> c1").select("grp", "token", "size"), "rare-lists")
-    cold = posts.join(lists.where(F.col("size") <= COLD_LIST), ["grp", "token"]).groupBy("grp", "token").agg(F.sort_array(F.collect_list(F.struct("cls", "comp", "guest"))).alias("c"))
+    cold = posts.join(by_count(lists.where(F.col("size") <= COLD_LIST)), ["grp", "token"]).groupBy("grp", "token").agg(F.sort_array(F.collect_list(F.struct("cls", "comp", "guest"))).alias("c"))
     pairs = cold.select(F.posexplode("c").alias("i", "x"), "c").select("x", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("y"))
     pairs = pairs.where("x.comp <> y.comp and (x.guest or y.guest)").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    hot = posts.join(lists.where(F.col("size") > COLD_LIST), ["grp", "token"]).select("grp", "cls").distinct()
+    hot = posts.join(by_count(lists.where(F.col("size") > COLD_LIST)), ["grp", "token"]).select("grp", "cls").distinct()
     return pairs, written(hot, "hot")
 
 
@@ -241,8 +243,8 @@ def _links(members: DataFrame) -> DataFrame:
     large = members.groupBy("grp").agg(F.count("*").alias("size"), *[F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]).where(F.col("size") > BLOCK)
     large = written(large.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "large")
     any_large = large.count()
-    few = F.broadcast(large) if any_large <= BROADCAST_ROWS // 10 else large
-    sized = members.join(few, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    per_group = lambda table: by_count(table, any_large, BROADCAST_ROWS // 10)
+    sized = members.join(per_group(large), "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cols = ["grp", "block", "visitor", "fresh", "comp", "cls", "n", "sig", "set"]
     own_block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -253,9 +255,9 @@ def _links(members: DataFrame) -> DataFrame:
     if not any_large:
         return first
     labels = components(first)
-    placed = sized.where(F.col("blocks") > 1).join(labels, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "cls")).drop("label", "node")
+    placed = sized.where(F.col("blocks") > 1).join(by_count(labels), F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "cls")).drop("label", "node")
     part = placed.groupBy("grp", "comp").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(F.broadcast(part) if any_large <= BROADCAST_ROWS // 10 else part, "grp").select("grp", "main", "comp", "cls", "n", "sig", "set")
+    open_ = placed.join(per_group(part), "grp").select("grp", "main", "comp", "cls", "n", "sig", "set")
     open_ = written(open_.withColumn("fresh", F.lit(False)), "open")
     pairs, hot = _meeting(open_)
 
@@ -263,12 +265,13 @@ def _links(members: DataFrame) -> DataFrame:
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([similar(unpack(a), unpack(b)) for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    side = lambda x: open_.select(F.col("cls").alias(x), F.col("set").alias(f"set_{x}"))
+    # sets of near copies pack well: never judged by their files
+    side = lambda x: open_.select(F.col("cls").alias(x), F.col("set").alias(f"set_{x}")).hint("merge")
     met = _agreeing(pairs, open_).join(side("a"), "a").join(side("b"), "b").where(alike("set_a", "set_b")).select("a", "b")
-    warm = open_.join(hot.select("cls"), "cls")
+    warm = open_.join(by_count(hot.select("cls")), "cls")
     cut = warm.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count(F.when(F.col("comp") != F.col("main"), 1)) / (VISITOR_BLOCKS * BLOCK)).cast("int").alias("chunks"))
     cut = written(cut.where("chunks > 0"), "cut")
-    warm = warm.join(F.broadcast(cut) if any_large <= BROADCAST_ROWS // 10 else cut, "grp")
+    warm = warm.join(per_group(cut), "grp")
     some_chunk = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")).cast("int")
     home = warm.withColumns({"block": own_block, "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "visitor": F.lit(False)})
     guests = warm.where("comp <> main").withColumns({"block": every_block, "chunk": some_chunk, "visitor": F.lit(True)})
@@ -298,23 +301,23 @@ def link(docs: DataFrame) -> DataFrame:
 
     posts = classes.select("cls", F.explode(tokens("sig")).alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("f")).where(F.col("f") > 1)
-    own = posts.join(shared, "token").groupBy("cls").agg(F.collect_list(F.struct("f", "token")).alias("t")).where(F.size("t") >= MATCHES)
+    # 64 rows of a class: what Spark estimates from the classes' files is far too little
+    own = posts.join(shared.hint("merge"), "token").groupBy("cls").agg(F.collect_list(F.struct("f", "token")).alias("t")).where(F.size("t") >= MATCHES)
     prefix = own.select("cls", F.explode(F.slice(F.sort_array("t"), F.lit(1), F.size("t") - (MATCHES - 1))).alias("t")).select("cls", "t.token")
     prefix = written(prefix, "postings")
     lists = written(prefix.groupBy("token").agg(F.count("*").alias("size"), F.min("cls").alias("first")).where(F.col("size") > 1), "lists")
-    short = prefix.join(lists.where(F.col("size") <= LONG_LIST).select("token"), "token").groupBy("token").agg(F.sort_array(F.collect_list("cls")).alias("c"))
+    short = prefix.join(by_count(lists.where(F.col("size") <= LONG_LIST).select("token")), "token").groupBy("token").agg(F.sort_array(F.collect_list("cls")).alias("c"))
     short = short.select(F.posexplode("c").alias("i", "a"), "c").select("a", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("b")).distinct()
-    tied = prefix.join(lists.where(F.col("size") > LONG_LIST), "token").where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
+    tied = prefix.join(by_count(lists.where(F.col("size") > LONG_LIST)), "token").where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
     groups = components(_agreeing(short, classes).union(tied)).select(F.col("node").alias("cls"), F.col("label").alias("grp"))
-    chosen = written(merged.select("cls", "one.doc_id", "one.text_hash").join(groups, "cls"), "chosen")
-    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    members = same_row(texts, few).select("grp", "cls", "text")
+    chosen = written(merged.select("cls", "one.doc_id", "one.text_hash").join(by_count(groups), "cls"), "chosen")
+    members = same_row(texts, by_count(chosen, most=BROADCAST_ROWS)).select("grp", "cls", "text")
     links = _links(written(members.mapInArrow(_with_sets, "grp long, cls long, n long, sig binary, set binary"), "members"))
     labels = components(links)
-    named = merged.join(labels, F.col("cls") == F.col("node"), "left").select("set_hash", "low", F.coalesce("label", "cls").alias("comp"))
+    named = merged.join(by_count(labels), F.col("cls") == F.col("node"), "left").select("set_hash", "low", F.coalesce("label", "cls").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = written(named.join(lowest, "comp").select("set_hash", "component_id", F.col("comp").alias("part")), "components")
-    out = rows.select("doc_id", "text_hash", "n_shingles", "set_hash").join(named, "set_hash", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "set_hash").join(by_count(named), "set_hash", "left")
     out = out.withColumn("component_id", F.when(F.col("part").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "part")
 

@@ -96,3 +96,35 @@ def test_templated_documents_do_not_all_visit_each_other(spark, monkeypatch):
     monkeypatch.setattr(N, "_settle", bounded)
     got = N.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(d, n, c) for (d, _), n, c in zip(rows, sizes, want, strict=True)]
+
+
+def judged_by_files(spark, monkeypatch, make):
+    """What ``make`` gives of a small corpus, the components wanted, and the tables whose joins Spark would broadcast by the size of files."""
+    rng = random.Random(3)
+    bases = [[f"w{rng.randrange(10**6)}" for _ in range(30)] for _ in range(12)]
+    rows = [(i, " ".join([*bases[i % 12], *(f"x{i}" for _ in range(i % 4))])) for i in range(600)] + [(600 + i, f"only {i} of its kind here {i}") for i in range(300)]
+    want, _ = brute(rows)
+    plans, write = [], N.written
+
+    def kept_plan(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(N, "written", kept_plan)
+    monkeypatch.setattr(N, "BLOCK", 32)
+    monkeypatch.setattr(N, "BROADCAST_ROWS", -100)
+    monkeypatch.setattr("chronoloom.llm.common.FEW_ROWS", -1, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "300k")
+    try:
+        out = make(spark.createDataFrame(rows, "doc_id long, text string"))
+        plans.append(("result", out._jdf.queryExecution().sparkPlan().toString()))
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return got, {d: c for (d, _), c in zip(rows, want, strict=True)}, [name for name, plan in plans if "Broadcast" in plan]
+
+
+def test_tables_are_broadcast_by_their_rows_not_by_their_files(spark, monkeypatch):
+    got, want, broadcast = judged_by_files(spark, monkeypatch, N.link)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert broadcast == []
