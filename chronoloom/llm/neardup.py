@@ -332,11 +332,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = written(link(docs).where(F.col("part").isNotNull()), "linked")
     texts = found.groupBy("part", *key).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     texts = written(texts, "texts")
+    number = texts.count()
     best = texts.where("kept").groupBy("part").agg(F.min(F.struct(*key)).alias("one")).select("part", "one.*")
+    best = by_count(best, number)
     gone = written(same_row(texts.select(*key, F.col("part").alias("p")), best, "left").where(F.col("part").isNull()).select(*key), "gone")
     again = written(same_row(texts.where("rows > 1").select(*key), best).select(*key), "again")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))
-    some = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    some = lambda keys: by_count(keys, most=BROADCAST_ROWS)
     kept = same_row(rows, some(gone), "left_anti")
     if not again.isEmpty():
         keys = some(again)

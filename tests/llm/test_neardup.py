@@ -128,3 +128,9 @@ def test_tables_are_broadcast_by_their_rows_not_by_their_files(spark, monkeypatc
     got, want, broadcast = judged_by_files(spark, monkeypatch, N.link)
     assert {r.doc_id: r.component_id for r in got} == want
     assert broadcast == []
+
+
+def test_rows_that_stay_are_found_without_broadcasts_by_file_size(spark, monkeypatch):
+    got, want, broadcast = judged_by_files(spark, monkeypatch, N.keep_one)
+    assert sorted(r.doc_id for r in got) == sorted(set(want.values()))
+    assert broadcast == []
