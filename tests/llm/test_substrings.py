@@ -57,6 +57,21 @@ def test_hot_grams_are_counted_window_by_window(spark, tmp_path, monkeypatch):
     test_removal_equals_brute_force(spark, tmp_path)
 
 
+def test_frequent_surroundings_are_not_dealt_to_one_task(spark, tmp_path, monkeypatch):
+    gram = "if(id = 0, -1, if(id % 3 > 0, 7, id div 30)) AS gram"
+    seen = spark.range(0, 9000, 1, 6).selectExpr(gram, "1L AS around", "id AS doc_id")
+    kinds = seen.groupBy("gram", "around").count().withColumnRenamed("count", "n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = S._copied(seen, kinds)
+        assert sorted(r.doc_id for r in rows.collect()) == list(range(1, 9000))
+        assert max(rows.rdd.glom().map(len).collect()) < 3000  # a shuffle deals 6,000 of one surrounding to one task
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(S, "COPIES", 2)
+    test_removal_equals_brute_force(spark, tmp_path)
+
+
 def test_rows_keep_their_numbers_when_files_are_split_anew(spark, tmp_path, monkeypatch):
     texts = sample(random.Random(5))[:60]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
