@@ -38,16 +38,10 @@ SELECT event_id, round(mid / first_value(mid) OVER w - 1, 9) AS ret, round(max(m
 FROM d WINDOW w AS (PARTITION BY symbol ORDER BY epoch_us(ts) RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW)""",
 )
 def t06_tick_bundle(spark, sf):
-    """Features at a tick over the closed window that ends in it (T06); frames by symbol and stretch of the window's width."""
-    width = 7_200_000_000
-    t = V.ticks(spark, sf).select("event_id", "symbol", "mid", T.micros(F.col("ts")).alias("us")).withColumn("b", T.bucketed(F.col("us"), width, True))
-    o = W.partitionBy("symbol", "b").orderBy("us")
-    d = t.withColumn("dl", F.log("mid") - F.log(F.lag("mid").over(o)))
-    w = o.rangeBetween(-width, 0)
-    first = F.first("dl").over(w)
-    vol = F.sqrt(F.greatest(F.sum(F.col("dl") * F.col("dl")).over(w) - F.coalesce(first * first, F.lit(0.0)), F.lit(0.0)))
-    out = d.select("event_id", F.round(F.col("mid") / F.first("mid").over(w) - 1, 9).alias("ret"), r6(F.max("mid").over(w) - F.min("mid").over(w)).alias("range_"), r6(vol).alias("vol"), F.count("*").over(w).alias("n"), "us", "b")
-    return out.where(F.floor(F.col("us") / width) == F.col("b")).drop("us", "b")
+    """Features at a tick over the closed window that ends in it."""
+    t = V.ticks(spark, sf).select("event_id", "symbol", "mid", T.micros(F.col("ts")).alias("us"))
+    b = T.closed_bundle(t, on="symbol", lookback=7200)
+    return b.select("event_id", F.round("ret", 9).alias("ret"), r6("range_").alias("range_"), r6("vol").alias("vol"), "n")
 
 
 #: The survey's windows are of seconds; ticks of the tables are minutes apart, so all are so many times as long.
