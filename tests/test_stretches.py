@@ -64,3 +64,7 @@ def paired(spark, name):
 
 def test_vector_has_no_pairs(spark):
     assert not paired(spark, "t07_feature_vector")
+
+
+def test_bundle_has_no_pairs(spark):
+    assert not paired(spark, "t09_multi_window")
