@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,20 +65,18 @@ def sliding_counts(stream: DataFrame, width: str, step: str, late: str = "10 min
 
 
 def carried_counts(stream: DataFrame, lookback_seconds: int) -> DataFrame:
-    """For every tick the number of its symbol's ticks in the closed window before it. The state holds just that window."""
+    """For every tick the number of its symbol's ticks in the closed window that ends at its time, all of that time in the
+    batch included. The state holds just that window."""
     span = lookback_seconds * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        out, lo = [], 0
-        times = held + rows.us.tolist()
-        for i, (event, t) in enumerate(zip(rows.event_id, rows.us, strict=True), start=len(held)):
-            while times[lo] < t - span:
-                lo += 1
-            out.append((int(event), i - lo + 1))
-        state.update(([t for t in times if t >= times[-1] - span],))
-        yield pd.DataFrame(out, columns=["event_id", "n"])
+        us = rows.us.to_numpy()
+        times = np.sort(np.concatenate([np.array(held, us.dtype), us]))
+        n = np.searchsorted(times, us, "right") - np.searchsorted(times, us - span)
+        state.update((times[times >= times[-1] - span].tolist(),))
+        yield pd.DataFrame({"event_id": rows.event_id.to_numpy(), "n": n})
 
     s = stream.withColumn("us", F.unix_micros("ts"))
     return s.groupBy("symbol").applyInPandasWithState(step, "event_id long, n long", "times array<long>", "update", GroupStateTimeout.NoTimeout)

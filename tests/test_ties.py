@@ -23,3 +23,11 @@ def test_first_part_where_parts_outweigh_lines(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     want = sorted(con.execute(registry.ORACLE_SQL["o05_dedup"]).fetchall())
     assert sorted(tuple(r) for r in registry.QUERIES["o05_dedup"](spark, str(tmp_path)).select("l_orderkey", "first_part", "last_part").collect()) == want
+
+
+def test_carried_counts_hold_all_of_a_time(spark, tmp_path):
+    rows = [(i, at(s), 1, "view", 1.0, json.dumps({"k": 1})) for i, s in enumerate((0, 5, 5, 5, 7300, 7300))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/x")
+    next((tmp_path / "x").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    got = {r.event_id: r.n for r in J.drained(J.carried_counts(J.ticks(spark, str(tmp_path)), 7200), "carry").collect()}
+    assert got == {0: 1, 1: 4, 2: 4, 3: 4, 4: 2, 5: 2}
