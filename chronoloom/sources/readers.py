@@ -49,10 +49,11 @@ def read_bars(spark: SparkSession, path: str, *, sep: str = ",", shift_hours: in
     return b.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_n", "_r")
 
 
-def read_ticks(spark: SparkSession, path: str) -> DataFrame:
+def read_ticks(spark: SparkSession, path: str, *, repeats: bool = False) -> DataFrame:
     """Hourly JSON files of [ms, ask, bid, ...] lists or of objects; quotes must be positive and not crossed.
 
-    Of equal times the last stays; equal times with other prices fail the job.
+    Of equal times the last stays; equal times with other prices fail the job. ``repeats``: a millisecond may have
+    several quotes and all of them stay.
     """
     raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     lists = F.from_json("value", "array<array<double>>")
@@ -60,6 +61,8 @@ def read_ticks(spark: SparkSession, path: str) -> DataFrame:
     is_list = F.col("value").rlike(r"^\s*\[\s*(\[|\])")
     rows = raw.select("file", F.when(is_list, F.transform(lists, lambda x: F.struct(x[0].cast("long").alias("ms"), x[1].alias("ask"), x[2].alias("bid")))).otherwise(F.transform(objects, lambda x: F.struct(x["timestamp"].alias("ms"), x["askPrice"].alias("ask"), x["bidPrice"].alias("bid")))).alias("r"))
     t = rows.select("file", F.posexplode("r").alias("n", "q")).select("file", "n", "q.ms", "q.bid", "q.ask").where("bid > 0 and bid <= ask")
+    if repeats:
+        return t.select(F.timestamp_millis("ms").cast("timestamp_ntz").alias("ts"), "bid", "ask")
     g = t.groupBy("ms").agg(F.max_by(F.struct("bid", "ask"), F.struct("file", "n")).alias("q"), F.count_distinct("bid", "ask").alias("k"))
     g = g.withColumn("ok", F.assert_true(F.col("k") == 1, F.lit("equal times with different quotes"))).where("ok is null")
     return g.select(F.timestamp_millis("ms").cast("timestamp_ntz").alias("ts"), "q.bid", "q.ask")
