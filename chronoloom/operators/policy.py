@@ -6,6 +6,7 @@ A leaf on a missing feature is false, and ``Not`` of it is true: boolean algebra
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
@@ -158,48 +159,79 @@ def replay(quotes: DataFrame, decisions: DataFrame, policies: list[Policy], *, o
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     entries = F.array(*[p.entry.column() for p in policies])
-    d = decisions.select(F.col(on).cast("string").alias("key"), us("ts").alias("us"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask"), F.when(F.col("status") == "observed", entries).otherwise(F.array(*[F.lit(False)] * len(policies))).alias("enter"))
-    q = quotes.select(F.col(on).cast("string").alias("key"), us("ts").alias("us"), F.lit(0).alias("kind"), "bid", "ask", F.lit(None).cast("array<boolean>").alias("enter"))
+    d = decisions.select(F.coalesce(F.col(on).cast("string"), F.lit("None")).alias("key"), us("ts").alias("us"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask"), F.when(F.col("status") == "observed", entries).otherwise(F.array(*[F.lit(False)] * len(policies))).alias("enter"))
+    q = quotes.select(F.coalesce(F.col(on).cast("string"), F.lit("None")).alias("key"), us("ts").alias("us"), F.lit(0).alias("kind"), "bid", "ask", F.lit(None).cast("array<boolean>").alias("enter"))
     u = q.unionByName(d).withColumn("policy", F.explode(F.array(*[F.lit(i) for i in range(len(policies))])))
-    u = u.withColumn("enter", F.when(F.col("enter").isNotNull(), F.element_at("enter", F.col("policy") + 1)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = policies[int(pdf.policy.iloc[0])]
-        pdf = pdf.sort_values(["us", "kind"], kind="stable")
-        return _fold(p, str(pdf.key.iloc[0]), pdf.us.to_numpy(), pdf.kind.to_numpy(), pdf.bid.to_numpy(), pdf.ask.to_numpy(), pdf.enter.to_numpy())
-
-    return u.groupBy("policy", "key").applyInPandas(run, _TRADES)
-
-
-def _fold(p: Policy, key: str, us, kind, bid, ask, enter) -> pd.DataFrame:
-    buy = p.side == "Buy"
-    sign = 1 if buy else -1
-    out, pending, pos, free_from = [], None, None, None
-    for t, k, b, a, e in zip(us.tolist(), kind.tolist(), bid.tolist(), ask.tolist(), enter.tolist(), strict=True):
-        if k == 0:
-            inside, outside = (a, b) if buy else (b, a)
-            if pos:
-                move = sign * (outside - pos["price"])
-                pos["best"] = max(pos["best"], move)
-                reason = None
-                if p.stop_loss is not None and move <= -p.stop_loss:
-                    reason = "stop_loss"
-                elif p.take_profit is not None and move >= p.take_profit:
-                    reason = "take_profit"
-                elif p.trail is not None and pos["best"] >= p.trail_from and pos["best"] - move >= p.trail:
-                    reason = "trailing"
-                elif p.max_seconds is not None and t - pos["us"] >= p.max_seconds * 1e6:
-                    reason = "time"
-                if reason:
-                    out.append((p.name, key, len(out), p.side, p.volume, pos["us"], pos["price"], t, outside, reason))
-                    pos, free_from = None, t + p.cooldown * 1e6
-            elif pending is not None and t >= pending and (p.limit is None or sign * (inside - p.limit) <= 0):
-                pos, pending = {"us": t, "price": inside, "best": 0.0}, None
-        elif e and not pos and pending is None and (free_from is None or t >= free_from):
-            pending = t + p.delay * 1e6
-    if pos:
-        out.append((p.name, key, len(out), p.side, p.volume, pos["us"], pos["price"], None, None, "open"))
-    return pd.DataFrame(out, columns=[c.split(" ")[0] for c in _TRADES.split(", ")])
+    u = u.withColumn("enter", F.coalesce(F.when(F.col("enter").isNotNull(), F.element_at("enter", F.col("policy") + 1)), F.lit(False)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+        for pdf in batches:
+            for (i, key), rows in pdf.groupby(["policy", "key"], sort=False):
+                if state is None or (state.number, state.key) != (i, key):
+                    if state:
+                        yield state.closed()
+                    state = _Replay(int(i), policies[int(i)], key)
+                yield state.read(*(rows[c].tolist() for c in ("us", "kind", "bid", "ask", "enter")))
+        if state:
+            yield state.closed()
+
+    # sorted by the shuffle and read in batches: a task holds a batch and one state, whatever the number of quotes
+    names = ["policy", "key"]
+    return u.repartition(*names).sortWithinPartitions(*names, "us", "kind").mapInPandas(run, _TRADES)
+
+
+class _Replay:
+    """One policy along one key, fed in the order of time."""
+
+    def __init__(self, number: int, policy: Policy, key: str):
+        self.number, self.policy, self.key = number, policy, key
+        self.pending = self.pos = self.free_from = None
+        self.trades = 0
+
+    def _trade(self, close_us, close_price, reason: str) -> tuple:
+        p, pos = self.policy, self.pos
+        self.trades += 1
+        return (p.name, self.key, self.trades - 1, p.side, p.volume, pos["us"], pos["price"], close_us, close_price, reason)
+
+    def read(self, us: list, kind: list, bid: list, ask: list, enter: list) -> pd.DataFrame:
+        p = self.policy
+        buy = p.side == "Buy"
+        sign = 1 if buy else -1
+        out, pending, pos, free_from = [], self.pending, self.pos, self.free_from
+        for t, k, b, a, e in zip(us, kind, bid, ask, enter, strict=True):
+            if k == 0:
+                inside, outside = (a, b) if buy else (b, a)
+                if pos:
+                    move = sign * (outside - pos["price"])
+                    pos["best"] = max(pos["best"], move)
+                    reason = None
+                    if p.stop_loss is not None and move <= -p.stop_loss:
+                        reason = "stop_loss"
+                    elif p.take_profit is not None and move >= p.take_profit:
+                        reason = "take_profit"
+                    elif p.trail is not None and pos["best"] >= p.trail_from and pos["best"] - move >= p.trail:
+                        reason = "trailing"
+                    elif p.max_seconds is not None and t - pos["us"] >= p.max_seconds * 1e6:
+                        reason = "time"
+                    if reason:
+                        self.pos = pos
+                        out.append(self._trade(t, outside, reason))
+                        pos, free_from = None, t + p.cooldown * 1e6
+                elif pending is not None and t >= pending and (p.limit is None or sign * (inside - p.limit) <= 0):
+                    pos, pending = {"us": t, "price": inside, "best": 0.0}, None
+            elif e and not pos and pending is None and (free_from is None or t >= free_from):
+                pending = t + p.delay * 1e6
+        self.pending, self.pos, self.free_from = pending, pos, free_from
+        return _rows(out)
+
+    def closed(self) -> pd.DataFrame:
+        """What is open at the end."""
+        return _rows([self._trade(None, None, "open")] if self.pos else [])
+
+
+def _rows(trades: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(trades, columns=[c.split(" ")[0] for c in _TRADES.split(", ")])
 
 
 def thresholds(values: list[float], most: int) -> list[float]:

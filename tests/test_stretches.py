@@ -68,3 +68,16 @@ def test_vector_has_no_pairs(spark):
 
 def test_bundle_has_no_pairs(spark):
     assert not paired(spark, "t09_multi_window")
+
+
+def test_replay_reads_a_key_in_batches(spark):
+    """Small batches give the trades of one, and no task is handed a whole key."""
+    rows = lambda: sorted(map(str, registry.QUERIES["p13_replay"](spark, "/root/testdata/sf0.001").collect()))
+    want = rows()
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        assert rows() == want and len(want) > 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = registry.QUERIES["p13_replay"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
