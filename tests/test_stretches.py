@@ -81,3 +81,5 @@ def test_replay_reads_a_key_in_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = registry.QUERIES["p13_replay"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+    scores = registry.QUERIES["p24_policy_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "MapInPandas run" in scores
