@@ -83,3 +83,7 @@ def test_replay_reads_a_key_in_batches(spark):
     assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
     scores = registry.QUERIES["p24_policy_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "MapInPandas run" in scores
+
+
+def test_archetypes_have_no_pairs(spark):
+    assert not paired(spark, "f17_archetypes")
