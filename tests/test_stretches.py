@@ -87,3 +87,7 @@ def test_replay_reads_a_key_in_batches(spark):
 
 def test_archetypes_have_no_pairs(spark):
     assert not paired(spark, "f17_archetypes")
+
+
+def test_rescaled_vector_has_no_pairs(spark):
+    assert not paired(spark, "t08_rescaled_vector")
