@@ -91,3 +91,7 @@ def test_archetypes_have_no_pairs(spark):
 
 def test_rescaled_vector_has_no_pairs(spark):
     assert not paired(spark, "t08_rescaled_vector")
+
+
+def test_half_split_has_no_pairs(spark):
+    assert not paired(spark, "t10_half_split")
