@@ -95,3 +95,7 @@ def test_rescaled_vector_has_no_pairs(spark):
 
 def test_half_split_has_no_pairs(spark):
     assert not paired(spark, "t10_half_split")
+
+
+def test_causal_window_reads_no_frames(spark):
+    assert not paired(spark, "t01_causal_window")
