@@ -99,3 +99,7 @@ def test_half_split_has_no_pairs(spark):
 
 def test_causal_window_reads_no_frames(spark):
     assert not paired(spark, "t01_causal_window")
+
+
+def test_tick_bundle_reads_no_frames(spark):
+    assert not paired(spark, "t06_tick_bundle")
