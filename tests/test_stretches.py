@@ -103,3 +103,7 @@ def test_causal_window_reads_no_frames(spark):
 
 def test_tick_bundle_reads_no_frames(spark):
     assert not paired(spark, "t06_tick_bundle")
+
+
+def test_exit_grid_searches_hours(spark):
+    assert not paired(spark, "p18_exit_grid")
